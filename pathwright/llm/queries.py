@@ -7,12 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, simhash, token_counts
+from . import decontamination, language_id, ngram_model, personal_data, simhash, token_counts, topk
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op2_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.score_texts(load(spark, sf_dir, "documents"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(load(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -30,12 +43,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_decontamination, op7_simhash, op8_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_model, op3_personal_data, op6_decontamination, op7_simhash, op8_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL}
-
+    return {"op1_exact_top_k": OP1_SQL, "op6_decontamination": OP6_SQL}
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+WHERE place <= 5
+"""
 
 #: Windows of every length that an item's windows have, compared as word lists.
 OP6_SQL = """
