@@ -40,7 +40,7 @@ GATHER = 3_000_000
 #: Bytes of training text for each shard.
 SHARD_TEXT = 16 << 20
 #: Word numbers for each task that adds up their statistics.
-PART = 1 << 20
+PART = 1 << 18
 BATCH = 512
 _SLAB = 4 << 20
 

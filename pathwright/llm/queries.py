@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, ngram_model, personal_data, simhash, token_counts, topk
+from . import decontamination, language_id, licenses, main_text, mixing, ngram_model, personal_data, simhash, token_counts, topk
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(load(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(load(spark, sf_dir, "pages"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -38,12 +46,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(load(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_model, op3_personal_data, op6_decontamination, op7_simhash, op8_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_model, op3_personal_data, op4_main_text, op5_mixing, op6_decontamination, op7_simhash, op8_language_id, op9_licenses, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
