@@ -91,3 +91,8 @@ def fresh(df: DataFrame, name: str) -> str:
 def id_bucket(column: str, n: int) -> F.Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
+
+
+def let(x: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
+    """body(x) with x evaluated once, however often body uses it and wherever the optimiser moves it."""
+    return F.transform(F.array(x), body)[0]

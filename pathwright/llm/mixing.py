@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, let, written
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.80, "low": 0.19, "toxic": 0.01}
@@ -54,17 +54,17 @@ class Classifier:
     def __init__(self, words: dict[str, list[float]], shape: np.ndarray, bias: np.ndarray):
         self.words, self.shape, self.bias = words, shape, bias
 
-    def posterior(self, words: Column, shape: list[Column]) -> Column:
-        """array<double> over DOMAINS."""
-        k = len(DOMAINS)
+    def posterior(self, words: Column, shape: Column) -> Column:
+        """array<double> over DOMAINS, from distinct words and an array of shape features."""
         known = F.from_json(F.lit(json.dumps(list(self.words))), "array<string>")
         weights = F.from_json(F.lit(json.dumps(self.words)), "map<string,array<double>>")
-        found = F.array_intersect(words, known)
-        start = F.array(*[F.lit(float(self.bias[d])) + sum((s * F.lit(float(self.shape[i, d])) for i, s in enumerate(shape)), F.lit(0.0)) for d in range(k)])
-        z = F.aggregate(found, start, lambda acc, w: F.zip_with(acc, F.element_at(weights, w), lambda a, b: a + b))
-        e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-        total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(e, lambda x: x / total)
+        start = F.array(*[sum((F.get(shape, F.lit(i)) * F.lit(float(v)) for i, v in enumerate(self.shape[:, d])), F.lit(float(self.bias[d]))) for d in range(len(DOMAINS))])
+        z = F.aggregate(F.array_intersect(words, known), start, lambda acc, w: F.zip_with(acc, F.element_at(weights, w), lambda a, b: a + b))
+
+        def softmax(z: Column) -> Column:
+            return let(F.array_max(z), lambda top: let(F.transform(z, lambda x: F.exp(x - top)), lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda x: x / total))))
+
+        return let(z, softmax)
 
 
 def fit(rows: list) -> Classifier:
@@ -107,14 +107,22 @@ def fit(rows: list) -> Classifier:
 def memberships(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, p (array over DOMAINS) of each row, as a table in the shared folder."""
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return written(_scored(df, fit(_sample(df, labels)), "text", "n_tokens", "p").select("doc_id", "n_tokens", "p"), "memberships")
+    return _members(df, fit(_sample(df, labels)))
+
+
+def _members(df: DataFrame, model: Classifier) -> DataFrame:
+    return written(df.select("doc_id", _member(model, F.col("text")).alias("x")).select("doc_id", "x.*"), "memberships")
 
 
-def _scored(df: DataFrame, model: Classifier, text: str, n: str, p: str) -> DataFrame:
-    words, a, b = (fresh(df, f"pw_{x}") for x in ("words", "symbols", "capitals"))
-    shape = _shape(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumns({words: _words(F.coalesce(F.col(text), F.lit(""))), a: F.least(shape[0] * 10, F.lit(1.0)), b: F.least(shape[1] * 5, F.lit(1.0))})
-    return df.withColumns({n: F.size(words).cast("long"), p: model.posterior(F.array_distinct(words), [F.col(a), F.col(b)])}).drop(words, a, b)
+def _member(model: Classifier, text: Column) -> Column:
+    """struct<n_tokens, p> of a text."""
+
+    def of(text: Column) -> Column:
+        shape = _shape(text)
+        shape = F.array(F.least(shape[0] * 10, F.lit(1.0)), F.least(shape[1] * 5, F.lit(1.0)))
+        return let(_words(text), lambda w: let(shape, lambda s: F.struct(F.size(w).cast("long").alias("n_tokens"), model.posterior(F.array_distinct(w), s).alias("p"))))
+
+    return let(F.coalesce(text, F.lit("")), of)
 
 
 def _rate(p: Column, steps: list[np.ndarray]) -> Column:
@@ -161,8 +169,6 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """docs with its rates as a last column mix_rate; rows of rate 0 are gone. A rate is how often to take the document in an epoch."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     model = fit(_sample(plain, labels))
-    members = written(_scored(plain, model, "text", "n_tokens", "p").select("n_tokens", "p"), "memberships")
-    steps = fit_rates(members, targets or TARGETS)
-    n, p, rate = fresh(docs, "pw_n"), fresh(docs, "pw_p"), fresh(docs, "mix_rate")
-    df = _scored(docs, model, text_col, n, p).withColumn(rate, _rate(F.col(p), steps))
-    return df.where(F.col(rate) > 0).select(*docs.columns, rate)
+    steps = fit_rates(_members(plain, model), targets or TARGETS)
+    rate = let(_member(model, F.col(text_col)), lambda x: _rate(x["p"], steps))
+    return docs.select(*docs.columns, F.explode(F.filter(F.array(rate), lambda r: r > 0)).alias(fresh(docs, "mix_rate")))

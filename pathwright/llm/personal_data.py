@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import let
 
 THRESHOLD = 70
 CHECKED = 30
@@ -154,15 +154,27 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"), F.array_join(F.transform("all", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
+def _hidden(kind: str):
+    """The function from a text to the text without the kind's spans."""
+    return lambda text: _without(kind, text)
+
+
+def _without(kind: str, text: Column) -> Column:
+    def rebuilt(m: Column, j: Column) -> Column:
+        shown = F.zip_with(m, j, lambda found, x: F.when(x["keep"], f"[{kind.upper()}]").otherwise(found))
+        pieces = F.split(text, PATTERNS[kind], -1)
+        whole = F.zip_with(F.slice(pieces, F.lit(1), F.size(m)), shown, lambda a, b: F.concat(a, b))
+        return F.concat(F.array_join(whole, ""), F.element_at(pieces, -1))
+
+    def chosen(m: Column) -> Column:
+        return F.when(F.size(m) > 0, let(_judged(kind, text, m), lambda j: F.when(F.exists(j, lambda x: x["keep"]), rebuilt(m, j)).otherwise(text))).otherwise(text)
+
+    return let(_matches(kind, text), chosen)
+
+
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of its texts replaced by the kind's name in brackets, kind after kind."""
-    m, j = fresh(docs, "pw_matches"), fresh(docs, "pw_judged")
-    df = docs
+    text = F.col(text_col)
     for kind in ("email", "iban", "card", "phone", "ip", "tel", "ssn"):
-        text = F.col(text_col)
-        df = df.withColumn(m, _matches(kind, text)).withColumn(j, F.when(F.size(m) > 0, _judged(kind, text, F.col(m))))
-        shown = F.zip_with(m, j, lambda found, x: F.when(x["keep"], f"[{kind.upper()}]").otherwise(found))
-        pieces = F.split(text, PATTERNS[kind], -1)
-        whole = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size(m)), shown, lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1))
-        df = df.withColumn(text_col, F.when(F.exists(j, lambda x: x["keep"]), whole).otherwise(text)).drop(m, j)
-    return df.select(*docs.columns)
+        text = let(text, _hidden(kind))
+    return docs.withColumn(text_col, text)
