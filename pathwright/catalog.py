@@ -1,11 +1,425 @@
-"""The registry of queries for the engine's own operators."""
+"""The registry of queries for the engine's own operators, with their SQL for the oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import text as X
+from .operators import metrics as M
+from .operators import optima as O
+from .operators import ranking as R
+from .operators import splits as S
+from .operators import verify as V
+from .sources.fixtures import table, view, with_views
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+RANKED = "SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY CAST(success AS INT) DESC, CAST(objective_match AS INT) DESC, coalesce(teacher_c, 0) DESC, process_c DESC, pos) AS rank, count(*) OVER (PARTITION BY problem_id) AS n FROM trajectories"
+PAIRS = f"""SELECT c.problem_id, c.template_name, c.trajectory_id AS chosen_id, r.trajectory_id AS rejected_id, c.success AS cs, r.success AS rs, c.objective_match AS cm, r.objective_match AS rm,
+  greatest(coalesce(c.teacher_c, 0) - coalesce(r.teacher_c, 0), 0) AS tg, c.process_c - r.process_c AS pg FROM ({RANKED}) AS c JOIN ({RANKED}) AS r ON c.problem_id = r.problem_id AND c.rank = 1 AND r.rank = r.n AND r.n >= 2"""
+WEIGHED = f"""SELECT problem_id, template_name, chosen_id, rejected_id, cs AS chosen_success,
+  CAST(CASE WHEN cs AND NOT rs THEN 10000 WHEN cm AND NOT rm THEN 8500 WHEN tg > 0 THEN least(8000, 3500 + 450 * tg) ELSE least(8000, 3000 + greatest(500, 1000 * pg)) END AS BIGINT) AS weight_e4,
+  CASE WHEN cs AND NOT rs THEN 'solver_success_beats_failure' WHEN cm AND NOT rm THEN 'objective_match_beats_mismatch' WHEN tg > 0 THEN 'teacher_score_gap' ELSE 'process_score_gap' END AS rationale FROM ({PAIRS})"""
+BEST = f"SELECT * FROM ({RANKED}) WHERE rank = 1"
+
+
+def _weighed(s, d):
+    return R.weigh(R.pairs(view(s, d, "trajectories")))
+
+
+@query(f"SELECT problem_id, trajectory_id, pos, rank FROM ({RANKED})", "trajectories")
+def rank_trajectories(s, d):
+    return R.rank(view(s, d, "trajectories")).select("problem_id", "trajectory_id", F.col("pos").cast("bigint").alias("pos"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"SELECT problem_id, trajectory_id, status, success FROM ({BEST})", "trajectories")
+def best_trajectory(s, d):
+    return R.best(view(s, d, "trajectories")).select("problem_id", "trajectory_id", "status", "success")
+
+
+@query(f"SELECT problem_id, chosen_id, rejected_id FROM ({PAIRS})", "trajectories")
+def pref_pairs(s, d):
+    return _weighed(s, d).select("problem_id", "chosen_id", "rejected_id")
+
+
+@query(WEIGHED, "trajectories")
+def pref_weights(s, d):
+    return _weighed(s, d)
+
+
+@query(f"SELECT count(*) FILTER (WHERE chosen_success) AS kept, count(*) FILTER (WHERE NOT chosen_success) AS skipped, CAST(sum(weight_e4) FILTER (WHERE chosen_success) AS BIGINT) AS weight_e4 FROM ({WEIGHED})", "trajectories")
+def pref_require_success(s, d):
+    ok = F.col("chosen_success")
+    return _weighed(s, d).agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("skipped"), F.sum(F.when(ok, F.col("weight_e4"))).alias("weight_e4"))
+
+
+@query(f"SELECT rationale, count(*) AS n, CAST(sum(weight_e4) AS BIGINT) AS weight_e4 FROM ({WEIGHED}) GROUP BY rationale", "trajectories")
+def rationale_counts(s, d):
+    return _weighed(s, d).groupBy("rationale").agg(F.count("*").alias("n"), F.sum("weight_e4").alias("weight_e4"))
+
+
+@query(f"SELECT {M.best_of_n_sql()} FROM ({BEST})", "trajectories")
+def best_metrics(s, d):
+    return M.best_of_n(R.best(view(s, d, "trajectories")))
+
+
+BEST_BY_MODEL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_no, problem_id ORDER BY CAST(success AS INT) DESC, CAST(objective_match AS INT) DESC, coalesce(teacher_c, 0) DESC, process_c DESC, pos) AS rank FROM trajectories) WHERE rank = 1"
+
+
+@query(f"SELECT model_no, {M.best_of_n_sql()} FROM ({BEST_BY_MODEL}) GROUP BY model_no", "trajectories")
+def compare_metrics(s, d):
+    return M.best_of_n(R.best(view(s, d, "trajectories"), "model_no"), "model_no")
+
+
+@query(f"SELECT model_no, problem_id, trajectory_id, status, objective_c - reference_c AS gap_c FROM ({BEST_BY_MODEL})", "trajectories")
+def compare_details(s, d):
+    return R.best(view(s, d, "trajectories"), "model_no").select("model_no", "problem_id", "trajectory_id", "status", (F.col("objective_c") - F.col("reference_c")).alias("gap_c"))
+
+
+@query(f"SELECT max(CASE WHEN model_no = 2 THEN pass_at_1 END) - max(CASE WHEN model_no = 0 THEN pass_at_1 END) AS pass_gain, max(CASE WHEN model_no = 0 THEN mean_abs_objective_gap END) - max(CASE WHEN model_no = 2 THEN mean_abs_objective_gap END) AS gap_drop FROM (SELECT model_no, {M.best_of_n_sql()} FROM ({BEST_BY_MODEL}) GROUP BY model_no)", "trajectories")
+def model_delta(s, d):
+    one = lambda m, c: F.max(F.when(F.col("model_no") == m, F.col(c)))
+    return compare_metrics(s, d).agg((one(2, "pass_at_1") - one(0, "pass_at_1")).alias("pass_gain"), (one(0, "mean_abs_objective_gap") - one(2, "mean_abs_objective_gap")).alias("gap_drop"))
+
+
+@query("SELECT status, count(*) AS n FROM trajectories GROUP BY status", "trajectories")
+def status_counts(s, d):
+    return view(s, d, "trajectories").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT problem_id) AS problems, count(*) AS trajectories, count(*) FILTER (WHERE success) AS successes FROM trajectories", "trajectories")
+def rollout_summary(s, d):
+    per = view(s, d, "trajectories").groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"))
+    return per.agg(F.count("*").alias("problems"), F.sum("n").alias("trajectories"), F.sum("ok").alias("successes"))
+
+
+@query("SELECT coalesce(template_name, 'all') AS template_name, coalesce(status, 'all') AS status, count(*) AS n FROM trajectories GROUP BY ROLLUP (template_name, status)", "trajectories")
+def status_rollup(s, d):
+    return view(s, d, "trajectories").rollup("template_name", "status").agg(F.count("*").alias("n")).select(F.coalesce("template_name", F.lit("all")).alias("template_name"), F.coalesce("status", F.lit("all")).alias("status"), "n")
+
+
+@query(M.histogram_sql("trajectories", "teacher_c"), "trajectories")
+def score_hist(s, d):
+    return M.histogram(view(s, d, "trajectories"), "teacher_c")
+
+
+@query(M.histogram_sql(f"({WEIGHED})", "weight_e4"), "trajectories")
+def weight_hist(s, d):
+    return M.histogram(_weighed(s, d), "weight_e4")
+
+
+# ---- evaluation
+
+PREDICTED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY pos DESC) AS rn FROM trajectories) WHERE rn = 1"
+
+
+def _last_predictions(s, d):
+    t = view(s, d, "trajectories").select("problem_id", "pos", "execution_ok", "status", "success")
+    return t.groupBy("problem_id").agg(F.max_by(F.struct("execution_ok", "status", "success"), "pos").alias("p")).select("problem_id", "p.*")
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE execution_ok) AS executed, count(*) FILTER (WHERE status = 'OPTIMAL') AS optimal, count(*) FILTER (WHERE success) AS successes FROM dataset JOIN ({PREDICTED}) AS p USING (problem_id)", "trajectories", "dataset")
+def eval_predictions(s, d):
+    got = view(s, d, "dataset").select("problem_id").join(_last_predictions(s, d), "problem_id")
+    return got.agg(F.count("*").alias("total"), F.count_if("execution_ok").alias("executed"), F.count_if(F.col("status") == "OPTIMAL").alias("optimal"), F.count_if("success").alias("successes"))
+
+
+@query("SELECT count(*) AS total, count(*) AS matched FROM dataset", "dataset")
+def eval_self(s, d):
+    return view(s, d, "dataset").agg(F.count("*").alias("total"), F.count("problem_id").alias("matched"))
+
+
+@query("SELECT problem_id, template_name FROM dataset WHERE problem_id NOT IN (SELECT problem_id FROM trajectories)", "trajectories", "dataset")
+def missing_predictions(s, d):
+    return view(s, d, "dataset").join(view(s, d, "trajectories").select("problem_id"), "problem_id", "left_anti").select("problem_id", "template_name")
+
+
+# ---- factory
+
+
+@query("SELECT seed, variant, traj, concat(template_name, '-seed', lpad(CAST(seed AS VARCHAR), 6, '0'), '-q', lpad(CAST(variant AS VARCHAR), 2, '0'), '-t', lpad(CAST(traj AS VARCHAR), 2, '0')) AS attempt_id FROM attempts", "attempts")
+def gen_grid(s, d):
+    return view(s, d, "attempts").select("seed", "variant", "traj", F.format_string("%s-seed%06d-q%02d-t%02d", "template_name", "seed", "variant", "traj").alias("attempt_id"))
+
+
+@query("SELECT attempt_key, template_name FROM attempts WHERE success", "attempts")
+def accept_verified(s, d):
+    return view(s, d, "attempts").where("success").select("attempt_key", "template_name")
+
+
+@query("SELECT attempt_key, accepted FROM (SELECT *, CAST(sum(CAST(success AS INT)) OVER (ORDER BY seed, variant, traj) AS BIGINT) AS accepted FROM attempts) WHERE accepted < 120 OR (accepted = 120 AND success)", "attempts")
+def accept_until_target(s, d):
+    return S.until_target(view(s, d, "attempts"), 120).select("attempt_key", "accepted")
+
+
+@query("SELECT template_name, count(*) AS n FROM attempts WHERE success GROUP BY template_name", "attempts")
+def template_dist(s, d):
+    return view(s, d, "attempts").where("success").groupBy("template_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT seed) AS seeds, count(*) AS attempted, count(*) FILTER (WHERE success) AS accepted, CASE WHEN count(*) = 0 THEN 0.0 ELSE CAST(count(*) FILTER (WHERE success) AS DOUBLE) / count(*) END AS verification_rate FROM attempts", "attempts")
+def gen_summary(s, d):
+    per = view(s, d, "attempts").groupBy("seed").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"))
+    return per.agg(F.count("*").alias("seeds"), F.sum("n").alias("attempted"), F.sum("ok").alias("accepted"), M.ratio(F.sum("ok"), F.sum("n")).alias("verification_rate"))
+
+
+GROUP_SPLIT = """SELECT grp, CASE WHEN place <= total * 80 // 100 THEN 'train' WHEN place <= total * 80 // 100 + total * 10 // 100 THEN 'valid' ELSE 'test' END AS split
+  FROM (SELECT grp, row_number() OVER (ORDER BY (grp * 1103515245 + 12345) % 2147483648, grp) AS place, count(*) OVER () AS total FROM (SELECT DISTINCT seed * 2 + variant AS grp FROM attempts))"""
+
+
+def _groups(s, d):
+    return S.by_group(view(s, d, "attempts").select((F.col("seed") * 2 + F.col("variant")).alias("grp")).distinct(), "grp", [("train", 80), ("valid", 10), ("test", 10)])
+
+
+@query(GROUP_SPLIT, "attempts")
+def group_split(s, d):
+    return _groups(s, d).select("grp", "split")
+
+
+@query(f"SELECT split, count(*) AS n FROM ({GROUP_SPLIT}) GROUP BY split", "attempts")
+def split_sizes(s, d):
+    names = s.createDataFrame([("train",), ("valid",), ("test",)], "split string")
+    return names.join(_groups(s, d).groupBy("split").agg(F.count("*").alias("n")), "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+DRAW = "(c_custkey * 1103515245 + 12345) % 2147483648 % 100"
+
+
+@query(f"SELECT template_name, count(*) AS n FROM (SELECT CASE WHEN {DRAW} < 10 THEN 'resource_allocation' WHEN {DRAW} < 25 THEN 'production_planning' WHEN {DRAW} < 60 THEN 'assignment' WHEN {DRAW} < 80 THEN 'tsp' ELSE 'knapsack' END AS template_name FROM customer) GROUP BY template_name")
+def weighted_choice(s, d):
+    x = S.shuffle_key(F.col("c_custkey")) % 100
+    name = F.when(x < 10, "resource_allocation").when(x < 25, "production_planning").when(x < 60, "assignment").when(x < 80, "tsp").otherwise("knapsack")
+    return table(s, d, "customer").select(name.alias("template_name")).groupBy("template_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT i, CASE WHEN i = 0 THEN 25 WHEN i = 1 THEN 53 ELSE 80 END AS temperature_c FROM (SELECT unnest([0, 1, 2]) AS i)")
+def temperature_schedule(s, d):
+    n, low, high = 3, 0.25, 0.8
+    return s.range(n).select(F.col("id").cast("int").alias("i"), F.round((F.lit(low) + F.col("id") * ((high - low) / (n - 1))) * 100 + 1e-9).cast("int").alias("temperature_c"))
+
+
+@query("SELECT attempt_key, substr(concat('preview of ', template_name), 1, 1200) AS preview FROM attempts", "attempts")
+def trace_rows(s, d):
+    return view(s, d, "attempts").select("attempt_key", F.substring(F.concat(F.lit("preview of "), "template_name"), 1, 1200).alias("preview"))
+
+
+
+
+@query("SELECT o_orderkey, array_to_string(list_slice(v, 1, 2), '|') AS variants FROM (SELECT o_orderkey, CASE WHEN a = b THEN [a] ELSE [a, b] END AS v FROM (SELECT o_orderkey, trim(o_orderpriority) AS a, trim(concat(' ', o_orderstatus, ' ')) AS b FROM orders))")
+def variant_dedupe(s, d):
+    raw = F.array("o_orderpriority", F.lit("  "), F.concat(F.lit(" "), "o_orderstatus", F.lit(" ")), "o_orderpriority")
+    kept = F.array_distinct(F.filter(F.transform(raw, X.strip), lambda x: x != ""))
+    return table(s, d, "orders").select("o_orderkey", F.array_join(F.slice(kept, 1, 2), "|").alias("variants"))
+
+
+@query("SELECT model_no, problem_id, sample FROM (SELECT unnest([0, 1, 2]) AS model_no), (SELECT problem_id FROM dataset ORDER BY problem_id LIMIT 50), (SELECT unnest([1, 2, 3]) AS sample)", "dataset")
+def compare_grid(s, d):
+    questions = view(s, d, "dataset").select("problem_id").orderBy("problem_id").limit(50)  # the benchmark's size is a feature
+    return questions.select(F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("model_no"), "problem_id").select("model_no", "problem_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("sample"))
+
+
+# ---- datasets
+
+
+@query("SELECT problem_id, split, concat('system: You solve optimisation problems.\n', 'user: ', question, '\n', 'assistant: ', response) AS chat FROM dataset", "dataset")
+def sft_messages(s, d):
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    messages = F.array(message("system", F.lit("You solve optimisation problems.")), message("user", F.col("question")), message("assistant", F.col("response")))
+    return view(s, d, "dataset").select("problem_id", "split", F.array_join(F.transform(messages, lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n").alias("chat"))
+
+
+@query("SELECT split, count(*) AS n FROM dataset GROUP BY split", "dataset")
+def sft_counts(s, d):
+    return view(s, d, "dataset").groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT w.problem_id, question AS prompt, chosen_id AS chosen, rejected_id AS rejected, weight_e4, rationale FROM ({WEIGHED}) AS w JOIN dataset USING (problem_id)", "trajectories", "dataset")
+def dpo_rows(s, d):
+    return _weighed(s, d).join(view(s, d, "dataset").select("problem_id", "question"), "problem_id").select("problem_id", F.col("question").alias("prompt"), F.col("chosen_id").alias("chosen"), F.col("rejected_id").alias("rejected"), "weight_e4", "rationale")
+
+
+@query(f"SELECT split, count(*) AS n, CAST(sum(problem_id) AS BIGINT) AS ids FROM (SELECT problem_id, CASE WHEN row_number() OVER (ORDER BY problem_id) <= greatest(1, count(*) OVER () * 9 // 10) THEN 'train' ELSE 'valid' END AS split FROM ({PAIRS})) GROUP BY split", "trajectories")
+def dpo_split(s, d):
+    return S.train_valid(_weighed(s, d).select("problem_id"), "problem_id").groupBy("split").agg(F.count("*").alias("n"), F.sum("problem_id").alias("ids"))
+
+
+@query("SELECT conv_id, string_agg(concat('<', role, '> ', text), '\n' ORDER BY turn, role, text) AS chat FROM conversations GROUP BY conv_id")
+def chat_text(s, d):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return table(s, d, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("<"), x["role"], F.lit("> "), x["text"])), "\n").alias("chat"))
+
+
+@query("SELECT problem_id, concat(CASE template_name WHEN 'knapsack' THEN 'Use binary variables.' WHEN 'tsp' THEN 'Forbid subtours.' ELSE 'State the model first.' END, '\n', question) AS prompt FROM dataset", "dataset")
+def prompt_build(s, d):
+    hints = F.create_map(F.lit("knapsack"), F.lit("Use binary variables."), F.lit("tsp"), F.lit("Forbid subtours."))
+    return view(s, d, "dataset").select("problem_id", F.concat(F.coalesce(F.try_element_at(hints, F.col("template_name")), F.lit("State the model first.")), F.lit("\n"), "question").alias("prompt"))
+
+
+# ---- text
+
+
+@query("SELECT doc_id, trim(CASE WHEN doc_id % 5 = 0 OR doc_id % 5 = 4 THEN response WHEN doc_id % 5 = 3 THEN regexp_replace(response, '(?is)^.*```PYTHON\\s*', '') ELSE regexp_extract(response, '(?is)^.*```(?:python|py)?\\s*(.*?)```', 1) END, ' \t\n\r\v\f') AS code FROM responses".replace("\\v", chr(11)).replace("\\f", chr(12)), "responses")
+def extract_code(s, d):
+    return view(s, d, "responses").select("doc_id", X.extract_code(F.col("response")).alias("code"))
+
+
+@query("SELECT doc_id, CAST(length(regexp_replace(response, '[^(\\[{]', '', 'g')) - length(regexp_replace(response, '[^)\\]}]', '', 'g')) AS INT) AS balance FROM responses", "responses")
+def delim_balance(s, d):
+    return view(s, d, "responses").select("doc_id", X.delimiter_balance(F.col("response")).alias("balance"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN strpos(response, '\nimport json') ELSE NULL END AS start FROM responses WHERE doc_id % 5 = 4", "responses")
+def code_start(s, d):
+    return view(s, d, "responses").where("doc_id % 5 = 4").select("doc_id", X.code_start(F.col("response")).cast("bigint").alias("start"))
+
+
+HITS = " + ".join(f"CAST(contains(response, '{t}') AS INT)" for t in X.STEP_TITLES)
+
+
+@query(f"SELECT doc_id, CAST(least(10000, ({HITS}) * 375 + CASE WHEN doc_id % 2 = 0 THEN 3500 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 3500 ELSE 0 END) AS INT) AS score_e4 FROM responses", "responses")
+def process_score(s, d):
+    return view(s, d, "responses").select("doc_id", X.process_score_e4(F.col("response"), F.expr("doc_id % 2 = 0"), F.expr("doc_id % 3 = 0")).cast("int").alias("score_e4"))
+
+
+@query("SELECT event_id, props AS stripped FROM events")
+def strip_json_fences(s, d):
+    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    return table(s, d, "events").select("event_id", X.strip_json_fences(fenced).alias("stripped"))
+
+
+CLASSIFIED = """SELECT event_id, k, CASE WHEN timed_out THEN 'TIMEOUT' WHEN exit_code <> 0 THEN 'RUNTIME_ERROR' WHEN k = 0 THEN 'MISSING_RESULT' WHEN k IN (3, 6) THEN 'INVALID_RESULT' WHEN k IN (1, 2) THEN 'OPTIMAL' WHEN k = 4 THEN 'FEASIBLE' WHEN k = 5 THEN '2' ELSE 'UNKNOWN' END AS status,
+  CASE WHEN timed_out OR exit_code <> 0 THEN NULL WHEN k = 1 THEN floor(reference_objective) WHEN k = 2 THEN 3.5 WHEN k = 5 THEN 7.0 END AS objective_value, reference_objective FROM (SELECT *, event_id % 8 AS k FROM executions)"""
+
+
+@query(f"SELECT event_id, status NOT IN ('TIMEOUT', 'RUNTIME_ERROR', 'MISSING_RESULT') AS execution_ok, status, CAST(objective_value AS DOUBLE) AS objective_value, coalesce(abs(objective_value - reference_objective) <= 0.0001, FALSE) AS objective_match FROM ({CLASSIFIED})", "executions")
+def verify_classify(s, d):
+    return V.classify(view(s, d, "executions")).select("event_id", "execution_ok", "status", "objective_value", "objective_match")
+
+
+# ---- optima
+
+
+@query("""SELECT problem_id, CAST(max(v) AS BIGINT) AS optimum FROM (SELECT problem_id, m, sum(CASE WHEN (m >> CAST(pos - 1 AS INT)) & 1 = 1 THEN value ELSE 0 END) AS v, sum(CASE WHEN (m >> CAST(pos - 1 AS INT)) & 1 = 1 THEN weight ELSE 0 END) AS w, max(capacity) AS c
+  FROM knap_items, (SELECT CAST(unnest(generate_series(0, 63)) AS INT) AS m) GROUP BY problem_id, m) WHERE w <= c GROUP BY problem_id""", "knap_items")
+def opt_knapsack(s, d):
+    return O.knapsack(view(s, d, "knap_items"))
+
+
+COST = "8 + (p_partkey * 7 + w * 13 + t * 17 + w * t * 5) % 21"
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS problem_id, w, t, {COST} AS cost FROM part, (SELECT unnest([0, 1, 2, 3]) AS w), (SELECT unnest([0, 1, 2, 3]) AS t))
+  SELECT a.problem_id, CAST(min(a.cost + b.cost + e.cost + f.cost) AS BIGINT) AS optimum FROM c AS a JOIN c AS b USING (problem_id) JOIN c AS e USING (problem_id) JOIN c AS f USING (problem_id)
+  WHERE a.w = 0 AND b.w = 1 AND e.w = 2 AND f.w = 3 AND a.t <> b.t AND a.t <> e.t AND a.t <> f.t AND b.t <> e.t AND b.t <> f.t AND e.t <> f.t GROUP BY a.problem_id""")
+def opt_assignment(s, d):
+    four = F.array(*[F.lit(i) for i in range(4)])
+    grid = table(s, d, "part").select("p_partkey", F.explode(four).alias("w")).select("p_partkey", "w", F.explode(four).alias("t"))
+    return O.assignment(grid.select(F.col("p_partkey").alias("problem_id"), "w", "t", F.expr(COST).alias("cost")))
+
+
+@query("""WITH RECURSIVE n AS (SELECT n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS c, n_nationkey AS k FROM nation),
+  arc AS (SELECT a.r, a.c AS i, b.c AS j, 12 + (least(a.k, b.k) * 31 + greatest(a.k, b.k) * 17) % 49 AS dist FROM n AS a JOIN n AS b ON a.r = b.r AND a.c <> b.c),
+  path AS (SELECT r, i, j AS at, dist, (1 << CAST(i AS INT)) | (1 << CAST(j AS INT)) AS seen FROM arc WHERE i = 0 UNION ALL SELECT path.r, path.i, arc.j, path.dist + arc.dist, seen | (1 << CAST(arc.j AS INT)) FROM path JOIN arc ON arc.r = path.r AND arc.i = path.at WHERE seen & (1 << CAST(arc.j AS INT)) = 0)
+  SELECT path.r AS problem_id, CAST(min(path.dist + arc.dist) AS BIGINT) AS optimum FROM path JOIN arc ON arc.r = path.r AND arc.i = path.at AND arc.j = 0 WHERE seen = 31 GROUP BY path.r""")
+def opt_tsp(s, d):
+    n = table(s, d, "nation").select(F.col("n_regionkey").alias("problem_id"), (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("c"), F.col("n_nationkey").alias("k"))
+    b = n.select("problem_id", F.col("c").alias("j"), F.col("k").alias("k2"))
+    return O.tour(n.join(b, "problem_id").where("c <> j").select("problem_id", F.col("c").alias("i"), "j", F.expr("12 + (least(k, k2) * 31 + greatest(k, k2) * 17) % 49").alias("dist")))
+
+
+# ---- training history and losses
+
+
+@query("SELECT run_id, CAST(count(*) AS BIGINT) AS points, arg_min(loss_c, pos) AS first_loss_c, arg_max(loss_c, pos) AS last_loss_c, min(loss_c) AS best_loss_c, arg_min(loss_c, pos) - arg_max(loss_c, pos) AS reduction_c FROM log_history GROUP BY run_id", "log_history")
+def loss_summary(s, d):
+    first, last = F.min_by("loss_c", "pos"), F.max_by("loss_c", "pos")
+    return view(s, d, "log_history").groupBy("run_id").agg(F.count("*").alias("points"), first.alias("first_loss_c"), last.alias("last_loss_c"), F.min("loss_c").alias("best_loss_c"), (first - last).alias("reduction_c"))
+
+
+@query("SELECT run_id, metric, arg_min(v, pos) AS first_value, arg_max(v, pos) AS last_value, CASE WHEN metric = 'entropy' THEN min(v) ELSE max(v) END AS best_value FROM (SELECT run_id, pos, 'loss' AS metric, loss_c AS v FROM log_history UNION ALL SELECT run_id, pos, 'entropy', entropy_c FROM log_history) GROUP BY run_id, metric", "log_history")
+def metric_first_last_best(s, d):
+    long = view(s, d, "log_history").select("run_id", "pos", F.expr("stack(2, 'loss', loss_c, 'entropy', entropy_c) AS (metric, v)"))
+    return long.groupBy("run_id", "metric").agg(F.min_by("v", "pos").alias("first_value"), F.max_by("v", "pos").alias("last_value"), F.when(F.col("metric") == "entropy", F.min("v")).otherwise(F.max("v")).alias("best_value"))
+
+
+@query("SELECT run_id, (pos - 1) // 10 AS step, CAST(sum(loss_c) AS DOUBLE) / count(*) AS mean_loss_c FROM log_history GROUP BY run_id, (pos - 1) // 10", "log_history")
+def log_interval_avg(s, d):
+    return view(s, d, "log_history").groupBy("run_id", F.expr("CAST((pos - 1) div 10 AS BIGINT)").alias("step")).agg(M.ratio(F.sum("loss_c"), F.count("*")).alias("mean_loss_c"))
+
+
+@query("SELECT run_id, pos, loss_c, min(loss_c) OVER (PARTITION BY run_id ORDER BY pos) AS best_so_far FROM log_history", "log_history")
+def training_series(s, d):
+    w = Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return view(s, d, "log_history").select("run_id", F.col("pos").cast("bigint").alias("pos"), "loss_c", F.min("loss_c").over(w).alias("best_so_far"))
+
+
+@query("SELECT vec_id, CAST(list_sum(list_transform(embedding[9:64], lambda x: CAST(floor(CAST(x AS DOUBLE) * -1000000) AS BIGINT))) AS BIGINT) AS logp_e6, CAST(56 AS INT) AS n FROM embeddings")
+def seq_logps(s, d):
+    """Masked sum of a sequence's log-probabilities in millionths: the first eight places (the prompt) do not count."""
+    labels = F.transform("embedding", lambda x, i: F.when(i < 8, F.lit(-100)).otherwise(F.lit(1)))
+    kept = F.filter(F.zip_with("embedding", labels, lambda x, y: F.when(y != -100, F.floor(x.cast("double") * -1000000))), lambda x: x.isNotNull())
+    return table(s, d, "embeddings").select("vec_id", F.aggregate(kept, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("logp_e6"), F.size(kept).alias("n"))
+
+
+# ---- documents
+
+LINES = "SELECT doc_id, CAST(i - 1 AS INT) AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, '\n') AS ls, unnest(generate_series(1, len(string_split(text, '\n')))) AS i FROM documents)"
+PREFIXED = f"SELECT doc_id, line_no, concat(CASE (doc_id + line_no) % 9 WHEN 0 THEN '## ' WHEN 1 THEN '### ' WHEN 2 THEN '#### ' WHEN 3 THEN '> ' WHEN 4 THEN '- ' WHEN 5 THEN '1. ' WHEN 6 THEN '# ' ELSE '' END, line) AS line FROM ({LINES})"
+KIND = "CASE WHEN trim(line, ' \t\n\r') = '' THEN NULL WHEN starts_with(line, '# ') THEN NULL WHEN starts_with(line, '## ') THEN 'heading1' WHEN starts_with(line, '### ') THEN 'heading2' WHEN starts_with(line, '#### ') THEN 'heading3' WHEN starts_with(line, '> ') THEN 'quote' WHEN starts_with(line, '- ') THEN 'bullet' WHEN starts_with(line, '1. ') THEN 'ordered' ELSE 'text' END"
+
+
+def _nodes(s, d):
+    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    prefix = F.expr("CASE (doc_id + line_no) % 9 WHEN 0 THEN '## ' WHEN 1 THEN '### ' WHEN 2 THEN '#### ' WHEN 3 THEN '> ' WHEN 4 THEN '- ' WHEN 5 THEN '1. ' WHEN 6 THEN '# ' ELSE '' END")
+    lines = lines.withColumn("line", F.concat(prefix, "line"))
+    return lines.withColumn("kind", X.markdown_kind(F.col("line"))).where("kind is not null")
+
+
+@query(f"SELECT doc_id, line_no, kind FROM (SELECT *, {KIND} AS kind FROM ({PREFIXED})) WHERE kind IS NOT NULL AND line <> '' AND regexp_matches(line, '[^#>1. \t-]')")
+def md_nodes(s, d):
+    return _nodes(s, d).where(F.col("line").rlike("[^#>1. \t-]")).select("doc_id", "line_no", "kind")
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT *, {KIND} AS kind FROM ({PREFIXED})) WHERE kind IS NOT NULL AND regexp_matches(line, '[^#>1. \t-]') GROUP BY kind")
+def md_blocks(s, d):
+    return _nodes(s, d).where(F.col("line").rlike("[^#>1. \t-]")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, CAST(line_no // 10 AS BIGINT) AS chunk, count(*) AS n FROM ({LINES}) GROUP BY doc_id, line_no // 10")
+def md_chunks(s, d):
+    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.groupBy("doc_id", F.expr("CAST(line_no div 10 AS BIGINT)").alias("chunk")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+def latest_run(s, d):
+    return table(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events")
+def run_stamp(s, d):
+    return table(s, d, "events").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("stamp"))
