@@ -16,7 +16,7 @@ def knapsack(items: DataFrame) -> DataFrame:
     def total(mask, field):
         return F.aggregate(F.transform("items", lambda x, i: F.when(F.get(F.split(F.reverse(F.conv(mask.cast("string"), 10, 2)), ""), i) == "1", x[field]).otherwise(zero)), zero, lambda a, b: a + b)
 
-    masks = F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.size("items")) - 1)
+    masks = F.sequence(F.lit(0), F.expr("shiftleft(1, size(items)) - 1"))
     fits = F.filter(masks, lambda m: total(m, "weight") <= F.col("capacity"))
     return packed.select("problem_id", F.array_max(F.transform(fits, lambda m: total(m, "value"))).alias("optimum"))
 
