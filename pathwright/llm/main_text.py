@@ -307,7 +307,10 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
     df = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
-    sample = df.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS)).select("html", F.xxhash64("html").alias("draw")).orderBy("draw").limit(SAMPLE_PAGES)
+    span = 1 << 30
+    share = min(span, int(span * 2 * SAMPLE_PAGES / max(1, df.count())))  # so that tasks send the driver few pages more than it takes
+    drawn = df.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS)).select("html", F.pmod(F.xxhash64("html"), F.lit(span)).alias("draw"))
+    sample = drawn.where(F.col("draw") < share).orderBy("draw").limit(SAMPLE_PAGES)
     shared = df.sparkSession.sparkContext.broadcast(fit([r["html"] for r in sample.collect()]))
 
     def factory():
