@@ -388,7 +388,7 @@ def seq_logps(s, d):
 # ---- documents
 
 LINES = "SELECT doc_id, CAST(i - 1 AS INT) AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, '\n') AS ls, unnest(generate_series(1, len(string_split(text, '\n')))) AS i FROM documents)"
-PREFIXED = f"SELECT doc_id, line_no, concat(CASE (doc_id + line_no) % 9 WHEN 0 THEN '## ' WHEN 1 THEN '### ' WHEN 2 THEN '#### ' WHEN 3 THEN '> ' WHEN 4 THEN '- ' WHEN 5 THEN '1. ' WHEN 6 THEN '# ' ELSE '' END, line) AS line FROM ({LINES})"
+PREFIXED = f"SELECT doc_id, line_no, trim(concat(CASE (doc_id + line_no) % 9 WHEN 0 THEN '## ' WHEN 1 THEN '### ' WHEN 2 THEN '#### ' WHEN 3 THEN '> ' WHEN 4 THEN '- ' WHEN 5 THEN '1. ' WHEN 6 THEN '# ' ELSE '' END, line), ' \t\n\r\x0b\x0c') AS line FROM ({LINES})"
 KIND = "CASE WHEN trim(line, ' \t\n\r') = '' THEN NULL WHEN starts_with(line, '# ') THEN NULL WHEN starts_with(line, '## ') THEN 'heading1' WHEN starts_with(line, '### ') THEN 'heading2' WHEN starts_with(line, '#### ') THEN 'heading3' WHEN starts_with(line, '> ') THEN 'quote' WHEN starts_with(line, '- ') THEN 'bullet' WHEN starts_with(line, '1. ') THEN 'ordered' ELSE 'text' END"
 
 
@@ -399,14 +399,14 @@ def _nodes(s, d):
     return lines.withColumn("kind", X.markdown_kind(F.col("line"))).where("kind is not null")
 
 
-@query(f"SELECT doc_id, line_no, kind FROM (SELECT *, {KIND} AS kind FROM ({PREFIXED})) WHERE kind IS NOT NULL AND line <> '' AND regexp_matches(line, '[^#>1. \t-]')")
+@query(f"SELECT doc_id, line_no, kind FROM (SELECT *, {KIND} AS kind FROM ({PREFIXED})) WHERE kind IS NOT NULL")
 def md_nodes(s, d):
-    return _nodes(s, d).where(F.col("line").rlike("[^#>1. \t-]")).select("doc_id", "line_no", "kind")
+    return _nodes(s, d).select("doc_id", "line_no", "kind")
 
 
-@query(f"SELECT kind, count(*) AS n FROM (SELECT *, {KIND} AS kind FROM ({PREFIXED})) WHERE kind IS NOT NULL AND regexp_matches(line, '[^#>1. \t-]') GROUP BY kind")
+@query(f"SELECT kind, count(*) AS n FROM (SELECT *, {KIND} AS kind FROM ({PREFIXED})) WHERE kind IS NOT NULL GROUP BY kind")
 def md_blocks(s, d):
-    return _nodes(s, d).where(F.col("line").rlike("[^#>1. \t-]")).groupBy("kind").agg(F.count("*").alias("n"))
+    return _nodes(s, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, CAST(line_no // 10 AS BIGINT) AS chunk, count(*) AS n FROM ({LINES}) GROUP BY doc_id, line_no // 10")
