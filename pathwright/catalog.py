@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -13,30 +11,9 @@ from .operators import optima as O
 from .operators import ranking as R
 from .operators import splits as S
 from .operators import verify as V
-from .sources.fixtures import table, view, with_views
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = with_views(sql, *views) if views else sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from .plans import datasets, factory, misc  # noqa: F401 - they register their queries
+from .registry import oracle_sql, queries, query  # noqa: F401
+from .sources.fixtures import table, view
 
 RANKED = "SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY CAST(success AS INT) DESC, CAST(objective_match AS INT) DESC, coalesce(teacher_c, 0) DESC, process_c DESC, pos) AS rank, count(*) OVER (PARTITION BY problem_id) AS n FROM trajectories"
 PAIRS = f"""SELECT c.problem_id, c.template_name, c.trajectory_id AS chosen_id, r.trajectory_id AS rejected_id, c.success AS cs, r.success AS rs, c.objective_match AS cm, r.objective_match AS rm,

@@ -29,10 +29,82 @@ def assignment(costs: DataFrame) -> DataFrame:
 
 
 def tour(arcs: DataFrame) -> DataFrame:
-    """problem_id, optimum: shortest round trip over the arcs (problem_id, i, j, dist) of 5 cities numbered from 0."""
-    wide = arcs.groupBy("problem_id").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("dist"))).alias(f"d{i}{j}") for i in range(5) for j in range(5) if i != j])
-    sums = []
-    for p in permutations(range(1, 5)):
-        path = (0, *p, 0)
-        sums.append(sum((F.col(f"d{a}{b}") for a, b in zip(path, path[1:], strict=False)), F.lit(0)))
-    return wide.select("problem_id", F.least(*sums).cast("bigint").alias("optimum"))
+    """problem_id, optimum: shortest round trip over the arcs (problem_id, i, j, dist) of 5 or 6 cities numbered from 0, over the tours in the row."""
+    wide = arcs.groupBy("problem_id").agg((F.max("i") + 1).alias("n"), *[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("dist"))).alias(f"d{i}{j}") for i in range(6) for j in range(6) if i != j])
+
+    def shortest(n):
+        sums = []
+        for p in permutations(range(1, n)):
+            path = (0, *p, 0)
+            sums.append(sum((F.col(f"d{a}{b}") for a, b in zip(path, path[1:], strict=False)), F.lit(0)))
+        return F.least(*sums)
+
+    return wide.select("problem_id", F.when(F.col("n") == 5, shortest(5)).when(F.col("n") == 6, shortest(6)).cast("bigint").alias("optimum"))
+
+
+def production(products: DataFrame) -> DataFrame:
+    """problem_id, optimum: most net profit of whole numbers of units (margin, setup, max_units, labor of each of at most 4 products;
+    total_hours), a setup being paid once a product is made. The units of all products but one are enumerated within the hours left, the
+    last product takes what remains; the rows so made are reduced where they are, as the problem's key already places them. More products raise an error."""
+    packed = products.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("pos", "margin", "setup", "max_units", "labor"))).alias("items"), F.max("total_hours").alias("left"))
+    few = F.when(F.size("items") > 4, F.raise_error(F.lit("at most 4 products"))).otherwise(F.size("items"))
+    fields = ("margin", "setup", "max_units", "labor")
+    flat = [F.get("items", F.lit(k))[f].cast("bigint").alias(f"{f}{k}") for k in range(4) for f in fields]
+    df = packed.select("problem_id", F.col("left").cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("profit"), few.alias("n"), *flat)
+    most = lambda k: F.coalesce(F.least(F.col(f"max_units{k}"), F.expr(f"left div labor{k}")), F.lit(0)).cast("bigint")
+    gain = lambda k, q: F.coalesce(q * F.col(f"margin{k}") - F.when(q > 0, F.col(f"setup{k}")).otherwise(0), F.lit(0))
+    for k in (3, 2, 1):
+        df = df.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), most(k))))
+        df = df.select("problem_id", (F.col("left") - F.coalesce(F.col("q") * F.col(f"labor{k}"), F.lit(0))).alias("left"), (F.col("profit") + gain(k, F.col("q"))).alias("profit"), "n", *[f"{f}{j}" for j in range(k) for f in fields])
+    best = F.col("profit") + F.greatest(F.lit(0), gain(0, most(0)))
+    return df.where("n > 0").groupBy("problem_id").agg(F.max(best).cast("bigint").alias("optimum"))
+
+
+def linear(products: DataFrame) -> DataFrame:
+    """problem_id, optimum (double): largest profit of a continuous plan under three limits (u0, u1, u2 of each product; cap0, cap1, cap2;
+    a problem of two limits has u2 = cap2 = 0). Every basis of three columns is solved in the row, in whole numbers; the quotient comes last."""
+    column = lambda a, b, c, p: F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), c.cast("bigint").alias("c"), p.cast("bigint").alias("p"))
+    one, zero = F.lit(1), F.lit(0)
+    packed = products.groupBy("problem_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", column(F.col("u0"), F.col("u1"), F.col("u2"), F.col("profit")).alias("x")))).alias("items"),
+        column(F.max("cap0"), F.max("cap1"), F.max("cap2"), zero).alias("rhs"),
+    )
+    slacks = F.array(column(one, zero, zero, zero), column(zero, one, zero, zero), column(zero, zero, one, zero))
+    packed = packed.withColumn("cols", F.concat(F.transform("items", lambda x: x["x"]), slacks))
+
+    def det(x, y, z):
+        return x["a"] * (y["b"] * z["c"] - z["b"] * y["c"]) - y["a"] * (x["b"] * z["c"] - z["b"] * x["c"]) + z["a"] * (x["b"] * y["c"] - y["b"] * x["c"])
+
+    def value(i, j, k):
+        x, y, z = (F.get("cols", at) for at in (i, j, k))
+        r = F.col("rhs")
+        d = F.struct(det(x, y, z).alias("d"), det(r, y, z).alias("x"), det(x, r, z).alias("y"), det(x, y, r).alias("z"))
+        feasible = lambda s: (s["d"] != 0) & (s["x"] * s["d"] >= 0) & (s["y"] * s["d"] >= 0) & (s["z"] * s["d"] >= 0)
+        total = lambda s: F.when(feasible(s), (s["x"] * x["p"] + s["y"] * y["p"] + s["z"] * z["p"]).cast("double") / s["d"].cast("double"))
+        return F.get(F.transform(F.array(d), total), F.lit(0))
+
+    n = F.size("cols")
+    bases = F.flatten(F.transform(F.sequence(zero, n - 3), lambda i: F.flatten(F.transform(F.sequence(i + 1, n - 2), lambda j: F.transform(F.sequence(j + 1, n - 1), lambda k: value(i, j, k))))))
+    return packed.select("problem_id", F.array_max(bases).alias("optimum"))
+
+
+def solve(instances: DataFrame) -> DataFrame:
+    """seed, template_name, status, objective_value of instances (see `instances`), each family by its own exact method. A row without an optimum is FAILED."""
+    named = instances.withColumnRenamed("seed", "problem_id")
+    of = lambda t: named.where(F.col("template_name") == t)
+
+    def facts(t, *fields):
+        zipped = F.arrays_zip(*[F.col("facts")[f].alias(f) for f in fields])
+        return of(t).select("problem_id", "limits", "cells", F.posexplode(zipped).alias("pos", "x"))
+
+    p = facts("production_planning", "margin", "setup_cost", "max_units", "labor_hours").select("problem_id", "pos", "x.margin", F.col("x.setup_cost").alias("setup"), "x.max_units", F.col("x.labor_hours").alias("labor"), F.get("limits", F.lit(0)).alias("total_hours"))
+    k = facts("knapsack", "value", "weight").select("problem_id", "pos", "x.value", "x.weight", F.get("limits", F.lit(0)).alias("capacity"))
+    cell = lambda r: F.coalesce(F.get(F.get("cells", F.lit(r)), F.col("pos")), F.lit(0))
+    cap = lambda r: F.coalesce(F.get("limits", F.lit(r)), F.lit(0))
+    lp = facts("resource_allocation", "profit").select("problem_id", "pos", "x.profit", *[cell(r).alias(f"u{r}") for r in range(3)], *[cap(r).alias(f"cap{r}") for r in range(3)])
+    grid = lambda t, i, j, v: of(t).select("problem_id", F.posexplode("cells").alias(i, "row")).select("problem_id", i, F.posexplode("row").alias(j, v))
+    solved = linear(lp)
+    for one in (production(p), knapsack(k), assignment(grid("assignment", "w", "t", "cost")), tour(grid("tsp", "i", "j", "dist").where("i <> j"))):
+        solved = solved.unionByName(one.select("problem_id", F.col("optimum").cast("double").alias("optimum")))
+    got = instances.select("seed", "template_name").join(solved.withColumnRenamed("problem_id", "seed"), "seed", "left")
+    return got.select("seed", "template_name", F.when(F.col("optimum").isNull(), "FAILED").otherwise("OPTIMAL").alias("status"), F.col("optimum").alias("objective_value"))

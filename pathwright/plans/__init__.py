@@ -1 +1 @@
-
+"""Registered queries beyond the catalogue's core."""

@@ -57,7 +57,18 @@ FROM (SELECT l_orderkey AS problem_id, l_quantity, l_partkey, row_number() OVER
 WHERE pos <= 6
 """
 
-VIEWS = {"trajectories": TRAJECTORIES, "dataset": DATASET, "attempts": ATTEMPTS, "responses": RESPONSES, "executions": EXECUTIONS, "log_history": LOG_HISTORY, "knap_items": KNAP_ITEMS}
+PROD_PARAMS = """
+SELECT *, CAST(floor(sum(labor * max_units) OVER (PARTITION BY problem_id) * 55 / 100) AS BIGINT) AS total_hours
+FROM (SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS problem_id, CAST(p_partkey % 4 AS INT) AS pos, CAST(18 + p_size % 19 AS BIGINT) AS margin, CAST(45 + (p_partkey * 7) % 66 AS BIGINT) AS setup, CAST(8 + p_size % 13 AS BIGINT) AS max_units, CAST(2 + p_partkey % 5 AS BIGINT) AS labor FROM {part}) AS p
+"""
+
+LP_PARAMS = """
+SELECT *, CAST(floor(sum(u0) OVER (PARTITION BY problem_id) * (45 + problem_id % 21) / 10) AS BIGINT) AS cap0, CAST(floor(sum(u1) OVER (PARTITION BY problem_id) * (45 + problem_id * 5 % 21) / 10) AS BIGINT) AS cap1, CAST(floor(sum(u2) OVER (PARTITION BY problem_id) * (45 + problem_id * 8 % 21) / 10) AS BIGINT) AS cap2
+FROM (SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS problem_id, CAST(p_partkey % 4 AS INT) AS pos, CAST(18 + (p_size * 3 + p_partkey) % 31 AS BIGINT) AS profit, CAST(1 + p_partkey % 6 AS BIGINT) AS u0, CAST(1 + (p_partkey * 5 + p_size) % 6 AS BIGINT) AS u1,
+  CAST(CASE WHEN floor(p_partkey / 4) % 2 = 0 THEN 0 ELSE 1 + (p_size * 7) % 6 END AS BIGINT) AS u2 FROM {part}) AS p
+"""
+
+VIEWS = {"prod_params": PROD_PARAMS, "lp_params": LP_PARAMS, "trajectories": TRAJECTORIES, "dataset": DATASET, "attempts": ATTEMPTS, "responses": RESPONSES, "executions": EXECUTIONS, "log_history": LOG_HISTORY, "knap_items": KNAP_ITEMS}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +88,4 @@ def oracle(name: str) -> str:
 
 
 def with_views(sql: str, *names: str) -> str:
-    return "WITH " + ", ".join(f"{n} AS ({oracle(n)})" for n in names) + " " + sql
+    return "WITH " + ", ".join(f"{n} AS ({oracle(n)})" for n in names) + (", " + sql.removeprefix("WITH ") if sql.startswith("WITH ") else " " + sql)

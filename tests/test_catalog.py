@@ -23,7 +23,7 @@ def plain(v):
     return round(v, 12) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     names = sorted(got.columns)
