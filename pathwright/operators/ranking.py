@@ -49,4 +49,4 @@ def weigh(pairs: DataFrame) -> DataFrame:
     for test, value, name in rules:
         weight = F.when(test, value) if weight is None else weight.when(test, value)
         reason = F.when(test, F.lit(name)) if reason is None else reason.when(test, F.lit(name))
-    return pairs.select("problem_id", "template_name", F.col("chosen.trajectory_id").alias("chosen_id"), F.col("rejected.trajectory_id").alias("rejected_id"), F.col("chosen.success").alias("chosen_success"), weight.cast("bigint").alias("weight_e4"), reason.alias("rationale"))
+    return pairs.select("problem_id", "template_name", F.col("chosen.trajectory_id").alias("chosen_id"), F.col("rejected.trajectory_id").alias("rejected_id"), F.col("chosen.success").alias("chosen_success"), F.round(weight).cast("bigint").alias("weight_e4"), reason.alias("rationale"))

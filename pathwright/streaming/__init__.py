@@ -1 +1 @@
-
+"""Counts over rollouts as they arrive."""
