@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import config, records
+from . import config, records, stages
 from .operators import instances as I
-from .operators import metrics as M
 from .operators import optima as O
 from .operators import ranking as R
 from .operators import splits as S
 from .sources import jsonl
+from .sources.providers import Chat, Provider, Replay
 
 
 def generate_instances(spark: SparkSession, config_path: str) -> DataFrame:
@@ -61,19 +63,114 @@ def prepare_dpo(spark: SparkSession, preference_path: str, output_dir: str) -> D
 
 def evaluate(spark: SparkSession, rollout_path: str, output_path: str) -> DataFrame:
     """Rates over the best trajectory of each problem."""
-    best = R.best(records.trajectories(jsonl.read(spark, rollout_path, records.ROLLOUT, ("problem_id", "trajectories"))))
-    n = F.count("*")
-    got = best.agg(n.alias("num_examples"), M.ratio(F.count_if("execution_ok"), n).alias("execution_rate"), M.ratio(F.count_if(F.col("status") == "OPTIMAL"), n).alias("feasible_rate"), M.ratio(F.count_if("success"), n).alias("pass_at_1"), F.coalesce(F.avg(F.abs("objective_gap")), F.lit(0.0)).alias("mean_abs_objective_gap"), F.coalesce(F.avg(F.col("teacher_c") / 10), F.lit(0.0)).alias("teacher_mean_score"))
+    got = stages.metrics(stages.predictions(jsonl.read(spark, rollout_path, records.ROLLOUT, ("problem_id", "trajectories"))))
     jsonl.write(got, output_path)
     return got
 
 
+def provider(spark: SparkSession, c: dict[str, Any], recorded: str, key: str, model: str = "PATHWRIGHT_MODEL", **chat: Any) -> Provider:
+    """The answers that the config records under `recorded` (key, sample, answer), else the endpoint that the environment names."""
+    if c.get(recorded):
+        return Replay(jsonl.read(spark, c[recorded], f"{key} {'long' if key == 'at' else 'string'}, sample int, answer string", (key, "sample")))
+    found = Chat.from_env(model, **chat)
+    if found is None:
+        raise RuntimeError(f"set {recorded} in the config, or PATHWRIGHT_CHAT_URL and PATHWRIGHT_CHAT_KEY")
+    return found
+
+
+def _run(c: dict[str, Any]) -> stages.Runner:
+    return stages.runner(bool(c.get("allow_execution", False)), float(c.get("timeout_seconds", 20)))
+
+
+def _judge(spark: SparkSession, c: dict[str, Any], default: bool) -> Provider | None:
+    return provider(spark, c, "recorded_judgements", "trajectory_id", "PATHWRIGHT_JUDGE", temperature=0.0) if c.get("teacher_evaluation", default) else None
+
+
+def _policy(spark: SparkSession, c: dict[str, Any]) -> Provider:
+    r = config.stage(config.Rollout, c)
+    return provider(spark, c, "recorded_answers", "problem_id", samples=r.num_return_sequences, temperature=r.temperature if r.do_sample else 0.0, max_tokens=r.max_new_tokens)
+
+
+def _run_dir(c: dict[str, Any], prefix: str) -> str:
+    return f"{c.get('run_root', 'runs')}/{c.get('run_prefix', prefix)}_{time.strftime('%Y%m%d_%H%M%S')}"
+
+
+def generate_dataset(spark: SparkSession, config_path: str) -> DataFrame:
+    """Verified records of generated questions by split, the trace of attempts, the summary."""
+    raw = config.load(config_path)
+    c = config.stage(config.Factory, raw)
+    limits = {"timeout": c.request_timeout_seconds, "retries": c.request_max_retries, "backoff": c.request_retry_backoff_seconds}
+    teacher = provider(spark, raw, "recorded_answers", "group_id", "PATHWRIGHT_DATA_MODEL", temperatures=tuple(c.temperatures()), max_tokens=c.trajectory_max_tokens, **limits)
+    more = c.question_variants_per_seed > int(c.include_canonical_question)
+    rewriter = provider(spark, raw, "recorded_wordings", "at", "PATHWRIGHT_DATA_MODEL", temperature=c.question_rewrite_temperature, max_tokens=c.question_rewrite_max_tokens, **limits) if more else None
+    return stages.generate_dataset(spark, c, teacher, _run(raw), rewriter)
+
+
+def _rollouts(spark: SparkSession, c: dict[str, Any], path: str) -> DataFrame:
+    problems = jsonl.read(spark, c["dataset_path"], records.DATASET, ("problem_id", "template_name", "question"))
+    jsonl.write(stages.rollouts(problems, _policy(spark, c), _run(c), _judge(spark, c, False), str(c.get("model_path", ""))), path)
+    return jsonl.read(spark, path, records.ROLLOUT)
+
+
+def generate_real_rollouts(spark: SparkSession, config_path: str) -> DataFrame:
+    """A model's verified trajectories for each problem of a dataset; their summary."""
+    c = config.load(config_path)
+    run_dir = _run_dir(c, "real_rollouts")
+    got = stages.rollout_summary(_rollouts(spark, c, c.get("output_path") or f"{run_dir}/real_rollouts"))
+    jsonl.write(got, f"{run_dir}/summary")
+    return got
+
+
+def evaluate_predictions(spark: SparkSession, dataset_path: str, output_path: str, predictions_path: str | None = None, allow_execution: bool = False) -> DataFrame:
+    """Rates of predictions whose code is run again; without predictions, of the dataset's own answers."""
+    given = None if predictions_path is None else jsonl.read(spark, predictions_path, "problem_id string, response string, code string", ("problem_id",))
+    got, details = stages.evaluate_predictions(jsonl.read(spark, dataset_path, records.DATASET, ("problem_id",)), given, stages.runner(allow_execution))
+    jsonl.write(got, f"{output_path}/metrics")
+    jsonl.write(details, f"{output_path}/details")
+    return got
+
+
+def evaluate_model(spark: SparkSession, config_path: str) -> DataFrame:
+    """Rollouts of a model, its best predictions, their metrics, and a preview of preferences."""
+    c = config.load(config_path)
+    run_dir = _run_dir(c, "test_eval")
+    best = stages.predictions(_rollouts(spark, c, f"{run_dir}/test_rollouts"))
+    jsonl.write(best.drop("teacher_score"), f"{run_dir}/test_predictions")
+    got = stages.metrics(best)
+    jsonl.write(got, f"{run_dir}/metrics")
+    build_preferences(spark, f"{run_dir}/test_rollouts", f"{run_dir}/test_preferences_preview")
+    return got
+
+
+def compare_models(spark: SparkSession, config_path: str) -> DataFrame:
+    """Metrics of several models on the same generated questions."""
+    c = config.load(config_path)
+    bench = c["benchmark"]
+    b = config.stage(config.Compare, bench)
+    more = b.question_variants_per_seed > int(b.include_canonical_question)
+    rewriter = provider(spark, bench, "recorded_wordings", "at", "PATHWRIGHT_DATA_MODEL", temperature=bench.get("question_rewrite_temperature", 0.6), max_tokens=bench.get("question_rewrite_max_tokens", 1200)) if more else None
+    questions = stages.benchmark_questions(spark, b, bench["template_weights"], rewriter, bench.get("question_rewrite_styles"))
+    rollout = c.get("rollout") or {}
+    policies = {m["name"]: _policy(spark, rollout | m) for m in c["models"]}
+    got, details = stages.compare_models(questions, policies, _run(rollout | {"allow_execution": c.get("allow_execution", False)}), _judge(spark, c, True))
+    run_dir = _run_dir(c, "model_compare")
+    jsonl.write(questions, f"{run_dir}/comparison_questions")
+    jsonl.write(got, f"{run_dir}/comparison_summary")
+    jsonl.write(details, f"{run_dir}/comparison_details")
+    return got
+
+
 COMMANDS = {
+    "generate-dataset": (generate_dataset, ["config_path"]),
     "generate-instances": (generate_instances, ["config_path"]),
     "prepare-sft": (prepare_sft, ["input_dir", "output_dir"]),
+    "generate-real-rollouts": (generate_real_rollouts, ["config_path"]),
     "build-preferences": (build_preferences, ["rollout_path", "output_path"]),
     "prepare-dpo": (prepare_dpo, ["preference_path", "output_dir"]),
-    "evaluate": (evaluate, ["rollout_path", "output_path"]),
+    "evaluate": (evaluate_predictions, ["dataset_path", "output_path"]),
+    "evaluate-rollouts": (evaluate, ["rollout_path", "output_path"]),
+    "evaluate-model": (evaluate_model, ["config_path"]),
+    "compare-models": (compare_models, ["config_path"]),
 }
 
 
@@ -86,6 +183,9 @@ def main(argv: list[str] | None = None) -> None:
             one.add_argument(a)
         if name == "build-preferences":
             one.add_argument("--require-chosen-success", action="store_true")
+        if name == "evaluate":
+            one.add_argument("--predictions-path")
+            one.add_argument("--allow-execution", action="store_true")
     given = vars(parser.parse_args(argv))
     f, _ = COMMANDS[given.pop("command")]
     spark = SparkSession.builder.getOrCreate()

@@ -11,6 +11,10 @@ from typing import Any
 PATH_KEYS = {"output_dir", "output_path", "preference_path", "report_dir", "root", "run_root", "sft_adapter_path", "dataset_path", "predictions_path", "rollout_path", "input_dir"}
 
 
+#: Paths to recorded answers, wordings and judgements (JSON lines) in place of an endpoint.
+PATH_KEYS |= {"recorded_answers", "recorded_wordings", "recorded_judgements"}
+
+
 @dataclass(frozen=True)
 class Factory:
     output_dir: str

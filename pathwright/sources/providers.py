@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.error
 import urllib.request
@@ -45,14 +46,16 @@ class Chat:
     model: str
     samples: int = 1
     temperature: float = 0.8
+    temperatures: tuple[float, ...] = ()  # one sample each, in place of samples and temperature
     max_tokens: int = 900
     timeout: float = 60.0
     retries: int = 2
     backoff: float = 1.5
     post: Callable[[str, dict[str, str], bytes, float], str] = _post
 
-    def complete(self, prompt: str) -> str:
-        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": self.temperature, "max_tokens": self.max_tokens}).encode()
+    def complete(self, prompt: str, temperature: float | None = None) -> str:
+        heat = self.temperature if temperature is None else temperature
+        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": heat, "max_tokens": self.max_tokens}).encode()
         headers = {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"}
         for attempt in range(1, self.retries + 2):
             try:
@@ -67,6 +70,12 @@ class Chat:
                 time.sleep(self.backoff * attempt)
         raise AssertionError
 
+    @classmethod
+    def from_env(cls, model_variable: str = "PATHWRIGHT_MODEL", **more) -> Chat | None:
+        """The endpoint that PATHWRIGHT_CHAT_URL and PATHWRIGHT_CHAT_KEY name; None without them."""
+        url, key = os.environ.get("PATHWRIGHT_CHAT_URL", ""), os.environ.get("PATHWRIGHT_CHAT_KEY", "")
+        return cls(url, key, os.environ.get(model_variable) or os.environ.get("PATHWRIGHT_MODEL") or "default", **more) if url and key else None
+
     def answers(self, df: DataFrame, key: str, prompt: str) -> DataFrame:
         kind = df.schema[key].dataType.simpleString()
 
@@ -74,9 +83,9 @@ class Chat:
             for frame in frames:
                 rows = []
                 for k, p in zip(frame[key], frame[prompt], strict=True):
-                    for sample in range(1, self.samples + 1):
+                    for sample, heat in enumerate(self.temperatures or (self.temperature,) * self.samples, 1):
                         try:
-                            rows.append((k, sample, self.complete(p or ""), None))
+                            rows.append((k, sample, self.complete(p or "", heat), None))
                         except (OSError, ValueError, KeyError, IndexError, TypeError) as e:
                             rows.append((k, sample, None, f"{type(e).__name__}: {e}"))
                 yield pd.DataFrame(rows, columns=[key, "sample", "answer", "error"])
