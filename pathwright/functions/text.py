@@ -15,7 +15,7 @@ MARKER = "__RESULT__="
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def extract_code(response: Column) -> Column:

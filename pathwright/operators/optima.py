@@ -9,16 +9,12 @@ from pyspark.sql import functions as F
 
 
 def knapsack(items: DataFrame) -> DataFrame:
-    """problem_id, optimum: best value of a subset within capacity. One row a problem; the subsets are enumerated in the row (at most 2^6), no join."""
-    packed = items.groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value", "weight"))).alias("items"), F.max("capacity").alias("capacity"))
-    zero = F.lit(0).cast("bigint")
-
-    def total(mask, field):
-        return F.aggregate(F.transform("items", lambda x, i: F.when(F.get(F.split(F.reverse(F.conv(mask.cast("string"), 10, 2)), ""), i) == "1", x[field]).otherwise(zero)), zero, lambda a, b: a + b)
-
-    masks = F.sequence(F.lit(0), F.expr("shiftleft(1, size(items)) - 1"))
-    fits = F.filter(masks, lambda m: total(m, "weight") <= F.col("capacity"))
-    return packed.select("problem_id", F.array_max(F.transform(fits, lambda m: total(m, "value"))).alias("optimum"))
+    """problem_id, optimum: best value of a subset within capacity. One row a problem; the sums of all subsets (2^6 for the largest) are built up item by item in the row, no join."""
+    packed = items.groupBy("problem_id").agg(F.collect_list(F.struct(F.col("value").cast("bigint").alias("value"), F.col("weight").cast("bigint").alias("weight"))).alias("items"), F.max("capacity").alias("capacity"))
+    none = F.expr("array(named_struct('value', 0L, 'weight', 0L))")
+    grown = lambda sums, x: F.concat(sums, F.transform(sums, lambda s: F.struct((s["value"] + x["value"]).alias("value"), (s["weight"] + x["weight"]).alias("weight"))))
+    sums = F.aggregate("items", none, grown)
+    return packed.select("problem_id", F.array_max(F.transform(F.filter(sums, lambda s: s["weight"] <= F.col("capacity")), lambda s: s["value"])).alias("optimum"))
 
 
 def assignment(costs: DataFrame) -> DataFrame:
