@@ -25,7 +25,7 @@ DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.80, "low": 0.19, "toxic": 0.01}
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 50_000
-VOCABULARY = 600
+VOCABULARY = 300
 #: Letters of a beginning, and how many distinct words of a text must share it.
 BEGINNING = 5
 SHARED = 3
