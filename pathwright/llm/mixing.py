@@ -138,7 +138,7 @@ def _member(model: Classifier, text: Column) -> Column:
     def of(text: Column) -> Column:
         shape = _shape(text)
         shape = F.array(F.least(shape[0] * 10, F.lit(1.0)), F.least(shape[1] * 5, F.lit(1.0)))
-        return let(_words(text), lambda w: let(shape, lambda s: F.struct(F.size(w).cast("long").alias("n_tokens"), model.posterior(F.array_distinct(w), s).alias("p"))))
+        return let(_words(text), lambda w: let(shape, lambda s: F.struct(F.size(w).cast("long").alias("n_tokens"), let(F.array_distinct(w), lambda d: model.posterior(d, s)).alias("p"))))
 
     return let(F.coalesce(text, F.lit("")), of)
 
