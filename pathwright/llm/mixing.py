@@ -1,11 +1,15 @@
-"""Mixing sources to target weights: soft domain membership and nonnegative rates by projected-gradient least squares.
+"""Mixing sources to target weights: soft domain membership and nonnegative rates by constrained least squares.
 
 A softmax classifier, fitted by the driver on a bounded sample of labelled rows (SAMPLE_ROWS; VOCABULARY words, and beginnings of words
 that three words of a text share, which tell what a stem's many compounds do not), gives each document its posterior of the domains `high`, `low` and `toxic` of the labels table. A document with n tokens and
-posterior p puts n * p into the domains' totals. The rates r >= 0 minimise the squared error of the expected totals
-against the targets, in the metric that makes the problem well conditioned: each step aggregates all documents once and
-moves r by p . H^-1 (totals - targets), H the sum of n p p', then projects to r >= 0. As a rate depends on nothing but p
-and the steps, no state is kept for documents: a rate is folded from the few step vectors. Column expressions only.
+posterior p puts n * p into the domains' totals. Of all rates r >= 0 whose expected totals are the targets, those are taken
+that change least, by the sum of n (r - 1)^2. They have the form r = max(0, p . x) with one vector x over the domains, the minimum
+of the convex sum of n max(0, p . x)^2 / 2 - x . targets: Newton steps with backtracking, each from one aggregate over the
+documents (value, gradient, and second derivatives over those with a rate), until the totals are the targets to SETTLED.
+Column expressions only; no state is kept for documents.
+
+If that does not settle within PASSES aggregates (no rates may reach the targets), the squared error is minimised together with a
+small multiple of the squared distance of the rates from 1, which RIDGES lower in turn, and a warning tells the shares reached.
 
 Defined results: a null text has no tokens, and the posterior of an empty text. Without labelled rows, the posterior is
 uniform. Domains without mass cannot reach their target; the others still do. Every row gives one row."""
@@ -13,6 +17,7 @@ uniform. Domains without mass cannot reach their target; the others still do. Ev
 from __future__ import annotations
 
 import json
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -29,8 +34,11 @@ VOCABULARY = 300
 #: Letters of a beginning, and how many distinct words of a text must share it.
 BEGINNING = 5
 SHARED = 3
-STEPS = 25
+#: Aggregates of one search at most, the error (a share of all tokens) that ends it, and what keeps its equations solvable.
+PASSES = 40
 SETTLED = 1e-7
+TINY = 1e-9
+RIDGES = (1e-2, 1e-3, 1e-4, 1e-5, 1e-6)
 
 
 def _words(text: Column) -> Column:
@@ -143,50 +151,86 @@ def _member(model: Classifier, text: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), of)
 
 
-def _rate(p: Column, steps: list[np.ndarray]) -> Column:
-    if not steps:
+def _rate(p: Column, x: np.ndarray | None) -> Column:
+    if x is None:
         return F.lit(1.0)
-    given = F.from_json(F.lit(json.dumps([s.tolist() for s in steps])), "array<array<double>>")
-    move = lambda s: sum((F.get(p, F.lit(d)) * F.get(s, F.lit(d)) for d in range(1, len(DOMAINS))), F.get(p, F.lit(0)) * F.get(s, F.lit(0)))
-    return F.aggregate(given, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - move(s)))
+    return F.greatest(F.lit(0.0), sum((F.get(p, F.lit(d)) * F.lit(float(x[d])) for d in range(1, len(DOMAINS))), F.get(p, F.lit(0)) * F.lit(float(x[0]))))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float]) -> list[np.ndarray]:
-    """The step vectors of the projected gradient."""
+def fit_rates(members: DataFrame, targets: dict[str, float]) -> np.ndarray | None:
+    """The vector x of the rates max(0, p . x); null without tokens."""
     k = len(DOMAINS)
     n, p = F.col("n_tokens").cast("double"), [F.get("p", F.lit(d)) for d in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    first = members.agg(F.sum(n), *[F.sum(n * p[i] * p[j]) for i, j in pairs]).first()
-    if not first[0]:
-        return []
-    h = np.zeros((k, k))
-    for (i, j), v in zip(pairs, first[1:], strict=True):
-        h[i, j] = h[j, i] = v
+    tokens = members.agg(F.sum(n)).first()[0]
+    if not tokens:
+        return None
     want = np.array([targets.get(d, 0.0) for d in DOMAINS], float)
-    want *= first[0] / max(1e-12, want.sum())
-    inverse = np.linalg.pinv(h, rcond=1e-9, hermitian=True)
-    steps: list[np.ndarray] = []
-    for _ in range(STEPS):
-        r = _rate(F.col("p"), steps)
-        have = np.array(members.withColumn("r", r).agg(*[F.sum(n * F.col("r") * x) for x in p]).first(), float)
-        step = inverse @ (have - want)
-        if np.abs(have - want).sum() <= SETTLED * first[0] or np.abs(step).max() <= SETTLED:
-            break
-        steps.append(step)
-    return steps
+    want /= max(1e-12, want.sum())
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, gradient and second derivatives, a token."""
+        rate, used = F.col("r"), F.when(F.col("r") > 0, n).otherwise(0.0)
+        got = members.withColumn("r", _rate(F.col("p"), x)).agg(F.sum(n * rate * rate), *[F.sum(n * rate * v) for v in p], *[F.sum(used * p[i] * p[j]) for i, j in pairs]).first()
+        got = np.array(got, float) / tokens
+        h = np.zeros((k, k))
+        for (i, j), v in zip(pairs, got[k + 1 :], strict=True):
+            h[i, j] = h[j, i] = v
+        return got[0] / 2 - x @ want, got[1 : k + 1] - want, h
+
+    return _minimum(at, np.ones(k), want)
+
+
+def _minimum(at, start: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Where the slope is zero; if it is nowhere, what RIDGES lead to, each a minimum with that much of the squared distance from start."""
+    eye, passes = np.eye(len(start)), 0
+
+    def newton(x: np.ndarray, ridge: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The point and its slope without the ridge."""
+        nonlocal passes
+        passes += 1
+        last, now, part, step = passes + most, at(x), 1.0, None
+        while passes < last:
+            slope = now[1] + ridge * (x - start)
+            if min(np.abs(slope).sum(), np.abs(now[1]).sum()) <= SETTLED:
+                break
+            if step is None:
+                step, part = -np.linalg.solve(now[2] + max(ridge, TINY) * eye, slope), 1.0
+            y = x + part * step
+            new = at(y)
+            passes += 1
+            worth = lambda v, x: v + ridge / 2 * float((x - start) @ (x - start))
+            # the slope along the step tells what the value cannot where its change is below its last digit
+            if worth(new[0], y) <= worth(now[0], x) + 1e-4 * part * (slope @ step) or abs((new[1] + ridge * (y - start)) @ step) <= 0.5 * abs(slope @ step):
+                x, now, step = y, new, None
+            else:
+                part /= 2
+        return x, now[1]
+
+    x, slope = newton(start, 0.0, PASSES)
+    if np.abs(slope).sum() <= SETTLED:
+        return x
+    x = start
+    for ridge in RIDGES:
+        x, slope = newton(x, ridge, PASSES)
+        if np.abs(slope).sum() <= SETTLED:
+            return x
+    shares = ", ".join(f"{d} {v + w:.6f} for {w:.6f}" for d, v, w in zip(DOMAINS, slope, want, strict=True))
+    warnings.warn(f"the rates do not reach the targets (after {passes} passes: {shares})", stacklevel=3)
+    return x
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, p_high, p_low, p_toxic, rate of each row of docs."""
     members = memberships(docs, labels, id_col, text_col)
-    steps = fit_rates(members, targets or TARGETS)
-    return members.select("doc_id", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], _rate(F.col("p"), steps).alias("rate"))
+    x = fit_rates(members, targets or TARGETS)
+    return members.select("doc_id", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], _rate(F.col("p"), x).alias("rate"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its rates as a last column mix_rate; rows of rate 0 are gone. A rate is how often to take the document in an epoch."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     model = fit(_sample(plain, labels))
-    steps = fit_rates(_members(plain, model), targets or TARGETS)
-    rate = let(_member(model, F.col(text_col)), lambda x: _rate(x["p"], steps))
+    x = fit_rates(_members(plain, model), targets or TARGETS)
+    rate = let(_member(model, F.col(text_col)), lambda m: _rate(m["p"], x))
     return docs.select(*docs.columns, F.explode(F.filter(F.array(rate), lambda r: r > 0)).alias(fresh(docs, "mix_rate")))
