@@ -1,0 +1,29 @@
+"""Queries over all rows, against brute force."""
+
+import re
+
+from pathwright import catalog
+from pathwright.functions import text as X
+from pathwright.sources.fixtures import view
+
+SF = "/root/testdata/sf0.001"
+
+
+def first_code(text):
+    found = [m.start() for p in X.CODE_STARTS if (m := re.search(p, text, re.ASCII))]
+    return min(found, default=None)
+
+
+def test_code_start_of_every_response(spark):
+    got = {r.doc_id: r.start for r in catalog.queries()["code_start_all"](spark, SF).collect()}
+    want = {r.doc_id: first_code(r.response) for r in view(spark, SF, "responses").collect()}
+    assert got == want and {i % 5 for i in got} == set(range(5))
+
+
+def test_code_start_by_each_pattern(spark):
+    lines = ["import os", "from a import b", "def f(x):", "model = 1", "manager=1", "routing = r", "data = {", "solver = s", "from a.b import c", "data = []", " import os", "imports"]
+    texts = [f"some wörds 😀\n{line}\nimport late" for line in lines] + ["", "none here", None]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert {r.i: r.s for r in df.select("i", X.code_start(F.col("t")).alias("s")).collect()} == {i: None if t is None else first_code(t) for i, t in enumerate(texts)}
