@@ -54,6 +54,12 @@ def render_question(s, d):
     return I.questions(_made(s, d).where("template_name = 'knapsack'")).select("seed", "question")
 
 
+@query()
+def render_question_all(s, d):
+    """The question of every generated instance, of all five families; compared with brute force in the tests."""
+    return I.questions(_made(s, d)).select("seed", "template_name", "question")
+
+
 @query()
 def gen_solved(s, d):
     """The exact optimum of every generated instance; compared with brute force in the tests."""

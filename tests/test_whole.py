@@ -4,6 +4,7 @@ import re
 
 from pathwright import catalog
 from pathwright.functions import text as X
+from pathwright.operators import instances as I
 from pathwright.sources.fixtures import view
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +28,27 @@ def test_code_start_by_each_pattern(spark):
 
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert {r.i: r.s for r in df.select("i", X.code_start(F.col("t")).alias("s")).collect()} == {i: None if t is None else first_code(t) for i, t in enumerate(texts)}
+
+
+def asked(r):
+    """The question of an instance, by its rows."""
+    facts = lambda i, *parts: "".join(f"{p}{r.facts[f][i]}" for p, f in parts)
+    each = lambda *parts: [f"- {n}: " + facts(i, *parts) for i, n in enumerate(r.names)]
+    table = lambda cols: [f"- {n}: " + ", ".join(f"{c} {v}" for c, v in zip(cols, row, strict=True)) for n, row in zip(r.names, r.cells, strict=True)]
+    if r.template_name == "resource_allocation":
+        uses = [f"- {o}: {limit} in all; one unit takes " + ", ".join(f"{n} {v}" for n, v in zip(r.names, row, strict=True)) for o, limit, row in zip(r.others, r.limits, r.cells, strict=True)]
+        return "\n".join(["How much of each product gives the largest profit?", *each(("profit ", "profit")), *uses])
+    if r.template_name == "production_planning":
+        return "\n".join([f"Which products should be made, and how many units, for the largest net profit within {r.limits[0]} hours?", *each(("margin ", "margin"), (", setup ", "setup_cost"), (", hours ", "labor_hours"), (", at most ", "max_units"))])
+    if r.template_name == "assignment":
+        return "\n".join(["Give each worker one task and each task one worker at the least cost.", *table(r.others)])
+    if r.template_name == "tsp":
+        return "\n".join(["What is the shortest round trip through all cities?", *table(r.names)])
+    return "\n".join([f"Which items give the most value within a weight of {r.limits[0]}?", *each(("value ", "value"), (", weight ", "weight"))])
+
+
+def test_questions_of_every_instance(spark):
+    made = I.instances(spark.read.parquet(f"{SF}/customer.parquet").selectExpr("c_custkey AS seed")).collect()
+    got = catalog.queries()["render_question_all"](spark, SF).collect()
+    assert sorted((r.seed, r.template_name, r.question) for r in got) == sorted((r.seed, r.template_name, asked(r)) for r in made)
+    assert {r.template_name for r in got} == set(I.POOLS) and len(got) == spark.read.parquet(f"{SF}/customer.parquet").count()
