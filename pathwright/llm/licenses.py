@@ -1,10 +1,15 @@
 """Licence scans: a trained paragraph classifier, an unknown class, and templates that confirm what it says.
 
-A paragraph (a line) that holds none of the ANCHOR words is no notice, by definition. The others get the softmax of a
-sparse logistic regression over the presence of word uni- and bigrams, fitted by the driver on the TEMPLATES, on
-shortened forms of them, and on sentences that only sound alike. Its temperature is calibrated on forms kept aside. A
-notice of a family whose probability stays below CERTAIN is `unknown`; a prediction is confirmed if the paragraph holds
-at least CONFIRM of the words of one of the family's templates. Scoring is by column expressions only.
+Paragraphs are runs of lines up to a blank one. Within them a notice may be wrapped: lines are joined up to one that ends a
+sentence, or beside a line that is a confirmed notice by itself. A joined unit is judged as a whole; a unit that is none still
+counts by its lines. A paragraph counts each family once, at the first line of its first unit.
+
+Units get the softmax of a sparse logistic regression over the presence of word uni- and bigrams, fitted by the driver on
+the TEMPLATES, on shortened forms of them, on sentences that only sound alike, and on plain prose. Its temperature is
+calibrated on forms kept aside. A notice of a family whose probability stays below CERTAIN is `unknown`; a prediction is
+confirmed if the unit holds at least CONFIRM of the words of one of the family's templates. Grams of PLAIN words alone are no
+features, and `none` has the largest bias: a text without another known word is none, and is not scored. Scoring is by column
+expressions only.
 
 Defined results: a null text has no notices (counts 0, empty lists, null best family). Every row gives one row."""
 
@@ -14,18 +19,26 @@ import functools
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ANCHOR = r"licen[cs]|copyright|rights reserved|\bgnu\b|\bgpl\b|permission is|redistribution|warrant|creative commons|public domain|spdx|\bcc by|\bcc0\b"
+from .common import let
+
 CERTAIN, CONFIRM = 0.5, 0.6
 NONE, UNKNOWN = "none", "unknown"
 
+#: Words of any prose, and numbers.
+PLAIN = frozenset(
+    "a about after all also an and any are as at be been but by can code content data do every file following for form from had has have he her here his i if in into is it its list may more new no not note of on one only or other our out page"
+    " part person see she so some such than that the their them there these they this time to under up use was we were what when which who will with without work you your der die das und von zu ein ist den mit de la el en que le les et un une 0 1 2 3 4 5 6 7 8 9".split()
+)
+
 #: Short forms of common licence notices by family.
 TEMPLATES = {
-    "agpl-3.0": ["This program is free software under the GNU Affero General Public License, version 3.", "Licensed under the GNU AGPL v3.0.", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "agpl-3.0": ["This program is free software under the GNU Affero General Public License, version 3.", "Licensed under the GNU AGPL v3.0.", "SPDX-License-Identifier: AGPL-3.0-or-later", "Distributed under AGPLv3."],
     "all-rights-reserved": ["All rights reserved.", "Copyright. All rights reserved.", "No part of this may be reproduced without permission. All rights reserved."],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license."],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-3-Clause"],
@@ -33,9 +46,9 @@ TEMPLATES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Available under CC BY-NC-SA 4.0 for noncommercial use."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
     "cc0": ["To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal.", "Dedicated to the public domain under CC0.", "This is free and unencumbered software released into the public domain."],
-    "gpl-2.0": ["This program is free software under the GNU General Public License, version 2.", "Licensed under the GPL v2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License, version 3 or later.", "Licensed under the GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "gpl-2.0": ["This program is free software under the GNU General Public License, version 2.", "Licensed under the GPL v2.", "SPDX-License-Identifier: GPL-2.0-only", "Distributed under GPLv2."],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License, version 3 or later.", "Licensed under the GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later", "Distributed under GPLv3."],
+    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-2.1-only", "Released under LGPL 2.1 or later.", "Distributed under LGPLv3."],
     "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the software without restriction.", "SPDX-License-Identifier: MIT"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "unknown": ["Licensed under the terms of the licence that came with it.", "Distributed under a custom license, see the license file.", "This is licensed under the house license of the company.", "Released under the Example License.", "Use is subject to license terms.", "See the LICENSE file for the license.", "Copyright by the authors of this file."],
@@ -69,23 +82,38 @@ def _forms() -> list[tuple[str, str]]:
                 kept = [x for x in w if rng.random() > 0.12] or w
                 around = rng.choices(filler, k=rng.randint(0, 5)), rng.choices(filler, k=rng.randint(0, 5))
                 out.append((family, " ".join([*around[0], *kept, *around[1]])))
+    held = Counter(w for f, texts in TEMPLATES.items() if f != NONE for w in {w for t in texts for w in words_of(t)})
+    shared = sorted(w for w, n in held.items() if n > 1 and w not in PLAIN)
+    plain = sorted(PLAIN)
+    for i in range(600):  # prose, two thirds of it with words that several families share
+        words = rng.choices(plain, k=rng.randint(1, 40 if i % 2 else 8)) + rng.choices(shared, k=i % 3)
+        rng.shuffle(words)
+        out.append((NONE, " ".join(words)))
     return out
 
 
+@functools.cache
+def keys() -> list[str]:
+    """The known words that are not plain: without one of them a text is no notice."""
+    return sorted({w for _, t in _forms() for w in words_of(t)} - PLAIN)
+
+
 @functools.cache
 def fit() -> tuple[list[str], dict[str, list[float]], list[float]]:
     """Families, weights by gram, biases; the temperature is already in them."""
     families = sorted(TEMPLATES)
     forms = _forms()
-    grams = sorted({g for _, t in forms for g in grams_of(t)})
+    grams = sorted({g for f, t in forms if f != NONE for g in grams_of(t)} | {g for t in TEMPLATES[NONE] for g in grams_of(t)})
+    grams = [g for g in grams if not PLAIN.issuperset(g.split())]
     place = {g: i for i, g in enumerate(grams)}
     x = np.zeros((len(forms), len(grams) + 1))
     for i, (_, t) in enumerate(forms):
-        x[i, [place[g] for g in grams_of(t)]] = 1
+        x[i, [place[g] for g in grams_of(t) if g in place]] = 1
         x[i, -1] = 1
     y = np.array([families.index(f) for f, _ in forms])
     aside = np.arange(len(forms)) % 5 == 3
     target = np.eye(len(families))[y]
+    none = families.index(NONE)
     w, squares = np.zeros((x.shape[1], len(families))), 0
     for _ in range(400):
         z = x[~aside] @ w
@@ -95,6 +123,7 @@ def fit() -> tuple[list[str], dict[str, list[float]], list[float]]:
         squares = squares + g * g
         w -= 0.2 * g / np.sqrt(squares + 1e-10)
         w = np.sign(w) * np.maximum(0, np.abs(w) - 2e-4)  # lasso keeps the model sparse
+        w[-1] = np.minimum(w[-1], w[-1, none])  # a text without a gram is none
     z = x[aside] @ w
     grid = np.exp(np.linspace(np.log(0.3), np.log(3), 40))
 
@@ -131,16 +160,55 @@ def classify(paragraph: Column) -> Column:
     return F.transform(F.array(z), judge)[0]
 
 
+def _gate() -> str:
+    """A pattern of the texts that hold one of keys(), by their beginnings."""
+    by: dict[str, list[str]] = {}
+    for w in keys():
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")(?![a-z0-9])"
+
+
+def _runs(items: Column, begins) -> Column:
+    """array of arrays: items cut before each one for which begins(previous, item); the first begins a run."""
+    first = F.filter(F.transform(items, lambda x, i: F.when((i == 0) | begins(F.get(items, i - 1), x), i)), lambda i: i.isNotNull())
+    return let(first, lambda at: F.transform(at, lambda i, k: F.slice(items, i + 1, F.coalesce(F.get(at, k + 1), F.size(items)) - i)))
+
+
+def _parted(a: Column, b: Column) -> Column:
+    """Whether line b does not go on with what line a says."""
+    whole = F.coalesce(a["is"]["confirmed"] | b["is"]["confirmed"], a["is"]["confirmed"], b["is"]["confirmed"], F.lit(False))
+    return a["p"].rlike(r"[.!?][\s\"')\]*/#-]*$") | (whole & ~b["p"].rlike(r"^[^\p{L}\p{N}]*\p{Ll}"))
+
+
+def _notices(lines: Column, par: Column) -> Column:
+    """array<struct<par, at, is>> of a unit: what it is as a whole, and confirmed lines of other families; if it is none, what its lines are."""
+    notice = lambda at, x: F.struct(par.alias("par"), at.alias("at"), x.alias("is"))
+    held = F.filter(lines, lambda x: F.coalesce(x["is"]["family"] != NONE, F.lit(False)))
+    own = F.transform(held, lambda x: notice(x["at"], x["is"]))
+    joined = F.array(notice(F.get(lines, F.lit(0))["at"], classify(F.array_join(F.transform(lines, lambda x: x["p"]), " "))))
+    both = let(joined, lambda j: F.when(F.get(j, F.lit(0))["is"]["family"] == NONE, own).otherwise(F.concat(j, F.filter(own, lambda x: x["is"]["confirmed"]))))
+    return F.when(F.size(lines) == 1, own).otherwise(both)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_notices, families (distinct, sorted), notices (paragraph:family), best_family, best_score, confirmed of each row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """doc_id, n_notices, families (distinct, sorted), notices (line:family), best_family, best_score, confirmed of each row."""
+    text, gate = F.coalesce(F.col("text"), F.lit("")), _gate()
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = F.transform(F.split(text, "\n"), lambda p, i: F.struct(i.alias("at"), p.alias("p")))
-    some = F.filter(lines, lambda x: F.lower(x["p"]).rlike(ANCHOR))
-    none = F.array().cast("array<struct<at:int,p:string>>")
-    df = df.select("doc_id", F.when(F.lower(text).rlike(ANCHOR), some).otherwise(none).alias("some"))
-    judged = F.transform("some", lambda x: F.struct(x["at"].alias("at"), classify(x["p"]).alias("is")))
-    df = df.select("doc_id", F.filter(judged, lambda x: x["is"]["family"] != NONE).alias("found"))
+    empty = lambda x: F.trim(F.translate(x["p"], "\r\t", "  ")) == ""
+    lines = F.transform(F.split(text, "\n"), lambda p, i: F.struct(i.alias("at"), p.alias("p"), F.lower(p).rlike(gate).alias("key")))
+    none = F.array().cast("array<struct<at:int,p:string,key:boolean>>")
+    df = df.select("doc_id", F.when(F.lower(text).rlike(gate), lines).otherwise(none).alias("lines"))
+    paragraphs = F.transform(_runs(F.col("lines"), lambda a, b: empty(a) & ~empty(b)), lambda run: F.filter(run, lambda x: ~empty(x)))
+    df = df.select("doc_id", F.filter(paragraphs, lambda run: F.exists(run, lambda x: x["key"])).alias("runs"))
+    judged = lambda run: F.transform(run, lambda x: F.struct(x["at"].alias("at"), x["p"].alias("p"), x["key"].alias("key"), F.when(x["key"], classify(x["p"])).alias("is")))
+    df = df.select("doc_id", F.transform("runs", judged).alias("runs"))
+    units = F.flatten(F.transform("runs", lambda run, par: F.transform(_runs(run, _parted), lambda unit: F.struct(par.alias("par"), unit.alias("unit")))))
+    df = df.select("doc_id", F.filter(units, lambda x: F.exists(x["unit"], lambda y: y["key"])).alias("units"))
+    df = df.select("doc_id", F.flatten(F.transform("units", lambda x: _notices(x["unit"], x["par"]))).alias("all"))
+    # a paragraph counts a family once
+    df = df.select("doc_id", F.array_sort(F.transform("all", lambda x: F.struct(x["par"].alias("par"), x["is"]["family"].alias("family"), x["at"].alias("at"), x["is"].alias("is")))).alias("all"))
+    once = F.filter("all", lambda x, i: (i == 0) | F.coalesce((F.get("all", i - 1)["par"] != x["par"]) | (F.get("all", i - 1)["family"] != x["family"]), F.lit(True)))
+    df = df.select("doc_id", F.array_sort(F.transform(once, lambda x: F.struct(x["at"].alias("at"), x["is"].alias("is")))).alias("found"))
     best = F.array_max(F.transform("found", lambda x: F.struct(x["is"]["score"].alias("score"), (-x["at"]).alias("at"), x["is"]["family"].alias("family"), x["is"]["confirmed"].alias("confirmed"))))
     df = df.withColumn("best", best)
     return df.select(

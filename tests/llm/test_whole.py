@@ -1,11 +1,12 @@
 """Operators do the whole of their job: cases in which they once did less."""
 
+import re
 import warnings
 
 import numpy as np
 import pytest
 
-from pathwright.llm import mixing
+from pathwright.llm import licenses, mixing
 
 
 @pytest.mark.parametrize("spread", [3.0, 1.0])
@@ -34,3 +35,31 @@ def test_mixing_tells_of_targets_out_of_reach(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         mixing.fit_rates(members, {"high": 0.7, "low": 0.25, "toxic": 0.05})
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell."""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_licenses_without_anchors_and_over_lines(spark):
+    texts = ["Distributed under GPLv3.", "Released under LGPL 2.1 or later.", "CC-BY-SA 4.0", "Released under Apache-2.0", MIT, GPL, f"{GPL}\n\nprose of the day\n \n{MIT}", "Code: MIT License\n\nText: CC-BY-SA 4.0"]
+    want = ["0:gpl-3.0", "0:lgpl", "0:cc-by-sa", "0:apache-2.0", "0:mit", "0:gpl-3.0", "0:gpl-3.0,7:mit", "0:mit,2:cc-by-sa"]
+    texts += ["The first of them was there with all the others, and it is of no use.", "under the work of the page", "Ein Haus mit Garten und Licht"]
+    want += [""] * 3
+    got = {r.doc_id: r.notices for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_licenses_gate_loses_nothing():
+    families, weights, bias = licenses.fit()
+    none = families.index(licenses.NONE)
+    keys, gate = set(licenses.keys()), re.compile(licenses._gate())
+    assert max(bias) == bias[none]
+    for gram in weights:
+        assert keys & set(gram.split()) and gate.search(f"({gram})"), gram
