@@ -4,7 +4,9 @@ A page is cut into blocks (runs of text between block-level tags). A logistic cl
 chance that a block is content; its costs are the capacities from the source (content) and to the sink (boilerplate).
 Neighbouring blocks, and blocks next to each other in one container, are joined by smoothness edges that weigh more the
 closer they are in the DOM. The maximum flow's cut is the cheapest labelling. Elements that are boilerplate by their
-meaning (menus, footers, forms, adverts, comments, ...) are bound to the sink.
+meaning (menus, footers, forms, adverts, comments, ...) are bound to the sink. Not so wrappers: an element that holds most of the
+page's text while no article or main is clear of it has no such meaning, nor has one around main, nor one around an article if
+no other article is clear of all.
 
 The classifier starts from PRIOR and is fitted on the blocks of a bounded sample of pages (SAMPLE_PAGES) whose structure
 tells what they are; every such block counts twice, once without its structural features, so that it also learns to do
@@ -47,9 +49,9 @@ CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
 
 _TOKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<!\[CDATA\[|<[!?/]")
-_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
-#: How far a tag may go on after a > inside quotation marks, and how many ancestors of a block count.
-TAG_REACH, ANCESTORS = 4096, 32
+_VALUE = re.compile(r">|=\s*(?:([\"'])|[^\s>\"'][^\s>]*)?")
+#: How many ancestors of a block count.
+ANCESTORS = 32
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _NAME = re.compile(r"[^a-z0-9]+")
 
@@ -60,7 +62,62 @@ PRIOR = np.array([-0.5, 3.5, 1.5, 0.8, 1.0, -0.6, -3.5, 0.9, 0.8, -0.6])
 
 
 class Block:
-    __slots__ = ("article", "bad", "chars", "container", "depth", "good", "linked", "path", "tag", "text")
+    __slots__ = ("article", "bad", "chars", "container", "depth", "good", "linked", "path", "root", "tag", "text")
+
+
+class Roots:
+    """The elements of a page that are boilerplate by their meaning, each below the one that holds it. A block's or element's root is
+    (number or -1, whether an article and whether a main stands between)."""
+
+    def __init__(self):
+        self.above: list[tuple[int, bool, bool]] = []
+
+    def judge(self, blocks: list[Block]):
+        """Sets bad of each block."""
+        n = len(self.above)
+        if not n:
+            for b in blocks:
+                b.bad = False
+            return
+        chars, clear, total, clear_total = [0] * n, [0] * n, 0, 0
+        for b in blocks:
+            k, _, main = b.root
+            total += b.chars
+            free = b.article and (k < 0 or main)
+            clear_total += free
+            if k >= 0:
+                chars[k] += b.chars
+                clear[k] += free
+        for k in range(n - 1, -1, -1):
+            if (up := self.above[k][0]) >= 0:
+                chars[up] += chars[k]
+                clear[up] += clear[k]
+        near, far = [False] * n, [False] * n  # bad up to the next article or main, and up to the next main
+        for k, (up, article, main) in enumerate(self.above):
+            own = 2 * chars[k] <= total or clear_total > clear[k]
+            near[k] = own or (up >= 0 and not article and near[up])
+            far[k] = own or (up >= 0 and not main and far[up])
+        for b in blocks:
+            k, article, main = b.root
+            b.bad = k >= 0 and ((not article and near[k]) or (clear_total > 0 and not main and far[k]))
+
+
+def tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the > is that ends a tag; quotation marks count after =. -1 if a value has no end; dead keeps the marks that lead there."""
+    seen = []
+    while m := _VALUE.search(page, at):
+        if m.group() == ">":
+            return m.start()
+        at = m.end()
+        if m.group(1):
+            if m.start(1) in dead:
+                break
+            seen.append(m.start(1))
+            at = page.find(m.group(1), at) + 1
+            if not at:
+                break
+    dead.update(seen)
+    return -1
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -69,7 +126,8 @@ def blocks_of(page: str | None) -> list[Block]:
     if not page:
         return out
     stack: list[tuple] = []  # (tag, number, bad, good, article, unseen)
-    state = ("", 0, False, False, False, False)
+    roots, dead, top = Roots(), set(), ("", 0, (-1, False, False), False, False, False)
+    state = top
     held: list[str] = []
     linked = numbers = 0
     outer: list[tuple] = []  # those of stack that are not inline
@@ -91,7 +149,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 b = Block()
                 b.text, b.chars, b.linked = text, len(text), min(linked, len(text))
                 b.tag = outer[-1][0] if outer else ""
-                b.bad, b.good, b.article = state[2], state[3], state[4]
+                b.root, b.good, b.article = state[2], state[3], state[4]
                 b.path = {s[1] for s in outer[-ANCESTORS:]}
                 b.container = outer[-2][1] if len(outer) > 1 else 0
                 b.depth = len(b.path)
@@ -122,10 +180,11 @@ def blocks_of(page: str | None) -> list[Block]:
         if stop < 0:  # a tag that the page's end cuts off
             break
         attrs = page[m.end() : stop]
-        if attrs.count('"') % 2 or attrs.count("'") % 2:
-            longer = _QUOTED.match(page, m.end(), m.end() + TAG_REACH)
-            if longer:
-                stop = longer.end() - 1
+        double, single = attrs.count('"'), attrs.count("'")
+        if double % 2 or single % 2 or (double and single):
+            longer = tag_end(page, m.end(), dead)
+            if longer >= 0:
+                stop = longer
                 attrs = page[m.end() : stop]
         at = stop + 1
         tag = tag.lower()
@@ -137,7 +196,7 @@ def blocks_of(page: str | None) -> list[Block]:
                     gone = drop()
                     if gone == tag:
                         break
-                state = stack[-1] if stack else ("", 0, False, False, False, False)
+                state = stack[-1] if stack else top
             elif tag not in INLINE:
                 flush()
             continue
@@ -159,9 +218,11 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
                 if stack[k][0] in bounds or (stack[k][0] not in INLINE and closes == {"p"}):
                     break
-            state = stack[-1] if stack else ("", 0, False, False, False, False)
+            state = stack[-1] if stack else top
         numbers += 1
-        bad, good, article, unseen = state[2], state[3], state[4], state[5] or tag in UNSEEN
+        root, bad, good, article, unseen = state[2], False, state[3], state[4], state[5] or tag in UNSEEN
+        main = tag == "main"
+        fresh = main or tag == "article"
         if tag in ("article", "main"):
             article = True
         elif tag in ASIDE or (tag == "header" and not article):
@@ -179,6 +240,7 @@ def blocks_of(page: str | None) -> list[Block]:
                     role = (a.group(2) or a.group(3) or a.group(4) or "").lower()
                     bad = bad or role in ROLES
                     article = article or role in ("main", "article")
+                    main, fresh = main or role == "main", fresh or role in ("main", "article")
                 elif name == "hidden" or (name == "aria-hidden" and "true" in a.group(0).lower()) or (name == "style" and re.search(r"display\s*:\s*none", a.group(0), re.I)):
                     unseen = True
         if attrs.endswith("/") and tag not in RAW:
@@ -187,12 +249,18 @@ def blocks_of(page: str | None) -> list[Block]:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        state = (tag, numbers, bad, good, article, unseen)
+        if fresh:
+            root = (root[0], True, root[2] or main)
+        if bad:
+            roots.above.append(root)
+            root = (len(roots.above) - 1, False, False)
+        state = (tag, numbers, root, good, article, unseen)
         stack.append(state)
         opened[tag] = opened.get(tag, 0) + 1
         if tag not in INLINE:
             outer.append(state)
     flush()
+    roots.judge(out)
     return out
 
 

@@ -1,12 +1,13 @@
 """Operators do the whole of their job: cases in which they once did less."""
 
 import re
+import time
 import warnings
 
 import numpy as np
 import pytest
 
-from pathwright.llm import licenses, mixing
+from pathwright.llm import licenses, main_text, mixing
 
 
 @pytest.mark.parametrize("spread", [3.0, 1.0])
@@ -63,3 +64,30 @@ def test_licenses_gate_loses_nothing():
     assert max(bias) == bias[none]
     for gram in weights:
         assert keys & set(gram.split()) and gate.search(f"({gram})"), gram
+
+
+SAID = "Words of an article go on here, and on. " * 8
+PARTS = f"<nav><a href=x>Home</a> <a href=y>News</a></nav><h1>A title of some words</h1><p>{SAID}</p><p>{SAID}</p><footer>The firm</footer>"
+BODY = f"A title of some words {SAID}{SAID}".strip()
+
+
+@pytest.mark.parametrize("before, after", [("<form id=aspnetForm>", "</form>"), ("<div class='page-sidebar-left'>", "</div>"), ("<div class='layout menu-open'>", "</div>"), ("<form><div class='layout menu-open'>", "</div></form>"), ("<form><main>", "</main></form>"), ("<form><article>", "</article></form>")])
+def test_wrappers_keep_the_main_text(before, after):
+    w = main_text.fit([])
+    assert main_text.main_text(before + PARTS + after, w) == main_text.main_text(PARTS, w) == BODY
+
+
+def test_comments_larger_than_the_article_are_left_out():
+    page = f"<article><h1>A title of some words</h1><p>{SAID}</p></article><div class=comments>" + f"<article><p>{SAID}</p></article>" * 5 + "</div>"
+    assert main_text.main_text(page, main_text.fit([])) == f"A title of some words {SAID}".strip()
+
+
+def test_quoted_attributes_of_any_length():
+    w = main_text.fit([])
+    assert main_text.main_text(f"""<div data-x='{{"html": "<p>no</p>{"x" * 10_000}>"}}'>{PARTS}</div>""", w) == BODY
+    assert main_text.main_text(f"""<div data-x="<p>it's{">" * 10_000}">{PARTS}</div>""", w) == BODY
+    assert main_text.main_text(f"""<div class="a""><p title='it's'>{SAID}</p></div>""", w) == SAID.strip()
+    start = time.time()
+    main_text.blocks_of("<a x='>" * 100_001 + '<b y="' * 100_001)
+    main_text.blocks_of("<a x='\">" * 50_000 + "<b y=\"z'>" * 50_001)
+    assert time.time() - start < 30
