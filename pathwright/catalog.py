@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from . import config, prompts
+from .functions import documents as D
 from .functions import text as X
+from .operators import history as H
 from .operators import metrics as M
 from .operators import optima as O
 from .operators import ranking as R
 from .operators import splits as S
+from .operators import training as T
 from .operators import verify as V
 from .plans import datasets, factory, misc  # noqa: F401 - they register their queries
 from .registry import oracle_sql, queries, query  # noqa: F401
@@ -111,6 +115,11 @@ def weight_hist(s, d):
 
 # ---- evaluation
 
+#: What each kind of result line is, by the case of the fixture.
+CLASSIFIED = """SELECT event_id, status NOT IN ('TIMEOUT', 'RUNTIME_ERROR', 'MISSING_RESULT') AS execution_ok, status, CAST(objective_value AS DOUBLE) AS objective_value, NOT coalesce(isnan(objective_value), FALSE) AND coalesce(abs(objective_value - reference_objective) <= 0.0001, FALSE) AS objective_match FROM (
+  SELECT event_id, reference_objective, CASE WHEN timed_out THEN 'TIMEOUT' WHEN exit_code <> 0 THEN 'RUNTIME_ERROR' WHEN k = 0 THEN 'MISSING_RESULT' WHEN k IN (3, 6, 15) THEN 'INVALID_RESULT' WHEN k IN (1, 2, 8, 11, 12) THEN 'OPTIMAL' WHEN k IN (4, 14) THEN 'FEASIBLE' WHEN k = 5 THEN '2' WHEN k = 9 THEN '1' WHEN k = 10 THEN '[1]' WHEN k = 13 THEN concat('{', chr(39), 'code', chr(39), ': 1}') ELSE 'UNKNOWN' END AS status,
+    CAST(CASE WHEN timed_out OR exit_code <> 0 THEN NULL WHEN k = 1 THEN floor(reference_objective) WHEN k = 2 THEN 3.5 WHEN k = 5 THEN 7.0 WHEN k = 8 THEN 5.0 WHEN k = 10 THEN 2.0 WHEN k = 11 THEN 1.0 WHEN k = 12 THEN 'nan'::DOUBLE WHEN k = 14 THEN 1000.0 END AS DOUBLE) AS objective_value FROM (SELECT *, event_id % 16 AS k FROM executions))"""
+
 PREDICTED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY pos DESC) AS rn FROM trajectories) WHERE rn = 1"
 
 
@@ -125,9 +134,12 @@ def eval_predictions(s, d):
     return got.agg(F.count("*").alias("total"), F.count_if("execution_ok").alias("executed"), F.count_if(F.col("status") == "OPTIMAL").alias("optimal"), F.count_if("success").alias("successes"))
 
 
-@query("SELECT count(*) AS total, count(*) AS matched FROM dataset", "dataset")
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE execution_ok) AS executed, count(*) FILTER (WHERE status = 'OPTIMAL') AS optimal, count(*) FILTER (WHERE status = 'OPTIMAL' AND objective_match) AS successes FROM dataset JOIN ({CLASSIFIED}) AS e ON problem_id = event_id", "dataset", "executions")
 def eval_self(s, d):
-    return view(s, d, "dataset").agg(F.count("*").alias("total"), F.count("problem_id").alias("matched"))
+    """Without predictions the dataset's own answers are scored, by what running them gave."""
+    ran = V.classify(view(s, d, "executions")).select(F.col("event_id").alias("problem_id"), "execution_ok", "status", "success")
+    got = view(s, d, "dataset").select("problem_id").join(ran, "problem_id")
+    return got.agg(F.count("*").alias("total"), F.count_if("execution_ok").alias("executed"), F.count_if(F.col("status") == "OPTIMAL").alias("optimal"), F.count_if("success").alias("successes"))
 
 
 @query("SELECT problem_id, template_name FROM dataset WHERE problem_id NOT IN (SELECT problem_id FROM trajectories)", "trajectories", "dataset")
@@ -138,9 +150,9 @@ def missing_predictions(s, d):
 # ---- factory
 
 
-@query("SELECT seed, variant, traj, concat(template_name, '-seed', lpad(CAST(seed AS VARCHAR), 6, '0'), '-q', lpad(CAST(variant AS VARCHAR), 2, '0'), '-t', lpad(CAST(traj AS VARCHAR), 2, '0')) AS attempt_id FROM attempts", "attempts")
+@query("SELECT seed, variant, traj, concat(template_name, '-seed', lpad(CAST(seed AS VARCHAR), CAST(greatest(4, length(CAST(seed AS VARCHAR))) AS INT), '0'), '-q', lpad(CAST(variant AS VARCHAR), 2, '0'), '-t', lpad(CAST(traj AS VARCHAR), 2, '0')) AS attempt_id FROM attempts", "attempts")
 def gen_grid(s, d):
-    return view(s, d, "attempts").select("seed", "variant", "traj", F.format_string("%s-seed%06d-q%02d-t%02d", "template_name", "seed", "variant", "traj").alias("attempt_id"))
+    return view(s, d, "attempts").select("seed", "variant", "traj", F.format_string("%s-seed%04d-q%02d-t%02d", "template_name", "seed", "variant", "traj").alias("attempt_id"))
 
 
 @query("SELECT attempt_key, template_name FROM attempts WHERE success", "attempts")
@@ -193,17 +205,16 @@ def weighted_choice(s, d):
     return table(s, d, "customer").select(name.alias("template_name")).groupBy("template_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT i, CASE WHEN i = 0 THEN 25 WHEN i = 1 THEN 53 ELSE 80 END AS temperature_c FROM (SELECT unnest([0, 1, 2]) AS i)")
+@query("SELECT n, i, CASE WHEN n = 1 THEN 30 ELSE CAST(round((0.25 + i * 0.55 / (n - 1)) * 100 + 1e-9) AS INT) END AS temperature_c FROM (SELECT n, CAST(unnest(range(n)) AS INT) AS i FROM (SELECT CAST(unnest(range(1, 10)) AS INT) AS n))")
 def temperature_schedule(s, d):
-    n, low, high = 3, 0.25, 0.8
-    return s.range(n).select(F.col("id").cast("int").alias("i"), F.round((F.lit(low) + F.col("id") * ((high - low) / (n - 1))) * 100 + 1e-9).cast("int").alias("temperature_c"))
+    """The schedules of one to nine samples, as a stage's config gives them."""
+    rows = [(n, i, round(100 * t)) for n in range(1, 10) for i, t in enumerate(config.Factory("", 0, {}, {}, trajectories_per_variant=n).temperatures())]
+    return s.createDataFrame(rows, "n int, i int, temperature_c int")
 
 
-@query("SELECT attempt_key, substr(concat('preview of ', template_name), 1, 1200) AS preview FROM attempts", "attempts")
+@query("SELECT doc_id, substr(response, 1, 1200) AS preview, CAST(length(response) AS BIGINT) AS n_chars FROM responses", "responses")
 def trace_rows(s, d):
-    return view(s, d, "attempts").select("attempt_key", F.substring(F.concat(F.lit("preview of "), "template_name"), 1, 1200).alias("preview"))
-
-
+    return view(s, d, "responses").select("doc_id", F.substring("response", 1, 1200).alias("preview"), F.length("response").cast("bigint").alias("n_chars"))
 
 
 @query("SELECT o_orderkey, array_to_string(list_slice(v, 1, 2), '|') AS variants FROM (SELECT o_orderkey, CASE WHEN a = b THEN [a] ELSE [a, b] END AS v FROM (SELECT o_orderkey, trim(o_orderpriority) AS a, trim(concat(' ', o_orderstatus, ' ')) AS b FROM orders))")
@@ -234,14 +245,21 @@ def sft_counts(s, d):
     return view(s, d, "dataset").groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT w.problem_id, question AS prompt, chosen_id AS chosen, rejected_id AS rejected, weight_e4, rationale FROM ({WEIGHED}) AS w JOIN dataset USING (problem_id)", "trajectories", "dataset")
+_QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
+_HINT = "CASE template_name " + " ".join(f"WHEN '{t}' THEN {_QUOTED(h)}" for t, h in prompts.HINTS.items()) + f" ELSE {_QUOTED(prompts.OTHER)} END"
+_ASKED = f"concat('Family: ', template_name, '\nHint: ', {_HINT}, '\n\nQuestion:\n', question)"
+
+
+@query(f"SELECT w.problem_id, concat('system=', {_QUOTED(prompts.ANSWER)}, '\nuser=', {_ASKED.replace('template_name', 'dataset.template_name')}) AS prompt, chosen_id AS chosen, rejected_id AS rejected, weight_e4, rationale FROM ({WEIGHED}) AS w JOIN dataset USING (problem_id)", "trajectories", "dataset")
 def dpo_rows(s, d):
-    return _weighed(s, d).join(view(s, d, "dataset").select("problem_id", "question"), "problem_id").select("problem_id", F.col("question").alias("prompt"), F.col("chosen_id").alias("chosen"), F.col("rejected_id").alias("rejected"), "weight_e4", "rationale")
+    said = prompts.messages(F.col("question"), F.col("template_name"))
+    questions = view(s, d, "dataset").select("problem_id", F.array_join(F.transform(said, lambda m: F.concat_ws("=", m["role"], m["content"])), "\n").alias("prompt"))
+    return _weighed(s, d).join(questions, "problem_id").select("problem_id", "prompt", F.col("chosen_id").alias("chosen"), F.col("rejected_id").alias("rejected"), "weight_e4", "rationale")
 
 
 @query(f"SELECT split, count(*) AS n, CAST(sum(problem_id) AS BIGINT) AS ids FROM (SELECT problem_id, CASE WHEN row_number() OVER (ORDER BY problem_id) <= greatest(1, count(*) OVER () * 9 // 10) THEN 'train' ELSE 'valid' END AS split FROM ({PAIRS})) GROUP BY split", "trajectories")
 def dpo_split(s, d):
-    return S.train_valid(_weighed(s, d).select("problem_id"), "problem_id").groupBy("split").agg(F.count("*").alias("n"), F.sum("problem_id").alias("ids"))
+    return S.train_valid(R.pairs(view(s, d, "trajectories")).select("problem_id"), "problem_id").groupBy("split").agg(F.count("*").alias("n"), F.sum("problem_id").alias("ids"))
 
 
 @query("SELECT conv_id, string_agg(concat('<', role, '> ', text), '\n' ORDER BY turn, role, text) AS chat FROM conversations GROUP BY conv_id")
@@ -250,10 +268,9 @@ def chat_text(s, d):
     return table(s, d, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("<"), x["role"], F.lit("> "), x["text"])), "\n").alias("chat"))
 
 
-@query("SELECT problem_id, concat(CASE template_name WHEN 'knapsack' THEN 'Use binary variables.' WHEN 'tsp' THEN 'Forbid subtours.' ELSE 'State the model first.' END, '\n', question) AS prompt FROM dataset", "dataset")
+@query(f"SELECT problem_id, concat({_QUOTED(prompts.ANSWER)}, '\n\n', {_ASKED}) AS prompt FROM dataset", "dataset")
 def prompt_build(s, d):
-    hints = F.create_map(F.lit("knapsack"), F.lit("Use binary variables."), F.lit("tsp"), F.lit("Forbid subtours."))
-    return view(s, d, "dataset").select("problem_id", F.concat(F.coalesce(F.try_element_at(hints, F.col("template_name")), F.lit("State the model first.")), F.lit("\n"), "question").alias("prompt"))
+    return view(s, d, "dataset").select("problem_id", prompts.answer(F.col("question"), F.col("template_name")).alias("prompt"))
 
 
 # ---- text
@@ -269,14 +286,12 @@ def delim_balance(s, d):
     return view(s, d, "responses").select("doc_id", X.delimiter_balance(F.col("response")).alias("balance"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN strpos(response, '\nimport json') ELSE NULL END AS start FROM responses WHERE doc_id % 5 = 4", "responses")
-def code_start(s, d):
-    return view(s, d, "responses").where("doc_id % 5 = 4").select("doc_id", X.code_start(F.col("response")).cast("bigint").alias("start"))
+_START = lambda p: f"CASE WHEN regexp_matches(response, '{p}') THEN strpos(response, regexp_extract(response, '{p}')) - 1 END"
 
 
-@query()
-def code_start_all(s, d):
-    """code_start of every response, for all eight patterns; compared with brute force in the tests."""
+@query(f"SELECT doc_id, CAST(least({', '.join(_START(p.replace('.+$', '[^' + chr(10) + chr(13) + ']')) for p in X.CODE_STARTS)}) AS BIGINT) AS start FROM (SELECT doc_id, concat(chr(10), response) AS response FROM responses)".replace("(?m)^", "\\n"), "responses")
+def code_start(s, d):
+    """Offset of the first line of code in every response."""
     return view(s, d, "responses").select("doc_id", X.code_start(F.col("response")).cast("bigint").alias("start"))
 
 
@@ -294,13 +309,10 @@ def strip_json_fences(s, d):
     return table(s, d, "events").select("event_id", X.strip_json_fences(fenced).alias("stripped"))
 
 
-CLASSIFIED = """SELECT event_id, k, CASE WHEN timed_out THEN 'TIMEOUT' WHEN exit_code <> 0 THEN 'RUNTIME_ERROR' WHEN k = 0 THEN 'MISSING_RESULT' WHEN k IN (3, 6) THEN 'INVALID_RESULT' WHEN k IN (1, 2) THEN 'OPTIMAL' WHEN k = 4 THEN 'FEASIBLE' WHEN k = 5 THEN '2' ELSE 'UNKNOWN' END AS status,
-  CASE WHEN timed_out OR exit_code <> 0 THEN NULL WHEN k = 1 THEN floor(reference_objective) WHEN k = 2 THEN 3.5 WHEN k = 5 THEN 7.0 END AS objective_value, reference_objective FROM (SELECT *, event_id % 8 AS k FROM executions)"""
-
-
-@query(f"SELECT event_id, status NOT IN ('TIMEOUT', 'RUNTIME_ERROR', 'MISSING_RESULT') AS execution_ok, status, CAST(objective_value AS DOUBLE) AS objective_value, coalesce(abs(objective_value - reference_objective) <= 0.0001, FALSE) AS objective_match FROM ({CLASSIFIED})", "executions")
+@query(f"SELECT event_id, execution_ok, status, CASE WHEN isnan(objective_value) THEN NULL ELSE objective_value END AS objective_value, coalesce(isnan(objective_value), FALSE) AS no_number, objective_match FROM ({CLASSIFIED})", "executions")
 def verify_classify(s, d):
-    return V.classify(view(s, d, "executions")).select("event_id", "execution_ok", "status", "objective_value", "objective_match")
+    value = F.col("objective_value")
+    return V.classify(view(s, d, "executions")).select("event_id", "execution_ok", "status", F.when(~F.isnan(value), value).alias("objective_value"), F.coalesce(F.isnan(value), F.lit(False)).alias("no_number"), "objective_match")
 
 
 # ---- optima
@@ -309,7 +321,7 @@ def verify_classify(s, d):
 @query("""SELECT problem_id, CAST(max(v) AS BIGINT) AS optimum FROM (SELECT problem_id, m, sum(CASE WHEN (m >> CAST(pos - 1 AS INT)) & 1 = 1 THEN value ELSE 0 END) AS v, sum(CASE WHEN (m >> CAST(pos - 1 AS INT)) & 1 = 1 THEN weight ELSE 0 END) AS w, max(capacity) AS c
   FROM knap_items, (SELECT CAST(unnest(generate_series(0, 63)) AS INT) AS m) GROUP BY problem_id, m) WHERE w <= c GROUP BY problem_id""", "knap_items")
 def opt_knapsack(s, d):
-    return O.knapsack(view(s, d, "knap_items"))
+    return O.knapsack(view(s, d, "knap_items")).select("problem_id", "optimum")
 
 
 COST = "8 + (p_partkey * 7 + w * 13 + t * 17 + w * t * 5) % 21"
@@ -321,7 +333,7 @@ COST = "8 + (p_partkey * 7 + w * 13 + t * 17 + w * t * 5) % 21"
 def opt_assignment(s, d):
     four = F.array(*[F.lit(i) for i in range(4)])
     grid = table(s, d, "part").select("p_partkey", F.explode(four).alias("w")).select("p_partkey", "w", F.explode(four).alias("t"))
-    return O.assignment(grid.select(F.col("p_partkey").alias("problem_id"), "w", "t", F.expr(COST).alias("cost")))
+    return O.assignment(grid.select(F.col("p_partkey").alias("problem_id"), "w", "t", F.expr(COST).alias("cost"))).select("problem_id", "optimum")
 
 
 @query("""WITH RECURSIVE n AS (SELECT n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS c, n_nationkey AS k FROM nation),
@@ -331,76 +343,95 @@ def opt_assignment(s, d):
 def opt_tsp(s, d):
     n = table(s, d, "nation").select(F.col("n_regionkey").alias("problem_id"), (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("c"), F.col("n_nationkey").alias("k"))
     b = n.select("problem_id", F.col("c").alias("j"), F.col("k").alias("k2"))
-    return O.tour(n.join(b, "problem_id").where("c <> j").select("problem_id", F.col("c").alias("i"), "j", F.expr("12 + (least(k, k2) * 31 + greatest(k, k2) * 17) % 49").alias("dist")))
+    return O.tour(n.join(b, "problem_id").where("c <> j").select("problem_id", F.col("c").alias("i"), "j", F.expr("12 + (least(k, k2) * 31 + greatest(k, k2) * 17) % 49").alias("dist"))).select("problem_id", "optimum")
 
 
 # ---- training history and losses
 
 
-@query("SELECT run_id, CAST(count(*) AS BIGINT) AS points, arg_min(loss_c, pos) AS first_loss_c, arg_max(loss_c, pos) AS last_loss_c, min(loss_c) AS best_loss_c, arg_min(loss_c, pos) - arg_max(loss_c, pos) AS reduction_c FROM log_history GROUP BY run_id", "log_history")
+POINTS = "SELECT * FROM log_history WHERE loss_c IS NOT NULL AND step IS NOT NULL"
+
+
+@query(f"""SELECT run_id, num_log_points, first_step, last_step, first_loss_c, last_loss_c, best_loss_c, last_loss_c - first_loss_c AS loss_delta_c, first_loss_c - last_loss_c AS loss_reduction_c, CASE WHEN first_loss_c = 0 THEN 0.0 ELSE CAST(first_loss_c - last_loss_c AS DOUBLE) / CAST(first_loss_c AS DOUBLE) END AS relative_loss_reduction, final_epoch_c, final_lr_e9
+  FROM (SELECT run_id, count(*) AS num_log_points, arg_min(step, pos) AS first_step, arg_max(step, pos) AS last_step, arg_min(loss_c, pos) AS first_loss_c, arg_max(loss_c, pos) AS last_loss_c, min(loss_c) AS best_loss_c, arg_max(coalesce(epoch_c, 0), pos) AS final_epoch_c, arg_max(coalesce(lr_e9, 0), pos) AS final_lr_e9 FROM ({POINTS}) GROUP BY run_id)""", "log_history")
 def loss_summary(s, d):
-    first, last = F.min_by("loss_c", "pos"), F.max_by("loss_c", "pos")
-    return view(s, d, "log_history").groupBy("run_id").agg(F.count("*").alias("points"), first.alias("first_loss_c"), last.alias("last_loss_c"), F.min("loss_c").alias("best_loss_c"), (first - last).alias("reduction_c"))
+    return H.summary(view(s, d, "log_history"), "run_id")
+
 
+_METRICS = " UNION ALL ".join(f"SELECT run_id, pos, '{m}' AS metric, {m}_c AS v FROM ({POINTS}) WHERE {m}_c IS NOT NULL" for m in H.METRICS)
+_HIGH = ", ".join(f"'{m}'" for m, best in H.METRICS.items() if best == "max")
 
-@query("SELECT run_id, metric, arg_min(v, pos) AS first_value, arg_max(v, pos) AS last_value, CASE WHEN metric = 'entropy' THEN min(v) ELSE max(v) END AS best_value FROM (SELECT run_id, pos, 'loss' AS metric, loss_c AS v FROM log_history UNION ALL SELECT run_id, pos, 'entropy', entropy_c FROM log_history) GROUP BY run_id, metric", "log_history")
+
+@query(f"SELECT run_id, metric, arg_min(v, pos) AS first_value, arg_max(v, pos) AS last_value, CASE WHEN metric IN ({_HIGH}) THEN max(v) ELSE min(v) END AS best_value FROM ({_METRICS}) GROUP BY run_id, metric", "log_history")
 def metric_first_last_best(s, d):
-    long = view(s, d, "log_history").select("run_id", "pos", F.expr("stack(2, 'loss', loss_c, 'entropy', entropy_c) AS (metric, v)"))
-    return long.groupBy("run_id", "metric").agg(F.min_by("v", "pos").alias("first_value"), F.max_by("v", "pos").alias("last_value"), F.when(F.col("metric") == "entropy", F.min("v")).otherwise(F.max("v")).alias("best_value"))
+    return H.first_last_best(view(s, d, "log_history"), "run_id")
 
 
-@query("SELECT run_id, (pos - 1) // 10 AS step, CAST(sum(loss_c) AS DOUBLE) / count(*) AS mean_loss_c FROM log_history GROUP BY run_id, (pos - 1) // 10", "log_history")
+@query("""SELECT run_id, max(pos) AS pos, count(*) AS n, CAST(sum(margin) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS reward_margin, CAST(sum(hit) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS preference_accuracy
+  FROM (SELECT run_id, pos, entropy_c - 40 AS margin, CAST(entropy_c > 50 AS INT) AS hit, logged, sum(CAST(logged AS INT)) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(logged AS INT) AS part FROM log_history) GROUP BY run_id, part HAVING bool_or(logged)""", "log_history")
 def log_interval_avg(s, d):
-    return view(s, d, "log_history").groupBy("run_id", F.expr("CAST((pos - 1) div 10 AS BIGINT)").alias("step")).agg(M.ratio(F.sum("loss_c"), F.count("*")).alias("mean_loss_c"))
+    """Means of what the steps since the last log point gave, at each log point."""
+    steps = view(s, d, "log_history").select("run_id", "pos", (F.col("entropy_c") - 40).alias("reward_margin"), (F.col("entropy_c") > 50).cast("int").alias("preference_accuracy"), "logged")
+    return H.interval_means(steps, "run_id", "logged", ["reward_margin", "preference_accuracy"])
+
 
+_SHOWN = "CASE WHEN bool_or(mean_token_accuracy_c IS NOT NULL) OVER w THEN coalesce(mean_token_accuracy_c, 0) WHEN bool_or(reward_margin_c IS NOT NULL) OVER w THEN coalesce(reward_margin_c, 0) WHEN bool_or(preference_accuracy_c IS NOT NULL) OVER w THEN coalesce(preference_accuracy_c, 0) ELSE coalesce(grad_norm_c, 0) END"
 
-@query("SELECT run_id, pos, loss_c, min(loss_c) OVER (PARTITION BY run_id ORDER BY pos) AS best_so_far FROM log_history", "log_history")
+
+@query(f"SELECT run_id, step, loss_c, coalesce(lr_e9, 0) AS lr_e9, {_SHOWN} AS shown, CASE WHEN bool_or(mean_token_accuracy_c IS NOT NULL) OVER w THEN 'mean_token_accuracy' WHEN bool_or(reward_margin_c IS NOT NULL) OVER w THEN 'reward_margin' WHEN bool_or(preference_accuracy_c IS NOT NULL) OVER w THEN 'preference_accuracy' ELSE 'grad_norm' END AS metric FROM ({POINTS}) WINDOW w AS (PARTITION BY run_id)", "log_history")
 def training_series(s, d):
-    w = Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return view(s, d, "log_history").select("run_id", F.col("pos").cast("bigint").alias("pos"), "loss_c", F.min("loss_c").over(w).alias("best_so_far"))
+    return H.series(view(s, d, "log_history"), "run_id")
 
 
-@query("SELECT vec_id, CAST(list_sum(list_transform(embedding[9:64], lambda x: CAST(floor(CAST(x AS DOUBLE) * -1000000) AS BIGINT))) AS BIGINT) AS logp_e6, CAST(56 AS INT) AS n FROM embeddings")
+@query("SELECT vec_id, CAST(list_sum(list_transform(embedding[8:63], lambda x: CAST(floor(CAST(x AS DOUBLE) * -1000000) AS BIGINT))) AS DOUBLE) / 56 AS logp_e6 FROM embeddings")
 def seq_logps(s, d):
-    """Masked sum of a sequence's log-probabilities in millionths: the first eight places (the prompt) do not count."""
-    labels = F.transform("embedding", lambda x, i: F.when(i < 8, F.lit(-100)).otherwise(F.lit(1)))
-    kept = F.filter(F.zip_with("embedding", labels, lambda x, y: F.when(y != -100, F.floor(x.cast("double") * -1000000))), lambda x: x.isNotNull())
-    return table(s, d, "embeddings").select("vec_id", F.aggregate(kept, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("logp_e6"), F.size(kept).alias("n"))
+    """Mean log-probability of a sequence's labels in millionths; the first eight labels are the prompt's, and a place's probability is that of the next label."""
+    labels = F.transform("embedding", lambda x, i: F.when(i < 8, F.lit(T.IGNORED)).otherwise(F.lit(1)))
+    logps = F.transform("embedding", lambda x: F.floor(x.cast("double") * -1000000).cast("double"))
+    return table(s, d, "embeddings").select("vec_id", T.sequence_logp(logps, labels).alias("logp_e6"))
 
 
 # ---- documents
 
+_MARKS = ["## ", "### ", "#### ", "> ", "- ", "1. ", "# ", "", ""]
+_MARK = "CASE (doc_id + line_no) % 9 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_MARKS)) + " END"
 LINES = "SELECT doc_id, CAST(i - 1 AS INT) AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, '\n') AS ls, unnest(generate_series(1, len(string_split(text, '\n')))) AS i FROM documents)"
-PREFIXED = f"SELECT doc_id, line_no, trim(concat(CASE (doc_id + line_no) % 9 WHEN 0 THEN '## ' WHEN 1 THEN '### ' WHEN 2 THEN '#### ' WHEN 3 THEN '> ' WHEN 4 THEN '- ' WHEN 5 THEN '1. ' WHEN 6 THEN '# ' ELSE '' END, line), ' \t\n\r\x0b\x0c') AS line FROM ({LINES})"
-KIND = "CASE WHEN trim(line, ' \t\n\r') = '' THEN NULL WHEN starts_with(line, '# ') THEN NULL WHEN starts_with(line, '## ') THEN 'heading1' WHEN starts_with(line, '### ') THEN 'heading2' WHEN starts_with(line, '#### ') THEN 'heading3' WHEN starts_with(line, '> ') THEN 'quote' WHEN starts_with(line, '- ') THEN 'bullet' WHEN starts_with(line, '1. ') THEN 'ordered' ELSE 'text' END"
+PREFIXED = f"SELECT doc_id, line_no, trim(concat({_MARK}, line), ' \t\n\r\x0b\x0c') AS line FROM ({LINES})"
+KIND = "CASE WHEN line = '' OR starts_with(line, '# ') THEN NULL WHEN starts_with(line, '## ') THEN 'heading1' WHEN starts_with(line, '### ') THEN 'heading2' WHEN starts_with(line, '#### ') THEN 'heading3' WHEN starts_with(line, '> ') THEN 'quote' WHEN starts_with(line, '- ') THEN 'bullet' WHEN starts_with(line, '1. ') THEN 'ordered' ELSE 'text' END"
+NODES = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS node_no, kind, trim(regexp_replace(line, '^(## |### |#### |> |- |1\\.\\s+)', ''), ' \t\r\x0b\x0c') AS content FROM (SELECT *, {KIND} AS kind FROM ({PREFIXED})) WHERE kind IS NOT NULL"
 
 
 def _nodes(s, d):
-    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    prefix = F.expr("CASE (doc_id + line_no) % 9 WHEN 0 THEN '## ' WHEN 1 THEN '### ' WHEN 2 THEN '#### ' WHEN 3 THEN '> ' WHEN 4 THEN '- ' WHEN 5 THEN '1. ' WHEN 6 THEN '# ' ELSE '' END")
-    lines = lines.withColumn("line", F.concat(prefix, "line"))
-    return lines.withColumn("kind", X.markdown_kind(F.col("line"))).where("kind is not null")
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.element_at(F.array(*[F.lit(m) for m in _MARKS]), ((F.col("doc_id") + i) % 9 + 1).cast("int")), x))
+    return table(s, d, "documents").select("doc_id", F.posexplode(D.markdown_nodes(F.array_join(marked, "\n"))).alias("node_no", "node"))
 
 
-@query(f"SELECT doc_id, line_no, kind FROM (SELECT *, {KIND} AS kind FROM ({PREFIXED})) WHERE kind IS NOT NULL")
+@query(f"SELECT doc_id, node_no, kind FROM ({NODES})")
 def md_nodes(s, d):
-    return _nodes(s, d).select("doc_id", "line_no", "kind")
+    return _nodes(s, d).select("doc_id", F.col("node_no").cast("bigint").alias("node_no"), F.col("node.kind").alias("kind"))
 
 
-@query(f"SELECT kind, count(*) AS n FROM (SELECT *, {KIND} AS kind FROM ({PREFIXED})) WHERE kind IS NOT NULL GROUP BY kind")
-def md_blocks(s, d):
-    return _nodes(s, d).groupBy("kind").agg(F.count("*").alias("n"))
+_BLOCK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in D.BLOCK_TYPES.items()) + " END"
 
 
-@query(f"SELECT doc_id, CAST(line_no // 10 AS BIGINT) AS chunk, count(*) AS n FROM ({LINES}) GROUP BY doc_id, line_no // 10")
+@query(f"SELECT doc_id, node_no // 10 AS chunk, count(*) AS n, CAST(sum({_BLOCK}) AS BIGINT) AS types, string_agg(content, '\n' ORDER BY node_no) AS content FROM ({NODES}) GROUP BY doc_id, node_no // 10")
 def md_chunks(s, d):
-    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.groupBy("doc_id", F.expr("CAST(line_no div 10 AS BIGINT)").alias("chunk")).agg(F.count("*").alias("n"))
+    """Blocks in the requests of ten that publish a document."""
+    chunks = D.chunks(_nodes(s, d).select("doc_id", "node_no", D.block(F.col("node")).alias("block")))
+    kinds = F.aggregate("blocks", F.lit(0).cast("bigint"), lambda a, x: a + x["block_type"])
+    return chunks.select("doc_id", "chunk", F.size("blocks").cast("bigint").alias("n"), kinds.alias("types"), F.array_join(F.transform("blocks", lambda x: x["elements"][0]["text_run"]["content"]), "\n").alias("content"))
+
+
+@query(f"SELECT {_BLOCK} AS block_type, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM ({NODES}) GROUP BY kind")
+def md_blocks(s, d):
+    block = _nodes(s, d).select(D.block(F.col("node")).alias("b"))
+    return block.groupBy(F.col("b.block_type").alias("block_type")).agg(F.count("*").alias("n"), F.sum(F.length(F.col("b.elements")[0]["text_run"]["content"])).alias("chars"))
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+@query("SELECT user_id, event_type, arg_max(event_id, ROW(ts, event_id)) AS latest FROM events GROUP BY user_id, event_type")
 def latest_run(s, d):
-    return table(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"))
+    """The latest of each user's runs of a kind, as `files.latest` picks among files: by time, then by name."""
+    return table(s, d, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", "event_type", F.col("m.event_id").alias("latest"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events")

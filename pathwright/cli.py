@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import config, records, stages
+from . import config, prompts, records, stages
 from .operators import instances as I
 from .operators import optima as O
 from .operators import ranking as R
@@ -23,7 +23,7 @@ def generate_instances(spark: SparkSession, config_path: str) -> DataFrame:
     """Instances, questions and reference optima of a factory's seeds, as JSON lines in its output folder."""
     c = config.stage(config.Factory, config.load(config_path))
     made = I.questions(I.payload(I.instances(spark.range(c.seed, c.seed + c.seeds()).withColumnRenamed("id", "seed"), c.template_weights)))
-    got = made.join(O.solve(made).select("seed", F.struct("status", "objective_value").alias("reference_solution")), "seed")
+    got = made.join(O.solve(made).select("seed", F.struct("status", "objective_value", "metadata").alias("reference_solution")), "seed")
     rows = got.select(F.format_string("%s-seed%04d", "template_name", F.col("seed") - c.seed).alias("problem_id"), "template_name", "question", "instance", "reference_solution")
     jsonl.write(rows, f"{c.output_dir}/instances")
     return rows
@@ -38,27 +38,46 @@ def prepare_sft(spark: SparkSession, input_dir: str, output_dir: str) -> DataFra
     return rows.groupBy("split").agg(F.count("*").alias("n"))
 
 
-def build_preferences(spark: SparkSession, rollout_path: str, output_path: str, require_chosen_success: bool = False) -> DataFrame:
-    """Best and worst trajectory of each problem with their weight; counts by rationale."""
-    flat = records.trajectories(jsonl.read(spark, rollout_path, records.ROLLOUT, ("problem_id", "trajectories")))
-    pairs = R.weigh(R.pairs(flat))
-    pairs = pairs.where("chosen_success") if require_chosen_success else pairs
-    text = lambda side: flat.select("problem_id", F.col("trajectory_id").alias(f"{side}_id"), F.col("response").alias(side)).dropDuplicates(["problem_id", f"{side}_id"])
-    got = pairs.join(text("chosen"), ["problem_id", "chosen_id"]).join(text("rejected"), ["problem_id", "rejected_id"]).join(flat.where("pos = 0").select("problem_id", "question"), "problem_id")
-    jsonl.write(got.select("problem_id", "template_name", "question", "chosen", "rejected", "chosen_id", "rejected_id", (F.col("weight_e4") / 10000).alias("weight"), "rationale"), output_path)
-    return pairs.groupBy("rationale").agg(F.count("*").alias("n"))
-
-
-def prepare_dpo(spark: SparkSession, preference_path: str, output_dir: str) -> DataFrame:
-    """Prompt, chosen, rejected, weight by split: the first nine tenths in the order of a hash of the problem are `train`; counts by split."""
-    pairs = jsonl.read(spark, preference_path, "problem_id string, template_name string, question string, chosen string, rejected string, weight double, rationale string", ("problem_id", "chosen", "rejected"))
-    keyed = pairs.withColumn("_at", F.xxhash64("problem_id", "chosen", "rejected").bitwiseAND(F.lit(2**40 - 1)))
-    n = keyed.count()
-    placed = S.running(keyed, ["_at", "problem_id", "chosen", "rejected"], F.lit(1), "place", F.expr("_at div 1048576"))
-    got = placed.withColumn("split", F.when(F.col("place") <= max(1, n * 9 // 10), "train").otherwise("valid"))
-    rows = got.select("split", "problem_id", "template_name", F.col("question").alias("prompt"), "chosen", "rejected", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("rationale", F.lit("")).alias("rationale"))
+def _report(spark: SparkSession, path: str, **row: Any) -> DataFrame:
+    """One row, written as JSON."""
+    kinds = {int: "long", str: "string", bool: "boolean", dict: "map<string, long>"}
+    got = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in row.items()))
+    jsonl.write(got, path)
+    return got
+
+
+def build_preferences(spark: SparkSession, rollout_path: str, output_path: str | None = None, run_root: str = "runs", run_prefix: str = "preferences", require_chosen_success: bool = False, timestamped: bool = True, report_dir: str | None = None) -> DataFrame:
+    """Best and worst trajectory of each problem, whole, with their weight, in the rollouts' order; without a path of their own they go to
+    the run's folder, as the summary does: pairs, rationales, and the problems skipped because their best answer is not right."""
+    run_dir = report_dir or (_stamped(run_root, run_prefix) if timestamped else run_root)
+    output_path = output_path or f"{run_dir}/preferences"
+    problems = jsonl.read_in_order(spark, rollout_path, records.ROLLOUT, ("problem_id", "trajectories"))
+    flat = records.trajectories(problems)
+    pairs = stages.kept(R.weigh(R.pairs(flat)), "pairs")
+    ok = pairs.where("chosen_success") if require_chosen_success else pairs
+    chosen = lambda side: F.get(F.filter("trajectories", lambda t: t["trajectory_id"] == F.col(f"{side}_id")), F.lit(0)).alias(side)
+    got = ok.select("problem_id", "chosen_id", "rejected_id", "weight_e4", "rationale").join(problems, "problem_id")
+    got = got.select("problem_id", "template_name", "question", chosen("chosen"), chosen("rejected"), (F.col("weight_e4") / 10000).alias("weight"), "rationale", *jsonl.ORDER)
+    jsonl.write(got.orderBy(*jsonl.ORDER).drop(*jsonl.ORDER), output_path)
+    rationales = {r[0]: r[1] for r in ok.groupBy("rationale").count().collect()}  # four at most
+    skipped = pairs.where("NOT chosen_success").count() if require_chosen_success else 0
+    return _report(spark, f"{run_dir}/summary", num_pairs=sum(rationales.values()), output_path=output_path, run_dir=run_dir, rationales=rationales, require_chosen_success=require_chosen_success, skipped_for_unsuccessful_chosen=skipped)
+
+
+PREFERENCE = f"problem_id string, template_name string, question string, chosen {records.TRAJECTORY}, rejected {records.TRAJECTORY}, weight double, rationale string"
+
+
+def prepare_dpo(spark: SparkSession, config_path: str) -> DataFrame:
+    """Prompt messages, chosen, rejected, weight by split: the first nine tenths of the preferences' file order are `train`; counts by
+    split. The config names `preference_path` and `output_dir`, else `run_root` and `run_prefix` of a folder with the time in its name."""
+    c = config.load(config_path)
+    output_dir = c.get("output_dir") or _run_dir(c, "dpo_data")
+    pairs = jsonl.read_in_order(spark, c["preference_path"], PREFERENCE, ("problem_id", "chosen", "rejected"))
+    got = S.train_valid(pairs, *jsonl.ORDER)
+    rows = got.select("split", "problem_id", "template_name", prompts.messages(F.col("question"), F.col("template_name")).alias("prompt_messages"), F.col("chosen.response").alias("chosen"), F.col("rejected.response").alias("rejected"), F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("rationale", F.lit("")).alias("rationale"))
     rows.write.mode("overwrite").partitionBy("split").option("ignoreNullFields", "false").json(output_dir)
-    return rows.groupBy("split").agg(F.count("*").alias("n"))
+    by = {r[0]: r[1] for r in got.groupBy("split").count().collect()}  # two at most
+    return _report(spark, f"{output_dir.rstrip('/')}_summary", train=by.get("train", 0), valid=by.get("valid", 0), output_dir=output_dir)
 
 
 def evaluate(spark: SparkSession, rollout_path: str, output_path: str) -> DataFrame:
@@ -88,11 +107,15 @@ def _judge(spark: SparkSession, c: dict[str, Any], default: bool) -> Provider |
 
 def _policy(spark: SparkSession, c: dict[str, Any]) -> Provider:
     r = config.stage(config.Rollout, c)
-    return provider(spark, c, "recorded_answers", "problem_id", samples=r.num_return_sequences, temperature=r.temperature if r.do_sample else 0.0, max_tokens=r.max_new_tokens)
+    return provider(spark, c, "recorded_answers", "problem_id", samples=r.num_return_sequences, temperature=r.temperature if r.do_sample else 0.0, max_tokens=r.max_new_tokens, top_p=r.top_p if r.do_sample else None, seed=r.seed)
+
+
+def _stamped(root: str, prefix: str) -> str:
+    return f"{root}/{prefix}_{time.strftime('%Y%m%d_%H%M%S')}"
 
 
 def _run_dir(c: dict[str, Any], prefix: str) -> str:
-    return f"{c.get('run_root', 'runs')}/{c.get('run_prefix', prefix)}_{time.strftime('%Y%m%d_%H%M%S')}"
+    return _stamped(c.get("run_root", "runs"), c.get("run_prefix", prefix))
 
 
 def generate_dataset(spark: SparkSession, config_path: str) -> DataFrame:
@@ -100,9 +123,9 @@ def generate_dataset(spark: SparkSession, config_path: str) -> DataFrame:
     raw = config.load(config_path)
     c = config.stage(config.Factory, raw)
     limits = {"timeout": c.request_timeout_seconds, "retries": c.request_max_retries, "backoff": c.request_retry_backoff_seconds}
-    teacher = provider(spark, raw, "recorded_answers", "group_id", "PATHWRIGHT_DATA_MODEL", temperatures=tuple(c.temperatures()), max_tokens=c.trajectory_max_tokens, **limits)
+    teacher = provider(spark, raw, "recorded_answers", "group_id", c.data_model_env_var, temperatures=tuple(c.temperatures()), max_tokens=c.trajectory_max_tokens, **limits)
     more = c.question_variants_per_seed > int(c.include_canonical_question)
-    rewriter = provider(spark, raw, "recorded_wordings", "at", "PATHWRIGHT_DATA_MODEL", temperature=c.question_rewrite_temperature, max_tokens=c.question_rewrite_max_tokens, **limits) if more else None
+    rewriter = provider(spark, raw, "recorded_wordings", "at", c.data_model_env_var, temperature=c.question_rewrite_temperature, max_tokens=c.question_rewrite_max_tokens, **limits) if more else None
     return stages.generate_dataset(spark, c, teacher, _run(raw), rewriter)
 
 
@@ -123,8 +146,8 @@ def generate_real_rollouts(spark: SparkSession, config_path: str) -> DataFrame:
 
 def evaluate_predictions(spark: SparkSession, dataset_path: str, output_path: str, predictions_path: str | None = None, allow_execution: bool = False) -> DataFrame:
     """Rates of predictions whose code is run again; without predictions, of the dataset's own answers."""
-    given = None if predictions_path is None else jsonl.read(spark, predictions_path, "problem_id string, response string, code string", ("problem_id",))
-    got, details = stages.evaluate_predictions(jsonl.read(spark, dataset_path, records.DATASET, ("problem_id",)), given, stages.runner(allow_execution))
+    given = None if predictions_path is None else jsonl.read_in_order(spark, predictions_path, "problem_id string, response string, code string", ("problem_id",))
+    got, details = stages.evaluate_predictions(jsonl.read_in_order(spark, dataset_path, records.DATASET, ("problem_id",)), given, stages.runner(allow_execution))
     jsonl.write(got, f"{output_path}/metrics")
     jsonl.write(details, f"{output_path}/details")
     return got
@@ -138,7 +161,7 @@ def evaluate_model(spark: SparkSession, config_path: str) -> DataFrame:
     jsonl.write(best.drop("teacher_score"), f"{run_dir}/test_predictions")
     got = stages.metrics(best)
     jsonl.write(got, f"{run_dir}/metrics")
-    build_preferences(spark, f"{run_dir}/test_rollouts", f"{run_dir}/test_preferences_preview")
+    build_preferences(spark, f"{run_dir}/test_rollouts", f"{run_dir}/test_preferences_preview", report_dir=f"{run_dir}/preferences")
     return got
 
 
@@ -165,8 +188,8 @@ COMMANDS = {
     "generate-instances": (generate_instances, ["config_path"]),
     "prepare-sft": (prepare_sft, ["input_dir", "output_dir"]),
     "generate-real-rollouts": (generate_real_rollouts, ["config_path"]),
-    "build-preferences": (build_preferences, ["rollout_path", "output_path"]),
-    "prepare-dpo": (prepare_dpo, ["preference_path", "output_dir"]),
+    "build-preferences": (build_preferences, ["rollout_path"]),
+    "prepare-dpo": (prepare_dpo, ["config_path"]),
     "evaluate": (evaluate_predictions, ["dataset_path", "output_path"]),
     "evaluate-rollouts": (evaluate, ["rollout_path", "output_path"]),
     "evaluate-model": (evaluate_model, ["config_path"]),
@@ -182,6 +205,9 @@ def main(argv: list[str] | None = None) -> None:
         for a in args:
             one.add_argument(a)
         if name == "build-preferences":
+            one.add_argument("--output-path")
+            one.add_argument("--run-root", default="runs")
+            one.add_argument("--run-prefix", default="preferences")
             one.add_argument("--require-chosen-success", action="store_true")
         if name == "evaluate":
             one.add_argument("--predictions-path")

@@ -8,11 +8,29 @@ from pathlib import Path
 from typing import Any
 
 #: Keys whose texts are paths.
-PATH_KEYS = {"output_dir", "output_path", "preference_path", "report_dir", "root", "run_root", "sft_adapter_path", "dataset_path", "predictions_path", "rollout_path", "input_dir"}
+PATH_KEYS = {"base_model_path", "config_path", "dataset_path", "input_dir", "model_name_or_path", "model_path", "output_dir", "output_path", "preference_path", "report_dir", "root", "run_root", "sft_adapter_path"}
+#: Further ones of this engine: predictions, rollouts, and recorded answers, wordings and judgements in place of an endpoint.
+PATH_KEYS |= {"predictions_path", "rollout_path", "recorded_answers", "recorded_wordings", "recorded_judgements"}
 
+#: First folders of a path that stand for a folder of the environment, by its variable and what it is without one.
+ALIASES = {"data": ("PROJECT_DATA_DIR", "data"), "models": ("PROJECT_MODEL_DIR", "models"), "outputs": ("PROJECT_OUTPUT_DIR", "outputs"), "runs": ("PROJECT_OUTPUT_DIR", "outputs"), "logs": ("PROJECT_LOG_DIR", "logs"), "cache": ("PROJECT_CACHE_DIR", ".cache"), ".cache": ("PROJECT_CACHE_DIR", ".cache")}
 
-#: Paths to recorded answers, wordings and judgements (JSON lines) in place of an endpoint.
-PATH_KEYS |= {"recorded_answers", "recorded_wordings", "recorded_judgements"}
+
+def folders(root: str | Path = ".") -> dict[str, str]:
+    """The environment's folders by variable, as absolute paths: what subprocesses are given."""
+    base = Path(os.environ.get("PROJECT_ROOT") or root).expanduser().resolve()
+    return {"PROJECT_ROOT": str(base)} | {name: str(Path(os.environ.get(name) or base / default).expanduser()) for name, default in dict.fromkeys(ALIASES.values())}
+
+
+def mapped(path: str, root: str | Path = ".") -> str:
+    """A relative path under its alias's folder (runs lie in the outputs' folder), else under the root; absolute paths stay."""
+    if os.path.isabs(path):
+        return path
+    known, (first, *rest) = folders(root), Path(path).parts or (".",)
+    if first not in ALIASES:
+        return str((Path(known["PROJECT_ROOT"]) / path).resolve())
+    inner = ["runs"] if first == "runs" else []
+    return str(Path(known[ALIASES[first][0]], *inner, *rest).resolve())
 
 
 @dataclass(frozen=True)
@@ -33,6 +51,8 @@ class Factory:
     trajectory_temperature_max: float = 0.8
     trajectory_max_tokens: int = 2200
     target_verified_samples: int = 120
+    num_samples: int | None = None  # an older name of the target
+    data_model_env_var: str = "PATHWRIGHT_DATA_MODEL"
     max_seed_problems: int | None = None
     request_timeout_seconds: float = 60
     request_max_retries: int = 2
@@ -70,12 +90,6 @@ class Compare:
     teacher_evaluation: bool = True
 
 
-@dataclass(frozen=True)
-class Preference:
-    timestamped: bool = True
-    require_chosen_success: bool = False
-
-
 def load(path: str) -> dict[str, Any]:
     """A YAML file with its paths resolved against the file's folder; {} for an empty file."""
     import yaml
@@ -103,13 +117,17 @@ def looks_local(text: str) -> bool:
 
 
 def local(text: str, base: Path) -> Path:
-    """Absolute paths and addresses with a scheme stay; else the path below the working folder if it exists, else below base if that exists."""
+    """Absolute paths stay; a path of an alias whose variable is set lies in that folder; else the path below the working folder if it exists, else below base if that exists."""
     if os.path.isabs(text):
         return Path(text)
+    if (first := (Path(text).parts or ("",))[0]) in ALIASES and os.environ.get(ALIASES[first][0]):
+        return Path(mapped(text))
     here = Path.cwd() / text
     return base / text if not here.exists() and (base / text).exists() else here
 
 
 def stage(kind: type, config: dict[str, Any]) -> Any:
     """A stage's parameters from a config; keys that it does not know are left out."""
+    if config.get("target_verified_samples") is None and config.get("num_samples") is not None:
+        config = config | {"target_verified_samples": config["num_samples"]}
     return kind(**{f.name: config[f.name] for f in fields(kind) if config.get(f.name) is not None})

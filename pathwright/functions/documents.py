@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .repair import let
@@ -15,6 +15,9 @@ PREFIXES = {"## ": "heading1", "### ": "heading2", "#### ": "heading3", "> ": "q
 #: Endings and first folders by which a text counts as a local path.
 PATH_ENDINGS = [".json", ".jsonl", ".yaml", ".yml", ".txt", ".png", ".jpg", ".jpeg", ".md", ".safetensors", ".bin", ".pt", ".pth", ".jinja"]
 PATH_FOLDERS = ["configs", "data", "models", "outputs", "reports", "runs", "tools", "logs", ".cache", "cache"]
+#: How an image and a line of a key with its value are written.
+IMAGE = r"^!\[(.*?)\]\((.*?)\)$"
+KEY_VALUE = r"^\s*([^:=#]+?)\s*[:=]\s*(.*?)\s*$"
 FENCE_LINE = r"(?m)^[ \t]*```[^\n]*$"
 LINE_END = r"\r\n|[\n\r]"
 
@@ -22,10 +25,10 @@ LINE_END = r"\r\n|[\n\r]"
 def _node(line: Column) -> Column:
     x = strip(line)
     node = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
-    source = strip(F.regexp_extract(x, r"^!\[(.*?)\]\((.*?)\)$", 2))
-    alt = strip(F.regexp_extract(x, r"^!\[(.*?)\]\((.*?)\)$", 1))
+    source = strip(F.regexp_extract(x, IMAGE, 2))
+    alt = strip(F.regexp_extract(x, IMAGE, 1))
     caption = F.coalesce(F.nullif(alt, F.lit("")), F.substring_index(source, "/", -1))
-    out = F.when(x == "", None).when(x.rlike(r"^!\[(.*?)\]\((.*?)\)$"), node("quote", F.concat(F.lit("Image: "), caption, F.lit(" (local path: "), source, F.lit(")")))).when(x.startswith("# "), None)
+    out = F.when(x == "", None).when(x.rlike(IMAGE), node("quote", F.concat(F.lit("Image: "), caption, F.lit(" (local path: "), source, F.lit(")")))).when(x.startswith("# "), None)
     for prefix, kind in PREFIXES.items():
         out = out.when(x.startswith(prefix), node(kind, strip(F.substr(x, F.lit(len(prefix) + 1)))))
     return out.when(x.rlike(r"^[0-9]+\.\s+"), node("ordered", strip(F.regexp_replace(x, r"^[0-9]+\.\s+", "")))).otherwise(node("text", x))
@@ -59,12 +62,23 @@ def block_type(kind: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in BLOCK_TYPES.items() for x in pair]), kind)
 
 
+def block(node: Column) -> Column:
+    """The block of a node: its number, its kind, one run of text; code is wrapped."""
+    text = F.array(F.struct(F.struct(node["text"].alias("content")).alias("text_run")))
+    return F.struct(block_type(node["kind"]).alias("block_type"), node["kind"].alias("kind"), text.alias("elements"), (node["kind"] == "code").alias("wrap"))
+
+
+def chunks(blocks: DataFrame, size: int = 10) -> DataFrame:
+    """doc_id, chunk, blocks (in order): what one request of a sink carries. Groups have at most `size` rows."""
+    got = blocks.groupBy("doc_id", F.floor(F.col("node_no") / size).cast("bigint").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("node_no", "block"))).alias("b"))
+    return got.select("doc_id", "chunk", F.transform("b", lambda x: x["block"]).alias("blocks"))
+
+
 def key_values(text: Column) -> Column:
     """map of the lines `key = value` or `key: value`; blanks and lines of `#` do not count, quotes around values go, the last of equal keys wins."""
-    pattern = r"^\s*([^:=#]+?)\s*[:=]\s*(.*?)\s*$"
-    lines = F.filter(F.split(text, LINE_END), lambda x: (strip(x) != "") & ~strip(x).startswith("#") & x.rlike(pattern))
+    lines = F.filter(F.split(text, LINE_END), lambda x: (strip(x) != "") & ~strip(x).startswith("#") & x.rlike(KEY_VALUE))
     unquoted = lambda v: F.regexp_replace(F.regexp_replace(v, r'^"+|"+$', ""), r"^'+|'+$", "")
-    pairs = F.reverse(F.transform(lines, lambda x: F.struct(strip(F.regexp_extract(x, pattern, 1)).alias("k"), unquoted(strip(F.regexp_extract(x, pattern, 2))).alias("v"))))
+    pairs = F.reverse(F.transform(lines, lambda x: F.struct(strip(F.regexp_extract(x, KEY_VALUE, 1)).alias("k"), unquoted(strip(F.regexp_extract(x, KEY_VALUE, 2))).alias("v"))))
     return let(pairs, lambda p: let(F.array_distinct(F.transform(p, lambda x: x["k"])), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.get(F.filter(p, lambda x: x["k"] == k), F.lit(0))["v"]))))
 
 

@@ -1,10 +1,7 @@
-"""Two conversions that only Python gives: its rounding and its literals. Arrow-batched, for aggregated or failed rows only."""
+"""A conversion that only Python gives: its rounding. Arrow-batched, for aggregated rows only."""
 
 from __future__ import annotations
 
-import ast
-import json
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,26 +14,3 @@ def py_round(value: Column, places: int) -> Column:
         return v.map(lambda x: round(x, places) if x == x and abs(x) != float("inf") else x)
 
     return F.pandas_udf(rounded, "double")(value.cast("double"))
-
-
-def parse_object(payload: Column) -> Column:
-    """JSON text of an object given as JSON or as a Python dict literal; null for anything else."""
-
-    def parsed(v: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            if text is None:
-                return None
-            for read in (json.loads, ast.literal_eval):
-                try:
-                    got = read(text)
-                except (ValueError, SyntaxError, RecursionError, MemoryError):
-                    continue
-                try:
-                    return json.dumps(got, ensure_ascii=False) if isinstance(got, dict) else None
-                except TypeError:
-                    return None
-            return None
-
-        return v.map(one)
-
-    return F.pandas_udf(parsed, "string")(payload)

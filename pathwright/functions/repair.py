@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MARKER, code_start, delimiter_balance, extract_code, strip
+from .text import LINE_ENDS, MARKER, code_start, delimiter_balance, extract_code, strip
 
 NAME = MARKER.removesuffix("=")
 
@@ -124,9 +124,8 @@ def _fold(t: Column) -> Column:
         kept = F.filter(F.arrays_zip(lines.alias("line"), letters.alias("letter")), lambda x: (x["letter"] != "d") & x["line"].isNotNull())
         return F.array_join(F.transform(kept, lambda x: F.when(x["letter"] == "p", F.concat(F.regexp_extract(x["line"], r"^\s*", 0), F.lit(PRINT))).otherwise(x["line"])), "\n")
 
-    ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
     special = F.contains(t, F.lit(NAME)) | F.contains(t, F.lit("step>"))
-    return strip(F.when(special, let(F.split(t, ends), folded)).otherwise(F.regexp_replace(t, ends, "\n")))
+    return strip(F.when(special, let(F.split(t, LINE_ENDS), folded)).otherwise(F.regexp_replace(t, LINE_ENDS, "\n")))
 
 
 def _upgrade(t: Column) -> Column:

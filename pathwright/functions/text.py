@@ -1,4 +1,4 @@
-"""Text functions as column expressions: code extraction, process score, fences, result lines, Markdown."""
+"""Text functions as column expressions: code extraction, process score, fences, result lines."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ CLOSED_FENCE = r"(?is)```(?:python|py)?\s*(.*?)```"
 OPEN_FENCE = r"(?i)```(?:python|py)?\s*"
 CODE_STARTS = [r"(?m)^import\s+\w+", r"(?m)^from\s+\w+\s+import\s+.+$", r"(?m)^def\s+\w+\s*\(", r"(?m)^model\s*=", r"(?m)^manager\s*=", r"(?m)^routing\s*=", r"(?m)^data\s*=\s*\{", r"(?m)^solver\s*=\s*"]
 MARKER = "__RESULT__="
+#: What ends a line of printed text.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
@@ -52,38 +54,5 @@ def strip_json_fences(c: Column) -> Column:
 
 def last_marker(stdout: Column) -> Column:
     """The payload of the last line that starts with the marker; null if there is none."""
-    lines = F.filter(F.split(stdout, "\n"), lambda x: x.startswith(MARKER))
+    lines = F.filter(F.split(stdout, LINE_ENDS), lambda x: x.startswith(MARKER))
     return strip(F.substr(F.try_element_at(lines, F.lit(-1)), F.lit(len(MARKER) + 1)))
-
-
-def classify_status(payload: Column) -> Column:
-    """The normalised status of a result object's JSON text: numbers (0 is OPTIMAL), strings, JSON null, a missing key."""
-    v = F.try_parse_json(payload)
-    kind = F.schema_of_variant(F.try_variant_get(v, "$.status", "variant"))
-    text = strip(F.try_variant_get(v, "$.status", "string"))
-    number = F.try_variant_get(v, "$.status", "double").cast("bigint")
-    known = F.upper(text).isin("OPTIMAL", "FEASIBLE")
-    return (
-        F.when(kind.isNull(), "UNKNOWN")
-        .when(kind == "VOID", "None")
-        .when(kind == "STRING", F.when(known, F.upper(text)).otherwise(text))
-        .when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("OPTIMAL"))
-        .otherwise(F.when(number == 0, "OPTIMAL").otherwise(number.cast("string")))
-    )
-
-
-def markdown_kind(line: Column) -> Column:
-    """(kind) of a line outside fences; null for blank lines and titles."""
-    x = strip(line)
-    return (
-        F.when(x == "", None)
-        .when(x.rlike(r"^!\[.*\]\(.*\)$"), "quote")
-        .when(x.startswith("# "), None)
-        .when(x.startswith("## "), "heading1")
-        .when(x.startswith("### "), "heading2")
-        .when(x.startswith("#### "), "heading3")
-        .when(x.startswith("> "), "quote")
-        .when(x.startswith("- "), "bullet")
-        .when(x.rlike(r"^[0-9]+\.\s+"), "ordered")
-        .otherwise("text")
-    )

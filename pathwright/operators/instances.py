@@ -16,6 +16,13 @@ POOLS = {
 }
 RESOURCES = ["machine hours", "raw material", "skilled labor"]
 TASKS = ["routing audit", "inventory sync", "line inspection", "order batching"]
+SCENARIOS = {
+    "resource_allocation": ["advanced materials workshop", "precision fabrication studio", "green manufacturing line"],
+    "production_planning": ["智能工厂周生产计划", "电子装配车间周排产", "工业设备小批量计划"],
+    "assignment": ["运筹调度团队", "运营优化小组", "物流协调班组"],
+    "knapsack": ["应急运维背包", "现场部署设备包", "移动巡检资源包"],
+    "tsp": ["巡检巴士路线", "城际配送路线", "服务工程师访问路线"],
+}
 #: Fewest and most names of an instance.
 SIZES = {"resource_allocation": (3, 5), "production_planning": (3, 4), "assignment": (4, 4), "knapsack": (5, 6), "tsp": (5, 6)}
 #: Bounds (inclusive) of the facts about each name.
@@ -31,7 +38,7 @@ CELLS = {"resource_allocation": (1, 6), "assignment": (8, 28), "tsp": (12, 60)}
 LIMITS = {"resource_allocation": (4500, 6500), "production_planning": (450, 700), "knapsack": (400, 650)}
 
 #: Salts of the drawn fields; each leaves room for 64 places.
-SIZE, RESOURCE_COUNT, NAME, TASK, FACT, CELL, LIMIT, TEMPLATE = (64 * i for i in range(8))
+SIZE, RESOURCE_COUNT, NAME, TASK, FACT, CELL, LIMIT, TEMPLATE, SCENARIO = (64 * i for i in range(9))
 
 
 def draw_sql(seed: str, salt: str, low: int | str, high: int | str) -> str:
@@ -101,12 +108,13 @@ def _one(seeds: DataFrame, template: str) -> DataFrame:
         limits = F.array(part(add(F.col("facts")["weight"]), F.lit(0)))
     else:
         limits = no_limits
-    return df.select(*seeds.columns, F.lit(template).alias("template_name"), "names", "others", "facts", "cells", limits.alias("limits"))
+    scenario = F.get(F.array(*[F.lit(x) for x in SCENARIOS[template]]), draw(SCENARIO, 0, len(SCENARIOS[template]) - 1).cast("int"))
+    return df.select(*seeds.columns, F.lit(template).alias("template_name"), "names", "others", "facts", "cells", limits.alias("limits"), scenario.alias("scenario"))
 
 
 def instances(seeds: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """seeds (with a long `seed`) with template_name, names (products, workers, items, cities), others (resources, tasks), facts (field to
-    values by name), cells (usage by resource and product, cost by worker and task, distance) and limits. A null seed gives no row."""
+    values by name), cells (usage by resource and product, cost by worker and task, distance), limits and scenario. A null seed gives no row."""
     weights = weights or dict.fromkeys(POOLS, 1)
     chosen = seeds.where("seed IS NOT NULL").withColumn("_template", choose(weights))
     out = None
@@ -141,7 +149,7 @@ def payload(df: DataFrame) -> DataFrame:
     }
     out = None
     for name, fields in shapes.items():
-        text = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+        text = F.to_json(F.struct(*[v.alias(k) for k, v in (fields | {"scenario": F.col("scenario")}).items()]))
         out = F.when(F.col("template_name") == name, text) if out is None else out.when(F.col("template_name") == name, text)
     return df.withColumn("instance", out)
 
@@ -153,7 +161,7 @@ def _lines(*parts) -> Column:
 
 
 def questions(df: DataFrame) -> DataFrame:
-    """df with `question`: the instance in words, one line a product, worker, item or city."""
+    """df with `question`: the scenario, then the instance in words, one line a product, worker, item or city."""
     limit = F.get("limits", F.lit(0)).cast("string")
     listed = lambda cols, row: F.array_join(F.zip_with(cols, row, lambda c, v: F.concat(c, F.lit(" "), v.cast("string"))), ", ")
     rows = F.array_join(F.zip_with("names", "cells", lambda n, r: F.concat(F.lit("- "), n, F.lit(": "), listed(F.when(F.col("template_name") == "tsp", F.col("names")).otherwise(F.col("others")), r))), "\n")
@@ -168,4 +176,4 @@ def questions(df: DataFrame) -> DataFrame:
     out = None
     for name, text in texts.items():
         out = F.when(F.col("template_name") == name, text) if out is None else out.when(F.col("template_name") == name, text)
-    return df.withColumn("question", out)
+    return df.withColumn("question", F.concat(F.lit("Setting: "), "scenario", F.lit("\n"), out))

@@ -9,54 +9,62 @@ from pyspark.sql import functions as F
 
 
 def knapsack(items: DataFrame) -> DataFrame:
-    """problem_id, optimum: best value of a subset within capacity. One row a problem; the sums of all subsets (2^6 for the largest) are built up item by item in the row, no join."""
-    packed = items.groupBy("problem_id").agg(F.collect_list(F.struct(F.col("value").cast("bigint").alias("value"), F.col("weight").cast("bigint").alias("weight"))).alias("items"), F.max("capacity").alias("capacity"))
-    none = F.expr("array(named_struct('value', 0L, 'weight', 0L))")
-    grown = lambda sums, x: F.concat(sums, F.transform(sums, lambda s: F.struct((s["value"] + x["value"]).alias("value"), (s["weight"] + x["weight"]).alias("weight"))))
-    sums = F.aggregate("items", none, grown)
-    return packed.select("problem_id", F.array_max(F.transform(F.filter(sums, lambda s: s["weight"] <= F.col("capacity")), lambda s: s["value"])).alias("optimum"))
+    """problem_id, optimum, plan (1 for each chosen item, else 0): best value of a subset within capacity. One row a problem; the sums of all subsets (2^6 for the largest) are built up item by item in the row, no join. Of equal values the plan with the fewest of the last items."""
+    one = F.struct("pos", F.col("value").cast("bigint").alias("value"), F.col("weight").cast("bigint").alias("weight"))
+    packed = items.groupBy("problem_id").agg(F.array_sort(F.collect_list(one)).alias("items"), F.max("capacity").alias("capacity"))
+    none = F.expr("array(named_struct('value', 0L, 'weight', 0L, 'plan', CAST(array() AS array<double>)))")
+    add = lambda s, x, k: F.struct((s["value"] + k * x["value"]).alias("value"), (s["weight"] + k * x["weight"]).alias("weight"), F.concat(s["plan"], F.array(F.lit(float(k)))).alias("plan"))
+    grown = lambda sums, x: F.concat(F.transform(sums, lambda s: add(s, x, 0)), F.transform(sums, lambda s: add(s, x, 1)))
+    sums = F.filter(F.aggregate("items", none, grown), lambda s: s["weight"] <= F.col("capacity"))
+    best = F.array_min(F.transform(sums, lambda s: F.struct((-s["value"]).alias("v"), F.reverse(s["plan"]).alias("plan"))))
+    return packed.select("problem_id", best.alias("b")).select("problem_id", (-F.col("b.v")).alias("optimum"), F.reverse("b.plan").alias("plan"))
 
 
 def assignment(costs: DataFrame) -> DataFrame:
-    """problem_id, optimum: cheapest perfect matching of a 4 x 4 cost table (problem_id, w, t, cost), over its 24 permutations in the row."""
+    """problem_id, optimum, plan (the task of each worker): cheapest perfect matching of a 4 x 4 cost table (problem_id, w, t, cost), over its 24 permutations in the row."""
     wide = costs.groupBy("problem_id").agg(*[F.max(F.when((F.col("w") == w) & (F.col("t") == t), F.col("cost"))).alias(f"c{w}{t}") for w in range(4) for t in range(4)])
-    sums = [sum((F.col(f"c{w}{t}") for w, t in enumerate(p)), F.lit(0)) for p in permutations(range(4))]
-    return wide.select("problem_id", F.least(*sums).cast("bigint").alias("optimum"))
+    tried = [F.struct(sum((F.col(f"c{w}{t}") for w, t in enumerate(p)), F.lit(0)).cast("bigint").alias("cost"), F.expr(f"array({', '.join(f'{t}D' for t in p)})").alias("plan")) for p in permutations(range(4))]
+    return wide.select("problem_id", F.array_min(F.array(*tried)).alias("b")).select("problem_id", F.col("b.cost").alias("optimum"), "b.plan")
 
 
 def tour(arcs: DataFrame) -> DataFrame:
-    """problem_id, optimum: shortest round trip over the arcs (problem_id, i, j, dist) of 5 or 6 cities numbered from 0, over the tours in the row."""
+    """problem_id, optimum, plan (the cities in their order): shortest round trip over the arcs (problem_id, i, j, dist) of 5 or 6 cities numbered from 0, over the tours in the row."""
     wide = arcs.groupBy("problem_id").agg((F.max("i") + 1).alias("n"), *[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("dist"))).alias(f"d{i}{j}") for i in range(6) for j in range(6) if i != j])
     wide = wide.select("problem_id", "n", F.array(*[F.lit(None) if i == j else F.col(f"d{i}{j}") for i in range(6) for j in range(6)]).alias("dist"))
 
     def shortest(n):
         tours = ([6 * a + b for a, b in zip((0, *p), (*p, 0), strict=True)] for p in permutations(range(1, n)))
         cells = F.expr("array(" + ", ".join(f"array({', '.join(map(str, t))})" for t in tours) + ")")  # a literal
-        return F.array_min(F.transform(cells, lambda t: sum((F.get("dist", F.get(t, F.lit(k))) for k in range(n)), F.lit(0))))
+        return F.array_min(F.transform(cells, lambda t: F.struct(sum((F.get("dist", F.get(t, F.lit(k))) for k in range(n)), F.lit(0)).cast("bigint").alias("length"), t.alias("t"))))
 
-    return wide.select("problem_id", F.when(F.col("n") == 5, shortest(5)).when(F.col("n") == 6, shortest(6)).cast("bigint").alias("optimum"))
+    best = wide.select("problem_id", F.when(F.col("n") == 5, shortest(5)).when(F.col("n") == 6, shortest(6)).alias("b"))
+    return best.select("problem_id", F.col("b.length").alias("optimum"), F.transform("b.t", lambda x: F.floor(x / 6).cast("double")).alias("plan"))
 
 
 def production(products: DataFrame) -> DataFrame:
-    """problem_id, optimum: most net profit of whole numbers of units (margin, setup, max_units, labor of each of at most 4 products;
+    """problem_id, optimum, plan (units by product): most net profit of whole numbers of units (margin, setup, max_units, labor of each of at most 4 products;
     total_hours), a setup being paid once a product is made. The units of all products but one are enumerated within the hours left, the
-    last product takes what remains; the rows so made are reduced where they are, as the problem's key already places them. More products raise an error."""
+    last product takes what remains; the rows so made are reduced where they are, as the problem's key already places them. Profit and units go through the maximum as one number. More products,
+    or 1,000 units of one, raise an error."""
     packed = products.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("pos", "margin", "setup", "max_units", "labor"))).alias("items"), F.max("total_hours").alias("left"))
-    few = F.when(F.size("items") > 4, F.raise_error(F.lit("at most 4 products"))).otherwise(F.size("items"))
+    few = F.when(F.size("items") > 4, F.raise_error(F.lit("at most 4 products"))).when(F.exists("items", lambda x: x["max_units"] > 999), F.raise_error(F.lit("at most 999 units"))).otherwise(F.size("items"))
     fields = ("margin", "setup", "max_units", "labor")
     flat = [F.get("items", F.lit(k))[f].cast("bigint").alias(f"{f}{k}") for k in range(4) for f in fields]
-    df = packed.select("problem_id", F.col("left").cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("profit"), few.alias("n"), *flat)
+    df = packed.select("problem_id", F.col("left").cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("profit"), F.lit(0).cast("bigint").alias("units"), few.alias("n"), *flat)
     most = lambda k: F.coalesce(F.least(F.col(f"max_units{k}"), F.expr(f"left div labor{k}")), F.lit(0)).cast("bigint")
     gain = lambda k, q: F.coalesce(q * F.col(f"margin{k}") - F.when(q > 0, F.col(f"setup{k}")).otherwise(0), F.lit(0))
     for k in (3, 2, 1):
         df = df.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), most(k))))
-        df = df.select("problem_id", (F.col("left") - F.coalesce(F.col("q") * F.col(f"labor{k}"), F.lit(0))).alias("left"), (F.col("profit") + gain(k, F.col("q"))).alias("profit"), "n", *[f"{f}{j}" for j in range(k) for f in fields])
-    best = F.col("profit") + F.greatest(F.lit(0), gain(0, most(0)))
-    return df.where("n > 0").groupBy("problem_id").agg(F.max(best).cast("bigint").alias("optimum"))
+        df = df.select("problem_id", (F.col("left") - F.coalesce(F.col("q") * F.col(f"labor{k}"), F.lit(0))).alias("left"), (F.col("profit") + gain(k, F.col("q"))).alias("profit"), (F.col("units") * 1000 + F.coalesce("q", F.lit(0))).alias("units"), "n", *[f"{f}{j}" for j in range(k) for f in fields])
+    last = F.when(gain(0, most(0)) > 0, most(0)).otherwise(0)
+    coded = (F.col("profit") + gain(0, last)) * 10**12 + F.col("units") * 1000 + last
+    best = df.where("n > 0").groupBy("problem_id", "n").agg(F.max(coded).alias("b"))
+    units = F.pmod("b", F.lit(10**12))
+    return best.select("problem_id", F.expr("(b - pmod(b, 1000000000000)) div 1000000000000").alias("optimum"), F.slice(F.array(*[(F.floor(units / 1000**k) % 1000).cast("double") for k in range(4)]), F.lit(1), F.col("n")).alias("plan"))
 
 
 def linear(products: DataFrame) -> DataFrame:
-    """problem_id, optimum (double): largest profit of a continuous plan under three limits (u0, u1, u2 of each product; cap0, cap1, cap2;
+    """problem_id, optimum (double), plan (quantity by product): largest profit of a continuous plan under three limits (u0, u1, u2 of each product; cap0, cap1, cap2;
     a problem of two limits has u2 = cap2 = 0). Every basis of three columns is solved in the row, in whole numbers; the quotient comes last."""
     column = lambda a, b, c, p: F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), c.cast("bigint").alias("c"), p.cast("bigint").alias("p"))
     one, zero = F.lit(1), F.lit(0)
@@ -75,16 +83,20 @@ def linear(products: DataFrame) -> DataFrame:
         r = F.col("rhs")
         d = F.struct(det(x, y, z).alias("d"), det(r, y, z).alias("x"), det(x, r, z).alias("y"), det(x, y, r).alias("z"))
         feasible = lambda s: (s["d"] != 0) & (s["x"] * s["d"] >= 0) & (s["y"] * s["d"] >= 0) & (s["z"] * s["d"] >= 0)
-        total = lambda s: F.when(feasible(s), (s["x"] * x["p"] + s["y"] * y["p"] + s["z"] * z["p"]).cast("double") / s["d"].cast("double"))
+        part = lambda s, f: s[f].cast("double") / s["d"].cast("double")
+        total = lambda s: F.when(feasible(s), F.struct(((s["x"] * x["p"] + s["y"] * y["p"] + s["z"] * z["p"]).cast("double") / s["d"].cast("double")).alias("v"), F.array(i, j, k).alias("at"), F.array(part(s, "x"), part(s, "y"), part(s, "z")).alias("q")))
         return F.get(F.transform(F.array(d), total), F.lit(0))
 
     n = F.size("cols")
     bases = F.flatten(F.transform(F.sequence(zero, n - 3), lambda i: F.flatten(F.transform(F.sequence(i + 1, n - 2), lambda j: F.transform(F.sequence(j + 1, n - 1), lambda k: value(i, j, k))))))
-    return packed.select("problem_id", F.array_max(bases).alias("optimum"))
+    best = packed.select("problem_id", "items", F.array_max(bases).alias("b"))
+    amount = lambda x, p: F.coalesce(F.get("b.q", F.array_position("b.at", p).cast("int") - 1), F.lit(0.0))
+    return best.select("problem_id", F.col("b.v").alias("optimum"), F.transform("items", amount).alias("plan"))
 
 
 def solve(instances: DataFrame) -> DataFrame:
-    """seed, template_name, status, objective_value of instances (see `instances`), each family by its own exact method. A row without an optimum is FAILED."""
+    """seed, template_name, status, objective_value, metadata of instances (see `instances`), each family by its own exact method. metadata is
+    the plan as JSON: quantities, units and opened products, tasks of workers, chosen items, or the number of cities. A row without an optimum is FAILED."""
     named = instances.withColumnRenamed("seed", "problem_id")
     of = lambda t: named.where(F.col("template_name") == t)
 
@@ -100,6 +112,17 @@ def solve(instances: DataFrame) -> DataFrame:
     grid = lambda t, i, j, v: of(t).select("problem_id", F.posexplode("cells").alias(i, "row")).select("problem_id", i, F.posexplode("row").alias(j, v))
     solved = linear(lp)
     for one in (production(p), knapsack(k), assignment(grid("assignment", "w", "t", "cost")), tour(grid("tsp", "i", "j", "dist").where("i <> j"))):
-        solved = solved.unionByName(one.select("problem_id", F.col("optimum").cast("double").alias("optimum")))
-    got = instances.select("seed", "template_name").join(solved.withColumnRenamed("problem_id", "seed"), "seed", "left")
-    return got.select("seed", "template_name", F.when(F.col("optimum").isNull(), "FAILED").otherwise("OPTIMAL").alias("status"), F.col("optimum").alias("objective_value"))
+        solved = solved.unionByName(one.select("problem_id", F.col("optimum").cast("double").alias("optimum"), "plan"))
+    got = instances.select("seed", "template_name", "names", "others").join(solved.withColumnRenamed("problem_id", "seed"), "seed", "left")
+    by = lambda values: F.map_from_arrays("names", values)
+    plans = {
+        "resource_allocation": F.struct(by(F.col("plan")).alias("solution")),
+        "production_planning": F.struct(by(F.col("plan")).alias("production"), by(F.transform("plan", lambda x: (x > 0).cast("double"))).alias("open")),
+        "assignment": F.struct(by(F.transform("plan", lambda x: F.get("others", x.cast("int")))).alias("assignment")),
+        "knapsack": F.struct(F.filter("names", lambda n, i: F.get("plan", i) > 0).alias("chosen_items")),
+        "tsp": F.struct(F.size("names").alias("city_count")),
+    }
+    metadata = None
+    for name, x in plans.items():
+        metadata = F.when(F.col("template_name") == name, F.to_json(x)) if metadata is None else metadata.when(F.col("template_name") == name, F.to_json(x))
+    return got.select("seed", "template_name", F.when(F.col("optimum").isNull(), "FAILED").otherwise("OPTIMAL").alias("status"), F.col("optimum").alias("objective_value"), F.when(F.col("plan").isNotNull(), metadata).alias("metadata"))

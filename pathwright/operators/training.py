@@ -39,6 +39,12 @@ def mean_logp(logps: Column, labels: Column) -> Column:
     return F.aggregate(kept, F.lit(0.0), lambda a, b: a + b) / F.greatest(F.size(kept), F.lit(1))
 
 
+def sequence_logp(logps: Column, labels: Column) -> Column:
+    """Mean log-probability of a sequence: a place's log-probability belongs to the label of the next place."""
+    n = F.size(labels)
+    return mean_logp(F.slice(logps, F.lit(1), n - 1), F.slice(labels, F.lit(2), n - 1))
+
+
 def preference_terms(chosen: Column, rejected: Column, ref_chosen: Column, ref_rejected: Column, weight: Column, beta: float) -> dict[str, Column]:
     """loss, margin, right of one pair of mean log-probabilities. The loss is the stable form of -weight * log sigmoid(logit); the margin has no reference term."""
     logit = beta * ((chosen - rejected) - (ref_chosen - ref_rejected))

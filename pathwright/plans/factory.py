@@ -43,20 +43,27 @@ def gen_names(s, d):
     return _made(s, d).select("seed", "template_name", F.array_join("names", "|").alias("names"))
 
 
-_NAMED = f"""SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY d, k) - 1 AS i, name FROM (SELECT seed, k, name, {I.draw_sql('seed', f'{I.NAME} + k', 0, 524287)} AS d FROM ({_SIZED}) JOIN ({_POOL}) USING (template_name) WHERE template_name = 'knapsack')"""
-_KNAPSACK = f"""WITH made AS ({INSTANCES}) SELECT seed, concat('Which items give the most value within a weight of ', max(c.value), '?\n', string_agg(concat('- ', name, ': value ', v.value, ', weight ', w.value), '\n' ORDER BY v.i)) AS question
-  FROM (SELECT * FROM made WHERE field = 'value') AS v JOIN (SELECT * FROM made WHERE field = 'weight') AS w USING (seed, i) JOIN ({_NAMED}) USING (seed, i) JOIN (SELECT seed, value FROM made WHERE field = 'limit') AS c USING (seed) GROUP BY seed"""
-
-
-@query(_KNAPSACK)
+# ---- questions, in SQL by aggregating rows where the operator zips arrays
+
+_NAMED = f"""SELECT seed, template_name, row_number() OVER (PARTITION BY seed ORDER BY d, k) - 1 AS i, name FROM (SELECT seed, template_name, k, name, {I.draw_sql('seed', f'{I.NAME} + k', 0, 524287)} AS d FROM ({_SIZED}) JOIN ({_POOL}) USING (template_name))"""
+_LIST = lambda names: "(VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(names)) + ") AS p(k, name)"
+_OTHERS = f"""SELECT seed, k AS i, name FROM ({_SEEDS}), {_LIST(I.RESOURCES)} WHERE template_name = 'resource_allocation'
+  UNION ALL SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY d, k) - 1, name FROM (SELECT seed, k, name, {I.draw_sql('seed', f'{I.TASK} + k', 0, 524287)} AS d FROM ({_SEEDS}), {_LIST(I.TASKS)} WHERE template_name = 'assignment')"""
+_FACT = lambda f: f"max(CASE WHEN field = '{f}' THEN value END)"
+_SCENARIO = "CASE template_name " + " ".join(f"WHEN '{t}' THEN {names}[1 + CAST({I.draw_sql('seed', str(I.SCENARIO), 0, len(names) - 1)} AS INT)]" for t, names in I.SCENARIOS.items()) + " END"
+QUESTIONS = f"""WITH made AS ({INSTANCES}), nm AS ({_NAMED}), ot AS ({_OTHERS}), lim AS (SELECT seed, i, value FROM made WHERE field = 'limit'),
+  facts AS (SELECT seed, nm.template_name, i, name, {", ".join(f"{_FACT(f)} AS {f}" for per in I.FACTS.values() for f in per)} FROM nm JOIN made USING (seed, i) WHERE field NOT IN ('cell', 'limit') GROUP BY ALL),
+  fact_lines AS (SELECT seed, string_agg(CASE template_name WHEN 'resource_allocation' THEN concat('- ', name, ': profit ', profit) WHEN 'production_planning' THEN concat('- ', name, ': margin ', margin, ', setup ', setup_cost, ', hours ', labor_hours, ', at most ', max_units) ELSE concat('- ', name, ': value ', value, ', weight ', weight) END, '\n' ORDER BY i) AS t FROM facts GROUP BY seed),
+  cell AS (SELECT made.seed, made.i, string_agg(concat(coalesce(o.name, n.name), ' ', value), ', ' ORDER BY j) AS t FROM made LEFT JOIN ot AS o ON made.template_name = 'assignment' AND o.seed = made.seed AND o.i = j LEFT JOIN nm AS n ON made.template_name <> 'assignment' AND n.seed = made.seed AND n.i = j WHERE field = 'cell' GROUP BY ALL),
+  cell_lines AS (SELECT cell.seed, string_agg(concat('- ', coalesce(o.name, n.name), CASE WHEN lim.value IS NULL THEN ': ' ELSE concat(': ', lim.value, ' in all; one unit takes ') END, cell.t), '\n' ORDER BY cell.i) AS t FROM cell JOIN ({_SEEDS}) AS sd ON sd.seed = cell.seed LEFT JOIN ot AS o ON sd.template_name = 'resource_allocation' AND o.seed = cell.seed AND o.i = cell.i LEFT JOIN nm AS n ON sd.template_name <> 'resource_allocation' AND n.seed = cell.seed AND n.i = cell.i LEFT JOIN lim ON lim.seed = cell.seed AND lim.i = cell.i GROUP BY ALL)
+  SELECT seed, template_name, concat('Setting: ', {_SCENARIO}, '\n', CASE template_name WHEN 'resource_allocation' THEN concat('How much of each product gives the largest profit?\n', f.t, '\n', c.t) WHEN 'production_planning' THEN concat('Which products should be made, and how many units, for the largest net profit within ', lim.value, ' hours?\n', f.t)
+    WHEN 'assignment' THEN concat('Give each worker one task and each task one worker at the least cost.\n', c.t) WHEN 'knapsack' THEN concat('Which items give the most value within a weight of ', lim.value, '?\n', f.t) ELSE concat('What is the shortest round trip through all cities?\n', c.t) END) AS question
+  FROM ({_SEEDS}) LEFT JOIN fact_lines AS f USING (seed) LEFT JOIN cell_lines AS c USING (seed) LEFT JOIN (SELECT seed, value FROM lim WHERE i = 0) AS lim USING (seed)"""
+
+
+@query(QUESTIONS)
 def render_question(s, d):
-    """The questions of the knapsack family; the tests read the others."""
-    return I.questions(_made(s, d).where("template_name = 'knapsack'")).select("seed", "question")
-
-
-@query()
-def render_question_all(s, d):
-    """The question of every generated instance, of all five families; compared with brute force in the tests."""
+    """The question of every generated instance."""
     return I.questions(_made(s, d)).select("seed", "template_name", "question")
 
 
@@ -74,7 +81,7 @@ def gen_solved(s, d):
   SELECT problem_id, CAST(max(m0 * a + m1 * b + m2 * c - CASE WHEN a > 0 THEN s0 ELSE 0 END - CASE WHEN b > 0 THEN s1 ELSE 0 END - CASE WHEN c > 0 THEN s2 ELSE 0 END + greatest(0, m3 * least(x3, (h - l0 * a - l1 * b - l2 * c) // l3) - s3)) AS BIGINT) AS optimum
   FROM w, (SELECT unnest(range(21)) AS a), (SELECT unnest(range(21)) AS b), (SELECT unnest(range(21)) AS c) WHERE a <= x0 AND b <= x1 AND c <= x2 AND l0 * a + l1 * b + l2 * c <= h GROUP BY problem_id""".format(", ".join(f"coalesce(max(CASE WHEN pos = {p} THEN {f} END), {e}) AS {n}{p}" for p in range(4) for n, f, e in (("m", "margin", 0), ("s", "setup", 0), ("x", "max_units", 0), ("l", "labor", 1)))), "prod_params")
 def opt_production(s, d):
-    return O.production(view(s, d, "prod_params"))
+    return O.production(view(s, d, "prod_params")).select("problem_id", "optimum")
 
 
 _DET = lambda x, y, z: f"({x[0]} * ({y[1]} * {z[2]} - {z[1]} * {y[2]}) - {y[0]} * ({x[1]} * {z[2]} - {z[1]} * {x[2]}) + {z[0]} * ({x[1]} * {y[2]} - {y[1]} * {x[2]}))"
@@ -86,4 +93,4 @@ _X, _Y, _Z, _R = (tuple(f"{t}.{f}" for f in "abc") for t in ("x", "y", "z", "r")
   tried AS (SELECT x.problem_id, x.p AS p0, y.p AS p1, z.p AS p2, {_DET(_X, _Y, _Z)} AS d, {_DET(_R, _Y, _Z)} AS dx, {_DET(_X, _R, _Z)} AS dy, {_DET(_X, _Y, _R)} AS dz FROM cols AS x JOIN cols AS y ON x.problem_id = y.problem_id AND x.j < y.j JOIN cols AS z ON y.problem_id = z.problem_id AND y.j < z.j JOIN r ON x.problem_id = r.problem_id)
   SELECT problem_id, max(CAST(dx * p0 + dy * p1 + dz * p2 AS DOUBLE) / CAST(d AS DOUBLE)) AS optimum FROM tried WHERE d <> 0 AND dx * d >= 0 AND dy * d >= 0 AND dz * d >= 0 GROUP BY problem_id""", "lp_params")
 def opt_lp(s, d):
-    return O.linear(view(s, d, "lp_params"))
+    return O.linear(view(s, d, "lp_params")).select("problem_id", "optimum")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
-from ..functions.python_values import parse_object, py_round
+from ..functions.python_values import py_round
+from ..functions.results import is_object
 from ..functions.text import last_marker
 from ..registry import query
 from ..sources import jsonl
@@ -56,9 +57,9 @@ def py_round_scores(s, d):
     return got.select("template_name", py_round(F.col("x"), 2).alias("score"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 8 IN (1, 2, 4, 5, 7) THEN TRUE ELSE FALSE END AS is_object FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 16 NOT IN (0, 3, 6, 15) THEN TRUE ELSE FALSE END AS is_object FROM events")
 def parse_result(s, d):
-    return view(s, d, "executions").select("event_id", parse_object(last_marker(F.col("stdout"))).isNotNull().alias("is_object"))
+    return view(s, d, "executions").select("event_id", is_object(last_marker(F.col("stdout"))).alias("is_object"))
 
 
 @query("SELECT status, concat(CAST(n * 1000 // total // 10 AS VARCHAR), '.', CAST(n * 1000 // total % 10 AS VARCHAR), '%') AS share FROM (SELECT status, count(*) AS n, sum(count(*)) OVER () AS total FROM trajectories GROUP BY status)", "trajectories")

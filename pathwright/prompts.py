@@ -34,6 +34,13 @@ def answer(question: Column, template: Column) -> Column:
     return F.concat(F.lit(ANSWER + "\n\nFamily: "), template, F.lit("\nHint: "), F.coalesce(F.try_element_at(hints, template), F.lit(OTHER)), F.lit("\n\nQuestion:\n"), question)
 
 
+def messages(question: Column, template: Column) -> Column:
+    """The messages (role, content) before an answer."""
+    hints = F.create_map(*[F.lit(x) for pair in HINTS.items() for x in pair])
+    asked = F.concat(F.lit("Family: "), template, F.lit("\nHint: "), F.coalesce(F.try_element_at(hints, template), F.lit(OTHER)), F.lit("\n\nQuestion:\n"), question)
+    return F.array(*[F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in (("system", F.lit(ANSWER)), ("user", asked))])
+
+
 def reword(question: Column, template: Column, instance: Column, wanted: int, styles: list[str]) -> Column:
     how = f"\n\nWordings wanted: {wanted}. Styles: {', '.join(styles) or 'memo'}.\nFamily: "
     return F.concat(F.lit(REWORD + how), template, F.lit("\n\nQuestion:\n"), question, F.lit("\n\nData:\n"), instance)

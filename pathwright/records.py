@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 VERIFICATION = "struct<success: boolean, execution_ok: boolean, status: string, objective_value: double, objective_match: boolean, tolerance: double, stdout: string, stderr: string, error_message: string>"
 JUDGEMENT = "struct<overall_score: string, step_score: string, code_score: string, verdict: string, strengths: array<string>, issues: array<string>, rationale: string, model: string>"
 TRAJECTORY = f"struct<trajectory_id: string, response: string, code: string, verification: {VERIFICATION}, process_score: double, source: string, teacher_evaluation: {JUDGEMENT}>"
-ROLLOUT = f"problem_id string, template_name string, question string, reference_solution struct<status: string, objective_value: double>, trajectories array<{TRAJECTORY}>"
-DATASET = f"problem_id string, split string, template_name string, question string, response string, code string, instance string, reference_solution struct<status: string, objective_value: double>, verification {VERIFICATION}"
+ROLLOUT = f"problem_id string, template_name string, question string, reference_solution struct<status: string, objective_value: double, metadata: string>, trajectories array<{TRAJECTORY}>"
+DATASET = f"problem_id string, split string, template_name string, question string, response string, code string, instance string, reference_solution struct<status: string, objective_value: double, metadata: string>, verification {VERIFICATION}"
 
 
 def score(text: Column) -> Column:

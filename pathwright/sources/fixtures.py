@@ -38,17 +38,23 @@ SELECT doc_id, concat(CASE WHEN doc_id % 9 > 0 THEN 'Problem Description\n' ELSE
 FROM {documents}
 """
 
+#: Each way in which a run ends, and each kind of result line; # stands for a quotation mark of Python.
 EXECUTIONS = """
 SELECT event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS exit_code, event_id % 50 = 0 AS timed_out, value AS reference_objective,
-  CASE event_id % 8 WHEN 0 THEN 'no marker here' WHEN 1 THEN concat('log\n__RESULT__={{"status": "OPTIMAL", "objective_value": ', CAST(CAST(floor(value) AS BIGINT) AS STRING), '}}')
+  CASE event_id % 16 WHEN 0 THEN 'no marker here' WHEN 1 THEN concat('log\n__RESULT__={{"status": "OPTIMAL", "objective_value": ', CAST(CAST(floor(value) AS BIGINT) AS STRING), '}}')
     WHEN 2 THEN '__RESULT__={{"status": 0, "objective_value": "3.5"}}' WHEN 3 THEN '__RESULT__=[1, 2]' WHEN 4 THEN '__RESULT__={{"status": " feasible ", "objective_value": null}}'
-    WHEN 5 THEN '__RESULT__={{"status": "OPTIMAL"}}\n__RESULT__={{"status": 2, "objective_value": 7}}\nend' WHEN 6 THEN '__RESULT__=not json' ELSE '__RESULT__={{"objective_value": "abc"}}' END AS stdout
+    WHEN 5 THEN '__RESULT__={{"status": "OPTIMAL"}}\n__RESULT__={{"status": 2, "objective_value": 7}}\nend' WHEN 6 THEN '__RESULT__=not json' WHEN 7 THEN '__RESULT__={{"objective_value": "abc"}}'
+    WHEN 8 THEN replace('__RESULT__={{#status#: #OPTIMAL#, #objective_value#: 5.0}}', '#', chr(39)) WHEN 9 THEN replace('__RESULT__={{#status#: True, #objective_value#: None}}', '#', chr(39))
+    WHEN 10 THEN '__RESULT__={{"status": [1], "objective_value": 2}}' WHEN 11 THEN '__RESULT__={{"status": "optimal", "objective_value": true}}' WHEN 12 THEN '__RESULT__={{"status": "OPTIMAL", "objective_value": NaN}}'
+    WHEN 13 THEN '__RESULT__={{"status": {{"code": 1}}, "objective_value": [1]}}' WHEN 14 THEN '__RESULT__={{"status": "OPTIMAL", "status": "FEASIBLE", "objective_value": "1_000"}}' ELSE '__RESULT__={{"status": "OPTIMAL"}} {{"status": "OPTIMAL"}}' END AS stdout
 FROM {events}
 """
 
+#: Log rows of training runs, in whole numbers: some without a loss (evaluation), with gaps in the metrics that not every trainer logs.
 LOG_HISTORY = """
-SELECT event_type AS run_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos, CAST(round(value * 100) AS BIGINT) AS loss_c, user_id % 100 AS entropy_c, event_id
-FROM {events}
+SELECT event_type AS run_id, pos, CASE WHEN event_id % 13 <> 0 THEN pos * 5 END AS step, CASE WHEN event_id % 11 <> 0 THEN CAST(round(value * 100) AS BIGINT) END AS loss_c, CASE WHEN event_id % 17 <> 0 THEN 200000 - pos END AS lr_e9, CASE WHEN event_id % 17 <> 1 THEN pos * 3 END AS epoch_c,
+  CASE WHEN event_id % 5 <> 0 THEN user_id % 91 END AS grad_norm_c, user_id % 100 AS entropy_c, CASE WHEN event_type <> 'error' THEN (user_id * 7 + event_id) % 101 END AS mean_token_accuracy_c, CASE WHEN event_id % 3 = 0 THEN event_id % 61 - 30 END AS reward_margin_c, CASE WHEN event_id % 4 = 0 THEN event_id % 97 END AS preference_accuracy_c, event_id % 7 = 0 AS logged, event_id
+FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos FROM {events}) AS e
 """
 
 KNAP_ITEMS = """

@@ -48,14 +48,17 @@ class Chat:
     temperature: float = 0.8
     temperatures: tuple[float, ...] = ()  # one sample each, in place of samples and temperature
     max_tokens: int = 900
+    top_p: float | None = None
+    seed: int | None = None  # of the first sample; each further one adds 1
     timeout: float = 60.0
     retries: int = 2
     backoff: float = 1.5
     post: Callable[[str, dict[str, str], bytes, float], str] = _post
 
-    def complete(self, prompt: str, temperature: float | None = None) -> str:
+    def complete(self, prompt: str, temperature: float | None = None, sample: int = 1) -> str:
         heat = self.temperature if temperature is None else temperature
-        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": heat, "max_tokens": self.max_tokens}).encode()
+        more = {"top_p": self.top_p, "seed": None if self.seed is None else self.seed + sample - 1}
+        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": heat, "max_tokens": self.max_tokens} | {k: v for k, v in more.items() if v is not None}).encode()
         headers = {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"}
         for attempt in range(1, self.retries + 2):
             try:
@@ -85,7 +88,7 @@ class Chat:
                 for k, p in zip(frame[key], frame[prompt], strict=True):
                     for sample, heat in enumerate(self.temperatures or (self.temperature,) * self.samples, 1):
                         try:
-                            rows.append((k, sample, self.complete(p or "", heat), None))
+                            rows.append((k, sample, self.complete(p or "", heat, sample), None))
                         except (OSError, ValueError, KeyError, IndexError, TypeError) as e:
                             rows.append((k, sample, None, f"{type(e).__name__}: {e}"))
                 yield pd.DataFrame(rows, columns=[key, "sample", "answer", "error"])

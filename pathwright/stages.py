@@ -63,7 +63,7 @@ def verified(df: DataFrame, run: Runner) -> DataFrame:
 def seed_problems(spark: SparkSession, seed: int, n: int, weights: dict[str, int]) -> DataFrame:
     """at (0 to n - 1), template_name, canonical question, instance, reference_solution; the exact optima are found once."""
     made = I.questions(I.payload(I.instances(spark.range(seed, seed + n).withColumnRenamed("id", "seed"), weights)))
-    solved = O.solve(made).select("seed", F.struct("status", "objective_value").alias("reference_solution"))
+    solved = O.solve(made).select("seed", F.struct("status", "objective_value", "metadata").alias("reference_solution"))
     return kept(made.join(solved, "seed").select((F.col("seed") - seed).alias("at"), "template_name", F.col("question").alias("canonical"), "instance", "reference_solution"), "seeds")
 
 
@@ -98,15 +98,29 @@ def generate_dataset(spark: SparkSession, c: config.Factory, teacher: Provider,
     """Asks for answers to generated questions and keeps those whose code finds the optimum, until the target is reached. Writes the
     records by split, the trace of all attempts up to the last one needed, and the summary (also returned: one row).
     teacher answers a question once for each of `c.temperatures()`; a failed call drops the answers of its question."""
-    worded, failed = variants(seed_problems(spark, c.seed, c.seeds(), c.template_weights), rewriter, c.question_variants_per_seed, c.include_canonical_question, c.question_rewrite_styles)
-    worded = worded.withColumn("group_id", F.format_string("%s-seed%04d-q%02d", "template_name", "at", "variant"))
-    said = kept(teacher.answers(worded.select("group_id", prompts.answer(F.col("question"), F.col("template_name")).alias("prompt")), "group_id", "prompt"), "answers")
-    broken = said.where("error IS NOT NULL").select("group_id").distinct()
-    texts = said.join(broken, "group_id", "left_anti").where(strip(F.col("answer")) != "")
+    problems = seed_problems(spark, c.seed, c.seeds(), c.template_weights)
     heat = F.array(*[F.lit(float(t)) for t in c.temperatures()])
-    rows = worded.join(texts.select("group_id", (F.col("sample") - 1).alias("traj"), strip(F.col("answer")).alias("response")), "group_id")
-    rows = rows.withColumns({"seed": F.col("at"), "attempt_id": F.format_string("%s-t%02d", "group_id", "traj"), "reference_objective": F.col("reference_solution.objective_value"), "temperature": F.element_at(heat, F.least(F.col("traj") + 1, F.size(heat)))})
-    tried = kept(verified(rows, run).withColumn("success", F.col("verification.success")), "attempts")
+
+    def attempt(problems: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """The wordings of some problems, what came of their answers, and how many calls failed."""
+        worded, failed = variants(problems, rewriter, c.question_variants_per_seed, c.include_canonical_question, c.question_rewrite_styles)
+        worded = worded.withColumn("group_id", F.format_string("%s-seed%04d-q%02d", "template_name", "at", "variant"))
+        said = kept(teacher.answers(worded.select("group_id", prompts.answer(F.col("question"), F.col("template_name")).alias("prompt")), "group_id", "prompt"), "answers")
+        broken = said.where("error IS NOT NULL").select("group_id").distinct()
+        texts = said.join(broken, "group_id", "left_anti").where(strip(F.col("answer")) != "")
+        rows = worded.join(texts.select("group_id", (F.col("sample") - 1).alias("traj"), strip(F.col("answer")).alias("response")), "group_id")
+        rows = rows.withColumns({"seed": F.col("at"), "attempt_id": F.format_string("%s-t%02d", "group_id", "traj"), "reference_objective": F.col("reference_solution.objective_value"), "temperature": F.element_at(heat, F.least(F.col("traj") + 1, F.size(heat)))})
+        return worded, kept(verified(rows, run).withColumn("success", F.col("verification.success")), "attempts"), failed + broken.count()
+
+    # Seeds are tried in ranges that grow with what is missing, so that few answers are asked for beyond the target.
+    worded = tried = None
+    failed = first = 0
+    size = missing = max(1, c.target_verified_samples)
+    while first < c.seeds() and missing > 0:
+        size = max(-(-missing // max(1, c.question_variants_per_seed * len(c.temperatures()))), size // 2 if first else 1, 1)
+        more = attempt(problems.where(F.col("at").between(first, first + size - 1)))
+        worded, tried = (more[0], more[1]) if worded is None else (worded.unionByName(more[0]), tried.unionByName(more[1]))
+        failed, first, missing = failed + more[2], first + size, missing - more[1].where("success").count()
     used = kept(S.until_target(tried, c.target_verified_samples), "used")
     good = used.where("success")
 
@@ -122,7 +136,7 @@ def generate_dataset(spark: SparkSession, c: config.Factory, teacher: Provider,
     reached = worded if last is None else worded.where((F.col("at") < last.at) | ((F.col("at") == last.at) & (F.col("variant") <= last.variant)))
     seeds_n, worded_n = reached.agg(F.countDistinct("at"), F.count("*")).first()
     counted = lambda by: {r[0]: r[1] for r in records_.groupBy(by).count().toLocalIterator()}
-    row = (c.target_verified_samples, accepted, round(accepted / tried_n, 4) if tried_n else 0.0, seeds_n, worded_n, tried_n, failed + broken.count(), len(c.temperatures()), c.question_variants_per_seed, counted("template_name"), dict.fromkeys(c.splits, 0) | counted("split"))
+    row = (c.target_verified_samples, accepted, round(accepted / tried_n, 4) if tried_n else 0.0, seeds_n, worded_n, tried_n, failed, len(c.temperatures()), c.question_variants_per_seed, counted("template_name"), dict.fromkeys(c.splits, 0) | counted("split"))
     summary = spark.createDataFrame([row], SUMMARY)
     jsonl.write(summary, f"{c.output_dir}/summary")
     return summary
@@ -192,8 +206,11 @@ def metrics(best: DataFrame, *by: str) -> DataFrame:
 
 def evaluate_predictions(dataset: DataFrame, given: DataFrame | None, run: Runner) -> tuple[DataFrame, DataFrame]:
     """(metrics, details) of predictions (problem_id, response, code) run again against the dataset's optima; given None: the dataset's own
-    answers. Of several predictions for a problem the one with the greatest text counts. Problems without a prediction take no part."""
-    given = (dataset if given is None else given).groupBy("problem_id").agg(F.max(F.struct("response", "code")).alias("p")).select("problem_id", "p.*")
+    answers. Of several predictions for a problem the last one counts, by the columns jsonl.ORDER (without them, the greatest text).
+    Problems without a prediction take no part."""
+    given = dataset if given is None else given
+    order = [c for c in jsonl.ORDER if c in given.columns] or ["response", "code"]
+    given = given.groupBy("problem_id").agg(F.max_by(F.struct("response", "code"), F.struct(*order)).alias("p")).select("problem_id", "p.*")
     rows = dataset.select("problem_id", "template_name", F.col("reference_solution.objective_value").alias("reference_objective")).join(given, "problem_id")
     own = rows.where(F.coalesce("code", F.lit("")) != "").select("problem_id", "template_name", "reference_objective", "code")
     made = rows.where(F.coalesce("code", F.lit("")) == "").select("problem_id", "template_name", "reference_objective", F.coalesce(answer_code(F.col("response")), F.lit("")).alias("code"))

@@ -7,7 +7,7 @@ import pytest
 from pathwright import cli, config
 from pathwright.operators import execution
 from pathwright.operators.verify import classify
-from pathwright.sources import providers
+from pathwright.sources import files, providers, publish
 
 
 def trajectory(i, success=False, teacher=None, process=0.0, gap=None):
@@ -28,14 +28,64 @@ def rollouts(tmp_path):
     return path
 
 
-def test_preferences_to_dpo(spark, tmp_path, rollouts):
-    counts = {r.rationale: r.n for r in cli.build_preferences(spark, str(rollouts), str(tmp_path / "p")).collect()}
-    assert counts == {"solver_success_beats_failure": 1, "teacher_score_gap": 1, "process_score_gap": 1}
-    pairs = {r.problem_id: r for r in spark.read.json(str(tmp_path / "p")).collect()}
-    assert (pairs["b"].chosen, pairs["b"].rejected, pairs["b"].weight, pairs["b"].question) == ("answer 1", "answer 3", 0.71, "q b")
-    assert pairs["d"].weight == 0.5 and pairs["a"].weight == 1.0
-    assert {r.split: r.n for r in cli.prepare_dpo(spark, str(tmp_path / "p"), str(tmp_path / "d")).collect()} == {"train": 2, "valid": 1}
-    assert [r.n for r in cli.build_preferences(spark, str(rollouts), str(tmp_path / "q"), True).collect()] == [1]
+def test_preferences_to_dpo(spark, tmp_path, rollouts, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    got = cli.build_preferences(spark, str(rollouts), str(tmp_path / "p"), report_dir=str(tmp_path / "r")).first()
+    assert got.rationales == {"solver_success_beats_failure": 1, "teacher_score_gap": 1, "process_score_gap": 1} and (got.num_pairs, got.skipped_for_unsuccessful_chosen) == (3, 0)
+    pairs = {r.problem_id: r for r in spark.read.schema(cli.PREFERENCE).json(str(tmp_path / "p")).collect()}
+    assert (pairs["b"].chosen.response, pairs["b"].rejected.response, pairs["b"].weight, pairs["b"].question) == ("answer 1", "answer 3", 0.71, "q b")
+    assert pairs["d"].weight == 0.5 and pairs["a"].weight == 1.0 and pairs["a"].chosen.verification.success
+    (tmp_path / "d.yaml").write_text(f"preference_path: {tmp_path}/p\noutput_dir: {tmp_path}/d\n")
+    assert cli.prepare_dpo(spark, str(tmp_path / "d.yaml")).first().asDict() == {"train": 2, "valid": 1, "output_dir": f"{tmp_path}/d"}
+    rows = spark.read.json(str(tmp_path / "d")).collect()
+    assert [r.problem_id for r in rows if r.split == "valid"] == ["d"]  # the last of the file
+    assert all([m.role for m in r.prompt_messages] == ["system", "user"] and r.prompt_messages[1].content.endswith(f"q {r.problem_id}") for r in rows)
+    got = cli.build_preferences(spark, str(rollouts), run_root=str(tmp_path / "runs"), run_prefix="prefs", require_chosen_success=True).first()
+    assert (got.num_pairs, got.skipped_for_unsuccessful_chosen, got.require_chosen_success) == (1, 2, True) and got.run_dir.startswith(f"{tmp_path}/runs/prefs_20")
+    assert spark.read.json(got.output_path).count() == 1
+
+
+def test_later_predictions_count(spark, tmp_path):
+    line = lambda v: json.dumps({"problem_id": "a", "response": "", "code": "print('__RESULT__={\"status\": 0, \"objective_value\": %d}')" % v})
+    (tmp_path / "p.jsonl").write_text("\n".join(map(line, (3, 9, 2))))
+    (tmp_path / "s.jsonl").write_text(json.dumps({"problem_id": "a", "template_name": "tsp", "reference_solution": {"objective_value": 2.0}}))
+    assert cli.evaluate_predictions(spark, str(tmp_path / "s.jsonl"), str(tmp_path / "o"), str(tmp_path / "p.jsonl"), True).first().pass_at_1 == 1.0
+
+
+def test_latest_file(spark, tmp_path):
+    import os
+
+    for name, at in (("a/x_1.json", 100), ("a/x_2.json", 300), ("b/x_3.json", 200), ("b/y.json", 400)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps({"name": name}, indent=1))
+        os.utime(tmp_path / name, (at, at))
+    assert files.latest(spark, f"{tmp_path}/*/x_*.json").endswith("a/x_2.json") and files.latest(spark, f"{tmp_path}/none*") is None
+    assert files.latest_json(spark, f"{tmp_path}/b/*.json") == {"name": "b/y.json"} and files.latest_json(spark, f"{tmp_path}/none*") == {}
+    assert files.relative(f"{tmp_path}/a/report.md", f"{tmp_path}/b/y.json") == "../b/y.json" and files.relative("x", None) == ""
+    files.write_json(str(tmp_path / "deep" / "s.json"), {"a": 1, "b": None})
+    assert (tmp_path / "deep" / "s.json").read_text() == '{\n  "a": 1,\n  "b": null\n}'
+
+
+def test_published_documents(spark):
+    docs = spark.createDataFrame([("a", "# T\n" + "\n".join(f"- {i}" for i in range(23))), ("b", "```\nx\n```")], "doc_id string, text string")
+    sent = []
+    got = {r.doc_id: r.asDict() for r in publish.publish(docs, lambda title, chunks: sent.append((title, chunks)) or f"id-{title}", dry_run=True).collect()}
+    assert got == {"a": {"doc_id": "a", "title": "T", "block_count": 23, "dry_run": True, "document_id": None}, "b": {"doc_id": "b", "title": "b Upload", "block_count": 1, "dry_run": True, "document_id": None}}
+    rows = publish.requests(docs).collect()
+    assert [(r.doc_id, r.chunk, len(r.blocks)) for r in sorted(rows, key=lambda r: (r.doc_id, r.chunk))] == [("a", 0, 10), ("a", 1, 10), ("a", 2, 3), ("b", 0, 1)]
+    assert [r for r in rows if r.doc_id == "b"][0].blocks[0].wrap
+    got = {r.doc_id: r.document_id for r in publish.publish(docs, lambda title, chunks: f"{title}:{','.join(str(len(c)) for c in chunks)}").collect()}
+    assert got == {"a": "T:10,10,3", "b": "b Upload:1"}
+
+
+def test_paths(tmp_path, monkeypatch):
+    for name in ("PROJECT_ROOT", "PROJECT_DATA_DIR", "PROJECT_OUTPUT_DIR"):
+        monkeypatch.delenv(name, raising=False)
+    assert config.mapped("data/x", tmp_path) == f"{tmp_path}/data/x" and config.mapped("runs/a", tmp_path) == f"{tmp_path}/outputs/runs/a" and config.mapped("other/a", tmp_path) == f"{tmp_path}/other/a"
+    monkeypatch.setenv("PROJECT_OUTPUT_DIR", "/elsewhere")
+    assert config.mapped("runs/a", tmp_path) == "/elsewhere/runs/a" and config.mapped("/abs", tmp_path) == "/abs"
+    assert config.folders(tmp_path)["PROJECT_OUTPUT_DIR"] == "/elsewhere" and config.resolve({"model_path": "outputs/m"}, tmp_path) == {"model_path": "/elsewhere/m"}
+    assert config.stage(config.Factory, {"output_dir": "o", "seed": 1, "template_weights": {}, "splits": {}, "num_samples": 7}).target_verified_samples == 7
 
 
 def test_evaluate(spark, tmp_path, rollouts):

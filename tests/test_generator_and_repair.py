@@ -48,6 +48,35 @@ def test_optima_of_instances(made):
         assert r.objective_value > 0
 
 
+def worth(r, m):
+    """What a plan is worth, and whether it keeps the limits."""
+    n, f = len(r.names), r.facts
+    if r.template_name == "assignment":
+        tasks = [r.others.index(m["assignment"][w]) for w in r.names]
+        return sum(r.cells[w][t] for w, t in enumerate(tasks)), sorted(tasks) == list(range(4))
+    if r.template_name == "tsp":
+        return None, m["city_count"] == n
+    if r.template_name == "knapsack":
+        chosen = [x in m["chosen_items"] for x in r.names]
+        return sum(v for v, c in zip(f["value"], chosen, strict=True) if c), sum(w for w, c in zip(f["weight"], chosen, strict=True) if c) <= r.limits[0]
+    if r.template_name == "production_planning":
+        q = [m["production"][x] for x in r.names]
+        assert [m["open"][x] for x in r.names] == [float(v > 0) for v in q]
+        fits = all(0 <= v <= top for v, top in zip(q, f["max_units"], strict=True)) and sum(v * h for v, h in zip(q, f["labor_hours"], strict=True)) <= r.limits[0]
+        return sum(v * g - (s if v else 0) for v, g, s in zip(q, f["margin"], f["setup_cost"], strict=True)), fits
+    q = [m["solution"][x] for x in r.names]
+    fits = min(q) >= 0 and all(sum(u * v for u, v in zip(row, q, strict=True)) <= c + 1e-9 for row, c in zip(r.cells, r.limits, strict=True))
+    return pytest.approx(sum(p * v for p, v in zip(f["profit"], q, strict=True))), fits
+
+
+def test_plans_of_instances(made):
+    rows = {r.seed: r for r in made.collect()}
+    for r in O.solve(made).collect():
+        value, fits = worth(rows[r.seed], json.loads(r.metadata))
+        assert fits and (value is None or r.objective_value == value), r
+        assert rows[r.seed].scenario in I.SCENARIOS[r.template_name]
+
+
 def test_instances_keep_their_bounds_and_do_not_depend_on_partitions(spark, made):
     rows = {r.seed: r for r in made.collect()}
     assert rows == {r.seed: r for r in I.instances(spark.range(0, 200, 1, 9).withColumnRenamed("id", "seed").repartition(5)).collect()}

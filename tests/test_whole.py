@@ -16,7 +16,7 @@ def first_code(text):
 
 
 def test_code_start_of_every_response(spark):
-    got = {r.doc_id: r.start for r in catalog.queries()["code_start_all"](spark, SF).collect()}
+    got = {r.doc_id: r.start for r in catalog.queries()["code_start"](spark, SF).collect()}
     want = {r.doc_id: first_code(r.response) for r in view(spark, SF, "responses").collect()}
     assert got == want and {i % 5 for i in got} == set(range(5))
 
@@ -32,6 +32,10 @@ def test_code_start_by_each_pattern(spark):
 
 def asked(r):
     """The question of an instance, by its rows."""
+    return f"Setting: {r.scenario}\n" + asked_plainly(r)
+
+
+def asked_plainly(r):
     facts = lambda i, *parts: "".join(f"{p}{r.facts[f][i]}" for p, f in parts)
     each = lambda *parts: [f"- {n}: " + facts(i, *parts) for i, n in enumerate(r.names)]
     table = lambda cols: [f"- {n}: " + ", ".join(f"{c} {v}" for c, v in zip(cols, row, strict=True)) for n, row in zip(r.names, r.cells, strict=True)]
@@ -49,6 +53,6 @@ def asked(r):
 
 def test_questions_of_every_instance(spark):
     made = I.instances(spark.read.parquet(f"{SF}/customer.parquet").selectExpr("c_custkey AS seed")).collect()
-    got = catalog.queries()["render_question_all"](spark, SF).collect()
+    got = catalog.queries()["render_question"](spark, SF).collect()
     assert sorted((r.seed, r.template_name, r.question) for r in got) == sorted((r.seed, r.template_name, asked(r)) for r in made)
     assert {r.template_name for r in got} == set(I.POOLS) and len(got) == spark.read.parquet(f"{SF}/customer.parquet").count()
