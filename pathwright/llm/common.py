@@ -2,46 +2,41 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that one Arrow batch holds: a batch of texts stays small even where all of them are long.
-BATCH_ROWS = 256
+from ..sources.jsonl import scratch
+
+#: Rows and bytes that a scan takes at once, of a batch as Spark hands it over (whose size the session's own settings bound).
+SLICE_ROWS = 256
+SLICE_BYTES = 16 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a folder of this process where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + _own_folder()
-    return f"{base.rstrip('/')}/pathwright-{name}-{uuid.uuid4().hex}"
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, and of fewer where rows are long on average."""
+    for batch in batches:
+        n = min(rows, max(1, int(SLICE_BYTES * batch.num_rows / max(1, batch.nbytes))))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
 
 
-_OWN: list[str] = []
+#: Paths given out, in order.
+_GIVEN: list[str] = []
 
 
-def _own_folder() -> str:
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="pathwright-"))
-        atexit.register(shutil.rmtree, _OWN[0], True)
-    return _OWN[0]
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder (see sources.jsonl.scratch)."""
+    _GIVEN.append(scratch(spark, name))
+    return _GIVEN[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,28 +47,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a written() table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {os.path.dirname(p) for p in df.inputFiles()}:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes, at the end, what was written meanwhile. The function given writes a table that stays."""
+    first, kept = len(_GIVEN), set()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        at = len(_GIVEN)
+        out = written(df, name)
+        kept.add(_GIVEN[at])
+        return out
+
+    yield keep
+    for path in _GIVEN[first:]:
+        if path not in kept:
+            delete(spark, path)
+    _GIVEN[first:] = [p for p in _GIVEN[first:] if p in kept]
 
 
 Scan = Callable[[list], list[pa.Array]]
 
 
 def append_scan(df: DataFrame, column: str, fields: list[T.StructField], factory: Callable[[], Scan]) -> DataFrame:
-    """df with `fields` appended. factory() gives, once for each task, the function from a batch of `column` to the new arrays.
+    """df with `fields` appended. factory() gives, once for each task, the function from a slice of `column` to the new arrays.
 
     The new names must not be in df; callers use names of their own (see fresh())."""
-    small_batches(df.sparkSession)
     place = df.columns.index(column)
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = factory()
-        for batch in batches:
+        for batch in slices(batches):
             new = scan(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 

@@ -8,7 +8,7 @@ meaning (menus, footers, forms, adverts, comments, ...) are bound to the sink. N
 page's text while no article or main is clear of it has no such meaning, nor has one around main, nor one around an article if
 no other article is clear of all.
 
-The classifier starts from PRIOR and is fitted on the blocks of a bounded sample of pages (SAMPLE_PAGES) whose structure
+The classifier starts from PRIOR and is fitted on the blocks of a bounded sample of pages (SAMPLE_PAGES, none of more than SAMPLE_CHARS characters) whose structure
 tells what they are; every such block counts twice, once without its structural features, so that it also learns to do
 without them. Pages are processed whole.
 
@@ -50,8 +50,6 @@ BOUNDS = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table"}, "th": {"
 
 _TOKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<!\[CDATA\[|<[!?/]")
 _VALUE = re.compile(r">|=\s*(?:([\"'])|[^\s>\"'][^\s>]*)?")
-#: How many ancestors of a block count.
-ANCESTORS = 32
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _NAME = re.compile(r"[^a-z0-9]+")
 
@@ -62,7 +60,7 @@ PRIOR = np.array([-0.5, 3.5, 1.5, 0.8, 1.0, -0.6, -3.5, 0.9, 0.8, -0.6])
 
 
 class Block:
-    __slots__ = ("article", "bad", "chars", "container", "depth", "good", "linked", "path", "root", "tag", "text")
+    __slots__ = ("article", "bad", "chars", "common", "container", "depth", "good", "linked", "root", "tag", "text")
 
 
 class Roots:
@@ -132,16 +130,19 @@ def blocks_of(page: str | None) -> list[Block]:
     linked = numbers = 0
     outer: list[tuple] = []  # those of stack that are not inline
     opened: dict[str, int] = {}
+    low = 0  # the least depth since the last block: so many elements hold both that block and the next one
 
     def drop() -> str:
+        nonlocal low
         tag = stack.pop()[0]
         opened[tag] -= 1
         if tag not in INLINE:
             outer.pop()
+            low = min(low, len(outer))
         return tag
 
     def flush():
-        nonlocal held, linked
+        nonlocal held, linked, low
         if held:
             raw = "".join(held)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
@@ -150,9 +151,9 @@ def blocks_of(page: str | None) -> list[Block]:
                 b.text, b.chars, b.linked = text, len(text), min(linked, len(text))
                 b.tag = outer[-1][0] if outer else ""
                 b.root, b.good, b.article = state[2], state[3], state[4]
-                b.path = {s[1] for s in outer[-ANCESTORS:]}
                 b.container = outer[-2][1] if len(outer) > 1 else 0
-                b.depth = len(b.path)
+                b.depth, b.common = len(outer), low
+                low = len(outer)
                 out.append(b)
         held, linked = [], 0
 
@@ -363,7 +364,7 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     for i, b in enumerate(blocks):
         if i:
             a = blocks[i - 1]
-            join(i - 1, i, NEAR * len(a.path & b.path) / max(1, a.depth, b.depth))
+            join(i - 1, i, NEAR * b.common / max(1, a.depth, b.depth))
         j = last.get(b.container)
         if j is not None and not (b.bad or blocks[j].bad):
             join(j, i, DOM)

@@ -1,13 +1,18 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays that workers memory-map.
 
-Tables, each cut into shards by the leading bits of a uniform 64-bit key, sorted by key within a shard:
+Tables, each in at most 2^FILE_BITS files by the leading bits of a uniform 64-bit key, sorted by key:
   words    key = hash of the word, value = its count; a word's number is its place over all shards
   bigrams  key = a one-to-one mix of (number before, number), value = its count
   numbers  per word number: how many distinct words follow it once, twice, more often, and how many precede it
-Counting tasks combine their own n-grams first and send each shard one packed block; the shards' tasks merge the blocks
-and write the files into the shared folder (a rerun task writes the same bytes under a new name and moves them in
-place). Only the list of shards goes to the driver. Scoring tasks map the files; the sorted distinct keys of a batch are
-looked up shard by shard. Where the shared folder is not a local path, a worker copies a shard before it maps it.
+Counting tasks combine their own n-grams first and send each shard (of SHARD_TEXT of text) one packed block; the shards' tasks
+merge the blocks and write their part of the order into the shared folder (a rerun task writes the same bytes under a new name and
+moves them in place). Where there are more shards than files, a task for each file joins its shards end to end, a piece at a time.
+Only the list of files goes to the driver. Numbers of followers and predecessors are added up FAN blocks at a time. Scoring tasks map
+the files, at most OPEN at once; the sorted distinct keys of a batch are looked up file by file. Where the shared folder is not a
+local path, a worker copies a file to map it, and the copy goes with the map.
+
+A word is known by 64 bits, a random multiple of each of its bytes by place, summed and mixed: two given words share them with a
+chance of about 2^-60, and would then count as one word; of the at most 2^32 words, hardly a pair will.
 
 A text is its words, then one end token; the context of the first token is a begin mark. Discounts are the usual three,
 from counts of counts, and each is held between 0 and its count. The distribution of continuations is interpolated with
@@ -18,13 +23,13 @@ dealt to training. With no training text each token has probability 1 / (V + 1)
 
 from __future__ import annotations
 
-import atexit
 import math
 import os
 import shutil
 import tempfile
 import uuid
 from collections import OrderedDict
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, shared_folder
+from .common import delete, id_bucket, shared_folder, slices
 
 #: Tokens that a task gathers before it combines and sends them.
 GATHER = 3_000_000
@@ -42,12 +47,15 @@ SHARD_TEXT = 16 << 20
 #: Word numbers for each task that adds up their statistics.
 PART = 1 << 18
 BATCH = 512
+#: Files of a table, as a power of 2; files that a worker maps at once; blocks of statistics that are added up at once.
+FILE_BITS = 6
+OPEN = 160
+FAN = 32
 _SLAB = 4 << 20
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = 0x9E3779B97F4A7C15
 _M1, _M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
@@ -72,16 +80,14 @@ _VALUE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
 END = int(mix(np.array([0x0E0D], _U))[0])
 
-_POWERS: list[np.ndarray] = []
+_FACTORS = [np.zeros(0, _U)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, _SLAB + 1)
-        up, down = np.full(n, _BASE, _U), np.full(n, _INVERSE, _U)
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.cumprod(up), np.cumprod(down)]
-    return _POWERS[0], _POWERS[1]
+def _factors(n: int) -> np.ndarray:
+    """Odd random numbers, one for each place in a word."""
+    if len(_FACTORS[0]) < n:
+        _FACTORS[0] = mix((np.arange(max(n, 1024, 2 * len(_FACTORS[0])), dtype=_U) + _U(1)) * _U(_STEP)) | _U(1)
+    return _FACTORS[0]
 
 
 def _slab_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +101,13 @@ def _slab_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     after = np.zeros(n, bool)
     after[:-1] = word[1:]
     after[ends[(ends > 0)] - 1] = False
-    stop = np.flatnonzero(word & ~after) + 1
-    up, down = _powers(n)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(_VALUE[data] * up[:n], out=total[1:])
-    h = (total[stop] - total[start]) * down[start]
-    return mix(h + (stop - start).astype(_U)), np.searchsorted(start, ends)
+    size = np.flatnonzero(word & ~after) + 1 - start
+    if not len(start):
+        return np.zeros(0, _U), np.searchsorted(start, ends)
+    first = np.cumsum(size) - size  # among the bytes of words alone
+    terms = _VALUE[data[word]]
+    terms *= _factors(int(size.max()))[np.arange(len(terms)) - np.repeat(first, size)]
+    return mix(np.add.reduceat(terms, first) ^ (size.astype(_U) * _U(_STEP))), np.searchsorted(start, ends)
 
 
 def token_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -154,39 +161,55 @@ class Store:
         self.uri = uri
         self.local = uri[len("file:") :].replace("//", "/", 1).replace("//", "/") if uri.startswith("file:") else uri if uri.startswith("/") else None
 
-    def save(self, name: str, array: np.ndarray) -> None:
+    @contextmanager
+    def writer(self, name: str):
+        """A file that is there, whole, when the block has ended."""
         own = f"{name}.{uuid.uuid4().hex}"
         if self.local:
-            os.makedirs(self.local, exist_ok=True)
+            os.makedirs(os.path.dirname(f"{self.local}/{name}"), exist_ok=True)
             with open(f"{self.local}/{own}", "wb") as f:
-                f.write(memoryview(np.ascontiguousarray(array)).cast("B") if len(array) else b"")
+                yield f
             os.replace(f"{self.local}/{own}", f"{self.local}/{name}")
             return
         fs, path = pafs.FileSystem.from_uri(self.uri)
-        fs.create_dir(path, recursive=True)
+        fs.create_dir(os.path.dirname(f"{path}/{name}"), recursive=True)
         with fs.open_output_stream(f"{path}/{own}") as f:
-            f.write(np.ascontiguousarray(array).tobytes())
+            yield f
         fs.move(f"{path}/{own}", f"{path}/{name}")
 
+    def save(self, name: str, array: np.ndarray) -> None:
+        with self.writer(name) as f:
+            if len(array):
+                f.write(memoryview(np.ascontiguousarray(array)).cast("B"))
+
+    def reader(self, name: str):
+        if self.local:
+            return open(f"{self.local}/{name}", "rb")
+        fs, path = pafs.FileSystem.from_uri(self.uri)
+        return fs.open_input_stream(f"{path}/{name}")
+
     def map(self, name: str, kind: str, n: int) -> np.ndarray:
+        """A file as an array; the OPEN files used last stay mapped."""
         if not n:
             return np.zeros(0, kind)
-        path = f"{self.local}/{name}" if self.local else self._copied(name)
-        return np.memmap(path, kind, "r", shape=(n,))
-
-    def _copied(self, name: str) -> str:
-        if not _COPIES:
-            _COPIES.append(tempfile.mkdtemp(prefix="pathwright-model-"))
-            atexit.register(shutil.rmtree, _COPIES[0], True)
-        path = f"{_COPIES[0]}/{abs(hash((self.uri, name)))}"
-        if not os.path.exists(path):
-            fs, base = pafs.FileSystem.from_uri(self.uri)
-            with fs.open_input_stream(f"{base}/{name}") as f, open(path, "wb") as out:
-                shutil.copyfileobj(f, out)
-        return path
+        key = (self.uri, name)
+        if key in _MAPS:
+            _MAPS.move_to_end(key)
+            return _MAPS[key]
+        if self.local:
+            got = np.memmap(f"{self.local}/{name}", kind, "r", shape=(n,))
+        else:
+            with self.reader(name) as f, tempfile.NamedTemporaryFile(prefix="pathwright-model-") as copy:  # the map outlives the name
+                shutil.copyfileobj(f, copy, 1 << 22)
+                copy.flush()
+                got = np.memmap(copy.name, kind, "r", shape=(n,))
+        _MAPS[key] = got
+        while len(_MAPS) > OPEN:
+            _MAPS.popitem(last=False)
+        return got
 
 
-_COPIES: list[str] = []
+_MAPS: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -240,20 +263,14 @@ def _added(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.
 
 
 class Table:
-    """Shards of sorted keys with counts; find() gives places over all shards, -1 where a key is missing."""
+    """Files of sorted keys with counts; find() gives places over all files, -1 where a key is missing."""
 
     def __init__(self, store: Store, name: str, bits: int, sizes: list[int], kinds: list[str]):
         self.store, self.name, self.bits, self.sizes, self.kinds = store, name, bits, sizes, kinds
         self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.open: dict[int, tuple] = {}
 
-    def __getstate__(self):
-        return self.__dict__ | {"open": {}}
-
-    def _shard(self, s: int) -> tuple:
-        if s not in self.open:
-            self.open[s] = self.store.map(f"{self.name}-{s}.keys", "<u8", self.sizes[s]), self.store.map(f"{self.name}-{s}.counts", self.kinds[s], self.sizes[s])
-        return self.open[s]
+    def _file(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.store.map(f"{self.name}-{s}.keys", "<u8", self.sizes[s]), self.store.map(f"{self.name}-{s}.counts", self.kinds[s], self.sizes[s])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and counts of sorted distinct keys."""
@@ -263,7 +280,7 @@ class Table:
         edges = np.searchsorted(keys >> _U(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=_U)) if self.bits else np.array([0, len(keys)])
         for s in np.flatnonzero(np.diff(edges)):
             if self.sizes[s]:
-                have, n = self._shard(int(s))
+                have, n = self._file(int(s))
                 some = slice(edges[s], edges[s + 1])
                 at = np.minimum(np.searchsorted(have, keys[some]), len(have) - 1)
                 hit = have[at] == keys[some]
@@ -294,12 +311,30 @@ def _row(**some) -> pa.Table:
     return pa.table({k: pa.array([some.get(k)], t) for k, t in kinds.items()})
 
 
-def _write(store: Store, name: str, table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+def _joined(store: Store, name: str, shift: int):
+    """The function that joins the shards of one file, given their rows of the manifest, and gives the file's row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.select(["shard", "n", "kind"]).to_pylist(), key=lambda r: r["shard"])
+        s, kind = rows[0]["shard"] >> shift, max((r["kind"] for r in rows), key=lambda k: np.dtype(k).itemsize)
+        for ending, to in (("keys", "<u8"), ("counts", kind)):
+            with store.writer(f"{name}-{s}.{ending}") as out:
+                for r in rows:
+                    have = np.dtype("<u8" if ending == "keys" else r["kind"])
+                    with store.reader(f"shards-{name}/{name}-{r['shard']}.{ending}") as f:
+                        while piece := f.read(have.itemsize << 19):
+                            out.write(np.frombuffer(piece, have).astype(to).tobytes())
+        return _row(shard=s, n=sum(r["n"] for r in rows), kind=kind)
+
+    return run
+
+
+def _write(store: Store, folder: str, name: str, table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     s = table["shard"][0].as_py()
     keys, counts = _merged(table)
     small = _smallest(counts)
-    store.save(f"{name}-{s}.keys", keys.astype("<u8"))
-    store.save(f"{name}-{s}.counts", small)
+    store.save(f"{folder}{name}-{s}.keys", keys.astype("<u8"))
+    store.save(f"{folder}{name}-{s}.counts", small)
     c = [int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
     return _row(shard=s, n=len(keys), kind=small.dtype.str, total=int(counts.sum()), c1=c[0], c2=c[1], c3=c[2], c4=c[3]), keys, counts
 
@@ -314,24 +349,19 @@ def discounts(c1: int, c2: int, c3: int, c4: int) -> tuple[float, float, float]:
 class Model:
     """The manifest of a trained model; tables are mapped by whoever uses it."""
 
-    def __init__(self, words: Table, bigrams: Table, store: Store, n_tokens: int, n_texts: int, parts: int, bigram_d: tuple, word_d: tuple, continuations: int, spread: float):
+    def __init__(self, words: Table, bigrams: Table, store: Store, n_tokens: int, n_texts: int, part: int, bigram_d: tuple, word_d: tuple, continuations: int, spread: float):
         self.words, self.bigrams, self.store = words, bigrams, store
-        self.n_tokens, self.n_texts, self.parts = n_tokens, n_texts, parts
+        self.n_tokens, self.n_texts, self.part = n_tokens, n_texts, part
         self.bigram_d, self.word_d, self.continuations, self.spread = bigram_d, word_d, continuations, spread
         self.types = int(words.base[-1])
-        self._stats: OrderedDict = OrderedDict()
-
-    def __getstate__(self):
-        return self.__dict__ | {"_stats": OrderedDict()}
 
     def statistics(self, ids: np.ndarray) -> np.ndarray:
         """Rows of (followers once, twice, more; predecessors) by sorted word numbers below V + 1 (V is the begin mark)."""
         out = np.zeros((len(ids), 4), np.float64)
-        edges = np.searchsorted(ids, np.arange(self.parts + 1) * PART)
+        edges = np.searchsorted(ids, np.arange(self.types // self.part + 2) * self.part)
         for p in np.flatnonzero(np.diff(edges)):
-            if p not in self._stats:
-                self._stats[p] = self.store.map(f"numbers-{p}", "<u8", PART * 4).reshape(-1, 4)
-            out[edges[p] : edges[p + 1]] = self._stats[p][ids[edges[p] : edges[p + 1]] - p * PART]
+            rows = self.store.map(f"numbers-{p}", "<u8", self.part * 4).reshape(-1, 4)
+            out[edges[p] : edges[p + 1]] = rows[ids[edges[p] : edges[p + 1]] - p * self.part]
         return out
 
     def score(self, texts: list) -> dict[str, np.ndarray]:
@@ -373,28 +403,34 @@ def _discount(c: np.ndarray, d1: float, d2: float, d3: float) -> np.ndarray:
 
 
 def train(texts: DataFrame, text_col: str = "text") -> Model:
-    spark = texts.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    spark, part = texts.sparkSession, PART
     df = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size, n_texts = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     bits = max(0, math.ceil(math.log2(max(1, size / SHARD_TEXT))))
     folder = shared_folder(spark, "ngrams")
     store = Store(f"{folder}/arrays")
+    inside = lambda name: f"shards-{name}/" if bits > FILE_BITS else ""
 
-    def stage(blocks: DataFrame, reduce, name: str) -> DataFrame:
-        blocks.groupBy("shard").applyInArrow(reduce, _FILES).write.option("compression", "none").parquet(f"{folder}/{name}")
+    def stage(blocks: DataFrame, reduce, name: str, *by: str) -> DataFrame:
+        blocks.groupBy(*(by or ("shard",))).applyInArrow(reduce, _FILES).write.option("compression", "none").parquet(f"{folder}/{name}")
         return spark.read.schema(_FILES).parquet(f"{folder}/{name}")
 
-    def table(name: str, bits: int, rows: DataFrame) -> tuple[Table, list]:
-        got = {r["shard"]: r for r in rows.where("n is not null").select("shard", "n", "kind", "total", "c1", "c2", "c3", "c4").collect()}
-        shards = [got.get(s) for s in range(1 << bits)]
-        return Table(store, name, bits, [r["n"] if r else 0 for r in shards], [r["kind"] if r else "u1" for r in shards]), list(got.values())
+    def table(name: str, rows: DataFrame) -> tuple[Table, dict]:
+        shards = rows.where("n is not null")
+        sums = shards.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "c1", "c2", "c3", "c4")]).first().asDict()
+        if bits > FILE_BITS:
+            shards = stage(shards.withColumn("to", F.shiftright("shard", bits - FILE_BITS)), _joined(store, name, bits - FILE_BITS), f"{name}-files", "to")
+        got = {r["shard"]: r for r in shards.select("shard", "n", "kind").collect()}  # one row a file
+        if bits > FILE_BITS:
+            delete(spark, f"{folder}/arrays/shards-{name}")
+        files = [got.get(s) for s in range(1 << min(bits, FILE_BITS))]
+        return Table(store, name, min(bits, FILE_BITS), [r["n"] if r else 0 for r in files], [r["kind"] if r else "u1" for r in files]), sums
 
     def count_words(batches):
-        return _gathered(batches, lambda b: token_hashes(b.column(0).to_pylist())[0], bits)
+        return _gathered(slices(batches, BATCH), lambda b: token_hashes(b.column(0).to_pylist())[0], bits)
 
-    words, rows = table("words", bits, stage(df.mapInArrow(count_words, _BLOCKS), lambda t: _write(store, "words", t)[0], "words"))
-    n_tokens = sum(r["total"] for r in rows)
+    words, sums = table("words", stage(df.mapInArrow(count_words, _BLOCKS), lambda t: _write(store, inside("words"), "words", t)[0], "words"))
+    n_tokens = sums["total"]
     v = int(words.base[-1])
     if v >= (1 << 32) - 1:
         raise ValueError("more distinct words than 32-bit numbers")
@@ -409,7 +445,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
         return mix((a << _U(32)) | b)
 
     def merge_pairs(t: pa.Table) -> pa.Table:
-        row, keys, counts = _write(store, "bigrams", t)
+        row, keys, counts = _write(store, inside("bigrams"), "bigrams", t)
         pair = unmix(keys)
         a, b = (pair >> _U(32)).astype(np.int64), (pair & _U(0xFFFFFFFF)).astype(np.int64)
         ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -418,32 +454,43 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
             stats[:, k] = np.bincount(where[: len(a)][some], minlength=len(ids))
         stats[:, 3] = np.bincount(where[len(a) :], minlength=len(ids))
         out = [row]
-        for p in np.unique(ids // PART):
-            some = ids // PART == p
-            out.append(_row(part=int(p), ids=pack(np.diff(ids[some] - p * PART, prepend=0).astype("<u4")), stats=pack(np.ascontiguousarray(stats[some]).astype("<u8"))))
+        for p in np.unique(ids // part):
+            some = ids // part == p
+            out.append(_row(shard=row["shard"][0].as_py(), part=int(p), ids=pack(np.diff(ids[some] - p * part, prepend=0).astype("<u4")), stats=pack(np.ascontiguousarray(stats[some]).astype("<u8"))))
         return pa.concat_tables(out)
 
-    found = stage(df.mapInArrow(lambda batches: _gathered(batches, pairs_of, bits), _BLOCKS), merge_pairs, "bigrams")
-    bigrams, rows = table("bigrams", bits, found)
-    bigram_d = discounts(*[sum(r[f"c{k}"] for r in rows) for k in (1, 2, 3, 4)])
+    found = stage(df.mapInArrow(lambda batches: _gathered(slices(batches, BATCH), pairs_of, bits), _BLOCKS), merge_pairs, "bigrams")
+    bigrams, sums = table("bigrams", found)
+    bigram_d = discounts(*[sums[f"c{k}"] for k in (1, 2, 3, 4)])
+
+    def added(t: pa.Table) -> np.ndarray:
+        total = np.zeros((part, 4), np.uint64)
+        for ids, stats in zip(t["ids"], t["stats"], strict=True):
+            total[np.cumsum(unpack(ids.as_py(), "<u4"), dtype=np.int64)] += unpack(stats.as_py(), "V32").view("<u8").reshape(-1, 4)
+        return total
+
+    def merge_parts(t: pa.Table) -> pa.Table:
+        total = added(t)
+        ids = np.flatnonzero(total.any(axis=1))
+        return pa.table({"part": t["part"][:1].cast(pa.int32()), "shard": t["to"][:1].cast(pa.int32()), "ids": pa.array([pack(np.diff(ids, prepend=0).astype("<u4"))], pa.binary()), "stats": pa.array([pack(np.ascontiguousarray(total[ids]).astype("<u8"))], pa.binary())})
 
     def add_up(t: pa.Table) -> pa.Table:
-        p = t["part"][0].as_py()
-        total = np.zeros((PART, 4), np.uint64)
-        for ids, stats in zip(t["ids"].to_pylist(), t["stats"].to_pylist(), strict=True):
-            total[np.cumsum(unpack(ids, "<u4"), dtype=np.int64)] += unpack(stats, "V32").view("<u8").reshape(-1, 4)
+        p, total = t["part"][0].as_py(), added(t)
         store.save(f"numbers-{p}", total.astype("<u8"))
         c = [int(np.count_nonzero(total[:, 3] == k)) for k in (1, 2, 3, 4)]
         return _row(part=p, n=int(np.count_nonzero(total[:, 3])), total=int(total[:, 3].sum()), c1=c[0], c2=c[1], c3=c[2], c4=c[3])
 
-    parts = found.where("part is not null").select("part", "ids", "stats")
+    parts, left = found.where("part is not null").select("part", "shard", "ids", "stats"), 1 << bits
+    while left > FAN:
+        parts = parts.withColumn("to", F.floor(F.col("shard") / FAN).cast("int")).groupBy("part", "to").applyInArrow(merge_parts, "part int, shard int, ids binary, stats binary")
+        left = -(-left // FAN)
     parts.groupBy("part").applyInArrow(add_up, _FILES).write.parquet(f"{folder}/numbers")
     sums = spark.read.schema(_FILES).parquet(f"{folder}/numbers").select("part", "n", "total", "c1", "c2", "c3", "c4").collect()
     c = [sum(r[f"c{k}"] for r in sums) for k in (1, 2, 3, 4)]
     word_d = discounts(*c)
     more = sum(r["n"] for r in sums) - c[0] - c[1]
     spread = word_d[0] * c[0] + word_d[1] * c[1] + word_d[2] * more
-    return Model(words, bigrams, store, n_tokens, n_texts, v // PART + 1, bigram_d, word_d, sum(r["total"] for r in sums), spread)
+    return Model(words, bigrams, store, n_tokens, n_texts, part, bigram_d, word_d, sum(r["total"] for r in sums), spread)
 
 
 def score_texts(docs: DataFrame, held_out: int = 2, folds: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -454,7 +501,7 @@ def score_texts(docs: DataFrame, held_out: int = 2, folds: int = 7, id_col: str
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, BATCH):
             got = shared.value.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(got.values(), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]], names=["doc_id", *got])
 

@@ -6,7 +6,8 @@ are pushed. The count is the number of bytes less the number of merges. Counts o
 of bounded size.
 
 Defined results: a null text counts as the empty one (0 bytes, 0 tokens); special strings in a text are one token each,
-as the vocabulary's library takes them by default. Every row gives one row; extra columns do not matter."""
+as the vocabulary's library takes them by default. Texts are counted whole, however long; a piece of n bytes takes n log n steps. Every
+row gives one row, repeated rows too; extra columns do not matter."""
 
 from __future__ import annotations
 
@@ -21,8 +22,9 @@ from pyspark.sql import types as T
 
 from .common import append_scan
 
-#: Pieces whose counts a worker keeps; beyond it the table starts anew.
+#: Pieces whose counts a worker keeps, and the most characters that one of them has; beyond the first the table starts anew.
 KNOWN_PIECES = 500_000
+KNOWN_CHARS = 48
 #: Fixed value: how byte-level vocabularies of this family cut text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,9 +54,11 @@ class PieceCounts(dict):
             self.rank.setdefault((self.ids[a], self.ids[b]), (r, whole))
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= KNOWN_PIECES:
-            self.clear()
-        n = self[piece] = self.count(piece.encode("utf-8", "surrogatepass"))
+        n = self.count(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= KNOWN_CHARS:
+            if len(self) >= KNOWN_PIECES:
+                self.clear()
+            self[piece] = n
         return n
 
     def count(self, data: bytes) -> int:

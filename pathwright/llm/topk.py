@@ -1,7 +1,8 @@
 """Exact top-k inner products by columnar branch and bound.
 
-The query set is taken in blocks of bounded size; each block is broadcast and held against all rows in one pass. A task
-keeps the k best of each query. A batch of candidates lies in vertical layout (one row of the array for a dimension) with
+The query set is taken in blocks of QUERY_BYTES; each block is broadcast and held against all rows in one pass. A task
+keeps the k best of each query, of those only that reach the k-th best among SEEDS rows that the driver has scored: of a table of
+n rows, tasks send about k x n / SEEDS rows a query at most, however many tasks there are. A batch of candidates lies in vertical layout (one row of the array for a dimension) with
 the dimensions that carry most of the queries' mass first; scores grow one block of dimensions at a time, and after each
 block a pair survives only if its partial score plus the product of the two remaining norms can still reach the query's
 k-th best. Candidates without surviving pairs are compacted away; when few pairs are left, they alone go on.
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import shared_folder, slices, written
 
-QUERY_BLOCK = 2048
+QUERY_BYTES = 24 << 20
+SEEDS = 2048
 CANDIDATE_ROWS = 4096
 _AT_ONCE = 256
 _DIMS = 16
@@ -39,8 +41,9 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
 class Best:
     """The k best candidates of each query so far: higher scores first, then smaller ids."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.k, n = ids, k, len(ids)
+        self.floor = np.full(n, -np.inf) if floor is None else floor  # no score below it is among the best
         self.vectors = vectors
         self.score = np.full((n, k), -np.inf)
         self.found = np.full((n, k), _LONG, np.int64)
@@ -65,7 +68,7 @@ class Best:
 
     def search(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Takes a batch of candidates, already scaled."""
-        ids, x = _without_copies(ids, x, self.k + 1)
+        ids, x = _without_copies(ids, x, self.k)
         if x.shape[1] and self.most * float(np.abs(x).max(initial=0)) * x.shape[1] >= _EXACT:
             self._whole_numbers(ids, x)
             return
@@ -78,7 +81,7 @@ class Best:
     def _bounded(self, some: slice, ids: np.ndarray, x: np.ndarray) -> None:
         q = self.q[some]
         n, d = q.shape
-        least = self.score[some, -1][:, None]
+        least = np.maximum(self.score[some, -1], self.floor[some])[:, None]
         columns = np.ascontiguousarray(x.T)
         score = np.zeros((n, len(ids)))
         rest_q, rest_x = (q**2).sum(axis=1), (x**2).sum(axis=1)
@@ -137,18 +140,35 @@ class Best:
 
 
 def _without_copies(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal vectors, the k rows of smallest ids: no others can be among the best."""
+    """Of equal vectors, k rows at most of each of the k + 1 smallest ids: without those of any one id, the k best are still there."""
     if x.shape[1] == 0:
         group = np.zeros(len(ids), np.int64)
     else:
         group = np.unique(np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, 8 * x.shape[1]))).ravel(), return_inverse=True)[1]
     order = np.lexsort((ids, group))
-    first = np.searchsorted(group[order], np.arange(group.max(initial=-1) + 1))
-    place = np.arange(len(order)) - first[group[order]]
-    keep = np.sort(order[place < k])
+    g, i, at = group[order], ids[order], np.arange(len(order))
+    new_group = np.diff(g, prepend=-1) != 0
+    new_id = new_group | (np.diff(i, prepend=0) != 0)
+    copy = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    nth = np.cumsum(new_id)
+    nth -= np.maximum.accumulate(np.where(new_group, nth, 0))
+    keep = np.sort(order[(copy < k) & (nth <= k)])
     return ids[keep], x[keep]
 
 
+def floors(ids: np.ndarray, vectors: np.ndarray, seed_ids: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among some candidates; -inf where there are fewer, or where doubles could round."""
+    out = np.full(len(ids), -np.inf)
+    if len(seed_ids) < k or not seeds.shape[1] or float(np.abs(vectors).max(initial=0)) * float(np.abs(seeds).max(initial=0)) * seeds.shape[1] >= _EXACT:
+        return out
+    for at in range(0, len(ids), _AT_ONCE):
+        some = slice(at, at + _AT_ONCE)
+        score = vectors[some] @ seeds.T
+        score[ids[some, None] == seed_ids[None, :]] = -np.inf
+        out[some] = np.partition(score, len(seed_ids) - k, axis=1)[:, len(seed_ids) - k]
+    return out
+
+
 def _by_length(batch: pa.RecordBatch):
     """(components, ids, scaled vectors) of a batch's rows that take part."""
     ids, vectors = batch.column(0), batch.column(1)
@@ -164,28 +184,26 @@ def _by_length(batch: pa.RecordBatch):
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of `vectors` with the highest scores for each row of `queries`."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CANDIDATE_ROWS))
 
     def clean(df: DataFrame) -> DataFrame:
         df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
         return df.where(F.col("vec_id").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) <= F.lit(1.7e308 / 256))), F.lit(False)))
 
     rows = clean(vectors)
-    asked = clean(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    asked = written(clean(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "asked")
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n * 8 * max(1, width) / QUERY_BYTES))
+    sample = {d: (i, x) for b in rows.limit(SEEDS).toArrow().combine_chunks().to_batches() for d, i, x in _by_length(b)}
     folder = shared_folder(spark, "topk")
     for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        by_length: dict[int, tuple[list, list]] = {}
-        for r in block:
-            got = by_length.setdefault(len(r["v"]), ([], []))
-            got[0].append(r["vec_id"])
-            got[1].append(r["v"])
-        shared = spark.sparkContext.broadcast({d: (np.array(i, np.int64), scaled(np.array(v, np.float64).reshape(len(i), d))) for d, (i, v) in by_length.items()})
+        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks().to_batches()
+        by_length = {d: (i, x) for part in block for d, i, x in _by_length(part)}
+        none = np.zeros(0, np.int64)
+        shared = spark.sparkContext.broadcast({d: (i, x, floors(i, x, *sample.get(d, (none, np.zeros((0, d)))), k)) for d, (i, x) in by_length.items()})
 
         def run(batches, shared=shared):
-            best = {d: Best(*q, k) for d, q in shared.value.items()}
-            for batch in batches:
+            best = {d: Best(i, x, k, floor) for d, (i, x, floor) in shared.value.items()}
+            for batch in slices(batches, CANDIDATE_ROWS):
                 for d, ids, x in _by_length(batch):
                     if d in best:
                         best[d].search(ids, x)

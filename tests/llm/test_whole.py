@@ -7,7 +7,7 @@ import warnings
 import numpy as np
 import pytest
 
-from pathwright.llm import licenses, main_text, mixing
+from pathwright.llm import decontamination, language_id, licenses, main_text, mixing, ngram_model, personal_data, simhash, topk
 
 
 @pytest.mark.parametrize("spread", [3.0, 1.0])
@@ -91,3 +91,47 @@ def test_quoted_attributes_of_any_length():
     main_text.blocks_of("<a x='>" * 100_001 + '<b y="' * 100_001)
     main_text.blocks_of("<a x='\">" * 50_000 + "<b y=\"z'>" * 50_001)
     assert time.time() - start < 30
+
+
+def thue_morse(k, flip):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(1 << k))
+
+
+def test_words_of_the_corpus_that_other_hashes_confuse():
+    words = [thue_morse(k, f) for k in range(1, 13) for f in (0, 1)] + [a + b for a in "abcdefgh" for b in "abcdefgh"] + ["x" * n for n in range(1, 3000)]
+    words = sorted(set(words))
+    h, ends = ngram_model.token_hashes([" ".join(words), "ab\tAB  ab\n", "", None])
+    assert len(set(h[: ends[0]].tolist())) == len(words) + 1 and len(set(h[ends[0] : ends[1] - 1].tolist())) == 1 and ends.tolist() == [len(words) + 1, len(words) + 5, len(words) + 6, len(words) + 7]
+
+
+def test_ngram_model_in_many_shards(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: r for r in ngram_model.score_texts(docs).collect()}
+    for name, value in (("SHARD_TEXT", 8 << 10), ("FILE_BITS", 3), ("FAN", 4), ("PART", 1 << 9), ("OPEN", 5)):
+        monkeypatch.setattr(ngram_model, name, value)
+    model = ngram_model.train(docs)
+    assert len(model.words.sizes) == 8 and model.types > 3 * model.part
+    got = ngram_model.score_texts(docs).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r[:5] == want[r.doc_id][:5] and r[5:] == pytest.approx(want[r.doc_id][5:])
+    texts = [r.text for r in docs.limit(50).collect()]
+    model.score(texts)
+    assert len(ngram_model._MAPS) <= 5
+
+
+def test_top_k_of_repeated_rows_and_many_blocks(spark, monkeypatch):
+    rows = [(0, [1.0, 0.5])] * 9 + [(3, [1.0, 0.5])] * 7 + [(i, [1.0, 0.5]) for i in (5, 7, 9, 50)] + [(100 + i, [0.01 * i, 0.3]) for i in range(200)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def brute(q, v):
+        own = np.floor(256 * np.array(v))
+        best = sorted((-int(own @ np.floor(256 * np.array(x))), i) for i, x in rows if i != q)[:5]
+        return [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+
+    want = sorted(x for q, v in dict(rows).items() if q % 50 == 0 or q == 3 for x in brute(q, v))
+    for size, seeds in ((24 << 20, 2048), (64, 3), (64, 40)):
+        monkeypatch.setattr(topk, "QUERY_BYTES", size)
+        monkeypatch.setattr(topk, "SEEDS", seeds)
+        got = topk.exact_top_k(e.repartition(3), e.where("vec_id % 50 = 0 or vec_id = 3")).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
