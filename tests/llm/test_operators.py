@@ -187,7 +187,10 @@ def test_decontamination(spark, docs, hard):
 def test_decontamination_in_passes(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = decontamination.decontaminate(docs, bench).collect()
-    monkeypatch.setattr(decontamination, "PASS_BYTES", 4000)
+    monkeypatch.setattr(decontamination, "PASS_WORDS", 800)
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", 30)
+    df, _ = decontamination.scan_windows(docs, bench)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 4  # no chain of passes
     same(decontamination.decontaminate(docs, bench).collect(), map(tuple, want))
 
 

@@ -135,3 +135,29 @@ def test_top_k_of_repeated_rows_and_many_blocks(spark, monkeypatch):
         monkeypatch.setattr(topk, "SEEDS", seeds)
         got = topk.exact_top_k(e.repartition(3), e.where("vec_id % 50 = 0 or vec_id = 3")).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
+def test_window_search_against_all_places():
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        letters = [b"a", b"b", b"c", b"d", b"e"][: 2 + trial % 4]
+        items = [(f"i{k}", rng.choice(letters, rng.integers(1, 25)).tolist()) for k in range(rng.integers(0, 8))]
+        size = int(rng.integers(1, 8))
+        wm = decontamination.WuManber(items, size)
+        words = rng.choice([*letters, b"z"], 300).tolist() + [w for _, x in items for w in x]
+        got = {(s, e, wm.owner[k]) for s, e, ks in wm.search(list(wm.numbers(words))) for k in ks}
+        want = set()
+        for item, x in items:
+            m = min(size, len(x))
+            for at in range(len(x) - m + 1):
+                want |= {(s, s + m, item) for s in range(len(words) - m + 1) if words[s : s + m] == x[at : at + m]}
+        assert got == want
+
+
+def test_tables_of_a_pass_are_small():
+    import pickle
+
+    rng = np.random.default_rng(4)
+    words = [b"w%d" % k for k in range(20_000)]
+    items = [(str(k), [words[i] for i in rng.integers(0, len(words), 100)]) for k in range(2_000)]
+    assert len(pickle.dumps(decontamination.WuManber(items))) < 100 * 200_000  # under 100 bytes a word: 100 MB a pass
