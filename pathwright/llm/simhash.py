@@ -1,18 +1,23 @@
 """SimHash near-duplicates: fingerprints linked at 2 or fewer differing bits, found with vantage-point trees.
 
 1. A fingerprint for each row (XXH64 of word shingles, seed 42, bitwise majority), kept as a table in the shared folder.
-2. Equal fingerprints become one row with their smallest doc_id; all that follows works on distinct fingerprints.
+2. Equal fingerprints become one row; all that follows works on distinct fingerprints. A fingerprint's node is its smallest doc_id, or,
+   if it has none, a number above all doc_ids.
 3. A vantage-point tree over a bounded sample deals fingerprints to shards. Each has one home shard and visits the
-   others that the triangle bound does not rule out: a link crosses a boundary by at most 2.
+   others that the triangle bound does not rule out: a link crosses a boundary by at most 2. A shard that more than SHARD_ROWS
+   would reach is split again by a tree over a sample of its own, made where its rows are, until none is larger. Only fingerprints
+   that lie closer together than any radius parts stay together: a few bits apart, there are not many that differ.
 4. Each shard searches its home fingerprints with a tree of its own, for residents and visitors alike, and gives a
    spanning forest of the links found, so that dense groups cost no more rows than they have members.
 5. Components by repeated min-hooking and pointer jumping on tables; nothing of it goes to the driver.
 
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; rows with one doc_id are
-one node; a null doc_id takes part through its text but is never a component_id (null if nothing else is in reach)."""
+one node, whatever their texts; a null doc_id takes part through its text, and links what is near it, but is never a component_id
+(null if nothing else is in reach)."""
 
 from __future__ import annotations
 
+import pickle
 from itertools import accumulate
 
 import numpy as np
@@ -22,13 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_scan, drop_table, fresh, written
+from .common import append_scan, drop_table, fresh, slices, written
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 #: Fingerprints that the driver takes to plan the shards.
 PLAN_SAMPLE = 8192
+#: Fingerprints, residents and visitors, that one shard should hold at most.
+SHARD_ROWS = 250_000
 LEAF = 64
 _CHUNK = 1 << 16
 
@@ -82,6 +89,8 @@ def _split(points: np.ndarray, rng: np.random.Generator, tries: int = 6) -> tupl
             if not 0.1 < inside < 0.9:
                 continue
             near = np.count_nonzero((d > mu - RADIUS) & (d <= mu + RADIUS)) / len(d)
+            if near > 0.9:  # both sides would hold nearly all
+                continue
             cost = np.log1p(near) / -(inside * np.log(inside) + (1 - inside) * np.log(1 - inside))
             if best is None or cost < best[0]:
                 best = (cost, v, mu)
@@ -89,20 +98,34 @@ def _split(points: np.ndarray, rng: np.random.Generator, tries: int = 6) -> tupl
 
 
 def plan_shards(sample: np.ndarray, shards: int) -> list:
-    """A tree as nested lists: [vantage, radius, inside, outside], or the number of a leaf's shard."""
+    """A tree as nested lists: [vantage, radius, inside, outside], or None for a leaf."""
     rng = np.random.default_rng(7)
-    count = [0]
 
     def grow(points: np.ndarray, want: int):
         cut = _split(points, rng) if want > 1 and len(points) >= 8 else None
         if cut is None:
-            count[0] += 1
-            return count[0] - 1
+            return None
         inside = _distance(points, cut[0]) <= cut[1]
         k = min(want - 1, max(1, round(want * inside.mean())))
         return [cut[0], cut[1], grow(points[inside], k), grow(points[~inside], want - k)]
 
-    return [grow(sample, shards), count]
+    return grow(sample, shards)
+
+
+def number_leaves(node, grown: dict[int, list] | None = None) -> tuple:
+    """The tree with its leaves numbered from 0, those in `grown` replaced by trees; and how many leaves it has."""
+    count = 0
+
+    def walk(x):
+        nonlocal count
+        if isinstance(x, list):
+            return [x[0], x[1], walk(x[2]), walk(x[3])]
+        if grown and x in grown:
+            return walk(grown[x])
+        count += 1
+        return count - 1
+
+    return walk(node), count
 
 
 def route(node, points: np.ndarray, index: np.ndarray, home: np.ndarray, out: list) -> None:
@@ -164,33 +187,68 @@ def local_forest(points: np.ndarray, home: np.ndarray) -> np.ndarray:
 # ---- on tables
 
 
-def _edges(distinct: DataFrame, tree: list) -> DataFrame:
-    """(v, p), p < v: a spanning forest of each shard's links, between the smallest doc_ids of fingerprints."""
-    spark = distinct.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
+def _dealt(distinct: DataFrame, tree) -> DataFrame:
+    """shard, fp, node, home of every fingerprint and shard that it must reach."""
+    shared = distinct.sparkSession.sparkContext.broadcast(tree)
 
     def deal(batches):
-        for batch in batches:
+        for batch in slices(batches, 1 << 14):
             points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            reps = batch.column(1).to_numpy(zero_copy_only=False)
+            nodes = batch.column(1).to_numpy(zero_copy_only=False)
             out: list = []
             route(shared.value, points, np.arange(len(points)), np.ones(len(points), bool), out)
             if out:
                 index = np.concatenate([x[1] for x in out])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[0] for x in out], np.int32), [len(x[1]) for x in out])), pa.array(points[index].view(np.int64)), pa.array(reps[index]), pa.array(np.concatenate([x[2] for x in out]))], names=["shard", "fp", "rep", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[0] for x in out], np.int32), [len(x[1]) for x in out])), pa.array(points[index].view(np.int64)), pa.array(nodes[index]), pa.array(np.concatenate([x[2] for x in out]))], names=["shard", "fp", "node", "home"])
+
+    return distinct.select("fp", "node").mapInArrow(deal, "shard int, fp long, node long, home boolean")
+
+
+def _planner(parts: dict[int, int]):
+    """The function from a sample of a shard to its tree for so many parts."""
+
+    def grown(t: pa.Table) -> pa.Table:
+        shard = t["shard"][0].as_py()
+        points = np.sort(t["fp"].to_numpy().view(np.uint64))
+        return pa.table({"shard": pa.array([shard], pa.int32()), "tree": pa.array([pickle.dumps(plan_shards(points, parts[shard]))], pa.binary())})
+
+    return grown
+
+
+def shard_tree(distinct: DataFrame):
+    """The tree that deals fingerprints to shards of at most SHARD_ROWS, but for those that no radius parts."""
+    n = distinct.count()
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(PLAN_SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
+    tree, _ = number_leaves(plan_shards(sample, max(1, round((n / 12) ** 0.5))))
+    most, fixed = SHARD_ROWS, set()  # fixed: leaves, by a fingerprint of theirs, that cannot be split
+    while n > most:
+        sizes = _dealt(distinct, tree).groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("own"), F.min(F.when(F.col("home"), F.col("fp"))).alias("least"))
+        large = [r for r in sizes.where((F.col("n") > most) & (F.col("own") > 1)).collect() if r["least"] not in fixed]  # one row a large shard
+        if not large:
+            break
+        want = F.try_element_at(F.create_map(*[F.lit(x) for r in large for x in (r["shard"], 2 * PLAN_SAMPLE / r["own"])]), F.col("shard"))
+        drawn = F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < want * (1 << 30)
+        parts = {r["shard"]: min(64, -(-2 * r["n"] // most)) for r in large}
+
+        trees = {r["shard"]: pickle.loads(r["tree"]) for r in _dealt(distinct, tree).where(F.col("home") & drawn).select("shard", "fp").groupBy("shard").applyInArrow(_planner(parts), "shard int, tree binary").collect()}
+        fixed |= {r["least"] for r in large if trees.get(r["shard"]) is None}
+        tree, _ = number_leaves(tree, {k: v for k, v in trees.items() if v is not None})
+    return tree
+
+
+def _edges(distinct: DataFrame, tree) -> DataFrame:
+    """(v, p), p < v: a spanning forest of each shard's links, between the nodes of fingerprints."""
 
     def forest(table: pa.Table) -> pa.Table:
-        points = table["fp"].to_numpy().view(np.uint64)
-        reps = table["rep"].to_numpy()
-        order = np.argsort(reps, kind="stable")
-        points, reps = points[order], reps[order]
+        points, nodes = table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy()
+        order = np.argsort(nodes, kind="stable")
+        points, nodes = points[order], nodes[order]
         root = local_forest(points, table["home"].to_numpy()[order])
-        v, p = reps, reps[root]
+        v, p = nodes, nodes[root]
         linked = v != p
         return pa.table({"v": pa.array(v[linked], pa.int64()), "p": pa.array(p[linked], pa.int64())})
 
-    dealt = distinct.select("fp", "rep").mapInArrow(deal, "shard int, fp long, rep long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(forest, "v long, p long").distinct()
+    return _dealt(distinct, tree).groupBy("shard").applyInArrow(forest, "v long, p long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,28 +272,49 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select("v", "p")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id of each row of docs."""
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint; root is the component's smallest node."""
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(append_scan(df, "text", [T.StructField("fp", T.LongType())], lambda: _scan_fingerprints).select("doc_id", "fp"), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
-    n = distinct.count()
-    sample = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(PLAN_SAMPLE).collect()], np.int64).view(np.uint64)
-    tree, _ = plan_shards(sample, max(1, round((n / 12) ** 0.5)))
-    found = components(_edges(distinct, tree))
-    named = distinct.join(found, distinct["rep"] == found["v"], "left").select("fp", F.coalesce("p", "rep").alias("component_id"))
+    most = rows.agg(F.max("doc_id")).first()[0] or 0
+    above = F.when(F.lit(most < (1 << 62)), F.lit(most)).otherwise(F.raise_error(F.lit("doc_ids from 2^62 leave no numbers for rows without one")).cast("long"))
+    by_print = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    distinct = written(by_print.withColumn("node", F.coalesce("rep", above + F.lit(1) + F.monotonically_increasing_id())), "distinct")
+    edges = _edges(distinct, shard_tree(distinct))
+    # rows with one doc_id and several texts
+    twice = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
+    twice = written(twice, "repeats")
+    if twice.limit(1).count():
+        several = written(rows.join(twice, "doc_id", "left_semi").distinct().join(distinct.select("fp", "node"), "fp").select("doc_id", "node"), "several")
+        least = several.groupBy("doc_id").agg(F.min("node").alias("p"))
+        edges = edges.unionByName(several.join(least, "doc_id").where("node <> p").select(F.col("node").alias("v"), "p"))
+    found = components(edges)
+    named = distinct.join(found, distinct["node"] == found["v"], "left").select("fp", F.coalesce("p", "node").alias("root"))
+    return rows, named.withColumn("component_id", F.when(F.col("root") <= most, F.col("root")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id of each row of docs."""
+    rows, named = _linked(docs, id_col, text_col)
     return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id. The others' ids are a table that Spark broadcasts if it is small, and else joins by shuffle."""
-    found = written(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "components")
+    """docs with one row of each component: that of the smallest doc_id; of several rows with it, or of a component without any, the one
+    of the least text by hash. The others' ids are a table that Spark broadcasts if it is small, and else joins by shuffle."""
+    rows, named = _linked(docs, id_col, text_col)
+    found = written(rows.join(named, "fp", "left").select("doc_id", "component_id"), "components")
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    key = fresh(docs, "pw_gone")
-    kept = docs.join(gone.select(F.col("doc_id").alias(key)), F.col(id_col).cast("long") == F.col(key), "left_anti")
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
-    if twice.limit(1).count() == 0:
+    key, own = fresh(docs, "pw_gone"), F.col(id_col).cast("long")
+    kept = docs.join(gone.select(F.col("doc_id").alias(key)), own == F.col(key), "left_anti")
+    twice = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)), "repeats")
+    first = lambda df, by: df.groupBy(by).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(F.col(text_col).cast("string"))).alias("row")).select("row.*")
+    if twice.limit(1).count():
+        same = own == F.col(key)
+        kept = kept.join(twice, same, "left_anti").unionByName(first(kept.join(twice, own == F.col(key)), key))
+    if found.where("doc_id IS NULL").limit(1).count() == 0:
         return kept
-    twice = written(twice, "repeats")
-    same = F.col(id_col).cast("long") == F.col(key)
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col]))
+    at = fresh(docs, "pw_fp")
+    nameless = append_scan(docs.where(own.isNull()), text_col, [T.StructField(at, T.LongType())], lambda: _scan_fingerprints)
+    alone = nameless.join(named.where("component_id IS NULL").select(F.col("fp").alias(at), F.col("root").alias(key)), at)
+    return kept.where(own.isNotNull()).unionByName(first(alone, key))

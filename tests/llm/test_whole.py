@@ -161,3 +161,36 @@ def test_tables_of_a_pass_are_small():
     words = [b"w%d" % k for k in range(20_000)]
     items = [(str(k), [words[i] for i in rng.integers(0, len(words), 100)]) for k in range(2_000)]
     assert len(pickle.dumps(decontamination.WuManber(items))) < 100 * 200_000  # under 100 bytes a word: 100 MB a pass
+
+
+def test_simhash_splits_large_shards(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    loose = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    ball = np.uint64(rng.integers(0, 1 << 64, dtype=np.uint64)) ^ np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (2500, 12), dtype=np.uint64), axis=1)
+    points = np.unique(np.concatenate([loose, loose[:300] ^ np.uint64(5), ball]))
+    df = spark.createDataFrame([(int(p.view(np.int64)), i) for i, p in enumerate(points)], "fp long, node long").repartition(4)
+    monkeypatch.setattr(simhash, "PLAN_SAMPLE", 64)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 1500)
+    tree = simhash.shard_tree(df)
+    sizes = {r["shard"]: r["count"] for r in simhash._dealt(df, tree).groupBy("shard").count().collect()}
+    assert len(sizes) > 8 and max(sizes.values()) <= 1500 and simhash._dealt(df, tree).where("home").count() == len(points)
+    got = {r.v: r.p for r in simhash.components(simhash._edges(df, tree)).collect()}
+    assert [got.get(i, i) for i in range(len(points))] == simhash.local_forest(points, np.ones(len(points), bool)).tolist()
+
+
+def test_simhash_links_through_rows_without_an_id_and_through_one_id(spark):
+    texts = ["a b c d e f g", "h i j k l m n", "o p q r s t u", "only here", "and here"]
+    rows = [(5, texts[0]), (5, texts[1]), (9, texts[1]), (3, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[4]), (7, texts[0]), (None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 5), (9, 5), (3, 3), (None, 3), (None, None), (None, None), (None, None), (7, 5), (None, None)], key=str)
+    left = simhash.one_of_each(df)
+    assert left.columns == df.columns and sorted(((r.doc_id, r.text) for r in left.collect() if r.doc_id != 5), key=str) == sorted([(3, texts[2]), (None, texts[3]), (None, texts[4]), (None, None)], key=str)
+    assert [r.doc_id for r in left.collect()].count(5) == 1 and left.collect() and sorted(map(str, left.collect())) == sorted(map(str, simhash.one_of_each(df.repartition(3)).collect()))
+
+
+def test_simhash_links_fingerprints_of_rows_without_an_id(spark, monkeypatch):
+    prints = {"a": 0b1, "b": 0b111, "c": 0b11111}
+    monkeypatch.setattr(simhash, "_scan_fingerprints", lambda texts: [__import__("pyarrow").array([{"a": 0b1, "b": 0b111, "c": 0b11111}[t] for t in texts], "int64")])
+    df = spark.createDataFrame([(8, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {8: 2, None: 2, 2: 2} and len(prints) == 3
