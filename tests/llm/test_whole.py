@@ -1,11 +1,13 @@
 """Operators do the whole of their job: cases in which they once did less."""
 
+import math
 import re
 import time
 import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pathwright.llm import decontamination, language_id, licenses, main_text, mixing, ngram_model, personal_data, simhash, topk
 
@@ -194,3 +196,182 @@ def test_simhash_links_fingerprints_of_rows_without_an_id(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_scan_fingerprints", lambda texts: [__import__("pyarrow").array([{"a": 0b1, "b": 0b111, "c": 0b11111}[t] for t in texts], "int64")])
     df = spark.createDataFrame([(8, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {8: 2, None: 2, 2: 2} and len(prints) == 3
+
+
+#: Notices and prose that the classifier does not learn from, and what they are.
+HELD = [
+    ("Licensed under the ISC License.", "isc"),
+    ("EUPL-1.2", "eupl"),
+    ("This software is licensed under EUPL 1.2", "eupl"),
+    ("Apache-2.0", "apache-2.0"),
+    ("GPLv3", "gpl-3.0"),
+    ("This project is available under the MIT license", "mit"),
+    ("Code released under the MIT license, see file.", "mit"),
+    ("The library is distributed under the terms of the Apache License, version 2.0", "apache-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+    ("Released under the MIT License.", "mit"),
+    ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+    ("All rights reserved.", "all-rights-reserved"),
+    ("The code is under the 3-clause BSD license.", "bsd"),
+    ("BSD 2-Clause \"Simplified\" License", "bsd"),
+    ("This file is part of a project licensed under GPL version 2 or later", "gpl-2.0"),
+    ("Published under Creative Commons Attribution ShareAlike 4.0", "cc-by-sa"),
+    ("Images: CC BY 4.0", "cc-by"),
+    ("Text is licensed CC BY-ND 3.0", "cc-by-nd"),
+    ("dual licensed under MPL-2.0", "mpl-2.0"),
+    ("This code is covered by the Mozilla Public License 2.0", "mpl-2.0"),
+    ("licensed under the Eclipse Public License, v2", "epl"),
+    ("LGPL-2.1-or-later", "lgpl"),
+    ("GNU Lesser General Public License v3", "lgpl"),
+    ("GNU Affero General Public License v3.0 or later", "agpl-3.0"),
+    ("Released to the public domain under CC0 1.0", "cc0"),
+    ("This package is under the zlib license", "zlib"),
+    ("Boost license 1.0", "bsl-1.0"),
+    ("Distributed under the WTFPL", "wtfpl"),
+    ("The Unlicense", "unlicense"),
+    ("CDDL-1.1", "cddl"),
+    ("Artistic-2.0", "artistic-2.0"),
+    ("(c) 2019 The Firm. All Rights Reserved.", "all-rights-reserved"),
+    ("CODE LICENSE: GPL-3.0", "gpl-3.0"),
+    ("Freely available under the Apache 2 licence", "apache-2.0"),
+    ("You may use it under the terms of the GNU LGPL, version 3", "lgpl"),
+    ("MIT-licensed, see LICENSE", "mit"),
+    ("The docs are CC BY-SA 3.0", "cc-by-sa"),
+    ("Eclipse Public License - v 1.0", "epl"),
+    ("Mozilla Public License Version 1.1", "mpl-2.0"),
+    ("under the GNU GPL version 3", "gpl-3.0"),
+    ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "gpl-2.0"),
+    ("Licensed under the Open Widget License 3.1", "unknown"),
+    ("the Zorp licence applies to this file", "unknown"),
+    ("The public house lost its license in 1990.", "none"),
+    ("version 3 of the report was released under protest", "none"),
+    ("He distributed the files to the general staff.", "none"),
+    ("Licensed under the Frobozz License.", "unknown"),
+    ("Released under the Quux Public License, version 4.", "unknown"),
+    ("Distributed under the terms of the Acme license", "unknown"),
+    ("SPDX-License-Identifier: Foo-1.0", "unknown"),
+    ("Copyright law protects authors of books.", "none"),
+    ("The license plate was dirty.", "none"),
+    ("My driving license expires in May.", "none"),
+    ("MIT is a university in Cambridge.", "none"),
+    ("He asked permission to leave.", "none"),
+    ("The eclipse lasted four minutes.", "none"),
+    ("The public was free to visit the commons.", "none"),
+    ("A general published his memoirs.", "none"),
+    ("She studied the copyright of songs.", "none"),
+    ("They reserved a table with all rights of guests.", "none"),
+    ("The warranty covers two years.", "none"),
+    ("Apache tribes lived in the area.", "none"),
+    ("The board granted a licence to the radio station.", "none"),
+    ("Her software sorts the files.", "none"),
+]
+
+
+def judged_by_hand(text):
+    """(family, score, confirmed) of a unit, in Python."""
+    families, weights, bias = licenses.fit()
+    z = np.array(bias) + sum((np.array(weights[g]) for g in licenses.grams_of(text) if g in weights), np.zeros(len(bias)))
+    family, score, words = families[int(z.argmax())], float(1 / np.exp(z - z.max()).sum()), set(licenses.words_of(text))
+    enough = lambda some: len(some & words) >= math.ceil(len(some) * licenses.CONFIRM)
+    sure = family == licenses.NONE or score >= licenses.CERTAIN
+    held = family not in (licenses.NONE, licenses.UNKNOWN) and any(enough(set(licenses.words_of(t))) and enough(licenses.telling()[t]) for t in licenses.TEMPLATES[family])
+    return (family if sure else licenses.UNKNOWN), score, sure and held
+
+
+def test_licenses_on_notices_not_learned_from(spark):
+    learned = {" ".join(licenses.words_of(t)) for _, t in licenses._forms()}
+    held = [(t, y) for t, y in HELD if " ".join(licenses.words_of(t)) not in learned]
+    assert len(held) > 50
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(held)], "doc_id long, text string")).collect()}
+    found = [(got[i].families or licenses.NONE, y, got[i].confirmed) for i, (_, y) in enumerate(held)]
+    named = lambda y: y not in (licenses.NONE, licenses.UNKNOWN)
+    right = sum(f == y for f, y, _ in found if named(y))
+    assert right / sum(named(y) for _, y, _ in found) >= 0.9 and right / sum(named(f) for f, _, _ in found) >= 0.9
+    assert sum(f == y for f, y, _ in found) / len(found) >= 0.9
+    assert not [x for x in found if x[2] and x[0] != x[1]]  # what is confirmed is right
+
+
+def test_licenses_against_python(spark):
+    units = [t for t, _ in HELD] + [t for texts in licenses.TEMPLATES.values() for t in texts]
+    df = spark.createDataFrame([(t,) for t in units], "t string").select("t", licenses.classify(F.col("t")).alias("x"))
+    for r in df.collect():
+        family, score, confirmed = judged_by_hand(r.t)
+        assert (r.x.family, r.x.confirmed) == (family, confirmed) and r.x.score == pytest.approx(score), r.t
+
+
+def test_licenses_of_the_tables(spark):
+    """Every licence line of the tables is found, none of which is a template, and no other text has one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sign = re.compile(r"licen[sc]e|all rights reserved", re.I)
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    lines = {r.doc_id: [x for x in r.text.split("\n") if sign.search(x)] for r in docs.where("text is not null").collect()}
+    assert not {x.strip() for ls in lines.values() for x in ls} & {t for texts in licenses.TEMPLATES.values() for t in texts}
+    some = {i for i, ls in lines.items() if ls}
+    assert some and {i for i, r in got.items() if r.n_notices and r.confirmed} == some
+
+
+def test_redaction_hides_what_find_lists(spark):
+    rng = np.random.default_rng(8)
+    parts = ["a", "1", "12", ".", "@", "+", "-", " ", "é", "😀", "4111 1111 1111 1111", "a@b.c", "1.2.3.4", "+1 (988) 555-2485", "DE89 3704 0044 0532 0130 00", "call (555) 123-4567", "ssn 123-45-6789", "\n", "378282246310005"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(300)] + ["é a@b.co 1.2.3.4, " * 700, "", None]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, pw_all string")
+    spans = {r.doc_id: r.spans for r in personal_data.find(df).collect()}
+    hidden = personal_data.redacted(df)
+    assert hidden.columns == df.columns
+    for r in hidden.collect():
+        t, out, at = texts[r.doc_id], "", 0
+        for s in filter(None, spans[r.doc_id].split(",")):
+            kind, start, stop = s.split(":")[0], *map(int, s.split(":")[1:])
+            if start >= at:
+                out += t[at:start] + f"[{kind.upper()}]"
+            at = max(at, stop)
+        assert r.text == (None if t is None else out + t[at:])
+
+
+def test_mixing_gives_the_nearest_rates(spark):
+    """Brute force: Dykstra's projections of rates 1 on the half-lines r >= 0 and on the totals, in the norm weighted by tokens."""
+    rng = np.random.default_rng(6)
+    p, n = rng.dirichlet([1, 1, 0.3], 40), rng.integers(1, 60, 40)
+    want = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * n.sum()
+    a = p.T * n
+    r, held = np.ones(40), np.zeros(40)
+    gram = np.linalg.inv(a / n @ a.T)
+    for _ in range(200_000):
+        y = r - (a / n).T @ (gram @ (a @ r - want))
+        r, held = np.maximum(0, y + held), np.minimum(0, y + held)
+        if np.abs(a @ r - want).max() < 1e-10 * n.sum():
+            break
+    members = spark.createDataFrame([(int(k), row) for k, row in zip(n, p.tolist(), strict=True)], "n_tokens long, p array<double>")
+    x = mixing.fit_rates(members, mixing.TARGETS)
+    assert np.maximum(0, p @ x) == pytest.approx(r, abs=1e-5)
+
+
+def test_near_duplicate_blocks_share_their_elements():
+    blocks = main_text.blocks_of("<div><section><p>a</p><p>b</p></section><ul><li>c<li>d</ul></div>" + "<div>" * 100 + "<p>e</p><p>f</p>")
+    assert [(b.text, b.common, b.depth) for b in blocks] == [("a", 0, 3), ("b", 2, 3), ("c", 1, 3), ("d", 2, 3), ("e", 0, 101), ("f", 100, 101)]
+
+
+def test_language_scores_against_one_gram_at_a_time():
+    """The score of a text under a given model, by counting n-grams one by one."""
+    rng = np.random.default_rng(1)
+    width = 1 << language_id.BITS
+    model = language_id.LanguageModel(["a", "b", "c"], rng.random(width).astype(np.float32), rng.normal(size=(width, 3)).astype(np.float32), rng.normal(size=3), 0.7)
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = h * 0x01000193 % 2**32 ^ ord(c)
+        return h * 0x9E3779B1 % 2**32 >> 32 - language_id.BITS
+
+    for text in ["x", "Ab", "Grüße 😀 an alle", "word " * 50, "l" * (language_id.SHORT + 5) + "m"]:
+        grams = [text.lower()[i : i + n] for n in language_id.ORDERS for i in range(len(text.lower()) - n + 1)]
+        counts = {}
+        for g in grams:
+            counts[bucket(g)] = counts.get(bucket(g), 0) + 1
+        x = {k: math.log1p(n) * float(model.idf[k]) for k, n in counts.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        z = sum(v / size * model.weights[k].astype(float) for k, v in x.items()) + model.bias
+        p = language_id.softmax(z / 0.7)
+        lang, score = model.predict(text)
+        assert lang == model.languages[int(p.argmax())] and score == pytest.approx(p.max())
