@@ -9,14 +9,15 @@ The patterns are written so that a search never goes over the same run of charac
 look behind that rejects starts inside a run), with the same matches as the plain form. The text is cut at the matches,
 and the lengths of the pieces give the positions, in code points.
 
-Defined results: a null text has no spans, and is null after redaction. Every row gives one row."""
+Defined results: a null text has no spans, and is null after redaction. Texts are searched whole, however long. Every row gives one row,
+repeated rows too."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
 THRESHOLD = 70
 CHECKED = 30
@@ -137,44 +138,63 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
+def _with_spans(df: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with the spans of its column text (never null): of each base kind, of all base kinds, and of all kinds; and their names."""
+    name = {x: fresh(df, f"pw_{x}") for x in [*(f"{c}_{k}" for c in "mjs" for k in PATTERNS), "base", "more", "all"]}
+    t, keep = F.col(text), df.columns
+    df = df.withColumns({name[f"m_{k}"]: _matches(k, t) for k in PATTERNS})
+    df = df.withColumns({name[f"j_{k}"]: F.when(F.size(name[f"m_{k}"]) > 0, _judged(k, t, F.col(name[f"m_{k}"]))) for k in PATTERNS}).select(*keep, *[name[f"j_{k}"] for k in PATTERNS])
+    empty = F.array().cast(f"array<{_SPAN}>")
+    df = df.withColumns({name[f"s_{k}"]: F.when(F.col(name[f"j_{k}"]).isNotNull(), _placed(k, F.col(name[f"j_{k}"]))).otherwise(empty) for k in PATTERNS})
+    base = F.array_sort(F.concat(*[F.col(name[f"s_{k}"]) for k in BASE]))
+    more = F.concat(*[F.col(name[f"s_{k}"]) for k in PATTERNS if k not in BASE])
+    df = df.withColumns({name["base"]: base, name["more"]: more})
+    alone = F.filter(name["more"], lambda s: ~F.exists(name["base"], lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    return df.withColumn(name["all"], F.when(F.size(name["more"]) > 0, F.array_sort(F.concat(name["base"], alone))).otherwise(F.col(name["base"]))), name
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, scores (of all spans, in their order)."""
-    text = F.col("text")
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    df = df.withColumns({f"m_{k}": _matches(k, text) for k in PATTERNS})
-    df = df.withColumns({f"j_{k}": F.when(F.size(f"m_{k}") > 0, _judged(k, text, F.col(f"m_{k}"))) for k in PATTERNS}).select("doc_id", *[f"j_{k}" for k in PATTERNS])
-    empty = F.array().cast(f"array<{_SPAN}>")
-    df = df.withColumns({f"s_{k}": F.when(F.col(f"j_{k}").isNotNull(), _placed(k, F.col(f"j_{k}"))).otherwise(empty) for k in PATTERNS})
-    base = F.array_sort(F.concat(*[F.col(f"s_{k}") for k in BASE]))
-    more = F.concat(*[F.col(f"s_{k}") for k in PATTERNS if k not in BASE])
-    df = df.withColumns({"base": base, "more": more})
-    alone = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    df = df.withColumn("all", F.when(F.size("more") > 0, F.array_sort(F.concat("base", alone))).otherwise(F.col("base")))
-    counts = [F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in BASE]
-    return df.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"), F.array_join(F.transform("all", lambda s: s["score"].cast("string")), ",").alias("scores"))
+    df, name = _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "text")
+    counts = [F.size(name[f"s_{k}"]).cast("long").alias(f"n_{k}") for k in BASE]
+    return df.select("doc_id", *counts, F.sha2(_listed(F.col(name["base"])), 256).alias("base_sha256"), _listed(F.col(name["all"])).alias("spans"), F.array_join(F.transform(name["all"], lambda s: s["score"].cast("string")), ",").alias("scores"))
+
+
+_PIECE = "struct<start:int,stop:int,kind:string>"
 
 
-def _hidden(kind: str):
-    """The function from a text to the text without the kind's spans."""
-    return lambda text: _without(kind, text)
+def _pieces(spans: Column) -> Column:
+    """array<struct<start, stop, kind>>: the text before each span and the kind that takes the span's place; a span that begins in another one lengthens it."""
+
+    def add(acc: Column, s: Column) -> Column:
+        piece = F.struct(acc["pos"].alias("start"), s["start"].alias("stop"), s["kind"].alias("kind"))
+        out = F.when(s["start"] >= acc["pos"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["pos"], s["stop"]).alias("pos"), out.alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        got = F.aggregate(F.slice(spans, i * _STEP + 1, F.lit(_STEP)), F.struct(acc["pos"].alias("pos"), F.array().cast(f"array<{_PIECE}>").alias("out")), add)
+        return F.struct(got["pos"].alias("pos"), F.concat(acc["out"], F.array(got["out"])).alias("out"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.size(spans) / F.lit(_STEP)).cast("int") - 1)
+    return F.aggregate(steps, F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<array<{_PIECE}>>").alias("out")), step)
 
 
-def _without(kind: str, text: Column) -> Column:
-    def rebuilt(m: Column, j: Column) -> Column:
-        shown = F.zip_with(m, j, lambda found, x: F.when(x["keep"], f"[{kind.upper()}]").otherwise(found))
-        pieces = F.split(text, PATTERNS[kind], -1)
-        whole = F.zip_with(F.slice(pieces, F.lit(1), F.size(m)), shown, lambda a, b: F.concat(a, b))
-        return F.concat(F.array_join(whole, ""), F.element_at(pieces, -1))
+def _without(text: Column, spans: Column) -> Column:
+    """The text with the spans' kinds in their place. The text is cut once for _STEP spans, and that part once for each of them."""
 
-    def chosen(m: Column) -> Column:
-        return F.when(F.size(m) > 0, let(_judged(kind, text, m), lambda j: F.when(F.exists(j, lambda x: x["keep"]), rebuilt(m, j)).otherwise(text))).otherwise(text)
+    def part(ps: Column) -> Column:
+        first = F.get(ps, F.lit(0))["start"]
+        block = F.substr(text, first + 1, F.element_at(ps, -1)["stop"] - first)
+        shown = lambda b: F.array_join(F.transform(ps, lambda p: F.concat(F.substr(b, p["start"] - first + 1, p["stop"] - p["start"]), F.lit("["), F.upper(p["kind"]), F.lit("]"))), "")
+        return let(block, shown)
 
-    return let(_matches(kind, text), chosen)
+    whole = lambda x: F.concat(F.array_join(F.transform(F.filter(x["out"], lambda ps: F.size(ps) > 0), part), ""), F.substr(text, x["pos"] + 1))
+    return F.when(F.size(spans) > 0, let(_pieces(spans), whole)).otherwise(text)
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span of its texts replaced by the kind's name in brackets, kind after kind."""
-    text = F.col(text_col)
-    for kind in ("email", "iban", "card", "phone", "ip", "tel", "ssn"):
-        text = let(text, _hidden(kind))
-    return docs.withColumn(text_col, text)
+    """docs with every span of its texts that find() lists replaced by its kind in brackets; spans that overlap become one, of the first one's kind."""
+    text = fresh(docs, "pw_text")
+    df, name = _with_spans(docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), text)
+    hidden = F.when(F.col(text_col).isNotNull(), _without(F.col(text), F.col(name["all"])))
+    return df.withColumn(text_col, hidden).select(*docs.columns)
