@@ -1,6 +1,6 @@
 """Mixing sources to target weights: soft domain membership and nonnegative rates by constrained least squares.
 
-A softmax classifier, fitted by the driver on a bounded sample of labelled rows (SAMPLE_ROWS; VOCABULARY words, and beginnings of words
+A softmax classifier, fitted by the driver on a bounded sample of labelled rows (about SAMPLE_ROWS of them, of texts up to SAMPLE_CHARS characters; VOCABULARY words, and beginnings of words
 that three words of a text share, which tell what a stem's many compounds do not), gives each document its posterior of the domains `high`, `low` and `toxic` of the labels table. A document with n tokens and
 posterior p puts n * p into the domains' totals. Of all rates r >= 0 whose expected totals are the targets, those are taken
 that change least, by the sum of n (r - 1)^2. They have the form r = max(0, p . x) with one vector x over the domains, the minimum
@@ -228,9 +228,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its rates as a last column mix_rate; rows of rate 0 are gone. A rate is how often to take the document in an epoch."""
+    """docs with its rates as a last column mix_rate; rows of rate 0 are gone. A rate is how often to take the document in an epoch. Texts are scored once: the table of docs with their posteriors serves the fit and the result."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    model = fit(_sample(plain, labels))
-    x = fit_rates(_members(plain, model), targets or TARGETS)
-    rate = let(_member(model, F.col(text_col)), lambda m: _rate(m["p"], x))
-    return docs.select(*docs.columns, F.explode(F.filter(F.array(rate), lambda r: r > 0)).alias(fresh(docs, "mix_rate")))
+    member = fresh(docs, "pw_member")
+    scored = written(docs.withColumn(member, _member(fit(_sample(plain, labels)), F.col(text_col))), "scored")
+    x = fit_rates(scored.select(f"`{member}`.n_tokens", f"`{member}`.p"), targets or TARGETS)
+    rate = fresh(docs, "mix_rate")
+    return scored.withColumn(rate, _rate(F.col(f"`{member}`.p"), x)).where(F.col(rate) > 0).select(*docs.columns, rate)
