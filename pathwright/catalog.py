@@ -92,10 +92,14 @@ def status_counts(s, d):
     return view(s, d, "trajectories").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(DISTINCT problem_id) AS problems, count(*) AS trajectories, count(*) FILTER (WHERE success) AS successes FROM trajectories", "trajectories")
+@query("SELECT count(DISTINCT problem_id) AS problems, count(*) AS trajectories, count(*) FILTER (WHERE success) AS successes, (SELECT string_agg(concat(status, '=', n), ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM trajectories GROUP BY status)) AS statuses FROM trajectories", "trajectories")
 def rollout_summary(s, d):
-    per = view(s, d, "trajectories").groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"))
-    return per.agg(F.count("*").alias("problems"), F.sum("n").alias("trajectories"), F.sum("ok").alias("successes"))
+    """Counts of problems, trajectories, successes and statuses: partial sums a problem and status, then one row."""
+    per = view(s, d, "trajectories").groupBy("problem_id", "status").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"))
+    by = per.groupBy("status").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))  # a handful of statuses
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "n"))), lambda x: F.concat(x["status"], F.lit("="), x["n"].cast("string"))), ",")
+    totals = by.agg(F.sum("n").alias("trajectories"), F.sum("ok").alias("successes"), text.alias("statuses"))
+    return per.select("problem_id").distinct().agg(F.count("*").alias("problems")).join(F.broadcast(totals)).select("problems", "trajectories", "successes", "statuses")  # both are one row
 
 
 @query("SELECT coalesce(template_name, 'all') AS template_name, coalesce(status, 'all') AS status, count(*) AS n FROM trajectories GROUP BY ROLLUP (template_name, status)", "trajectories")
@@ -170,10 +174,10 @@ def template_dist(s, d):
     return view(s, d, "attempts").where("success").groupBy("template_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(DISTINCT seed) AS seeds, count(*) AS attempted, count(*) FILTER (WHERE success) AS accepted, CASE WHEN count(*) = 0 THEN 0.0 ELSE CAST(count(*) FILTER (WHERE success) AS DOUBLE) / count(*) END AS verification_rate FROM attempts", "attempts")
+@query("SELECT count(DISTINCT seed) AS seeds, count(DISTINCT seed * 2 + variant) AS variants, count(*) AS attempted, count(*) FILTER (WHERE success) AS accepted, CASE WHEN count(*) = 0 THEN 0.0 ELSE CAST(count(*) FILTER (WHERE success) AS DOUBLE) / count(*) END AS verification_rate FROM attempts", "attempts")
 def gen_summary(s, d):
-    per = view(s, d, "attempts").groupBy("seed").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"))
-    return per.agg(F.count("*").alias("seeds"), F.sum("n").alias("attempted"), F.sum("ok").alias("accepted"), M.ratio(F.sum("ok"), F.sum("n")).alias("verification_rate"))
+    per = view(s, d, "attempts").groupBy("seed").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"), F.size(F.collect_set("variant")).alias("variants"))
+    return per.agg(F.count("*").alias("seeds"), F.sum("variants").alias("variants"), F.sum("n").alias("attempted"), F.sum("ok").alias("accepted"), M.ratio(F.sum("ok"), F.sum("n")).alias("verification_rate"))
 
 
 GROUP_SPLIT = """SELECT grp, CASE WHEN place <= total * 80 // 100 THEN 'train' WHEN place <= total * 80 // 100 + total * 10 // 100 THEN 'valid' ELSE 'test' END AS split

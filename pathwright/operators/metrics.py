@@ -24,15 +24,16 @@ def best_of_n(best: DataFrame, *by: str) -> DataFrame:
         (ratio(teacher, seen) / 10).alias("teacher_mean_score"),
         (ratio(seen * squares - teacher * teacher, seen * seen) / 100).alias("teacher_var_score"),
     )
-    return got.na.fill(0.0)
+    return got.na.fill(0.0).withColumn("teacher_std_score", F.sqrt("teacher_var_score"))
 
 
 def best_of_n_sql(by: str = "") -> str:
     d = lambda a, b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
     gap, t = "abs(objective_c - reference_c)", "CAST(teacher_c AS BIGINT)"
+    var = f"coalesce(({d(f'(count(teacher_c) * sum({t} * {t}) - sum({t}) * sum({t}))', '(count(teacher_c) * count(teacher_c))')}) / 100, 0.0)"
     return f"""count(*) AS num_examples, {d('count(*) FILTER (WHERE execution_ok)', 'count(*)')} AS execution_rate, {d("count(*) FILTER (WHERE status = 'OPTIMAL')", 'count(*)')} AS feasible_rate,
       {d('count(*) FILTER (WHERE success)', 'count(*)')} AS pass_at_1, coalesce(({d(f'sum({gap})', f'count({gap})')}) / 100, 0.0) AS mean_abs_objective_gap, coalesce(({d(f'sum({t})', 'count(teacher_c)')}) / 10, 0.0) AS teacher_mean_score,
-      coalesce(({d(f'(count(teacher_c) * sum({t} * {t}) - sum({t}) * sum({t}))', '(count(teacher_c) * count(teacher_c))')}) / 100, 0.0) AS teacher_var_score"""
+      {var} AS teacher_var_score, sqrt({var}) AS teacher_std_score"""
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:

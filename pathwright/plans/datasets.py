@@ -10,10 +10,12 @@ from ..registry import query
 from ..sources.fixtures import table, view
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('x = v', doc_id, '.solution_value()\nsolver.Maximize(x)\nstatus = solver.Solve()\nstatus = 1') WHEN 1 THEN concat('x = v', doc_id, '.solution_value()\nsolver.Minimize(x)\nstatus = solver.Solve()') WHEN 2 THEN concat('x = v', doc_id, '.solution_value()\nsolver.Maximize(x)\nsolver.Solve()') ELSE concat('from ortools.algorithms.python import knapsack_solver\ns.init(a, w', doc_id, ', c)\nsolver.solve()') END AS code FROM documents")
+@query("SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN concat('x = v', doc_id, '.solution_value()\nsolver.Maximize(x)\nstatus = solver.Solve()\nstatus = 1') WHEN 1 THEN concat('x = v', doc_id, '.solution_value()\nsolver.Minimize(x)\nstatus = solver.Solve()') WHEN 2 THEN concat('x = v', doc_id, '.solution_value()\nsolver.Maximize(x)\nsolver.Solve()') WHEN 3 THEN concat('from ortools.algorithms.python import knapsack_solver\ns.init(a, w', doc_id, ', c)\nsolver.solve()') WHEN 4 THEN concat('t', doc_id, ' = _status_text(status)') WHEN 5 THEN concat('t = _status_text(v', doc_id, ')') WHEN 6 THEN concat('y', doc_id, ' = val.solution_value() + var.solution_value() + x.solution_value() + xx.value()') WHEN 7 THEN concat('a = ', doc_id) WHEN 8 THEN concat('import pywrapknapsack_solver\noptimal_value = solver.solve()\nb = s.best_solution_contains(', doc_id, ')') ELSE concat('from ortools.algorithms.python import knapsack_solver\nk = knapsack_solver.KnapsackSolver(knapsack_solver.SolverType.KNAPSACK_DYNAMIC_PROGRAMMING_SOLVER, \"', doc_id, '\")') END AS code FROM documents")
 def repair_code(s, d):
-    code = F.expr(r"""CASE doc_id % 4 WHEN 0 THEN concat('x = solver.Value(v', doc_id, ')\nsolver.Maximize(x)\nstatus = 1') WHEN 1 THEN concat('x = solver.Value(v', doc_id, ')\nsolver.Minimize(x)')
-      WHEN 2 THEN concat('x = solver.Value(v', doc_id, ')\nsolver.Maximize(x)\nsolver.Solve()') ELSE concat('from ortools.algorithms import pywrapknapsack_solver\ns.Init(a, w', doc_id, ', len(z), c)\nsolver.Solve()') END""")
+    code = F.expr(r"""CASE doc_id % 10 WHEN 0 THEN concat('x = solver.Value(v', doc_id, ')\nsolver.Maximize(x)\nstatus = 1') WHEN 1 THEN concat('x = solver.Value(v', doc_id, ')\nsolver.Minimize(x)')
+      WHEN 2 THEN concat('x = solver.Value(v', doc_id, ')\nsolver.Maximize(x)\nsolver.Solve()') WHEN 3 THEN concat('from ortools.algorithms import pywrapknapsack_solver\ns.Init(a, w', doc_id, ', len(z), c)\nsolver.Solve()') WHEN 4 THEN concat('t', doc_id, ' = solver.status_name()') WHEN 5 THEN concat('t = solver.StatusName(v', doc_id, ')')
+      WHEN 6 THEN concat('y', doc_id, ' = val.value() + var.value() + x.value() + xx.value()') WHEN 7 THEN concat('a = ', doc_id, '\nsolver.Dispose()') WHEN 8 THEN concat('import pywrapknapsack_solver\noptimal_value = solver.OptimalValue()\nb = s.BestSolutionContains(', doc_id, ')')
+      ELSE concat('from ortools.algorithms import pywrapknapsack_solver\nk = pywrapknapsack_solver.KnapsackSolver(pywrapknapsack_solver.KnapsackSolver.KNAPSACK_DYNAMIC_PROGRAMMING_SOLVER, "', doc_id, '")') END""")
     return table(s, d, "documents").select("doc_id", repair.repair(code).alias("code"))
 
 
