@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pathwright.llm import decontamination, language_id, licenses, main_text, mixing, ngram_model, personal_data, queries, simhash, token_counts, topk
+from pathwright.llm import common, decontamination, language_id, licenses, main_text, mixing, ngram_model, personal_data, queries, simhash, token_counts, topk
 
 SF = "/root/testdata/sf0.001"
 HARD = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (4, "a"), (5, "x" * 300_000 + " y"), (6, "one two three " * 20_000), (7, "Ünïcode 😀 Word"), (8, "one two"), (None, "one two")]
@@ -287,5 +287,5 @@ def test_pipeline(spark):
         assert after.columns[: len(docs.columns)] == docs.columns and (after.columns == docs.columns or name == "mixture")
         ids = [r.doc_id for r in after.select("doc_id").collect()]
         assert set(ids) <= {r.doc_id for r in last.select("doc_id").collect()} and len(ids) == len(set(ids))
-        last = corpus.written(after, "test")
+        last = common.written(after, "test")
     assert 0.5 * docs.count() < last.count() < docs.count()
