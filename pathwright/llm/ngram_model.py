@@ -1,9 +1,12 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays that workers memory-map.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, kept as sorted hash arrays that workers memory-map.
 
 Tables, each in at most 2^FILE_BITS files by the leading bits of a uniform 64-bit key, sorted by key:
   words    key = hash of the word, value = its count; a word's number is its place over all shards
   bigrams  key = a one-to-one mix of (number before, number), value = its count
   numbers  per word number: how many distinct words follow it once, twice, more often, and how many precede it
+  trigrams and pairs (order 3 only): key = a one-to-one mix of (place of the first two words' bigram, number of the third), value = its
+           count; and what numbers says of words, said of bigrams by their places. Of a bigram then counts how many words precede it, or,
+           where it begins a text, how often it occurs; numbers is made from these counts and also holds their sum for each first word
 Counting tasks combine their own n-grams first and send each shard (of SHARD_TEXT of text) one packed block; the shards' tasks
 merge the blocks and write their part of the order into the shared folder (a rerun task writes the same bytes under a new name and
 moves them in place). Where there are more shards than files, a task for each file joins its shards end to end, a piece at a time.
@@ -15,7 +18,7 @@ A word is known by 64 bits, a random multiple of each of its bytes by place, sum
 chance of about 2^-60, and would then count as one word; of the at most 2^32 words, hardly a pair will.
 
 A text is its words, then one end token; the context of the first token is a begin mark. Discounts are the usual three,
-from counts of counts, and each is held between 0 and its count. The distribution of continuations is interpolated with
+from counts of counts of each order, and each is held between 0 and its count. The distribution of continuations is interpolated with
 a uniform share over the distinct tokens and one unknown word.
 
 Defined results: a null text is empty: one end token. Every row gives one row; a null id counts as '' when rows are
@@ -51,6 +54,9 @@ BATCH = 512
 FILE_BITS = 6
 OPEN = 160
 FAN = 32
+#: Words of the longest n-grams, unless told otherwise; parts that the bigrams' statistics are added up in, at most (each of PART or more).
+ORDER = 2
+PAIR_PARTS = 1024
 _SLAB = 4 << 20
 
 _U = np.uint64
@@ -74,6 +80,12 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(30)) ^ (x >> _U(60))
 
 
+def _pair(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two word numbers of a bigram's key."""
+    pair = unmix(keys)
+    return (pair >> _U(32)).astype(np.int64), (pair & _U(0xFFFFFFFF)).astype(np.int64)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _VALUE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -272,6 +284,15 @@ class Table:
     def _file(self, s: int) -> tuple[np.ndarray, np.ndarray]:
         return self.store.map(f"{self.name}-{s}.keys", "<u8", self.sizes[s]), self.store.map(f"{self.name}-{s}.counts", self.kinds[s], self.sizes[s])
 
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts at places in ascending order."""
+        keys, counts = np.zeros(len(places), _U), np.zeros(len(places), np.int64)
+        edges = np.searchsorted(places, self.base)
+        for s in np.flatnonzero(np.diff(edges)):
+            some = slice(edges[s], edges[s + 1])
+            keys[some], counts[some] = (x[places[some] - self.base[s]] for x in self._file(int(s)))
+        return keys, counts
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and counts of sorted distinct keys."""
         place, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
@@ -346,6 +367,33 @@ def discounts(c1: int, c2: int, c3: int, c4: int) -> tuple[float, float, float]:
     return tuple(min(k, max(0.0, k - (k + 1) * y * r)) for k, r in zip((1, 2, 3), ahead, strict=True))
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    edges = np.flatnonzero(np.diff(values)) + 1
+    return list(zip([0, *edges], [*edges, len(values)], strict=True)) if len(values) else []
+
+
+def _stat_rows(shard: int, part: int, kinds: list[tuple[np.ndarray, np.ndarray | None]]) -> list[pa.Table]:
+    """Sums for each number: kinds are columns, each the numbers it counts and what each adds (None: 1). One row a part."""
+    ids, where = np.unique(np.concatenate([k for k, _ in kinds]), return_inverse=True)
+    stats, at = np.zeros((len(ids), len(kinds)), np.uint64), 0
+    for column, (own, add) in enumerate(kinds):
+        here = where[at : at + len(own)]
+        if add is None:
+            stats[:, column] = np.bincount(here, minlength=len(ids))
+        else:
+            np.add.at(stats[:, column], here, add.astype(_U))
+        at += len(own)
+    return [
+        _row(shard=shard, part=int(ids[i] // part), ids=pack(np.diff(ids[i:j] - ids[i] // part * part, prepend=0).astype("<u4")), stats=pack(np.ascontiguousarray(stats[i:j]).astype("<u8")))
+        for i, j in _runs(ids // part)
+    ]
+
+
+def _followers(first: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, None]]:
+    return [(first[some], None) for some in (counts == 1, counts == 2, counts >= 3)]
+
+
 class Model:
     """The manifest of a trained model; tables are mapped by whoever uses it."""
 
@@ -354,14 +402,17 @@ class Model:
         self.n_tokens, self.n_texts, self.part = n_tokens, n_texts, part
         self.bigram_d, self.word_d, self.continuations, self.spread = bigram_d, word_d, continuations, spread
         self.types = int(words.base[-1])
-
-    def statistics(self, ids: np.ndarray) -> np.ndarray:
-        """Rows of (followers once, twice, more; predecessors) by sorted word numbers below V + 1 (V is the begin mark)."""
-        out = np.zeros((len(ids), 4), np.float64)
-        edges = np.searchsorted(ids, np.arange(self.types // self.part + 2) * self.part)
-        for p in np.flatnonzero(np.diff(edges)):
-            rows = self.store.map(f"numbers-{p}", "<u8", self.part * 4).reshape(-1, 4)
-            out[edges[p] : edges[p + 1]] = rows[ids[edges[p] : edges[p + 1]] - p * self.part]
+        self.trigrams, self.trigram_d, self.pair_part = None, None, 0
+
+    def statistics(self, ids: np.ndarray, pairs: bool = False) -> np.ndarray:
+        """Rows of (followers once, twice, more; predecessors; of words at order 3 also the sum of counts) by sorted word numbers below V + 1 (V is the begin mark), or by sorted places of bigrams."""
+        name, part = ("pairs", self.pair_part) if pairs else ("numbers", self.part)
+        width = 5 if self.trigrams and not pairs else 4
+        out = np.zeros((len(ids), width), np.float64)
+        for i, j in _runs(ids // part):
+            p = int(ids[i] // part)
+            rows = self.store.map(f"{name}-{p}", "<u8", part * width).reshape(-1, width)
+            out[i:j] = rows[ids[i:j] - p * part]
         return out
 
     def score(self, texts: list) -> dict[str, np.ndarray]:
@@ -371,7 +422,7 @@ class Model:
         number, count = self.words.find(distinct)
         v = self.types
         known = np.flatnonzero(number >= 0)  # numbers grow with the keys
-        stats = np.zeros((len(distinct) + 1, 4))
+        stats = np.zeros((len(distinct) + 1, 5 if self.trigrams else 4))
         stats[known] = self.statistics(number[known])
         if self.n_texts:
             stats[-1] = self.statistics(np.array([v]))[0]
@@ -386,13 +437,33 @@ class Model:
         both = (a >= 0) & (b >= 0)
         keys, at = np.unique(mix((a[both].astype(_U) << _U(32)) | b[both].astype(_U)), return_inverse=True)
         c = np.zeros(len(h))
-        c[both] = self.bigrams.find(keys)[1][at]
-        d1, d2, d3 = self.bigram_d
+        places, occur = self.bigrams.find(keys)
+        c[both] = occur[at]
         context = total[before]
+        if self.trigrams:
+            place, raw = np.full(len(h), -1, np.int64), c.copy()
+            place[both] = places[at]
+            found, own = np.unique(place, return_inverse=True)  # -1, if at all, comes first
+            of_pair = np.zeros((len(found), 4))
+            of_pair[found >= 0] = self.statistics(found[found >= 0], pairs=True)
+            of_pair = of_pair[own]
+            c = np.where(a == v, raw, of_pair[:, 3])
+            context = stats[before, 4]
+        d1, d2, d3 = self.bigram_d
         left = (stats[:, 0] * d1 + stats[:, 1] * d2 + stats[:, 2] * d3)[before]
         low = lower[where]
         with np.errstate(divide="ignore", invalid="ignore"):
             p = np.where(context > 0, (c - _discount(c, d1, d2, d3) + left * low) / context, low)
+        if self.trigrams and len(h):
+            context, left, place = (np.roll(x, 1, axis=0) for x in (raw, of_pair, place))
+            context[starts] = 0
+            some = (context > 0) & (b >= 0)
+            keys, at = np.unique(_triple(place[some], b[some], v), return_inverse=True)
+            c = np.zeros(len(h))
+            c[some] = self.trigrams.find(keys)[1][at]
+            d1, d2, d3 = self.trigram_d
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = np.where(context > 0, (c - _discount(c, d1, d2, d3) + (left[:, 0] * d1 + left[:, 1] * d2 + left[:, 2] * d3) * p) / context, p)
         base = np.log10((count[where] + 1) / (self.n_tokens + v + 1))
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
         return {"n_tokens": np.diff(ends, prepend=0), "n_known": add((count[where] > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
@@ -402,7 +473,14 @@ def _discount(c: np.ndarray, d1: float, d2: float, d3: float) -> np.ndarray:
     return np.where(c >= 3, d3, np.where(c == 2, d2, np.where(c == 1, d1, 0.0)))
 
 
-def train(texts: DataFrame, text_col: str = "text") -> Model:
+def _triple(place: np.ndarray, third: np.ndarray, v: int) -> np.ndarray:
+    return mix((place.astype(_U) << _U(v.bit_length())) | third.astype(_U))
+
+
+def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    """The model of the texts. Order 3 needs the bits of a bigram's place and of a word's number to be 64 at most, and raises an error beyond."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark, part = texts.sparkSession, PART
     df = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size, n_texts = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
@@ -446,58 +524,103 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
 
     def merge_pairs(t: pa.Table) -> pa.Table:
         row, keys, counts = _write(store, inside("bigrams"), "bigrams", t)
-        pair = unmix(keys)
-        a, b = (pair >> _U(32)).astype(np.int64), (pair & _U(0xFFFFFFFF)).astype(np.int64)
-        ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-        stats = np.zeros((len(ids), 4), np.int64)
-        for k, some in enumerate((counts == 1, counts == 2, counts >= 3)):
-            stats[:, k] = np.bincount(where[: len(a)][some], minlength=len(ids))
-        stats[:, 3] = np.bincount(where[len(a) :], minlength=len(ids))
-        out = [row]
-        for p in np.unique(ids // part):
-            some = ids // part == p
-            out.append(_row(shard=row["shard"][0].as_py(), part=int(p), ids=pack(np.diff(ids[some] - p * part, prepend=0).astype("<u4")), stats=pack(np.ascontiguousarray(stats[some]).astype("<u8"))))
-        return pa.concat_tables(out)
+        if order > 2:
+            return row
+        a, b = _pair(keys)
+        return pa.concat_tables([row, *_stat_rows(row["shard"][0].as_py(), part, [*_followers(a, counts), (b, None)])])
 
     found = stage(df.mapInArrow(lambda batches: _gathered(slices(batches, BATCH), pairs_of, bits), _BLOCKS), merge_pairs, "bigrams")
     bigrams, sums = table("bigrams", found)
     bigram_d = discounts(*[sums[f"c{k}"] for k in (1, 2, 3, 4)])
 
-    def added(t: pa.Table) -> np.ndarray:
-        total = np.zeros((part, 4), np.uint64)
-        for ids, stats in zip(t["ids"], t["stats"], strict=True):
-            total[np.cumsum(unpack(ids.as_py(), "<u4"), dtype=np.int64)] += unpack(stats.as_py(), "V32").view("<u8").reshape(-1, 4)
-        return total
-
-    def merge_parts(t: pa.Table) -> pa.Table:
-        total = added(t)
-        ids = np.flatnonzero(total.any(axis=1))
-        return pa.table({"part": t["part"][:1].cast(pa.int32()), "shard": t["to"][:1].cast(pa.int32()), "ids": pa.array([pack(np.diff(ids, prepend=0).astype("<u4"))], pa.binary()), "stats": pa.array([pack(np.ascontiguousarray(total[ids]).astype("<u8"))], pa.binary())})
-
-    def add_up(t: pa.Table) -> pa.Table:
-        p, total = t["part"][0].as_py(), added(t)
-        store.save(f"numbers-{p}", total.astype("<u8"))
-        c = [int(np.count_nonzero(total[:, 3] == k)) for k in (1, 2, 3, 4)]
-        return _row(part=p, n=int(np.count_nonzero(total[:, 3])), total=int(total[:, 3].sum()), c1=c[0], c2=c[1], c3=c[2], c4=c[3])
-
-    parts, left = found.where("part is not null").select("part", "shard", "ids", "stats"), 1 << bits
-    while left > FAN:
-        parts = parts.withColumn("to", F.floor(F.col("shard") / FAN).cast("int")).groupBy("part", "to").applyInArrow(merge_parts, "part int, shard int, ids binary, stats binary")
-        left = -(-left // FAN)
-    parts.groupBy("part").applyInArrow(add_up, _FILES).write.parquet(f"{folder}/numbers")
-    sums = spark.read.schema(_FILES).parquet(f"{folder}/numbers").select("part", "n", "total", "c1", "c2", "c3", "c4").collect()
+    def added_up(blocks: DataFrame, left: int, part: int, width: int, name: str, reduce) -> DataFrame:
+        """Adds up the blocks of each part, FAN of `left` at a time; reduce(part, sums) gives the rows of the result."""
+
+        def added(t: pa.Table) -> np.ndarray:
+            total = np.zeros((part, width), np.uint64)
+            for ids, stats in zip(t["ids"], t["stats"], strict=True):
+                total[np.cumsum(unpack(ids.as_py(), "<u4"), dtype=np.int64)] += unpack(stats.as_py(), f"V{8 * width}").view("<u8").reshape(-1, width)
+            return total
+
+        def merge_parts(t: pa.Table) -> pa.Table:
+            total = added(t)
+            ids = np.flatnonzero(total.any(axis=1))
+            return pa.table({"part": t["part"][:1].cast(pa.int32()), "shard": t["to"][:1].cast(pa.int32()), "ids": pa.array([pack(np.diff(ids, prepend=0).astype("<u4"))], pa.binary()), "stats": pa.array([pack(np.ascontiguousarray(total[ids]).astype("<u8"))], pa.binary())})
+
+        def add_up(t: pa.Table) -> pa.Table:
+            p, total = t["part"][0].as_py(), added(t)
+            store.save(f"{name}-{p}", total.astype("<u8"))
+            return reduce(p, total)
+
+        parts = blocks.where("part is not null").select("part", "shard", "ids", "stats")
+        while left > FAN:
+            parts = parts.withColumn("to", F.floor(F.col("shard") / FAN).cast("int")).groupBy("part", "to").applyInArrow(merge_parts, "part int, shard int, ids binary, stats binary")
+            left = -(-left // FAN)
+        parts.groupBy("part").applyInArrow(add_up, _FILES).write.option("compression", "none").parquet(f"{folder}/{name}")
+        return spark.read.schema(_FILES).parquet(f"{folder}/{name}")
+
+    def of_counts(counts: np.ndarray, **more) -> pa.Table:
+        return _row(n=int(np.count_nonzero(counts)), total=int(counts.sum()), **{f"c{k}": int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)}, **more)
+
+    left, width, trigrams, pair_part = 1 << bits, 4, None, 0
+    if order == 3:
+        width, n_pairs = 5, int(bigrams.base[-1])
+        if n_pairs.bit_length() + v.bit_length() > 64:
+            raise ValueError("too many bigrams and words for trigrams in 64 bits")
+        pair_part = max(part, -(-n_pairs // PAIR_PARTS))
+        n_parts = -(-n_pairs // pair_part)
+        pairs_known = spark.sparkContext.broadcast(bigrams)
+
+        def triples_of(batch) -> np.ndarray:
+            h, ends = token_hashes(batch.column(0).to_pylist())
+            distinct, where = np.unique(h, return_inverse=True)
+            b = known.value.find(distinct)[0][where].astype(_U)
+            a, starts = np.roll(b, 1), np.concatenate([[0], ends[:-1]])
+            a[starts] = v
+            keys, at = np.unique(mix((a << _U(32)) | b), return_inverse=True)
+            inner = np.ones(len(h), bool)
+            inner[starts] = False
+            return _triple(np.roll(pairs_known.value.find(keys)[0][at], 1)[inner], b[inner], v)
+
+        def merge_triples(t: pa.Table) -> pa.Table:
+            row, keys, counts = _write(store, inside("trigrams"), "trigrams", t)
+            triple = unmix(keys)
+            place, third = (triple >> _U(v.bit_length())).astype(np.int64), triple & _U((1 << v.bit_length()) - 1)
+            ids, at = np.unique(place, return_inverse=True)
+            second = _pair(pairs_known.value.at(ids)[0])[1][at]
+            later, at = np.unique(mix((second.astype(_U) << _U(32)) | third), return_inverse=True)
+            return pa.concat_tables([row, *_stat_rows(row["shard"][0].as_py(), pair_part, [*_followers(place, counts), (pairs_known.value.find(later)[0][at], None)])])
+
+        def of_pairs(p: int, total: np.ndarray) -> pa.Table:
+            places = np.arange(p * pair_part, min((p + 1) * pair_part, n_pairs))
+            keys, raw = pairs_known.value.at(places)
+            a, b = _pair(keys)
+            counts = np.where(a == v, raw, total[: len(places), 3].astype(np.int64))
+            return pa.concat_tables([of_counts(counts, shard=p), *_stat_rows(p, part, [*_followers(a, counts), (b, None), (a, counts)])])
+
+        triples = stage(df.mapInArrow(lambda batches: _gathered(slices(batches, BATCH), triples_of, bits), _BLOCKS), merge_triples, "trigrams")
+        trigrams, sums = table("trigrams", triples)
+        trigram_d = discounts(*[sums[f"c{k}"] for k in (1, 2, 3, 4)])
+        every = spark.range(n_parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("shard"), F.lit(b"").alias("ids"), F.lit(b"").alias("stats"))  # also parts without a trigram
+        found = added_up(triples.select(every.columns).union(every), left, pair_part, 4, "pairs", of_pairs)
+        left = max(1, n_parts)
+        bigram_d = discounts(*[found.where("n is not null").agg(F.coalesce(F.sum(f"c{k}"), F.lit(0))).first()[0] for k in (1, 2, 3, 4)])
+    sums = added_up(found, left, part, width, "numbers", lambda p, total: of_counts(total[:, 3], part=p)).select("part", "n", "total", "c1", "c2", "c3", "c4").collect()
     c = [sum(r[f"c{k}"] for r in sums) for k in (1, 2, 3, 4)]
     word_d = discounts(*c)
     more = sum(r["n"] for r in sums) - c[0] - c[1]
     spread = word_d[0] * c[0] + word_d[1] * c[1] + word_d[2] * more
-    return Model(words, bigrams, store, n_tokens, n_texts, part, bigram_d, word_d, sum(r["total"] for r in sums), spread)
+    model = Model(words, bigrams, store, n_tokens, n_texts, part, bigram_d, word_d, sum(r["total"] for r in sums), spread)
+    if order == 3:
+        model.trigrams, model.trigram_d, model.pair_part = trigrams, trigram_d, pair_part
+    return model
 
 
-def score_texts(docs: DataFrame, held_out: int = 2, folds: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, held_out: int = 2, folds: int = 7, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each row; learned from the rows that are not held out."""
     spark = docs.sparkSession
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = train(df.where(id_bucket("doc_id", folds) != held_out))
+    model = train(df.where(id_bucket("doc_id", folds) != held_out), order=order)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):

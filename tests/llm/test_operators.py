@@ -94,6 +94,43 @@ def test_ngram_model(spark, docs, hard):
     assert ngram_model.score_texts(docs.where("false")).collect() == []
 
 
+def test_ngram_model_of_order_3(spark, docs, hard):
+    for df in (docs, hard):
+        rows = df.collect()
+        tok = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", lower(r.text)), "\n"] for r in rows]
+        train = [t for t, r in zip(tok, rows, strict=True) if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 != 2]
+        grams = {k: Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in (2, 3)}
+        # below the highest order an n-gram counts the words before it; where it begins a text, its occurrences
+        count = {3: grams[3], 2: Counter(g[1:] for g in grams[3]), 1: Counter(g[1:] for g in grams[2])}
+        count[2] |= {g: k for g, k in grams[2].items() if g[0] == "<s>"}
+        v = len(count[1])
+        d = {k: ngram_model.discounts(*[sum(x == j for x in count[k].values()) for j in (1, 2, 3, 4)]) for k in count}
+        off = lambda k, n: 0 if n == 0 else d[k][min(n, 3) - 1]
+        total, freed = Counter(), Counter()
+        for k in count:
+            for g, n in count[k].items():
+                total[k, g[:-1]] += n
+                freed[k, g[:-1]] += off(k, n)
+
+        def p(g):
+            lower_p = p(g[1:]) if len(g) > 1 else 1 / (v + 1)
+            t = total[len(g), g[:-1]]
+            n = count[len(g)][g]
+            return (n - off(len(g), n) + freed[len(g), g[:-1]] * lower_p) / t if t else lower_p
+
+        assert {k: sum(n == 0 for n in count[k].values()) for k in count} == {1: 0, 2: 0, 3: 0}
+        for g in list(grams[2])[:3]:
+            assert sum(p((*g, *w)) for w in count[1]) + p((*g, "not seen")) == pytest.approx(1)
+        want = sorted((str(r.doc_id), sum(math.log10(p(tuple(t[max(0, i - 2) : i + 1]))) for i in range(1, len(t)))) for r, t in zip(rows, tok, strict=True))
+        got = sorted((str(r.doc_id), r.score) for r in ngram_model.score_texts(df, order=3).collect())
+        assert [x[0] for x in got] == [x[0] for x in want] and [x[1] for x in got] == pytest.approx([x[1] for x in want])
+    assert ngram_model.score_texts(docs.where("false"), order=3).collect() == []
+    nothing = ngram_model.train(docs.where("false"), order=3).score(["two words", None])
+    assert nothing["score"].tolist() == [0, 0] and nothing["n_tokens"].tolist() == [3, 1]
+    with pytest.raises(ValueError, match="order"):
+        ngram_model.train(docs, order=4)
+
+
 def luhn(s):
     return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
 

@@ -106,14 +106,15 @@ def test_words_of_the_corpus_that_other_hashes_confuse():
     assert len(set(h[: ends[0]].tolist())) == len(words) + 1 and len(set(h[ends[0] : ends[1] - 1].tolist())) == 1 and ends.tolist() == [len(words) + 1, len(words) + 5, len(words) + 6, len(words) + 7]
 
 
-def test_ngram_model_in_many_shards(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3])
+def test_ngram_model_in_many_shards(spark, monkeypatch, order):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    want = {r.doc_id: r for r in ngram_model.score_texts(docs).collect()}
+    want = {r.doc_id: r for r in ngram_model.score_texts(docs, order=order).collect()}
     for name, value in (("SHARD_TEXT", 8 << 10), ("FILE_BITS", 3), ("FAN", 4), ("PART", 1 << 9), ("OPEN", 5)):
         monkeypatch.setattr(ngram_model, name, value)
-    model = ngram_model.train(docs)
+    model = ngram_model.train(docs, order=order)
     assert len(model.words.sizes) == 8 and model.types > 3 * model.part
-    got = ngram_model.score_texts(docs).collect()
+    got = ngram_model.score_texts(docs, order=order).collect()
     assert len(got) == len(want)
     for r in got:
         assert r[:5] == want[r.doc_id][:5] and r[5:] == pytest.approx(want[r.doc_id][5:])
