@@ -7,7 +7,7 @@ import pytest
 from pathwright import cli, config
 from pathwright.operators import execution
 from pathwright.operators.verify import classify
-from pathwright.sources import files, providers, publish
+from pathwright.sources import files, providers, publish, training_runs
 
 
 def trajectory(i, success=False, teacher=None, process=0.0, gap=None):
@@ -66,6 +66,23 @@ def test_latest_file(spark, tmp_path):
     assert (tmp_path / "deep" / "s.json").read_text() == '{\n  "a": 1,\n  "b": null\n}'
 
 
+def test_training_run(spark, tmp_path):
+    made = training_runs.folders(str(tmp_path / "sft"), run_prefix="sft_train")
+    assert set(made) == set(training_runs.LAYOUT) and all(training_runs.Path(p).is_dir() for p in made.values())
+    assert made["run_dir"].startswith(f"{tmp_path}/sft_runs/sft_train_") and made["final_dir"] == made["run_dir"] + "/weights/final_adapter"
+    assert training_runs.folders("x", str(tmp_path / "all"))["run_dir"].startswith(f"{tmp_path}/all/train_")
+    rows = [{"step": 5, "loss": 2.0, "entropy": 0.5}, {"step": 7, "eval_loss": 1}, "noise", {"step": 10, "loss": 0.5, "entropy": 0.75, "grad_norm": 3}, {"step": 15, "loss": 1.0, "entropy": 0.25, "learning_rate": 0.125}, {"train_loss": 1.0}]
+    got = training_runs.summarize(spark, rows, {"epoch": 3}, "sft")
+    want = {"num_log_points": 3, "first_step": 5, "last_step": 15, "first_loss": 2.0, "last_loss": 1.0, "best_loss": 0.5, "loss_delta": -1.0, "loss_reduction": 1.0, "relative_loss_reduction": 0.5, "final_epoch": 3.0, "final_learning_rate": 0.125}
+    want |= {"first_entropy": 0.5, "last_entropy": 0.25, "best_entropy": 0.25, "first_grad_norm": 3.0, "last_grad_norm": 3.0, "best_grad_norm": 3.0}
+    assert got == want | {"stage_name": "sft", "train_metrics": {"epoch": 3}}
+    assert training_runs.summarize(spark, [{"step": 1, "loss": 0, "epoch": 0.5}])["final_epoch"] == 0.5
+    assert training_runs.summarize(spark, ["noise"]) == {"stage_name": "training", "num_log_points": 0}
+    paths = training_runs.report(made["metrics_dir"], got, rows, {"lr": 1})
+    assert {k: files.read_json(spark, p) for k, p in paths.items()} == {"summary_path": got, "log_history_path": {"log_history": rows}, "config_path": {"lr": 1}}
+    assert "config_path" not in training_runs.report(made["metrics_dir"], got, rows)
+
+
 def test_published_documents(spark):
     docs = spark.createDataFrame([("a", "# T\n" + "\n".join(f"- {i}" for i in range(23))), ("b", "```\nx\n```")], "doc_id string, text string")
     sent = []
