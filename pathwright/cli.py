@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config, prompts, records, stages
-from .operators import instances as I
-from .operators import optima as O
 from .operators import ranking as R
 from .operators import splits as S
+from .operators import templates
 from .sources import jsonl
 from .sources.providers import Chat, Provider, Replay
 
@@ -22,8 +21,7 @@ from .sources.providers import Chat, Provider, Replay
 def generate_instances(spark: SparkSession, config_path: str) -> DataFrame:
     """Instances, questions and reference optima of a factory's seeds, as JSON lines in its output folder."""
     c = config.stage(config.Factory, config.load(config_path))
-    made = I.questions(I.payload(I.instances(spark.range(c.seed, c.seed + c.seeds()).withColumnRenamed("id", "seed"), c.template_weights)))
-    got = made.join(O.solve(made).select("seed", F.struct("status", "objective_value", "metadata").alias("reference_solution")), "seed")
+    got = templates.problems(spark.range(c.seed, c.seed + c.seeds()).withColumnRenamed("id", "seed"), c.template_weights)
     rows = got.select(F.format_string("%s-seed%04d", "template_name", F.col("seed") - c.seed).alias("problem_id"), "template_name", "question", "instance", "reference_solution")
     jsonl.write(rows, f"{c.output_dir}/instances")
     return rows

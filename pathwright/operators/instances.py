@@ -112,13 +112,14 @@ def _one(seeds: DataFrame, template: str) -> DataFrame:
     return df.select(*seeds.columns, F.lit(template).alias("template_name"), "names", "others", "facts", "cells", limits.alias("limits"), scenario.alias("scenario"))
 
 
-def instances(seeds: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
+def instances(seeds: DataFrame, weights: dict[str, int] | None = None, only: list[str] | None = None) -> DataFrame:
     """seeds (with a long `seed`) with template_name, names (products, workers, items, cities), others (resources, tasks), facts (field to
-    values by name), cells (usage by resource and product, cost by worker and task, distance), limits and scenario. A null seed gives no row."""
+    values by name), cells (usage by resource and product, cost by worker and task, distance), limits and scenario. A null seed gives no row, nor does a seed
+    whose family is drawn but not among `only`, if that is given."""
     weights = weights or dict.fromkeys(POOLS, 1)
     chosen = seeds.where("seed IS NOT NULL").withColumn("_template", choose(weights))
     out = None
-    for template in weights:
+    for template in weights if only is None else only:
         one = _one(chosen.where(F.col("_template") == template).drop("_template"), template)
         out = one if out is None else out.unionByName(one)
     return out

@@ -14,8 +14,7 @@ from .functions.python_values import py_round
 from .functions.repair import answer_code
 from .functions.text import process_score_e4, strip, strip_json_fences
 from .operators import execution
-from .operators import instances as I
-from .operators import optima as O
+from .operators import templates
 from .operators import ranking as R
 from .operators import splits as S
 from .operators.verify import TOLERANCE, classify
@@ -62,9 +61,8 @@ def verified(df: DataFrame, run: Runner) -> DataFrame:
 
 def seed_problems(spark: SparkSession, seed: int, n: int, weights: dict[str, int]) -> DataFrame:
     """at (0 to n - 1), template_name, canonical question, instance, reference_solution; the exact optima are found once."""
-    made = I.questions(I.payload(I.instances(spark.range(seed, seed + n).withColumnRenamed("id", "seed"), weights)))
-    solved = O.solve(made).select("seed", F.struct("status", "objective_value", "metadata").alias("reference_solution"))
-    return kept(made.join(solved, "seed").select((F.col("seed") - seed).alias("at"), "template_name", F.col("question").alias("canonical"), "instance", "reference_solution"), "seeds")
+    made = templates.problems(spark.range(seed, seed + n).withColumnRenamed("id", "seed"), weights)
+    return kept(made.select((F.col("seed") - seed).alias("at"), "template_name", F.col("question").alias("canonical"), "instance", "reference_solution"), "seeds")
 
 
 def variants(problems: DataFrame, rewriter: Provider | None, wanted: int, canonical: bool, styles: list[str], strict: bool = False) -> tuple[DataFrame, int]:

@@ -6,6 +6,7 @@ import pytest
 
 from pathwright import cli, config, records, stages
 from pathwright.functions.text import MARKER
+from pathwright.operators import instances, optima, templates
 from pathwright.sources.providers import Chat, Replay
 
 
@@ -18,6 +19,32 @@ def answer(value):
     return f"```python\nresult = {{'status': 'OPTIMAL', 'objective_value': {value}}}\n```"
 
 
+def test_registered_family(spark, monkeypatch):
+    monkeypatch.setattr(templates, "_REGISTERED", {})
+    doubled = templates.Family(
+        "doubled",
+        lambda seeds: seeds.selectExpr("seed", "concat('Twice ', seed, '?') AS question", "to_json(struct(seed)) AS instance"),
+        lambda made: made.selectExpr("seed", "'OPTIMAL' AS status", "2 * seed AS objective_value", "CAST(NULL AS STRING) AS metadata"),
+    )
+    seeds, weights = spark.range(40).withColumnRenamed("id", "seed").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS seed")), {"knapsack": 1, "doubled": 2}
+    with pytest.raises(ValueError, match="doubled"):
+        templates.problems(seeds, weights)
+    templates.register(doubled)
+    assert templates.names()[-1] == "doubled" and len(templates.names()) == 6
+    got = {r.seed: r for r in templates.problems(seeds, weights).collect()}
+    drawn = {r.seed: r.f for r in seeds.where("seed IS NOT NULL").select("seed", instances.choose(weights).alias("f")).collect()}
+    assert {s: r.template_name for s, r in got.items()} == drawn and set(drawn.values()) == set(weights)
+    kept = {r.seed: r.objective_value for r in optima.solve(instances.instances(seeds, weights, ["knapsack"])).collect()}
+    for s, r in got.items():
+        if drawn[s] == "doubled":
+            assert (r.question, r.instance) == (f"Twice {s}?", f'{{"seed":{s}}}') and tuple(r.reference_solution) == ("OPTIMAL", 2.0 * s, None)
+        else:
+            assert r.reference_solution.objective_value == kept[s]
+    assert all(r.template_name == "doubled" for r in templates.problems(seeds, {"doubled": 1}).collect())
+    with pytest.raises(ValueError, match="engine"):
+        templates.register(templates.Family("tsp", doubled.make, doubled.solve))
+
+
 @pytest.fixture
 def problems(spark):
     rows = [(p, "knapsack", f"q {p}", ("OPTIMAL", 10.0)) for p in "ab"]
