@@ -106,5 +106,5 @@ def test_stages_keep_the_columns(spark, docs, bench, labels, tmp_path):
     assert hidden[1].text is None and hidden[1].n_chars is None and hidden[7].n_chars == len("Ünïcode 😀 Word\x00") and hidden[5].n_chars == 200_002
 
 
-def test_queries_are_ten():
-    assert len(queries.queries()) == 10
+def test_queries_are_thirteen():
+    assert len(queries.queries()) == 13
