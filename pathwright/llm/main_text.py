@@ -4,9 +4,10 @@ A page is cut into blocks (runs of text between block-level tags). A logistic cl
 chance that a block is content; its costs are the capacities from the source (content) and to the sink (boilerplate).
 Neighbouring blocks, and blocks next to each other in one container, are joined by smoothness edges that weigh more the
 closer they are in the DOM. The maximum flow's cut is the cheapest labelling. Elements that are boilerplate by their
-meaning (menus, footers, forms, adverts, comments, ...) are bound to the sink. Not so wrappers: an element that holds most of the
-page's text while no article or main is clear of it has no such meaning, nor has one around main, nor one around an article if
-no other article is clear of all.
+meaning (menus, footers, forms, adverts, comments, ...) are bound to the sink, however long they are. Not so wrappers: if a page (or a
+wrapper) has no prose and no article outside such elements, the one of them that holds main, or else headings and most prose, wraps the
+main text; menus, footers, dialogs, notices and comments never do. Nor is main boilerplate within such an element, nor an article if no
+other article is clear of all.
 
 The classifier starts from PRIOR and is fitted on the blocks of a bounded sample of pages (SAMPLE_PAGES, none of more than SAMPLE_CHARS characters) whose structure
 tells what they are; every such block counts twice, once without its structural features, so that it also learns to do
@@ -44,6 +45,11 @@ BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments disqus respond reply replies cookie cookies consent gdpr notice notices footer"
     " masthead menu nav navbar navigation newsletter subscribe pagination pager popup modal overlay promo promotion related recommended share sharing social sidebar sponsor sponsored login signup skip toolbar widget".split()
 )
+#: Elements, roles and names that hold no main text, whatever stands around them.
+FIRM = frozenset(
+    "nav footer dialog menu navigation contentinfo alertdialog menubar comment comments disqus respond reply replies cookie cookies consent gdpr navbar breadcrumb breadcrumbs popup modal related recommended share sharing social subscribe newsletter pagination pager".split()
+)
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 GOOD_NAMES = frozenset("article articlebody content entry main post story text body maincontent".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
@@ -69,37 +75,62 @@ class Roots:
 
     def __init__(self):
         self.above: list[tuple[int, bool, bool]] = []
+        self.firm: list[bool] = []  # never a wrapper of the main text
 
-    def judge(self, blocks: list[Block]):
-        """Sets bad of each block."""
+    def judge(self, blocks: list[Block]) -> None:
+        """Sets bad of each block. Nothing here depends on how long a part is, but for the choice between several possible wrappers."""
         n = len(self.above)
         if not n:
             for b in blocks:
                 b.bad = False
             return
-        chars, clear, total, clear_total = [0] * n, [0] * n, 0, 0
+        told = [False] * (n + 1)  # content among an element's own blocks, outside boilerplate in it; the last place is the page's
+        heading, prose, clear = [False] * n, [0] * n, [0] * n
+        clear_total = 0
         for b in blocks:
-            k, _, main = b.root
-            total += b.chars
+            k, article, main = b.root
             free = b.article and (k < 0 or main)
             clear_total += free
+            content = prose_like(b)
+            told[k] |= content or article or (k < 0 and b.article)
             if k >= 0:
-                chars[k] += b.chars
                 clear[k] += free
+                heading[k] |= b.tag in HEADINGS
+                prose[k] += b.chars * content
         for k in range(n - 1, -1, -1):
             if (up := self.above[k][0]) >= 0:
-                chars[up] += chars[k]
                 clear[up] += clear[k]
+                heading[up] |= heading[k]
+                prose[up] += prose[k]
+        wrapper, level = [False] * n, -1
+        inner: dict[int, list[int]] = {}
+        for k in range(n):
+            if clear[k] or (prose[k] and not self.firm[k]):
+                inner.setdefault(self.above[k][0], []).append(k)
+        while not told[level]:
+            some = inner.get(level)
+            if not some:
+                break
+            level = max(some, key=lambda k: (clear[k] > 0, heading[k], prose[k], -k))
+            wrapper[level] = True
         near, far = [False] * n, [False] * n  # bad up to the next article or main, and up to the next main
         for k, (up, article, main) in enumerate(self.above):
-            own = 2 * chars[k] <= total or clear_total > clear[k]
-            near[k] = own or (up >= 0 and not article and near[up])
-            far[k] = own or (up >= 0 and not main and far[up])
+            near[k] = not wrapper[k] or (up >= 0 and not article and near[up])
+            far[k] = not wrapper[k] or (up >= 0 and not main and far[up])
         for b in blocks:
             k, article, main = b.root
             b.bad = k >= 0 and ((not article and near[k]) or (clear_total > 0 and not main and far[k]))
 
 
+def prose_like(b: Block) -> bool:
+    """Sentences that PRIOR takes for content by the block alone."""
+    if b.tag in HEADINGS or b.text.count(" ") < 3 or not any(c in b.text for c in ".!?;。"):
+        return False
+    x = features([b])[0]
+    x[STRUCTURE] = 0
+    return float(x @ PRIOR) > 0
+
+
 def tag_end(page: str, at: int, dead: set[int]) -> int:
     """Where the > is that ends a tag; quotation marks count after =. -1 if a value has no end; dead keeps the marks that lead there."""
     seen = []
@@ -222,6 +253,7 @@ def blocks_of(page: str | None) -> list[Block]:
             state = stack[-1] if stack else top
         numbers += 1
         root, bad, good, article, unseen = state[2], False, state[3], state[4], state[5] or tag in UNSEEN
+        firm = tag in FIRM
         main = tag == "main"
         fresh = main or tag == "article"
         if tag in ("article", "main"):
@@ -236,10 +268,11 @@ def blocks_of(page: str | None) -> list[Block]:
                     named = [w for k, w in enumerate(words) if not (k and words[k - 1] in ("has", "with", "no", "without"))]
                     if tag not in ("article", "main", "body", "html") and any(w in BAD_NAMES for w in named):
                         bad = True
+                        firm = firm or any(w in FIRM for w in named)
                     good = good or any(w in GOOD_NAMES for w in named)
                 elif name == "role":
                     role = (a.group(2) or a.group(3) or a.group(4) or "").lower()
-                    bad = bad or role in ROLES
+                    bad, firm = bad or role in ROLES, firm or role in FIRM
                     article = article or role in ("main", "article")
                     main, fresh = main or role == "main", fresh or role in ("main", "article")
                 elif name == "hidden" or (name == "aria-hidden" and "true" in a.group(0).lower()) or (name == "style" and re.search(r"display\s*:\s*none", a.group(0), re.I)):
@@ -254,6 +287,7 @@ def blocks_of(page: str | None) -> list[Block]:
             root = (root[0], True, root[2] or main)
         if bad:
             roots.above.append(root)
+            roots.firm.append(firm)
             root = (len(roots.above) - 1, False, False)
         state = (tag, numbers, root, good, article, unseen)
         stack.append(state)
@@ -270,7 +304,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         x[i] = (
-            1, b.article, b.good, b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag in ("", "body", "p", "blockquote", "pre", "figcaption", "td", "dd"), b.tag in ("li", "dt", "th"),
+            1, b.article, b.good, b.tag in HEADINGS, b.tag in ("", "body", "p", "blockquote", "pre", "figcaption", "td", "dd"), b.tag in ("li", "dt", "th"),
             b.linked / b.chars, min(1.0, np.log1p(words) / 4), min(1.0, sum(map(b.text.count, ".!?;")) / 3), words < 4,
         )
     return x
@@ -341,10 +375,8 @@ def cut(content: list[float], other: list[float], edges: list[tuple[int, int, fl
                 i = parent[i]
 
 
-def main_text(page: str | None, weights: np.ndarray) -> str:
-    blocks = blocks_of(page)
-    if not blocks:
-        return ""
+def graph(blocks: list[Block], weights: np.ndarray) -> tuple[list[int], list[float], list[float], list[tuple[int, int, float]]]:
+    """The blocks that are not bound to the sink, what each costs as boilerplate and as content, and the edges between them."""
     z = np.clip(features(blocks) @ weights, -12, 12)
     gain, loss = np.logaddexp(0, z).tolist(), np.logaddexp(0, -z).tolist()  # -log of boilerplate's and content's chance
     keep = [i for i, b in enumerate(blocks) if not b.bad]
@@ -369,6 +401,14 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
         if j is not None and not (b.bad or blocks[j].bad):
             join(j, i, DOM)
         last[b.container] = i
+    return keep, content, other, edges
+
+
+def main_text(page: str | None, weights: np.ndarray) -> str:
+    blocks = blocks_of(page)
+    if not blocks:
+        return ""
+    keep, content, other, edges = graph(blocks, weights)
     side = cut(content, other, edges)
     return " ".join(blocks[i].text for i, s in zip(keep, side, strict=True) if s)
 
