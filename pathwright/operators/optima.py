@@ -1,97 +1,164 @@
-"""Exact optima of small instances by relational enumeration."""
+"""Exact optima of any number of instances of any size that its method can take: one row a problem is packed by its key, and tasks
+solve their rows in numpy, problems of one shape at once (see `solvers`)."""
 
 from __future__ import annotations
 
-from itertools import permutations
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import solvers
+
+#: Knapsacks of at most so many items are solved together, over all subsets; cells of tables that a task solves at once.
+TOGETHER = 8
+CELLS = 1 << 21
+#: The cost of what is not in a table.
+_NONE = 1 << 40
+
+
+def _packed(df: DataFrame, fields: list[str], **more: Column) -> DataFrame:
+    """One row a problem: `items` in order of the fields, as whole numbers."""
+    return df.groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(f).cast("bigint").alias(f) for f in fields]))).alias("items"), *[c.alias(n) for n, c in more.items()])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Where each row's items begin, how many there are, and their fields."""
+    offsets, flat = column.offsets.to_numpy(), column.flatten()
+    return offsets[:-1] - offsets[0], np.diff(offsets), {flat.type.field(k).name: flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)}
+
+
+Answers = tuple[list, list]
+
+
+def _solved(packed: DataFrame, method: Callable[[pa.RecordBatch], Answers], value: T.DataType, *fields: T.StructField) -> DataFrame:
+    """problem_id, what `fields` name, optimum and plan of each row."""
+    schema = T.StructType([packed.schema["problem_id"], *fields, T.StructField("optimum", value), T.StructField("plan", T.ArrayType(T.DoubleType()))])
+    kind = pa.float64() if isinstance(value, T.DoubleType) else pa.int64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *first, optimum, plan = method(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, first), pa.array(optimum, kind), pa.array(plan, pa.list_(pa.float64()))], names=schema.names)
+
+    return packed.mapInArrow(run, schema)
+
+
+def _shapes(sizes: np.ndarray, cells: Callable[[int], int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each size, in lots of bounded memory."""
+    for n in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == n)
+        lot = max(1, CELLS // max(1, cells(n)))
+        yield from ((n, rows[at : at + lot]) for at in range(0, len(rows), lot))
 
 
 def knapsack(items: DataFrame) -> DataFrame:
-    """problem_id, optimum, plan (1 for each chosen item, else 0): best value of a subset within capacity. One row a problem; the sums of all subsets (2^6 for the largest) are built up item by item in the row, no join. Of equal values the plan with the fewest of the last items."""
-    one = F.struct("pos", F.col("value").cast("bigint").alias("value"), F.col("weight").cast("bigint").alias("weight"))
-    packed = items.groupBy("problem_id").agg(F.array_sort(F.collect_list(one)).alias("items"), F.max("capacity").alias("capacity"))
-    none = F.expr("array(named_struct('value', 0L, 'weight', 0L, 'plan', CAST(array() AS array<double>)))")
-    add = lambda s, x, k: F.struct((s["value"] + k * x["value"]).alias("value"), (s["weight"] + k * x["weight"]).alias("weight"), F.concat(s["plan"], F.array(F.lit(float(k)))).alias("plan"))
-    grown = lambda sums, x: F.concat(F.transform(sums, lambda s: add(s, x, 0)), F.transform(sums, lambda s: add(s, x, 1)))
-    sums = F.filter(F.aggregate("items", none, grown), lambda s: s["weight"] <= F.col("capacity"))
-    best = F.array_min(F.transform(sums, lambda s: F.struct((-s["value"]).alias("v"), F.reverse(s["plan"]).alias("plan"))))
-    return packed.select("problem_id", best.alias("b")).select("problem_id", (-F.col("b.v")).alias("optimum"), F.reverse("b.plan").alias("plan"))
+    """problem_id, optimum, plan (1 for each chosen item, else 0): best value of a subset of the items (problem_id, pos, value, weight, capacity) within
+    capacity. Few items are tried in all subsets, more by their undominated subsets. Of equal values the plan of few items has the fewest of the last ones."""
+
+    def method(batch: pa.RecordBatch) -> Answers:
+        at, sizes, x = _lists(batch.column(1))
+        room, optimum, plan = batch.column(2).to_numpy(zero_copy_only=False), [0] * batch.num_rows, [[]] * batch.num_rows
+        for n, rows in _shapes(sizes, lambda n: 1 << min(n, TOGETHER)):
+            take = at[rows][:, None] + np.arange(n)
+            weights, values = x["weight"][take], x["value"][take]
+            if n <= TOGETHER:
+                best, chosen = solvers.subsets(room[rows], weights, values)
+            else:
+                best, chosen = zip(*(solvers.packing(int(room[r]), w, v, [0] * n, [1] * n) for r, w, v in zip(rows, weights.tolist(), values.tolist(), strict=True)), strict=True)
+            for r, b, c in zip(rows.tolist(), best, chosen, strict=True):
+                optimum[r], plan[r] = int(b), [float(q) for q in c]
+        return optimum, plan
+
+    return _solved(_packed(items, ["pos", "value", "weight"], capacity=F.max("capacity").cast("bigint")), method, T.LongType())
+
+
+def _tables(batch: pa.RecordBatch, i: str, j: str, value: str, cells: Callable[[int], int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows with square tables of one size, and the tables; what is missing costs _NONE."""
+    at, count, x = _lists(batch.column(1))
+    row = np.repeat(np.arange(batch.num_rows), count)
+    sizes = np.zeros(batch.num_rows, np.int64)
+    np.maximum.at(sizes, row, np.maximum(x[i], x[j]) + 1)
+    place = np.zeros(batch.num_rows, np.int64)
+    for n, rows in _shapes(sizes, cells):
+        tables = np.full((len(rows), n, n), _NONE)
+        place[rows] = np.arange(len(rows))
+        some = np.isin(row, rows)
+        tables[place[row[some]], x[i][some], x[j][some]] = x[value][some]
+        yield n, rows, tables
 
 
 def assignment(costs: DataFrame) -> DataFrame:
-    """problem_id, optimum, plan (the task of each worker): cheapest perfect matching of a 4 x 4 cost table (problem_id, w, t, cost), over its 24 permutations in the row."""
-    wide = costs.groupBy("problem_id").agg(*[F.max(F.when((F.col("w") == w) & (F.col("t") == t), F.col("cost"))).alias(f"c{w}{t}") for w in range(4) for t in range(4)])
-    tried = [F.struct(sum((F.col(f"c{w}{t}") for w, t in enumerate(p)), F.lit(0)).cast("bigint").alias("cost"), F.expr(f"array({', '.join(f'{t}D' for t in p)})").alias("plan")) for p in permutations(range(4))]
-    return wide.select("problem_id", F.array_min(F.array(*tried)).alias("b")).select("problem_id", F.col("b.cost").alias("optimum"), "b.plan")
+    """problem_id, optimum, plan (the task of each worker): cheapest matching of each worker with a task of its own over the costs
+    (problem_id, w, t, cost) numbered from 0. A pair that is missing may not be matched: a problem without a matching has neither optimum nor plan."""
+
+    def method(batch: pa.RecordBatch) -> Answers:
+        optimum, plan = [None] * batch.num_rows, [None] * batch.num_rows
+        for _, rows, tables in _tables(batch, "w", "t", "cost", lambda n: n * n):
+            best, tasks = solvers.matchings(tables)
+            for r, b, p in zip(rows.tolist(), best.tolist(), tasks.tolist(), strict=True):
+                if b < _NONE // 2:
+                    optimum[r], plan[r] = b, [float(t) for t in p]
+        return optimum, plan
+
+    return _solved(_packed(costs, ["w", "t", "cost"]), method, T.LongType())
 
 
 def tour(arcs: DataFrame) -> DataFrame:
-    """problem_id, optimum, plan (the cities in their order): shortest round trip over the arcs (problem_id, i, j, dist) of 5 or 6 cities numbered from 0, over the tours in the row."""
-    wide = arcs.groupBy("problem_id").agg((F.max("i") + 1).alias("n"), *[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("dist"))).alias(f"d{i}{j}") for i in range(6) for j in range(6) if i != j])
-    wide = wide.select("problem_id", "n", F.array(*[F.lit(None) if i == j else F.col(f"d{i}{j}") for i in range(6) for j in range(6)]).alias("dist"))
+    """problem_id, optimum, plan (the cities in their order from 0): shortest round trip over the arcs (problem_id, i, j, dist) of cities
+    numbered from 0, by the shortest ways over all sets of cities. A problem without a round trip has neither optimum nor plan; one of more than 18 cities raises an error."""
 
-    def shortest(n):
-        tours = ([6 * a + b for a, b in zip((0, *p), (*p, 0), strict=True)] for p in permutations(range(1, n)))
-        cells = F.expr("array(" + ", ".join(f"array({', '.join(map(str, t))})" for t in tours) + ")")  # a literal
-        return F.array_min(F.transform(cells, lambda t: F.struct(sum((F.get("dist", F.get(t, F.lit(k))) for k in range(n)), F.lit(0)).cast("bigint").alias("length"), t.alias("t"))))
+    def method(batch: pa.RecordBatch) -> Answers:
+        optimum, plan = [None] * batch.num_rows, [None] * batch.num_rows
+        for n, rows, tables in _tables(batch, "i", "j", "dist", lambda n: n << n):
+            if n > solvers.MOST_CITIES:
+                raise ValueError(f"a tour of {n} cities; at most {solvers.MOST_CITIES}")
+            best, order = solvers.tours(tables)
+            for r, b, p in zip(rows.tolist(), best.tolist(), order.tolist(), strict=True):
+                if b < _NONE // 2:
+                    optimum[r], plan[r] = b, [float(c) for c in p]
+        return optimum, plan
 
-    best = wide.select("problem_id", F.when(F.col("n") == 5, shortest(5)).when(F.col("n") == 6, shortest(6)).alias("b"))
-    return best.select("problem_id", F.col("b.length").alias("optimum"), F.transform("b.t", lambda x: F.floor(x / 6).cast("double")).alias("plan"))
+    return _solved(_packed(arcs, ["i", "j", "dist"]), method, T.LongType())
 
 
 def production(products: DataFrame) -> DataFrame:
-    """problem_id, optimum, plan (units by product): most net profit of whole numbers of units (margin, setup, max_units, labor of each of at most 4 products;
-    total_hours), a setup being paid once a product is made. The units of all products but one are enumerated within the hours left, the
-    last product takes what remains; the rows so made are reduced where they are, as the problem's key already places them. Profit and units go through the maximum as one number. More products,
-    or 1,000 units of one, raise an error."""
-    packed = products.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("pos", "margin", "setup", "max_units", "labor"))).alias("items"), F.max("total_hours").alias("left"))
-    few = F.when(F.size("items") > 4, F.raise_error(F.lit("at most 4 products"))).when(F.exists("items", lambda x: x["max_units"] > 999), F.raise_error(F.lit("at most 999 units"))).otherwise(F.size("items"))
-    fields = ("margin", "setup", "max_units", "labor")
-    flat = [F.get("items", F.lit(k))[f].cast("bigint").alias(f"{f}{k}") for k in range(4) for f in fields]
-    df = packed.select("problem_id", F.col("left").cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("profit"), F.lit(0).cast("bigint").alias("units"), few.alias("n"), *flat)
-    most = lambda k: F.coalesce(F.least(F.col(f"max_units{k}"), F.expr(f"left div labor{k}")), F.lit(0)).cast("bigint")
-    gain = lambda k, q: F.coalesce(q * F.col(f"margin{k}") - F.when(q > 0, F.col(f"setup{k}")).otherwise(0), F.lit(0))
-    for k in (3, 2, 1):
-        df = df.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), most(k))))
-        df = df.select("problem_id", (F.col("left") - F.coalesce(F.col("q") * F.col(f"labor{k}"), F.lit(0))).alias("left"), (F.col("profit") + gain(k, F.col("q"))).alias("profit"), (F.col("units") * 1000 + F.coalesce("q", F.lit(0))).alias("units"), "n", *[f"{f}{j}" for j in range(k) for f in fields])
-    last = F.when(gain(0, most(0)) > 0, most(0)).otherwise(0)
-    coded = (F.col("profit") + gain(0, last)) * 10**12 + F.col("units") * 1000 + last
-    best = df.where("n > 0").groupBy("problem_id", "n").agg(F.max(coded).alias("b"))
-    units = F.pmod("b", F.lit(10**12))
-    return best.select("problem_id", F.expr("(b - pmod(b, 1000000000000)) div 1000000000000").alias("optimum"), F.slice(F.array(*[(F.floor(units / 1000**k) % 1000).cast("double") for k in range(4)]), F.lit(1), F.col("n")).alias("plan"))
+    """problem_id, optimum, plan (units by product): most net profit of whole numbers of units (problem_id, pos, margin, setup, max_units, labor;
+    total_hours), a setup being paid once a product is made. Any number of products and units."""
+
+    def method(batch: pa.RecordBatch) -> Answers:
+        at, sizes, x = _lists(batch.column(1))
+        optimum, plan = [], []
+        for lo, n, room in zip(at.tolist(), sizes.tolist(), batch.column(2).to_pylist(), strict=True):
+            best, units = solvers.packing(room, *(x[f][lo : lo + n].tolist() for f in ("labor", "margin", "setup", "max_units")))
+            optimum.append(best)
+            plan.append([float(q) for q in units])
+        return optimum, plan
+
+    return _solved(_packed(products, ["pos", "margin", "setup", "max_units", "labor"], left=F.max("total_hours").cast("bigint")), method, T.LongType())
 
 
 def linear(products: DataFrame) -> DataFrame:
-    """problem_id, optimum (double), plan (quantity by product): largest profit of a continuous plan under three limits (u0, u1, u2 of each product; cap0, cap1, cap2;
-    a problem of two limits has u2 = cap2 = 0). Every basis of three columns is solved in the row, in whole numbers; the quotient comes last."""
-    column = lambda a, b, c, p: F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), c.cast("bigint").alias("c"), p.cast("bigint").alias("p"))
-    one, zero = F.lit(1), F.lit(0)
-    packed = products.groupBy("problem_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", column(F.col("u0"), F.col("u1"), F.col("u2"), F.col("profit")).alias("x")))).alias("items"),
-        column(F.max("cap0"), F.max("cap1"), F.max("cap2"), zero).alias("rhs"),
-    )
-    slacks = F.array(column(one, zero, zero, zero), column(zero, one, zero, zero), column(zero, zero, one, zero))
-    packed = packed.withColumn("cols", F.concat(F.transform("items", lambda x: x["x"]), slacks))
-
-    def det(x, y, z):
-        return x["a"] * (y["b"] * z["c"] - z["b"] * y["c"]) - y["a"] * (x["b"] * z["c"] - z["b"] * x["c"]) + z["a"] * (x["b"] * y["c"] - y["b"] * x["c"])
-
-    def value(i, j, k):
-        x, y, z = (F.get("cols", at) for at in (i, j, k))
-        r = F.col("rhs")
-        d = F.struct(det(x, y, z).alias("d"), det(r, y, z).alias("x"), det(x, r, z).alias("y"), det(x, y, r).alias("z"))
-        feasible = lambda s: (s["d"] != 0) & (s["x"] * s["d"] >= 0) & (s["y"] * s["d"] >= 0) & (s["z"] * s["d"] >= 0)
-        part = lambda s, f: s[f].cast("double") / s["d"].cast("double")
-        total = lambda s: F.when(feasible(s), F.struct(((s["x"] * x["p"] + s["y"] * y["p"] + s["z"] * z["p"]).cast("double") / s["d"].cast("double")).alias("v"), F.array(i, j, k).alias("at"), F.array(part(s, "x"), part(s, "y"), part(s, "z")).alias("q")))
-        return F.get(F.transform(F.array(d), total), F.lit(0))
-
-    n = F.size("cols")
-    bases = F.flatten(F.transform(F.sequence(zero, n - 3), lambda i: F.flatten(F.transform(F.sequence(i + 1, n - 2), lambda j: F.transform(F.sequence(j + 1, n - 1), lambda k: value(i, j, k))))))
-    best = packed.select("problem_id", "items", F.array_max(bases).alias("b"))
-    amount = lambda x, p: F.coalesce(F.get("b.q", F.array_position("b.at", p).cast("int") - 1), F.lit(0.0))
-    return best.select("problem_id", F.col("b.v").alias("optimum"), F.transform("items", amount).alias("plan"))
+    """problem_id, status, optimum (double), plan (quantity by product): largest profit of a continuous plan (problem_id, pos, profit, uses: what one
+    unit takes of each limit; caps: the limits, the same in each row of a problem) by the simplex method in whole numbers; quotients come last.
+    Limits and uses may be negative. status is OPTIMAL, INFEASIBLE or UNBOUNDED; only the first has an optimum and a plan."""
+    whole = lambda c: F.transform(c, lambda v: v.cast("bigint"))
+    packed = products.groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("profit").cast("bigint").alias("profit"), whole("uses").alias("uses")))).alias("items"), whole(F.max("caps")).alias("caps"))
+
+    def method(batch: pa.RecordBatch) -> tuple[list, list, list]:
+        status, optimum, plan = [], [], []
+        for items, caps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            rows = [[item["uses"][k] for item in items] for k in range(len(caps))]
+            state, a, b, amounts = solvers.simplex(rows, caps, [item["profit"] for item in items])
+            status.append(state)
+            optimum.append(solvers.quotient(a, b) if amounts else None)
+            plan.append([solvers.quotient(*q) for q in amounts] if amounts else None)
+        return status, optimum, plan
+
+    return _solved(packed, method, T.DoubleType(), T.StructField("status", T.StringType()))
 
 
 def solve(instances: DataFrame) -> DataFrame:
@@ -106,11 +173,9 @@ def solve(instances: DataFrame) -> DataFrame:
 
     p = facts("production_planning", "margin", "setup_cost", "max_units", "labor_hours").select("problem_id", "pos", "x.margin", F.col("x.setup_cost").alias("setup"), "x.max_units", F.col("x.labor_hours").alias("labor"), F.get("limits", F.lit(0)).alias("total_hours"))
     k = facts("knapsack", "value", "weight").select("problem_id", "pos", "x.value", "x.weight", F.get("limits", F.lit(0)).alias("capacity"))
-    cell = lambda r: F.coalesce(F.get(F.get("cells", F.lit(r)), F.col("pos")), F.lit(0))
-    cap = lambda r: F.coalesce(F.get("limits", F.lit(r)), F.lit(0))
-    lp = facts("resource_allocation", "profit").select("problem_id", "pos", "x.profit", *[cell(r).alias(f"u{r}") for r in range(3)], *[cap(r).alias(f"cap{r}") for r in range(3)])
+    lp = facts("resource_allocation", "profit").select("problem_id", "pos", "x.profit", F.transform("cells", lambda row: F.get(row, F.col("pos"))).alias("uses"), F.col("limits").alias("caps"))
     grid = lambda t, i, j, v: of(t).select("problem_id", F.posexplode("cells").alias(i, "row")).select("problem_id", i, F.posexplode("row").alias(j, v))
-    solved = linear(lp)
+    solved = linear(lp).drop("status")
     for one in (production(p), knapsack(k), assignment(grid("assignment", "w", "t", "cost")), tour(grid("tsp", "i", "j", "dist").where("i <> j"))):
         solved = solved.unionByName(one.select("problem_id", F.col("optimum").cast("double").alias("optimum"), "plan"))
     got = instances.select("seed", "template_name", "names", "others").join(solved.withColumnRenamed("problem_id", "seed"), "seed", "left")

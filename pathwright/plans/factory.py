@@ -93,4 +93,74 @@ _X, _Y, _Z, _R = (tuple(f"{t}.{f}" for f in "abc") for t in ("x", "y", "z", "r")
   tried AS (SELECT x.problem_id, x.p AS p0, y.p AS p1, z.p AS p2, {_DET(_X, _Y, _Z)} AS d, {_DET(_R, _Y, _Z)} AS dx, {_DET(_X, _R, _Z)} AS dy, {_DET(_X, _Y, _R)} AS dz FROM cols AS x JOIN cols AS y ON x.problem_id = y.problem_id AND x.j < y.j JOIN cols AS z ON y.problem_id = z.problem_id AND y.j < z.j JOIN r ON x.problem_id = r.problem_id)
   SELECT problem_id, max(CAST(dx * p0 + dy * p1 + dz * p2 AS DOUBLE) / CAST(d AS DOUBLE)) AS optimum FROM tried WHERE d <> 0 AND dx * d >= 0 AND dy * d >= 0 AND dz * d >= 0 GROUP BY problem_id""", "lp_params")
 def opt_lp(s, d):
-    return O.linear(view(s, d, "lp_params")).select("problem_id", "optimum")
+    lp = view(s, d, "lp_params").withColumns({"uses": F.array("u0", "u1", "u2"), "caps": F.array("cap0", "cap1", "cap2")})
+    return O.linear(lp).select("problem_id", "optimum")
+
+
+# ---- larger shapes
+
+#: Two products under three to five limits, with uses and limits below zero too, so that some problems have no plan and some no end.
+LP_GENERAL = "SELECT CAST(floor(p_partkey / 2) AS BIGINT) AS problem_id, CAST(p_partkey % 2 AS INT) AS pos, CAST((p_size * 3 + p_partkey) % 31 - 5 AS BIGINT) AS profit, {} FROM part".format(
+    ", ".join(f"CAST(CASE WHEN floor(p_partkey / 2) % 3 + 3 > {k} THEN (p_partkey * {7 + 4 * k} + p_size * {k + 1}) % 9 - 2 END AS BIGINT) AS u{k}, CAST((floor(p_partkey / 2) * {11 + 6 * k} + {k}) % 61 - 6 AS BIGINT) AS c{k}" for k in range(5))
+)
+
+
+@query(f"""WITH part2 AS ({LP_GENERAL}), wide AS (SELECT problem_id, max(CASE WHEN pos = 0 THEN profit END) AS p, max(CASE WHEN pos = 1 THEN profit END) AS q,
+    {", ".join(f"max(CASE WHEN pos = 0 THEN u{k} END) AS a{k}, max(CASE WHEN pos = 1 THEN u{k} END) AS b{k}, max(c{k}) AS c{k}" for k in range(5))} FROM part2 GROUP BY problem_id HAVING count(*) = 2),
+  line AS (SELECT problem_id, -1 AS a, 0 AS b, 0 AS c, -2 AS k FROM wide UNION ALL SELECT problem_id, 0, -1, 0, -1 FROM wide {" ".join(f"UNION ALL SELECT problem_id, a{k}, b{k}, c{k}, {k} FROM wide WHERE a{k} IS NOT NULL" for k in range(5))}),
+  corner AS (SELECT x.problem_id, (x.a * y.b - y.a * x.b) AS d, (x.c * y.b - y.c * x.b) AS dx, (x.a * y.c - y.a * x.c) AS dy FROM line AS x JOIN line AS y ON x.problem_id = y.problem_id AND x.k < y.k WHERE x.a * y.b <> y.a * x.b),
+  good AS (SELECT corner.problem_id, d, dx, dy FROM corner JOIN line USING (problem_id) GROUP BY ALL HAVING bool_and((a * dx + b * dy - c * d) * sign(d) <= 0)),
+  ray AS (SELECT problem_id, s * b AS dx, -s * a AS dy FROM line, (SELECT unnest([1, -1]) AS s)),
+  away AS (SELECT DISTINCT r.problem_id FROM (SELECT ray.problem_id, dx, dy FROM ray JOIN line USING (problem_id) GROUP BY ALL HAVING bool_and(a * dx + b * dy <= 0)) AS r JOIN wide USING (problem_id) WHERE p * dx + q * dy > 0),
+  top AS (SELECT wide.problem_id, max(CAST(p * dx + q * dy AS DOUBLE) / CAST(d AS DOUBLE)) AS optimum FROM good JOIN wide USING (problem_id) GROUP BY wide.problem_id)
+  SELECT wide.problem_id, CASE WHEN top.problem_id IS NULL THEN 'INFEASIBLE' WHEN away.problem_id IS NULL THEN 'OPTIMAL' ELSE 'UNBOUNDED' END AS status, CASE WHEN away.problem_id IS NULL THEN optimum + 0.0 END AS optimum
+  FROM wide LEFT JOIN top USING (problem_id) LEFT JOIN away ON away.problem_id = wide.problem_id""")
+def opt_lp_general(s, d):
+    """Limits of either sign: plans, no plan, and no end."""
+    rows = s.sql(LP_GENERAL.replace("FROM part", "FROM {part}"), part=table(s, d, "part"))
+    own = rows.select("problem_id", "pos", "profit", F.array_compact(F.array(*[f"u{k}" for k in range(5)])).alias("uses"), F.array(*[f"c{k}" for k in range(5)]).alias("caps"))
+    whole = own.withColumn("caps", F.slice("caps", F.lit(1), F.size("uses")))
+    pairs = whole.groupBy("problem_id").agg(F.count("*").alias("n")).where("n = 2").select("problem_id")
+    return O.linear(whole.join(pairs, "problem_id")).select("problem_id", "status", "optimum")
+
+
+GRID = "8 + (p_partkey * 7 + w * 13 + t * 17 + w * t * 5 + w * w * t * 3) % 41"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT p_partkey AS problem_id, 2 + p_partkey % 5 AS n, w, t, {GRID} AS cost FROM part, (SELECT unnest(range(6)) AS w), (SELECT unnest(range(6)) AS t) WHERE w < 2 + p_partkey % 5 AND t < 2 + p_partkey % 5),
+  best AS (SELECT problem_id, t, 1 AS k, CAST(1 << CAST(t AS INT) AS BIGINT) AS seen, cost FROM c WHERE w = 0
+    UNION ALL SELECT problem_id, NULL, k + 1, seen | (1 << CAST(c.t AS INT)), min(best.cost + c.cost) FROM best JOIN c USING (problem_id) WHERE c.w = best.k AND seen & (1 << CAST(c.t AS INT)) = 0 GROUP BY problem_id, k + 1, seen | (1 << CAST(c.t AS INT)))
+  SELECT problem_id, CAST(min(cost) AS BIGINT) AS optimum FROM best WHERE k = 2 + problem_id % 5 GROUP BY problem_id""")
+def opt_matching(s, d):
+    """Two to six workers."""
+    part = table(s, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("bigint"), 1 + F.col("p_partkey") % 5)).alias("w"))
+    grid = part.select("p_partkey", "w", F.explode(F.sequence(F.lit(0).cast("bigint"), 1 + F.col("p_partkey") % 5)).alias("t"))
+    return O.assignment(grid.select(F.col("p_partkey").alias("problem_id"), "w", "t", F.expr(GRID).alias("cost"))).select("problem_id", "optimum")
+
+
+_CITIES = "SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS problem_id, p_partkey % 10 AS c, p_size FROM {part} WHERE p_partkey % 10 < 5 + floor(p_partkey / 10) % 6"
+_ARCS = "SELECT a.problem_id, a.c AS i, b.c AS j, 12 + (least(a.c, b.c) * 31 + greatest(a.c, b.c) * 17 + a.p_size * b.p_size) % 49 AS dist FROM city AS a JOIN city AS b ON a.problem_id = b.problem_id AND a.c <> b.c"
+
+
+@query(f"""WITH RECURSIVE city AS ({_CITIES.format(part="part")}), size AS (SELECT problem_id, count(*) AS n FROM city GROUP BY problem_id HAVING min(c) = 0 AND max(c) = count(*) - 1), arc AS ({_ARCS}),
+  path AS (SELECT problem_id, 1 AS k, j AS at, 1 << CAST(j AS INT) AS seen, dist FROM arc WHERE i = 0
+    UNION ALL SELECT problem_id, k + 1, arc.j, seen | (1 << CAST(arc.j AS INT)), min(path.dist + arc.dist) FROM path JOIN arc USING (problem_id) WHERE arc.i = path.at AND arc.j > 0 AND seen & (1 << CAST(arc.j AS INT)) = 0 GROUP BY problem_id, k + 1, arc.j, seen | (1 << CAST(arc.j AS INT)))
+  SELECT problem_id, CAST(min(path.dist + arc.dist) AS BIGINT) AS optimum FROM path JOIN size USING (problem_id) JOIN arc USING (problem_id) WHERE k = n - 1 AND arc.i = path.at AND arc.j = 0 GROUP BY problem_id""")
+def opt_tour(s, d):
+    """Five to ten cities; a problem whose cities are not all there is left out."""
+    city = s.sql(_CITIES, part=table(s, d, "part"))
+    whole = city.groupBy("problem_id").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a = 0 AND b = n - 1 AND n > 1").select("problem_id")
+    own = city.join(whole, "problem_id")
+    return O.tour(s.sql(_ARCS.replace("city AS", "{city} AS"), city=own)).select("problem_id", "optimum")
+
+
+_TWELVE = "SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS problem_id, p_partkey % 12 AS pos, CAST(18 + p_size % 19 AS BIGINT) AS margin, CAST(45 + (p_partkey * 7) % 66 AS BIGINT) AS setup, CAST(3 + p_size % 7 AS BIGINT) AS max_units, CAST(2 + p_partkey % 5 AS BIGINT) AS labor, CAST(60 + floor(p_partkey / 12) % 41 AS BIGINT) AS total_hours FROM {part}"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY pos) AS k FROM ({_TWELVE.format(part="part")})), units AS (SELECT unnest(range(10)) AS q),
+  state AS (SELECT problem_id, CAST(0 AS BIGINT) AS k, max(total_hours) AS room, CAST(0 AS HUGEINT) AS v FROM p GROUP BY problem_id
+    UNION ALL SELECT state.problem_id, state.k + 1, room - q * labor, max(v + q * margin - CASE WHEN q > 0 THEN setup ELSE 0 END) FROM state JOIN p ON p.problem_id = state.problem_id AND p.k = state.k + 1 JOIN units ON q <= max_units AND q * labor <= room GROUP BY state.problem_id, state.k + 1, room - q * labor)
+  SELECT problem_id, CAST(max(v) AS BIGINT) AS optimum FROM state GROUP BY problem_id""")
+def opt_plan(s, d):
+    """Twelve products a problem, each with a setup."""
+    return O.production(s.sql(_TWELVE, part=table(s, d, "part"))).select("problem_id", "optimum")
