@@ -3,12 +3,13 @@
 A softmax classifier, fitted by the driver on a bounded sample of labelled rows (about SAMPLE_ROWS of them, of texts up to SAMPLE_CHARS characters; VOCABULARY words, and beginnings of words
 that three words of a text share, which tell what a stem's many compounds do not), gives each document its posterior of the domains `high`, `low` and `toxic` of the labels table. A document with n tokens and
 posterior p puts n * p into the domains' totals. Of all rates r >= 0 whose expected totals are the targets, those are taken
-that change least, by the sum of n (r - 1)^2. They have the form r = max(0, p . x) with one vector x over the domains, the minimum
-of the convex sum of n max(0, p . x)^2 / 2 - x . targets: Newton steps with backtracking, each from one aggregate over the
-documents (value, gradient, and second derivatives over those with a rate), until the totals are the targets to SETTLED.
-Column expressions only; no state is kept for documents.
+that change least, by the sum of n (r - 1)^2, by projected gradient steps of the least squares of the totals' error: from rates 1 on, each
+step takes the error's share from every rate, and rates below 0 count as 0. As a step's change of a rate is p times one vector over the
+domains, the rates before projection are p . x, and no state is kept for documents: each pass is one aggregate over them (the error, and the
+second derivatives over those with a rate, by which the next step is scaled). Steps are accelerated by momentum, which starts anew when it
+leads away, and shortened where the error would not fall, until the totals are the targets to SETTLED. Column expressions only.
 
-If that does not settle within PASSES aggregates (no rates may reach the targets), the squared error is minimised together with a
+If that does not settle within PASSES passes (no rates may reach the targets), the squared error is minimised together with a
 small multiple of the squared distance of the rates from 1, which RIDGES lower in turn, and a warning tells the shares reached.
 
 Defined results: a null text has no tokens, and the posterior of an empty text. Without labelled rows, the posterior is
@@ -34,7 +35,7 @@ VOCABULARY = 300
 #: Letters of a beginning, and how many distinct words of a text must share it.
 BEGINNING = 5
 SHARED = 3
-#: Aggregates of one search at most, the error (a share of all tokens) that ends it, and what keeps its equations solvable.
+#: Passes of one search at most, the error (a share of all tokens) that ends it, and what keeps its equations solvable.
 PASSES = 40
 SETTLED = 1e-7
 TINY = 1e-9
@@ -178,48 +179,67 @@ def fit_rates(members: DataFrame, targets: dict[str, float]) -> np.ndarray | Non
             h[i, j] = h[j, i] = v
         return got[0] / 2 - x @ want, got[1 : k + 1] - want, h
 
-    return _minimum(at, np.ones(k), want)
+    return _descend(at, np.ones(k), want)
 
 
-def _minimum(at, start: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """Where the slope is zero; if it is nowhere, what RIDGES lead to, each a minimum with that much of the squared distance from start."""
-    eye, passes = np.eye(len(start)), 0
+def _descend(at, start: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Projected gradient steps on the rates until their totals are the targets; if they never are, what RIDGES lead to, each the rates that balance the error against that much of the squared distance from 1.
 
-    def newton(x: np.ndarray, ridge: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """The point and its slope without the ridge."""
+    The rates before projection are p . x: a step takes p . (S^-1 e) from them, for the error e of the totals. at(x) gives a value that falls as the error does, the error, and the second derivatives."""
+    passes = 0
+
+    def search(x: np.ndarray, ridge: float, most: int) -> tuple[np.ndarray, np.ndarray]:
         nonlocal passes
-        passes += 1
-        last, now, part, step = passes + most, at(x), 1.0, None
-        while passes < last:
-            slope = now[1] + ridge * (x - start)
-            if min(np.abs(slope).sum(), np.abs(now[1]).sum()) <= SETTLED:
-                break
-            if step is None:
-                step, part = -np.linalg.solve(now[2] + max(ridge, TINY) * eye, slope), 1.0
-            y = x + part * step
-            new = at(y)
+
+        def look(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+            nonlocal passes
             passes += 1
-            worth = lambda v, x: v + ridge / 2 * float((x - start) @ (x - start))
+            value, error, h = at(x)
+            return value + ridge / 2 * float((x - start) @ (x - start)), error + ridge * (x - start), h + ridge * np.eye(len(x)), error
+
+        reached = lambda here: min(np.abs(here[1]).sum(), np.abs(here[3]).sum()) <= SETTLED
+        last, speed, shorter = passes + most, 1.0, 1.0
+        y, here = x, look(x)
+        whole = here[2]
+        while passes < last and not reached(here):
+            # the curvature of the documents in use, more of that of all documents the longer steps fail
+            step = np.linalg.solve(shorter * (here[2] + (1e-3 * (shorter - 1) + TINY) * whole) + TINY * np.eye(len(x)), here[1])
+            new, there = y - step, look(y - step)
             # the slope along the step tells what the value cannot where its change is below its last digit
-            if worth(new[0], y) <= worth(now[0], x) + 1e-4 * part * (slope @ step) or abs((new[1] + ridge * (y - start)) @ step) <= 0.5 * abs(slope @ step):
-                x, now, step = y, new, None
-            else:
-                part /= 2
-        return x, now[1]
-
-    x, slope = newton(start, 0.0, PASSES)
-    if np.abs(slope).sum() <= SETTLED:
+            if there[0] > here[0] - 0.25 * here[1] @ step and abs(there[1] @ step) > 0.5 * abs(here[1] @ step):
+                shorter *= 4
+                continue
+            shorter = max(1.0, shorter / 4)
+            faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+            ahead = (speed - 1) / faster
+            if there[1] @ (new - x) > 0:  # the momentum leads away
+                ahead, faster = 0.0, 1.0
+            y, x, speed = new + ahead * (new - x), new, faster
+            here = there if not ahead or reached(there) else look(y)
+            if reached(there):
+                y = new
+        return y, here[3]
+
+    x, error = search(start, 0.0, PASSES)
+    if np.abs(error).sum() <= SETTLED:
         return x
     x = start
     for ridge in RIDGES:
-        x, slope = newton(x, ridge, PASSES)
-        if np.abs(slope).sum() <= SETTLED:
+        x, error = search(x, ridge, PASSES)
+        if np.abs(error).sum() <= SETTLED:
             return x
-    shares = ", ".join(f"{d} {v + w:.6f} for {w:.6f}" for d, v, w in zip(DOMAINS, slope, want, strict=True))
+    shares = ", ".join(f"{d} {v + w:.6f} for {w:.6f}" for d, v, w in zip(DOMAINS, error, want, strict=True))
     warnings.warn(f"the rates do not reach the targets (after {passes} passes: {shares})", stacklevel=3)
     return x
 
 
+def shares(members: DataFrame, x: np.ndarray | None) -> list[float] | None:
+    """Each domain's tokens at these rates, as a share of the tokens there are; null without tokens."""
+    n = F.col("n_tokens").cast("double")
+    total, *got = members.withColumn("r", _rate(F.col("p"), x)).agg(F.sum(n), *[F.sum(n * F.col("r") * F.get("p", F.lit(d))) for d in range(len(DOMAINS))]).first()
+    return [v / total for v in got] if total else None
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, p_high, p_low, p_toxic, rate of each row of docs."""
     members = memberships(docs, labels, id_col, text_col)
@@ -228,10 +248,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its rates as a last column mix_rate; rows of rate 0 are gone. A rate is how often to take the document in an epoch. Texts are scored once: the table of docs with their posteriors serves the fit and the result."""
+    """docs with its rates as column mix_rate, and as a last column mix_residual by how much the domain that misses its target most misses it (a share of all tokens; null without tokens); rows of rate 0 are gone. A rate is how often to take the document in an epoch. Texts are scored once: the table of docs with their posteriors serves the fit and the result."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     member = fresh(docs, "pw_member")
     scored = written(docs.withColumn(member, _member(fit(_sample(plain, labels)), F.col(text_col))), "scored")
-    x = fit_rates(scored.select(f"`{member}`.n_tokens", f"`{member}`.p"), targets or TARGETS)
-    rate = fresh(docs, "mix_rate")
-    return scored.withColumn(rate, _rate(F.col(f"`{member}`.p"), x)).where(F.col(rate) > 0).select(*docs.columns, rate)
+    members, wanted = scored.select(f"`{member}`.n_tokens", f"`{member}`.p"), targets or TARGETS
+    x = fit_rates(members, wanted)
+    got, total = shares(members, x), max(1e-12, sum(wanted.get(d, 0.0) for d in DOMAINS))
+    missed = max(abs(v - wanted.get(d, 0.0) / total) for d, v in zip(DOMAINS, got, strict=True)) if got else None
+    rate, residual = fresh(docs, "mix_rate"), fresh(docs, "mix_residual")
+    return scored.withColumn(rate, _rate(F.col(f"`{member}`.p"), x)).where(F.col(rate) > 0).select(*docs.columns, rate, F.lit(missed).cast("double").alias(residual))

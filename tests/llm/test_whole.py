@@ -348,6 +348,50 @@ def test_mixing_gives_the_nearest_rates(spark):
     assert np.maximum(0, p @ x) == pytest.approx(r, abs=1e-5)
 
 
+def test_mixture_tells_what_it_misses(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    assert {r.mix_residual for r in mixing.mixed(docs, labels).select("mix_residual").distinct().collect()}.pop() <= 1e-6
+    with pytest.warns(UserWarning, match="do not reach"):
+        rows = mixing.mixed(docs.limit(3), labels.where("false"), {"high": 1.0}).collect()
+    assert rows and all(r.mix_residual == pytest.approx(2 / 3, abs=1e-3) for r in rows)
+
+
+def newton(n, p, want):
+    """The same rates by another way: Newton steps with halving on the smooth dual function."""
+    x, tokens = np.ones(p.shape[1]), n.sum()
+
+    def at(x):
+        r = np.maximum(0, p @ x)
+        return (n * r * r).sum() / tokens / 2 - x @ want, (n * r) @ p / tokens - want, (p.T * (n * (r > 0))) @ p / tokens
+
+    value, slope, h = at(x)
+    for _ in range(200):
+        if np.abs(slope).sum() < 1e-11:
+            break
+        step, part = -np.linalg.solve(h + 1e-12 * np.eye(len(x)), slope), 1.0
+        while part > 1e-9 and (new := at(x + part * step))[0] > value + 1e-4 * part * (slope @ step) and abs(new[1] @ step) > 0.5 * abs(slope @ step):
+            part /= 2
+        x, (value, slope, h) = x + part * step, new
+    return np.maximum(0, p @ x)
+
+
+@pytest.mark.parametrize("case", ["spread", "narrow", "few", "documents"])
+def test_projected_gradient_gives_the_rates_of_newton_steps(spark, case):
+    rng = np.random.default_rng(0)
+    if case == "documents":
+        docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+        members = mixing.memberships(docs, labels)
+        rows = members.select("n_tokens", "p").collect()
+        n, p = np.array([r.n_tokens for r in rows], float), np.array([r.p for r in rows])
+    else:
+        z = rng.normal(size=(2000 if case != "few" else 60, 3)) * (1.0 if case == "narrow" else 3.0) + [0, 0.5, -0.5]
+        p, n = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True), 1.0 + np.arange(len(z)) % 97
+        members = spark.createDataFrame([(int(k), row) for k, row in zip(n, p.tolist(), strict=True)], "n_tokens long, p array<double>")
+    want = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    x = mixing.fit_rates(members, mixing.TARGETS)
+    assert np.maximum(0, p @ x) == pytest.approx(newton(n, p, want), abs=1e-5 * max(1.0, np.abs(p @ x).max()))
+
+
 def test_near_duplicate_blocks_share_their_elements():
     blocks = main_text.blocks_of("<div><section><p>a</p><p>b</p></section><ul><li>c<li>d</ul></div>" + "<div>" * 100 + "<p>e</p><p>f</p>")
     assert [(b.text, b.common, b.depth) for b in blocks] == [("a", 0, 3), ("b", 2, 3), ("c", 1, 3), ("d", 2, 3), ("e", 0, 101), ("f", 100, 101)]
