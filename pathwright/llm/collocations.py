@@ -1,12 +1,13 @@
 """Phrases whose words keep together, counted in arrays by slots of minimal perfect hashes.
 
 Level by level, as every part of a frequent phrase is frequent: words are counted, and the frequent ones of a language numbered by the
-slots of a minimal perfect hash. The texts are written once more as word numbers, with 0 where a piece ends or a word is rare. Phrases
-of two words that occur with both words frequent are the candidates of the next hash; each task adds up its occurrences by slot in
-numpy arrays, the arrays are summed as a tree, and the frequent phrases get a hash of their own, from which the third level is made in
-the same way (a slot and one more word). The counts of a phrase's parts are read by slot.
+slots of a minimal perfect hash. The texts are written once more as word numbers, with 0 where a piece ends or a word is rare. The
+candidates of two words are the pairs of frequent words that are seen often enough, for which tasks send each pair with no more
+occurrences than prove that; they get a hash of their own, and each task adds up its occurrences by slot in numpy arrays, which are summed
+as a tree. Three words are a candidate's slot and one more word, where both pairs are candidates; they are counted in the same way. The
+counts of a phrase's parts are read by slot.
 
-A hash is cut into parts of about PART keys; a part is built by one task as levels of bits: keys that fall on a bit alone stay there, the
+A hash is cut into parts of at most about PART keys; a part is built by one task as levels of bits: keys that fall on a bit alone stay there, the
 others go to the next level, and a key's slot is the number of bits before its own. Its keys are stored in slot order beside it, so that
 a key that is not of the set is known for that; counts lie beside the keys. Parts are files in the shared folder, which workers map."""
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +32,18 @@ FIRST = 2000
 PART = 1 << 20
 PARTS = 16
 HELD = 1 << 22
-SLOTS = 1 << 24
+SLOTS = 1 << 23
 #: Tasks whose arrays are summed at the tree's first level.
 FAN = 32
 _U = np.uint64
-#: Bytes of UTF-8: ends of pieces become \n, a tab a space, A-Z lower case.
-_WORD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x0A if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
-_END = b"\n"
+#: Bytes of UTF-8: ends of pieces become a byte that no UTF-8 has, a tab a space, A-Z lower case.
+_END = b"\xff"
+_WORD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 
 
 def pieces(text: str | None) -> list[bytes]:
     """Words in order, with _END between pieces."""
-    return [w for w in (text or "").encode().translate(_WORD).replace(b"\n", b" \n ").split(b" ") if w]
+    return (text or "").encode().translate(_WORD).replace(_END, b" \xff ").split()
 
 
 # ---- minimal perfect hashes
@@ -63,8 +65,7 @@ class Hash:
         if not len(keys) or not len(self.sizes):
             return out
         part = part_of(keys, len(self.sizes))
-        order = np.argsort(part, kind="stable") if len(self.sizes) > 1 else np.arange(len(keys))
-        edges = np.searchsorted(part[order], np.arange(len(self.sizes) + 1))
+        order, edges = _grouped(part, len(self.sizes))
         for p in np.flatnonzero(np.diff(edges)):
             at = order[edges[p] : edges[p + 1]]
             n, own = self.sizes[p], keys[at]
@@ -92,6 +93,9 @@ class Hash:
             out[at[found]] = slot[found] + self.base[p]
         return out
 
+    def part_keys(self, part: int) -> np.ndarray:
+        return np.array(self._part(part, "keys", "<u8", self.sizes[part]))
+
     def read(self, what: str, slots: np.ndarray) -> np.ndarray:
         """`keys` or `counts` at slots."""
         kind = "<u8" if what == "keys" else "<i8"
@@ -103,6 +107,13 @@ class Hash:
         return out
 
 
+def _grouped(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of their parts, and where each part begins; negative parts come before."""
+    part = part.astype(np.int16 if parts < 1 << 15 else np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((mix(keys) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
@@ -215,26 +226,36 @@ def _numbered(words: DataFrame, part_keys: int) -> tuple[Hash, int]:
     raise RuntimeError("no seed tells the words apart")
 
 
+class _Ids(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _encoder(hash_: Hash, seed: int) -> Callable:
     """(lang, text) batches to (lang, ids): numbers from 1 of frequent words, 0 for others and between pieces and texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[bytes, int]] = {}
+        known: dict[str, tuple[_Ids, np.ndarray]] = {}
         for batch in slices(batches):
-            parts: dict[str, list[np.ndarray]] = {}
-            tokens: dict[str, list[list[bytes]]] = {}
+            words: dict[str, list[bytes]] = {}
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens.setdefault(lang, []).append(pieces(text))
-            for lang, texts in tokens.items():
-                ids = known.setdefault(lang, {_END: 0})
-                new = list(set().union(*texts) - ids.keys())
-                if new:
-                    ids |= zip(new, (hash_.slots(*_word_hashes(lang, new, seed)) + 1).tolist(), strict=True)
-                for words in texts:
-                    parts.setdefault(lang, []).append(np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)))
-                    parts[lang].append(np.zeros(1, np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array([pack(np.concatenate(x)) for x in parts.values()], pa.binary())], names=["lang", "ids"])
-            if sum(map(len, known.values())) > HELD // 4:
+                own = words.setdefault(lang, [])
+                own += pieces(text)
+                own.append(_END)
+            out = []
+            for lang, own in words.items():
+                ids, numbers = known.get(lang) or (_Ids({_END: 0}), np.zeros(1, np.uint32))
+                at = np.fromiter(map(ids.__getitem__, own), np.int64, len(own))
+                if len(ids) > len(numbers):
+                    new = list(islice(ids, len(numbers), None))
+                    numbers = np.concatenate([numbers, (hash_.slots(*_word_hashes(lang, new, seed)) + 1).astype(np.uint32)])
+                known[lang] = ids, numbers
+                out.append(pack(numbers[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(out, pa.binary())], names=["lang", "ids"])
+            if sum(len(x) for x, _ in known.values()) > HELD // 8:
                 known.clear()
 
     return run
@@ -249,27 +270,12 @@ def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, ids[at].astype(_U) << _U(32) | ids[at + 1].astype(_U)
 
 
-def _pair_keys(ids: np.ndarray) -> np.ndarray:
-    return _pairs(ids)[1]
-
-
-def _triple_keys(pairs: Hash) -> Callable[[np.ndarray], np.ndarray]:
-    def keys(ids: np.ndarray) -> np.ndarray:
-        at, pair = _pairs(ids)
-        some, back = np.unique(pair, return_inverse=True)
-        slot = pairs.slots(some)[back]
-        on = np.flatnonzero((at[1:] == at[:-1] + 1) & (slot[1:] >= 0) & (slot[:-1] >= 0))
-        return slot[on].astype(_U) << _U(32) | ids[at[on] + 2].astype(_U)
-
-    return keys
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Word numbers of many texts; each text ends in a 0."""
+def _chunks(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[np.ndarray]:
+    """Word numbers (or keys) of many rows; the words of each text end in a 0."""
     held, size = [], 0
     for batch in slices(batches, 16):
         for raw in batch.column(0).to_pylist():
-            held.append(unpack(raw, "<u4"))
+            held.append(unpack(raw, kind))
             size += len(held[-1])
             if size > HELD // 4:
                 yield np.concatenate(held)
@@ -278,22 +284,31 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _candidates(keys_of: Callable[[np.ndarray], np.ndarray]) -> Callable:
-    """The distinct keys of each task, as it can hold them."""
+def _keys(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[np.ndarray]:
+    """Keys of all occurrences: of pairs, from word numbers, or as they are stored."""
+    for chunk in _chunks(batches, kind):
+        yield _pairs(chunk)[1] if kind == "<u4" else chunk
+
+
+def _seen(kind: str, least: int) -> Callable:
+    """Keys with occurrences, as many as prove that they are frequent at most: added up over all tasks, they reach `least` where all occurrences do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            for at in range(0, len(keys), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(np.minimum(n[part], least).astype(np.int32))], names=["key", "n"])
+
         held, size = [], 0
-        for ids in _chunks(batches):
-            held.append(np.unique(keys_of(ids)))
-            size += len(held[-1])
+        for keys in _keys(batches, kind):
+            held.append(keys)
+            size += len(keys)
             if size > HELD:
-                held = [np.unique(np.concatenate(held))]
-                size = len(held[0])
-                if size > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64))], names=["key"])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)).view(np.int64))], names=["key"])
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
 
     return run
 
@@ -308,20 +323,18 @@ def _array_row(part: int, task: int, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "task", "slots", "counts"])
 
 
-def _bincount(hash_: Hash, keys_of: Callable[[np.ndarray], np.ndarray]) -> Callable:
-    """Occurrences by slot, in one array for each part that a task meets."""
+def _bincount(hash_: Hash, kind: str, triples: bool) -> Callable:
+    """Occurrences by slot, in one array for each part that a task meets. With triples, also the keys of three words (a slot and a word) of which both pairs have slots, as rows of no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         arrays: dict[int, np.ndarray] = {}
-        for ids in _chunks(batches):
-            keys, back = np.unique(keys_of(ids), return_inverse=True)
-            slots = hash_.slots(keys)[back]
-            part = np.searchsorted(hash_.base, slots, side="right") - 1
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(len(hash_.sizes) + 1))
+        for chunk in _chunks(batches, kind):
+            at, keys = _pairs(chunk) if kind == "<u4" else (None, chunk)
+            slots = hash_.slots(keys)
+            order, edges = _grouped(np.searchsorted(hash_.base, slots, side="right") - 1, len(hash_.sizes))
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 if p not in arrays:
                     arrays[p] = np.zeros(hash_.sizes[p], np.int64)
@@ -329,6 +342,11 @@ def _bincount(hash_: Hash, keys_of: Callable[[np.ndarray], np.ndarray]) -> Calla
                 if sum(map(len, arrays.values())) > SLOTS:
                     yield from (_array_row(q, task, a) for q, a in arrays.items())
                     arrays.clear()
+            if triples:
+                on = np.flatnonzero((at[1:] == at[:-1] + 1) & (slots[1:] >= 0) & (slots[:-1] >= 0))
+                if len(on):
+                    three = slots[on].astype(_U) << _U(32) | chunk[at[on] + 2].astype(_U)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((-1, pa.int32()), (task, pa.int32()), (pack(three), pa.binary()), (b"", pa.binary()))], names=["part", "task", "slots", "counts"])
         yield from (_array_row(q, task, a) for q, a in arrays.items())
 
     return run
@@ -359,29 +377,29 @@ def _tree(arrays: DataFrame, sizes: list[int]) -> DataFrame:
     return level.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(sizes), _ARRAYS)
 
 
-def _frequent(hash_: Hash, least: int) -> Callable:
-    """Keys and counts of the slots with counts of at least `least`."""
+def _sums(hash_: Hash) -> Callable:
+    """Keys and counts of a part's slots; the counts become the hash's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             for p, slots, counts in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                at, n = np.cumsum(unpack(slots, "<u4"), dtype=np.int64), unpack(counts, "<i8")
-                at, n = at[n >= least], n[n >= least]
-                yield pa.RecordBatch.from_arrays([pa.array(hash_.read("keys", at + hash_.base[p]).view(np.int64)), pa.array(np.zeros(len(at), np.int64)), pa.array(n)], names=["key", "check", "count"])
+                n = np.zeros(hash_.sizes[p], np.int64)
+                n[np.cumsum(unpack(slots, "<u4"), dtype=np.int64)] = unpack(counts, "<i8")
+                hash_.store.save(f"counts-{p}", n)
+                yield pa.RecordBatch.from_arrays([pa.array(hash_.part_keys(p).view(np.int64)), pa.array(n)], names=["key", "count"])
 
     return run
 
 
-_KEYS = "key long, check long, count long"
-
-
-def _counted(encoded: DataFrame, keys_of: Callable, name: str, least: int, part_keys: int) -> DataFrame:
-    """Frequent phrases (key, check, count) of one level, as a table."""
-    ids = encoded.select("ids")
-    candidates = written(ids.mapInArrow(_candidates(keys_of), "key long").distinct().select("key", F.lit(0).cast("long").alias("check"), F.lit(0).cast("long").alias("count")), f"{name}-candidates")
+def _counted(rows: DataFrame, kind: str, name: str, least: int, part_keys: int) -> tuple[Hash, DataFrame, DataFrame]:
+    """The frequent phrases of one level: their hash with counts, and a table (key, count) of them. rows: word numbers or keys. The third: keys of three words, from word numbers."""
+    candidates = written(rows.mapInArrow(_seen(kind, least), "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key", F.lit(0).cast("long").alias("check"), F.lit(0).cast("long").alias("count")), f"{name}-candidates")
     hash_ = build(candidates, name, candidates.count(), part_keys)
-    arrays = ids.mapInArrow(_bincount(hash_, keys_of), _ARRAYS)
-    return written(_tree(arrays, hash_.sizes).mapInArrow(_frequent(hash_, least), _KEYS), f"{name}-frequent")
+    if hash_.base[-1] >= (1 << 32) - 1:
+        raise ValueError("more than 4 x 10^9 frequent words or phrases of two words")
+    arrays = written(rows.mapInArrow(_bincount(hash_, kind, kind == "<u4"), _ARRAYS), f"{name}-arrays")
+    found = written(_tree(arrays.where("part >= 0"), hash_.sizes).mapInArrow(_sums(hash_), "key long, count long"), f"{name}-frequent")
+    return hash_, found, arrays.where("part < 0").select(F.col("slots").alias("keys"))
 
 
 _PHRASE = "w1 long, w2 long, w3 long, a long, l long, r long, l2 long, r2 long, head long, tail long"
@@ -393,7 +411,7 @@ def _cut_pairs(words: Hash, pairs: Hash) -> Callable:
             key = b.column(0).to_numpy(zero_copy_only=False).view(_U)
             x, y = ((key >> _U(s) & _U(0xFFFFFFFF)).astype(np.int64) - 1 for s in (32, 0))
             none = pa.nulls(len(key), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), none, b.column(2), pa.array(words.read("counts", x)), pa.array(words.read("counts", y)), none, none, pa.array(pairs.slots(key)), none], names=[c.split()[0] for c in _PHRASE.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), none, b.column(1), pa.array(words.read("counts", x)), pa.array(words.read("counts", y)), none, none, pa.array(pairs.slots(key)), none], names=[c.split()[0] for c in _PHRASE.split(", ")])
 
     return run
 
@@ -407,7 +425,7 @@ def _cut_triples(words: Hash, pairs: Hash) -> Callable:
             x, y = ((first >> _U(s) & _U(0xFFFFFFFF)).astype(np.int64) - 1 for s in (32, 0))
             tail = pairs.slots((y + 1).astype(_U) << _U(32) | (z + 1).astype(_U))
             columns = [x, y, z, None, words.read("counts", x), pairs.read("counts", tail), pairs.read("counts", head), words.read("counts", z), head, tail]
-            yield pa.RecordBatch.from_arrays([b.column(2) if c is None else pa.array(c) for c in columns], names=[c.split()[0] for c in _PHRASE.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(1) if c is None else pa.array(c) for c in columns], names=[c.split()[0] for c in _PHRASE.split(", ")])
 
     return run
 
@@ -430,13 +448,12 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = counts.where(F.col("f") >= least)
     words, seed = _numbered(frequent, part_keys)
+    if words.base[-1] >= (1 << 32) - 1:
+        raise ValueError("more than 4 x 10^9 frequent words or phrases of two words")
     encoded = written(own.mapInArrow(_encoder(words, seed), "lang string, ids binary"), "word-numbers")
 
-    found2 = _counted(encoded, _pair_keys, "pairs", least, part_keys)
-    pairs = build(found2, "frequent-pairs", found2.count(), part_keys)
-    if max(words.base[-1], pairs.base[-1]) >= (1 << 32) - 1:
-        raise ValueError("more than 4 x 10^9 frequent words or phrases of two words")
-    found3 = _counted(encoded, _triple_keys(pairs), "triples", least, part_keys)
+    pairs, found2, threes = _counted(encoded.select("ids"), "<u4", "pairs", least, part_keys)
+    _, found3, _ = _counted(threes, "<u8", "triples", least, part_keys)
 
     triples = written(found3.mapInArrow(_cut_triples(words, pairs), _PHRASE), "triples")
     longer = triples.select(F.explode(F.array("head", "tail")).alias("head"), F.col("a").alias("longer")).groupBy("head").agg(F.max("longer").alias("longer"))
