@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import instances as I
 from ..operators import optima as O
 from ..registry import query
+from ..sources import instance_source
 from ..sources.fixtures import table, view
 
 # ---- the generator, in SQL by ranking rows where the operator sorts arrays
@@ -38,6 +39,16 @@ def gen_instances(s, d):
     return I.long(_made(s, d)).select("seed", "template_name", "field", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "value")
 
 
+@query(INSTANCES)
+def source_instances(s, d):
+    """The same rows from the source that plans its own partitions, for the seeds between the customers' least and greatest key."""
+    instance_source.register(s)
+    seeds = table(s, d, "customer").select(F.col("c_custkey").alias("seed")).where("seed IS NOT NULL")
+    low, high = seeds.agg(F.min("seed"), F.max("seed")).first()
+    made = s.read.format(instance_source.NAME).options(start=low or 0, end=-1 if high is None else high + 1, partitions=s.sparkContext.defaultParallelism).load()
+    return made.join(seeds, "seed", "left_semi").select("seed", "template_name", "field", "i", "j", "value")
+
+
 @query(NAMES)
 def gen_names(s, d):
     return _made(s, d).select("seed", "template_name", F.array_join("names", "|").alias("names"))
