@@ -441,3 +441,6 @@ def latest_run(s, d):
 @query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events")
 def run_stamp(s, d):
     return table(s, d, "events").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("stamp"))
+
+
+from .plans import decoding, named, report  # noqa: E402, F401 - they reuse SQL of the queries above

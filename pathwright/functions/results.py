@@ -18,7 +18,7 @@ from .text import strip
 _NUMBER = r"-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,15})?(?:[eE][-+]?[0-9]{1,2})?"
 _FLAT = rf'^\{{\s*+(?:"[ !#-\[\]-~]*+"\s*+:\s*+(?:"[ !#-\[\]-~]*+"|{_NUMBER}|null|true|false)\s*+(?:,\s*+(?=")|(?=\}})))*+\}}$'
 _PLAIN_NUMBER = r"^\s*[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\s*$"
-_KIND = "struct<ok: boolean, status: string, objective_value: string>"
+KIND = "struct<ok: boolean, status: string, objective_value: string>"
 
 
 def read_object(text: str) -> dict | None:
@@ -48,7 +48,7 @@ def objective_of(value: object) -> float | None:
         return None
 
 
-def _in_python(payloads: pd.Series) -> pd.DataFrame:
+def in_python(payloads: pd.Series) -> pd.DataFrame:
     rows = []
     for text in payloads:
         got = None if text is None else read_object(text)
@@ -79,7 +79,7 @@ def _in_engine(payload: Column) -> tuple[Column, Column, Column]:
 def result_of(payload: Column) -> Column:
     """struct<ok, status, objective_value> of a payload; ok is true for an object and null for anything else."""
     engine, status, objective = _in_engine(payload)
-    python = F.pandas_udf(_in_python, _KIND)(F.when(~engine, payload))
+    python = F.pandas_udf(in_python, KIND)(F.when(~engine, payload))
     own = F.struct(F.lit(True).alias("ok"), status.alias("status"), objective.alias("objective_value"))
     read = F.when(python["ok"], F.struct(python["ok"].alias("ok"), python["status"].alias("status"), python["objective_value"].cast("double").alias("objective_value")))
     return F.when(engine, own).otherwise(read)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .python_values import strip
+
 #: The headings that a structured answer has.
 STEP_TITLES = ["Problem Description", "Sets and Parameters", "Decision Variables", "Objective Function", "Constraints", "Mathematical Model Summary", "Nonlinear Relationships", "Final Model and Implementation Considerations"]
 #: Fenced code, an opening fence, and how a line of code may start.
@@ -16,10 +18,6 @@ MARKER = "__RESULT__="
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
-
-
 def extract_code(response: Column) -> Column:
     """The last closed fence's content, else what follows the last opening fence, else the whole text; stripped."""
     text = strip(F.replace(response, F.lit("\r\n"), F.lit("\n")))

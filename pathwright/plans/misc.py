@@ -52,7 +52,7 @@ def scan_jsonl(s, d):
 
 @query("SELECT template_name, round_even(CAST(sum(process_c) AS DOUBLE) / 8, 2) AS score FROM trajectories GROUP BY template_name", "trajectories")
 def py_round_scores(s, d):
-    """Eighths of a sum in Python's rounding; one row a template goes through Arrow."""
+    """Eighths of a sum in Python's rounding."""
     got = view(s, d, "trajectories").groupBy("template_name").agg((F.sum("process_c").cast("double") / 8).alias("x"))
     return got.select("template_name", py_round(F.col("x"), 2).alias("score"))
 
