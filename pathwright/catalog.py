@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import config, prompts
 from .functions import documents as D
 from .functions import text as X
+from .operators import decoding as decoding_ops
 from .operators import history as H
 from .operators import metrics as M
 from .operators import optima as O
@@ -96,10 +97,11 @@ def status_counts(s, d):
 def rollout_summary(s, d):
     """Counts of problems, trajectories, successes and statuses: partial sums a problem and status, then one row."""
     per = view(s, d, "trajectories").groupBy("problem_id", "status").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"))
-    by = per.groupBy("status").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))  # a handful of statuses
+    one = per.groupBy("problem_id").agg(F.collect_list(F.struct("status", "n", "ok")).alias("of"))  # a handful of statuses
+    rows = one.select(F.posexplode("of").alias("k", "x")).select("x.*", (F.col("k") == 0).cast("bigint").alias("problems"))
+    by = rows.groupBy("status").agg(*[F.sum(c).alias(c) for c in ("n", "ok", "problems")])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "n"))), lambda x: F.concat(x["status"], F.lit("="), x["n"].cast("string"))), ",")
-    totals = by.agg(F.sum("n").alias("trajectories"), F.sum("ok").alias("successes"), text.alias("statuses"))
-    return per.select("problem_id").distinct().agg(F.count("*").alias("problems")).join(F.broadcast(totals)).select("problems", "trajectories", "successes", "statuses")  # both are one row
+    return by.agg(F.coalesce(F.sum("problems"), F.lit(0)).alias("problems"), F.sum("n").alias("trajectories"), F.sum("ok").alias("successes"), text.alias("statuses"))
 
 
 @query("SELECT coalesce(template_name, 'all') AS template_name, coalesce(status, 'all') AS status, count(*) AS n FROM trajectories GROUP BY ROLLUP (template_name, status)", "trajectories")
@@ -209,11 +211,13 @@ def weighted_choice(s, d):
     return table(s, d, "customer").select(name.alias("template_name")).groupBy("template_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n, i, CASE WHEN n = 1 THEN 30 ELSE CAST(round((0.25 + i * 0.55 / (n - 1)) * 100 + 1e-9) AS INT) END AS temperature_c FROM (SELECT n, CAST(unnest(range(n)) AS INT) AS i FROM (SELECT CAST(unnest(range(1, 10)) AS INT) AS n))")
+@query("SELECT seed, n, i, CASE WHEN n = 1 THEN 30 ELSE CAST(round((0.25 + i * 0.55 / (n - 1)) * 100 + 1e-9) AS INT) END AS temperature_c FROM (SELECT seed, n, CAST(unnest(range(n)) AS INT) AS i FROM (SELECT seed, CAST(count(*) AS INT) AS n FROM attempts GROUP BY seed))", "attempts")
 def temperature_schedule(s, d):
-    """The schedules of one to nine samples, as a stage's config gives them."""
-    rows = [(n, i, round(100 * t)) for n in range(1, 10) for i, t in enumerate(config.Factory("", 0, {}, {}, trajectories_per_variant=n).temperatures())]
-    return s.createDataFrame(rows, "n int, i int, temperature_c int")
+    """The temperatures of each seed's attempts, by how many it has, between the bounds of a stage's config."""
+    stage = config.Factory("", 0, {}, {})
+    counts = view(s, d, "attempts").groupBy("seed").agg(F.count("*").cast("int").alias("n"))
+    heat = decoding_ops.schedule(F.col("n"), stage.trajectory_temperature_min, stage.trajectory_temperature_max)
+    return counts.select("seed", "n", F.posexplode(heat).alias("i", "t")).select("seed", "n", "i", F.rint(F.col("t") * 100).cast("int").alias("temperature_c"))
 
 
 @query("SELECT doc_id, substr(response, 1, 1200) AS preview, CAST(length(response) AS BIGINT) AS n_chars FROM responses", "responses")

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.python_values import py_round
 from .instances import draw
 
 #: Draws are whole numbers below this.
 GRAIN = 524288
 
 
+def schedule(n: Column, low: float, high: float, single: float = 0.3) -> Column:
+    """The temperatures of n samples, from low to high in equal steps, in hundredths; `single` for one sample or none."""
+    steps = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: py_round(F.lit(low) + i * F.lit(high - low) / F.nullif(n - 1, F.lit(0)), 2))
+    return F.when(n <= 1, F.array(F.lit(single))).otherwise(steps)
+
+
 def _pick(sorted_: Column, kept: Column, u: Column) -> Column:
     """The token at which the running weight first passes u of the kept weight."""
     start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("int").alias("token"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import ratio
+from .splits import running
 
 #: The metrics that a summary tells of, and which end of each is the best.
 METRICS = {"mean_token_accuracy": "max", "entropy": "min", "grad_norm": "min", "reward_margin": "max", "preference_accuracy": "max"}
@@ -39,16 +40,15 @@ def first_last_best(history: DataFrame, *by: str) -> DataFrame:
 def interval_means(steps: DataFrame, run: str, logged: str, values: list[str]) -> DataFrame:
     """run, pos, n and the means of values at each log point, over the steps after the log point before it; steps after the last one wait for the next."""
     at = F.col(logged).cast("int")
-    part = F.sum(at).over(Window.partitionBy(run).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - at
+    counted = running(steps, [run, "pos"], at, "_part").withColumn("_part", F.col("_part") - at)
     means: list[Column] = [ratio(F.sum(v), F.count("*")).alias(v) for v in values]
-    return steps.withColumn("_part", part).groupBy(run, "_part").agg(F.max("pos").alias("pos"), F.count("*").alias("n"), F.bool_or(logged).alias("_logged"), *means).where("_logged").drop("_part", "_logged")
+    return counted.groupBy(run, "_part").agg(F.max("pos").alias("pos"), F.count("*").alias("n"), F.bool_or(logged).alias("_logged"), *means).where("_logged").drop("_part", "_logged")
 
 
 def series(history: DataFrame, run: str) -> DataFrame:
     """run, step, loss_c, lr_e9 and the charted metric (`shown`, and its name) of each log point; gaps count 0."""
-    whole = Window.partitionBy(run)
+    has = points(history).groupBy(run).agg(*[(F.count(f"{m}_c") > 0).alias(f"_has_{m}") for m in SHOWN])
     value, name = F.coalesce("grad_norm_c", F.lit(0)), F.lit("grad_norm")
     for m in reversed(SHOWN):
-        has = F.count(f"{m}_c").over(whole) > 0
-        value, name = F.when(has, F.coalesce(f"{m}_c", F.lit(0))).otherwise(value), F.when(has, F.lit(m)).otherwise(name)
-    return points(history).select(run, "step", "loss_c", F.coalesce("lr_e9", F.lit(0)).alias("lr_e9"), value.alias("shown"), name.alias("metric"))
+        value, name = F.when(F.col(f"_has_{m}"), F.coalesce(f"{m}_c", F.lit(0))).otherwise(value), F.when(F.col(f"_has_{m}"), F.lit(m)).otherwise(name)
+    return points(history).join(has, run).select(run, "step", "loss_c", F.coalesce("lr_e9", F.lit(0)).alias("lr_e9"), value.alias("shown"), name.alias("metric"))
