@@ -4,11 +4,13 @@
 2. Equal fingerprints become one row; all that follows works on distinct fingerprints. A fingerprint's node is its smallest doc_id, or,
    if it has none, a number above all doc_ids.
 3. A vantage-point tree over a bounded sample deals fingerprints to shards. Each has one home shard and visits the
-   others that the triangle bound does not rule out: a link crosses a boundary by at most 2. A shard that more than SHARD_ROWS
-   would reach is split again by a tree over a sample of its own, made where its rows are, until none is larger. Only fingerprints
-   that lie closer together than any radius parts stay together: a few bits apart, there are not many that differ.
-4. Each shard searches its home fingerprints with a tree of its own, for residents and visitors alike, and gives a
-   spanning forest of the links found, so that dense groups cost no more rows than they have members.
+   others that the triangle bound does not rule out: a link crosses a boundary by at most 2. A shard at which more than SHARD_ROWS
+   are at home is split again by a tree over a sample of its own, made where its rows are, until none is larger, and no further: each split
+   makes a fingerprint visit more shards (about shards^0.45 of them, if fingerprints are random). Only fingerprints
+   that lie closer together than any radius parts stay together: a few bits apart, there are not many that differ. The tree has an entry a shard.
+4. A shard's visitors are dealt to blocks of about VISITORS, each of which gets the shard's residents too. A block searches its
+   residents with a tree of its own, and gives a spanning forest of the links found, so that dense groups cost no more rows than they
+   have members.
 5. Components by repeated min-hooking and pointer jumping on tables; nothing of it goes to the driver.
 
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; rows with one doc_id are
@@ -34,8 +36,10 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints that the driver takes to plan the shards.
 PLAN_SAMPLE = 8192
-#: Fingerprints, residents and visitors, that one shard should hold at most.
+#: Fingerprints at home in one shard at most, visitors of one of its blocks on average, and shards for parallel work where fewer would do.
 SHARD_ROWS = 250_000
+VISITORS = 1_000_000
+SHARDS, LEAST_ROWS = 64, 2048
 LEAF = 64
 _CHUNK = 1 << 16
 
@@ -159,8 +163,8 @@ def _link(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def local_forest(points: np.ndarray, home: np.ndarray) -> np.ndarray:
-    """The component label (an index) of each point, where links have at least one end at home."""
+def local_forest(points: np.ndarray, home: np.ndarray, among: bool = True) -> np.ndarray:
+    """The component label (an index) of each point, where links have at least one end at home; just one, if not `among` residents."""
     root = np.arange(len(points))
     rng = np.random.default_rng(11)
 
@@ -180,15 +184,15 @@ def local_forest(points: np.ndarray, home: np.ndarray) -> np.ndarray:
         search(residents[dr <= cut[1]], queries[dq <= cut[1] + RADIUS])
         search(residents[dr > cut[1]], queries[dq > cut[1] - RADIUS])
 
-    search(np.flatnonzero(home), np.arange(len(points)))
+    search(np.flatnonzero(home), np.arange(len(points)) if among else np.flatnonzero(~home))
     return root
 
 
 # ---- on tables
 
 
-def _dealt(distinct: DataFrame, tree) -> DataFrame:
-    """shard, fp, node, home of every fingerprint and shard that it must reach."""
+def _dealt(distinct: DataFrame, tree, visits: bool = True) -> DataFrame:
+    """shard, fp, node, home of every fingerprint and shard that it must reach, or that it is at home in."""
     shared = distinct.sparkSession.sparkContext.broadcast(tree)
 
     def deal(batches):
@@ -197,6 +201,8 @@ def _dealt(distinct: DataFrame, tree) -> DataFrame:
             nodes = batch.column(1).to_numpy(zero_copy_only=False)
             out: list = []
             route(shared.value, points, np.arange(len(points)), np.ones(len(points), bool), out)
+            if not visits:
+                out = [(shard, index[home], home[home]) for shard, index, home in out]
             if out:
                 index = np.concatenate([x[1] for x in out])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[0] for x in out], np.int32), [len(x[1]) for x in out])), pa.array(points[index].view(np.int64)), pa.array(nodes[index]), pa.array(np.concatenate([x[2] for x in out]))], names=["shard", "fp", "node", "home"])
@@ -204,6 +210,17 @@ def _dealt(distinct: DataFrame, tree) -> DataFrame:
     return distinct.select("fp", "node").mapInArrow(deal, "shard int, fp long, node long, home boolean")
 
 
+def _blocks(distinct: DataFrame, tree) -> DataFrame:
+    """shard, block, fp, node, home: the rows of _dealt, visitors in one block of their shard and residents in all."""
+    rows = _dealt(distinct, tree)
+    if distinct.count() <= VISITORS:
+        return rows.withColumn("block", F.lit(0))
+    sizes = written(rows.groupBy("shard").agg(F.ceil(F.count_if(~F.col("home")) / VISITORS).cast("int").alias("blocks")).where("blocks > 1"), "blocks")
+    number = F.coalesce("blocks", F.lit(1))
+    own = F.when(F.col("home"), F.sequence(F.lit(0), number - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp", F.lit(2)), number).cast("int")))
+    return rows.join(F.broadcast(sizes), "shard", "left").select("shard", F.explode(own).alias("block"), "fp", "node", "home")  # a row for VISITORS rows at least
+
+
 def _planner(parts: dict[int, int]):
     """The function from a sample of a shard to its tree for so many parts."""
 
@@ -216,39 +233,39 @@ def _planner(parts: dict[int, int]):
 
 
 def shard_tree(distinct: DataFrame):
-    """The tree that deals fingerprints to shards of at most SHARD_ROWS, but for those that no radius parts."""
-    n = distinct.count()
+    """The tree that deals fingerprints to shards with at most SHARD_ROWS residents, but for those that no radius parts."""
+    n, spark = distinct.count(), distinct.sparkSession
     sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(PLAN_SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
-    tree, _ = number_leaves(plan_shards(sample, max(1, round((n / 12) ** 0.5))))
     most, fixed = SHARD_ROWS, set()  # fixed: leaves, by a fingerprint of theirs, that cannot be split
+    tree, _ = number_leaves(plan_shards(sample, max(1, min(SHARDS, n // LEAST_ROWS), -(-2 * n // most))))
     while n > most:
-        sizes = _dealt(distinct, tree).groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("own"), F.min(F.when(F.col("home"), F.col("fp"))).alias("least"))
-        large = [r for r in sizes.where((F.col("n") > most) & (F.col("own") > 1)).collect() if r["least"] not in fixed]  # one row a large shard
+        sizes = _dealt(distinct, tree, visits=False).groupBy("shard").agg(F.count("*").alias("own"), F.min("fp").alias("least"))
+        large = [r for r in sizes.where(F.col("own") > most).collect() if r["least"] not in fixed]  # one row a large shard
         if not large:
             break
-        want = F.try_element_at(F.create_map(*[F.lit(x) for r in large for x in (r["shard"], 2 * PLAN_SAMPLE / r["own"])]), F.col("shard"))
-        drawn = F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < want * (1 << 30)
-        parts = {r["shard"]: min(64, -(-2 * r["n"] // most)) for r in large}
+        shares = spark.createDataFrame([(r["shard"], 2 * PLAN_SAMPLE / r["own"]) for r in large], "shard int, share double")
+        parts = {r["shard"]: min(64, -(-2 * r["own"] // most)) for r in large}
+        drawn = _dealt(distinct, tree, visits=False).join(F.broadcast(shares), "shard").where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
-        trees = {r["shard"]: pickle.loads(r["tree"]) for r in _dealt(distinct, tree).where(F.col("home") & drawn).select("shard", "fp").groupBy("shard").applyInArrow(_planner(parts), "shard int, tree binary").collect()}
+        trees = {r["shard"]: pickle.loads(r["tree"]) for r in drawn.select("shard", "fp").groupBy("shard").applyInArrow(_planner(parts), "shard int, tree binary").collect()}
         fixed |= {r["least"] for r in large if trees.get(r["shard"]) is None}
         tree, _ = number_leaves(tree, {k: v for k, v in trees.items() if v is not None})
     return tree
 
 
 def _edges(distinct: DataFrame, tree) -> DataFrame:
-    """(v, p), p < v: a spanning forest of each shard's links, between the nodes of fingerprints."""
+    """(v, p), p < v: a spanning forest of each block's links, between the nodes of fingerprints. Links among residents are found in a shard's first block."""
 
     def forest(table: pa.Table) -> pa.Table:
         points, nodes = table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy()
         order = np.argsort(nodes, kind="stable")
         points, nodes = points[order], nodes[order]
-        root = local_forest(points, table["home"].to_numpy()[order])
+        root = local_forest(points, table["home"].to_numpy()[order], table["block"][0].as_py() == 0)
         v, p = nodes, nodes[root]
         linked = v != p
         return pa.table({"v": pa.array(v[linked], pa.int64()), "p": pa.array(p[linked], pa.int64())})
 
-    return _dealt(distinct, tree).groupBy("shard").applyInArrow(forest, "v long, p long").distinct()
+    return _blocks(distinct, tree).groupBy("shard", "block").applyInArrow(forest, "v long, p long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -173,14 +173,47 @@ def test_simhash_splits_large_shards(spark, monkeypatch):
     points = np.unique(np.concatenate([loose, loose[:300] ^ np.uint64(5), ball]))
     df = spark.createDataFrame([(int(p.view(np.int64)), i) for i, p in enumerate(points)], "fp long, node long").repartition(4)
     monkeypatch.setattr(simhash, "PLAN_SAMPLE", 64)
-    monkeypatch.setattr(simhash, "SHARD_ROWS", 1500)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 700)
+    monkeypatch.setattr(simhash, "VISITORS", 400)
     tree = simhash.shard_tree(df)
-    sizes = {r["shard"]: r["count"] for r in simhash._dealt(df, tree).groupBy("shard").count().collect()}
-    assert len(sizes) > 8 and max(sizes.values()) <= 1500 and simhash._dealt(df, tree).where("home").count() == len(points)
+    rows = simhash._blocks(df, tree)
+    sizes = {(r.shard, r.block): r for r in rows.groupBy("shard", "block").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("visit")).collect()}
+    shards = {s for s, _ in sizes}
+    assert len(shards) > 8 and len(sizes) > len(shards) and max(r.own for r in sizes.values()) <= 700 and max(r.visit for r in sizes.values()) <= 600
+    assert rows.where("home and block = 0").count() == len(points)
     got = {r.v: r.p for r in simhash.components(simhash._edges(df, tree)).collect()}
     assert [got.get(i, i) for i in range(len(points))] == simhash.local_forest(points, np.ones(len(points), bool)).tolist()
 
 
+def test_simhash_copies_of_random_fingerprints_are_few(spark, monkeypatch):
+    """Rows shuffled a fingerprint and entries of the tree that goes to all workers, for many fingerprints without structure; planted links are found."""
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 1 << 64, 150_000, dtype=np.uint64)
+    planted = points[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1500, dtype=np.uint64))
+    points = np.unique(np.concatenate([points, planted]))
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"fp": points.view(np.int64), "node": np.arange(len(points))})).repartition(8)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 5_000)
+    monkeypatch.setattr(simhash, "VISITORS", 20_000)
+    tree = simhash.shard_tree(df)
+    leaves = simhash.number_leaves(tree)[1]
+    rows = simhash._blocks(df, tree).count() / len(points)
+    assert leaves <= 8 * len(points) / 5_000 and rows < 16
+    got = {r.v: r.p for r in simhash.components(simhash._edges(df, tree)).collect()}
+    place = {int(x): i for i, x in enumerate(points)}
+    top = lambda i: got.get(i, i)
+    known = {int(a) for a in points}
+    pairs = [(place[int(a)], place[int(b)]) for a, b in zip(points_of(planted, rng, known), planted, strict=True) if int(a) in place]
+    assert len(got) >= 1400 and all(top(a) == top(b) for a, b in pairs)
+
+
+def points_of(planted, rng, known):
+    """For each planted fingerprint one of the known ones within two bits."""
+    for p in planted:
+        yield next((q for i in range(64) for j in range(i, 64) if i != j and (q := int(p) ^ 1 << i ^ 1 << j) in known), int(p))
+
+
 def test_simhash_links_through_rows_without_an_id_and_through_one_id(spark):
     texts = ["a b c d e f g", "h i j k l m n", "o p q r s t u", "only here", "and here"]
     rows = [(5, texts[0]), (5, texts[1]), (9, texts[1]), (3, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[4]), (7, texts[0]), (None, None)]
