@@ -9,7 +9,8 @@ the TEMPLATES, on shortened forms of them, on notices of licences with made-up n
 replaced), on sentences that only sound alike, and on plain prose. Its temperature is calibrated on forms kept aside. A notice of
 a family whose probability stays below CERTAIN is `unknown`; a prediction is confirmed if the unit holds at least CONFIRM of the
 words of one of the family's templates, and as large a part of that template's telling words (those that at most TELLING families
-use). Grams of PLAIN words alone are no features, and `none` has the largest bias: a text without another known word is none, and
+use), and, unless that template is a passage of LONG words or more, if it names the family word for word where a licence is granted (CUE)
+or says little else (BARE); a name beside one of the words BESIDE needs no template where a licence is granted. A unit that grants several families joined by `or`, `and` or `with` counts each one that it names. Grams of PLAIN words alone are no features, and `none` has the largest bias: a text without another known word is none, and
 is not scored. Scoring is by column expressions only.
 
 Defined results: a null or empty text has no notices (counts 0, empty lists, null best family). Texts and lines of any length are
@@ -30,7 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-CERTAIN, CONFIRM = 0.5, 0.6
+CERTAIN, CONFIRM, BARE = 0.5, 0.6, 0.6
+LONG = 8
+#: How notices grant a licence, in four languages, and what joins two of them.
+CUE = (
+    r"\b(?:re|dual-|sub)?licen[sc]ed\b|spdx|licen[sc]e(?: identifier)?\s*:|\b(?:released|distributed|published|available|redistributed|redistribute it|provided|use it|issued|offered|shared|usable)\b.{0,40}\bunder\b|\b(?:covered|governed) by\b"
+    r"|subject to|terms of|rights (?:are )?reserved|permission|waived|dedicated|unencumbered|lizen[zs]iert|lizenz\s*:|\bunter der\b|sous (?:la )?licen[cs]e|licencia\s*:|bajo (?:la |una )?licencia"
+)
+BESIDE = ("license", "licence", "lizenz", "licencia", "identifier")
+JOINED = r"\b(?:or|and|with|oder|und|ou|et|o|y)\b|/"
 TELLING = 3
 #: A word that more families than this use says nothing of a family.
 FEW = 5
@@ -44,6 +53,7 @@ PLAIN = frozenset(
 
 #: Short forms of common licence notices by family.
 TEMPLATES = {
+    "0bsd": ["Licensed under the BSD Zero Clause License.", "SPDX-License-Identifier: 0BSD", "0BSD", "Zero-Clause BSD"],
     "agpl-3.0": ["This program is free software under the GNU Affero General Public License, version 3.", "Licensed under the GNU AGPL v3.0.", "SPDX-License-Identifier: AGPL-3.0-or-later", "Distributed under AGPLv3.", "AGPL-3.0", "AGPLv3", "GNU Affero General Public License", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "all-rights-reserved": ["Copyright by the author, all rights reserved worldwide.", "No part of this may be reproduced without permission. All rights reserved.", "Copyright holder. All rights are reserved.", "all rights reserved"],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license.", "Apache License 2.0", "Apache-2.0", "Apache License Version 2.0, January 2004", "This file is distributed under the terms of the Apache License."],
@@ -83,17 +93,19 @@ TEMPLATES = {
 MADE = "zq"
 #: What licences are called, by family.
 NAMES = {
+    "0bsd": ["BSD Zero Clause", "Zero-Clause BSD", "0BSD"],
     "agpl-3.0": ["GNU Affero General Public License", "AGPLv3", "GNU AGPL version 3", "AGPL-3.0"], "apache-2.0": ["Apache License, Version 2.0", "Apache 2.0", "Apache-2.0", "Apache"], "artistic-2.0": ["Artistic License 2.0", "Artistic-2.0"],
     "bsd": ["BSD", "3-clause BSD", "BSD 2-Clause", "BSD-3-Clause", "New BSD"], "bsl-1.0": ["Boost Software License", "Boost", "BSL-1.0"], "cc-by": ["CC BY 4.0", "CC-BY 3.0", "Creative Commons Attribution 4.0"],
     "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC-SA 3.0", "Creative Commons Attribution-NonCommercial 4.0"], "cc-by-nd": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives"], "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0"], "cc0": ["CC0 1.0", "CC0"],
     "cddl": ["CDDL", "Common Development and Distribution License"], "epl": ["Eclipse Public License 2.0", "EPL", "Eclipse Public License, v1.0"], "eupl": ["EUPL", "European Union Public Licence 1.2"],
-    "gpl-2.0": ["GNU General Public License, version 2", "GPLv2", "GPL version 2", "GNU GPL v2", "GPL-2.0"], "gpl-3.0": ["GNU General Public License, version 3", "GPLv3", "GPL version 3", "GNU GPL v3", "GPL-3.0"],
+    "gpl-2.0": ["GNU General Public License, version 2", "GPLv2", "GPL version 2", "GNU GPL v2", "GPL-2.0", "GPL v2"], "gpl-3.0": ["GNU General Public License, version 3", "GPLv3", "GPL version 3", "GNU GPL v3", "GPL-3.0", "GPL v3"],
     "isc": ["ISC", "ISC License"], "lgpl": ["GNU Lesser General Public License", "LGPLv3", "LGPL 2.1", "GNU LGPL version 3", "GNU Lesser General Public License v2.1"], "mit": ["MIT", "MIT License", "Expat MIT"], "mpl-2.0": ["Mozilla Public License 2.0", "MPL", "MPL-2.0"], "unlicense": ["Unlicense"], "wtfpl": ["WTFPL"], "zlib": ["zlib", "zlib License"],
 }
 #: How notices name a licence, and how prose uses the same words.
 FRAMES = [
     "Licensed under the {}.", "Licensed under the {} license.", "Released under {}.", "Distributed under the terms of the {} license.", "This project is available under the {} license.", "This file is part of a project licensed under {}.", "You may use it under the terms of the {}.", "{} licensed",
     "License: {}", "SPDX-License-Identifier: {}", "Published under {}", "The code is under the {} license.", "Covered by the {}.", "Code released under the {} license, see file.", "Available under the {} Public License.", "This software is licensed under the {} Software License, Version 1.0.", "subject to the terms of the {} License",
+    "Lizenziert unter der {}-Lizenz.", "Der Code steht unter der Lizenz {}.", "Ce programme est distribué sous la licence {}.", "Publié sous licence {}", "Este programa se distribuye bajo la licencia {}.", "Publicado bajo licencia {}",
 ]
 PROSE = [
     "The {} lost its license in 1990.", "A {} license costs 40 dollars.", "His {} license expired in May.", "Version 3 of the {} was released under protest.", "The {} was distributed to 30 people.", "They reserved all seats of the {}.", "The public {} waited under the roof.", "The software of the {} was sold.", "He was licensed to {}.", "The license plate of the {} was new.",
@@ -116,6 +128,14 @@ def telling() -> dict[str, set[str]]:
     return {t: {w for w in words_of(t) if _users()[w] <= TELLING and w not in PLAIN} for f, texts in TEMPLATES.items() if f not in (NONE, UNKNOWN) for t in texts}
 
 
+@functools.cache
+def phrases() -> dict[str, list[str]]:
+    """What names each family word for word, between spaces: names, and templates shorter than a passage, without the words that grant."""
+    grants = {"licensed", "distributed", "released", "shared", "available", "spdx"}
+    short = lambda f: [t for t in TEMPLATES[f] if len(words_of(t)) <= 5 and words_of(t)[0] not in grants and words_of(t)[-1] != "licensed"]
+    return {f: sorted({f" {' '.join(words_of(t))} " for t in [*NAMES.get(f, []), *short(f)]}) for f in TEMPLATES if f not in (NONE, UNKNOWN)}
+
+
 @functools.cache
 def _users() -> Counter:
     """How many families use a word."""
@@ -205,7 +225,7 @@ def fit() -> tuple[list[str], dict[str, list[float]], list[float]]:
 
 
 def classify(paragraph: Column) -> Column:
-    """struct<family, score, confirmed> of a paragraph."""
+    """struct<family, score, confirmed, also> of a paragraph; also: further families that it grants."""
     families, weights, bias = fit()
     known = F.from_json(F.lit(json.dumps(list(weights))), "array<string>")
     table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
@@ -217,14 +237,28 @@ def classify(paragraph: Column) -> Column:
     z = F.aggregate(found, F.from_json(F.lit(json.dumps(bias)), "array<double>"), lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
     names = F.array(*[F.lit(f) for f in families])
 
+    named = F.from_json(F.lit(json.dumps(phrases())), "map<string,array<string>>")
+    said = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    grant, joined = F.lower(paragraph).rlike(CUE), F.lower(paragraph).rlike(JOINED)
+    holds = lambda ps, text: F.exists(ps, lambda p: F.contains(text, p))
+
     def judge(z: Column) -> Column:
         top = F.array_max(z)
         score = F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda a, b: a + F.exp(b - top))
         family = F.element_at(names, F.array_position(z, top).cast("int"))
         enough = lambda t: F.size(F.array_intersect(t, words)) >= F.ceil(F.size(t) * F.lit(CONFIRM))
-        held = F.coalesce(F.exists(F.try_element_at(shapes, family), lambda t: enough(t["all"]) & enough(t["told"])), F.lit(False))
+        own = F.try_element_at(named, family)
+        alike = F.coalesce(F.exists(F.try_element_at(shapes, family), lambda t: enough(t["all"]) & enough(t["told"])), F.lit(False))
+        passage = F.coalesce(F.exists(F.try_element_at(shapes, family), lambda t: (F.size(t["all"]) >= LONG) & enough(t["all"]) & enough(t["told"])), F.lit(False))
+        bare = F.exists(own, lambda p: F.contains(said, p) & (F.size(F.split(F.trim(p), " ")) >= F.size(words) * F.lit(BARE)))
+        beside = F.exists(own, lambda p: functools.reduce(lambda a, b: a | b, [F.contains(said, F.concat(F.lit(" " + w), p)) | F.contains(said, F.concat(p, F.lit(w + " "))) for w in BESIDE]))
+        held = passage | F.coalesce((grant & holds(own, said) & (alike | beside)) | (alike & bare), F.lit(False))
         sure = (score >= CERTAIN) | (family == NONE)
-        return F.struct(F.when(sure, family).otherwise(F.lit(UNKNOWN)).alias("family"), score.alias("score"), (sure & held & ~family.isin(NONE, UNKNOWN)).alias("confirmed"))
+        others = F.filter(F.map_keys(named), lambda f: (f != family) & holds(F.element_at(named, f), said))
+        also = F.when(~family.isin(NONE, UNKNOWN) & grant & joined, others).otherwise(F.array().cast("array<string>"))
+        # a unit that names several families is sure of the one it names
+        sure = sure | (F.size(also) > 0)
+        return F.struct(F.when(sure, family).otherwise(F.lit(UNKNOWN)).alias("family"), score.alias("score"), (sure & held & ~family.isin(NONE, UNKNOWN)).alias("confirmed"), also.alias("also"))
 
     return F.transform(F.array(z), judge)[0]
 
@@ -274,6 +308,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     units = F.flatten(F.transform("runs", lambda run, par: F.transform(_runs(run, _parted), lambda unit: F.struct(par.alias("par"), unit.alias("unit")))))
     df = df.select("doc_id", F.filter(units, lambda x: F.exists(x["unit"], lambda y: y["key"])).alias("units"))
     df = df.select("doc_id", F.flatten(F.transform("units", lambda x: _notices(x["unit"], x["par"]))).alias("all"))
+    further = lambda x: F.transform(x["is"]["also"], lambda f: F.struct(x["par"].alias("par"), x["at"].alias("at"), F.struct(f.alias("family"), x["is"]["score"].alias("score"), x["is"]["confirmed"].alias("confirmed"), F.array().cast("array<string>").alias("also")).alias("is")))
+    df = df.select("doc_id", F.flatten(F.transform("all", lambda x: F.concat(F.array(x), further(x)))).alias("all"))
     # a paragraph counts a family once
     df = df.select("doc_id", F.array_sort(F.transform("all", lambda x: F.struct(x["par"].alias("par"), x["is"]["family"].alias("family"), x["at"].alias("at"), x["is"].alias("is")))).alias("all"))
     once = F.filter("all", lambda x, i: (i == 0) | F.coalesce((F.get("all", i - 1)["par"] != x["par"]) | (F.get("all", i - 1)["family"] != x["family"]), F.lit(True)))

@@ -309,7 +309,17 @@ def judged_by_hand(text):
     family, score, words = families[int(z.argmax())], float(1 / np.exp(z - z.max()).sum()), set(licenses.words_of(text))
     enough = lambda some: len(some & words) >= math.ceil(len(some) * licenses.CONFIRM)
     sure = family == licenses.NONE or score >= licenses.CERTAIN
-    held = family not in (licenses.NONE, licenses.UNKNOWN) and any(enough(set(licenses.words_of(t))) and enough(licenses.telling()[t]) for t in licenses.TEMPLATES[family])
+    said, grant = f" {' '.join(licenses.words_of(text))} ", bool(re.search(licenses.CUE, text.lower()))
+    held, also = False, []
+    if family not in (licenses.NONE, licenses.UNKNOWN):
+        alike = [t for t in licenses.TEMPLATES[family] if enough(set(licenses.words_of(t))) and enough(licenses.telling()[t])]
+        named = [p for p in licenses.phrases()[family] if p in said]
+        bare = any(len(p.split()) >= len(said.split()) * licenses.BARE for p in named)
+        beside = any(f" {w}{p}" in said or f"{p}{w} " in said for p in named for w in licenses.BESIDE)
+        held = any(len(set(licenses.words_of(t))) >= licenses.LONG for t in alike) or bool(grant and named and (alike or beside)) or bool(alike and bare)
+        if grant and re.search(licenses.JOINED, text.lower()):
+            also = [f for f in licenses.phrases() if f != family and any(p in said for p in licenses.phrases()[f])]
+    sure = sure or bool(also)
     return (family if sure else licenses.UNKNOWN), score, sure and held
 
 
