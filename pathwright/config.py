@@ -117,13 +117,11 @@ def looks_local(text: str) -> bool:
 
 
 def local(text: str, base: Path) -> Path:
-    """Absolute paths stay; a path of an alias whose variable is set lies in that folder; else the path below the working folder if it exists, else below base if that exists."""
+    """Absolute paths stay. Else the path under its alias's folder or the root, unless nothing is there while something lies under base."""
     if os.path.isabs(text):
         return Path(text)
-    if (first := (Path(text).parts or ("",))[0]) in ALIASES and os.environ.get(ALIASES[first][0]):
-        return Path(mapped(text))
-    here = Path.cwd() / text
-    return base / text if not here.exists() and (base / text).exists() else here
+    placed, beside = Path(mapped(text)), base / text
+    return beside if not placed.exists() and beside.exists() else placed
 
 
 def stage(kind: type, config: dict[str, Any]) -> Any:

@@ -105,6 +105,21 @@ def test_paths(tmp_path, monkeypatch):
     assert config.stage(config.Factory, {"output_dir": "o", "seed": 1, "template_weights": {}, "splits": {}, "num_samples": 7}).target_verified_samples == 7
 
 
+def test_paths_by_what_exists(tmp_path, monkeypatch):
+    for name in ("PROJECT_ROOT", "PROJECT_OUTPUT_DIR"):
+        monkeypatch.delenv(name, raising=False)
+    monkeypatch.setenv("PROJECT_ROOT", str(tmp_path / "root"))
+    base = tmp_path / "configs"
+    (base / "runs").mkdir(parents=True)
+    of = lambda: config.resolve({"model_path": "runs/a"}, base)["model_path"]
+    root = tmp_path / "root/outputs/runs/a"
+    assert of() == str(root)  # neither is there
+    (base / "runs/a").mkdir()
+    assert of() == str(base / "runs/a")
+    root.mkdir(parents=True)
+    assert of() == str(root)  # the alias's folder, without its variable
+
+
 def test_evaluate(spark, tmp_path, rollouts):
     r = cli.evaluate(spark, str(rollouts), str(tmp_path / "m")).first()
     assert (r.num_examples, r.pass_at_1, r.execution_rate, r.mean_abs_objective_gap) == (4, 0.5, 1.0, 1.0)
