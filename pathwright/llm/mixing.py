@@ -247,14 +247,17 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     return members.select("doc_id", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], _rate(F.col("p"), x).alias("rate"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its rates as column mix_rate, and as a last column mix_residual by how much the domain that misses its target most misses it (a share of all tokens; null without tokens); rows of rate 0 are gone. A rate is how often to take the document in an epoch. Texts are scored once: the table of docs with their posteriors serves the fit and the result."""
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", tell: bool = False) -> DataFrame:
+    """docs with its rates as a last column mix_rate; rows of rate 0 are gone. With tell, mix_residual follows: by how much the domain that misses its target most misses it (a share of all tokens; null without tokens). A rate is how often to take the document in an epoch. Texts are scored once: the table of docs with their posteriors serves the fit and the result."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     member = fresh(docs, "pw_member")
     scored = written(docs.withColumn(member, _member(fit(_sample(plain, labels)), F.col(text_col))), "scored")
     members, wanted = scored.select(f"`{member}`.n_tokens", f"`{member}`.p"), targets or TARGETS
     x = fit_rates(members, wanted)
+    rate, residual = fresh(docs, "mix_rate"), fresh(docs, "mix_residual")
+    rated = scored.withColumn(rate, _rate(F.col(f"`{member}`.p"), x)).where(F.col(rate) > 0).select(*docs.columns, rate)
+    if not tell:
+        return rated
     got, total = shares(members, x), max(1e-12, sum(wanted.get(d, 0.0) for d in DOMAINS))
     missed = max(abs(v - wanted.get(d, 0.0) / total) for d, v in zip(DOMAINS, got, strict=True)) if got else None
-    rate, residual = fresh(docs, "mix_rate"), fresh(docs, "mix_residual")
-    return scored.withColumn(rate, _rate(F.col(f"`{member}`.p"), x)).where(F.col(rate) > 0).select(*docs.columns, rate, F.lit(missed).cast("double").alias(residual))
+    return rated.withColumn(residual, F.lit(missed).cast("double"))

@@ -393,9 +393,9 @@ def test_mixing_gives_the_nearest_rates(spark):
 
 def test_mixture_tells_what_it_misses(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    assert {r.mix_residual for r in mixing.mixed(docs, labels).select("mix_residual").distinct().collect()}.pop() <= 1e-6
+    assert {r.mix_residual for r in mixing.mixed(docs, labels, tell=True).select("mix_residual").distinct().collect()}.pop() <= 1e-6
     with pytest.warns(UserWarning, match="do not reach"):
-        rows = mixing.mixed(docs.limit(3), labels.where("false"), {"high": 1.0}).collect()
+        rows = mixing.mixed(docs.limit(3), labels.where("false"), {"high": 1.0}, tell=True).collect()
     assert rows and all(r.mix_residual == pytest.approx(2 / 3, abs=1e-3) for r in rows)
 
 
