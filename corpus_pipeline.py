@@ -31,7 +31,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a rate above 0, their rate, and the share by which the mixture misses its targets; a null text counts as empty. Rows that are alike get one rate."""
-    return mixing.mixed(docs, load(spark, sf_dir, "labels"))
+    return mixing.mixed(docs, load(spark, sf_dir, "labels"), tell=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("private", private), ("mixture", mixture)]
