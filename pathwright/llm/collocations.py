@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices, written
+from .common import Numbering, shared_folder, slices, written
 from .ngram_model import Store, mix, pack, unpack
 
 LEAST = 10
@@ -226,19 +226,11 @@ def _numbered(words: DataFrame, part_keys: int) -> tuple[Hash, int]:
     raise RuntimeError("no seed tells the words apart")
 
 
-class _Ids(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _encoder(hash_: Hash, seed: int) -> Callable:
     """(lang, text) batches to (lang, ids): numbers from 1 of frequent words, 0 for others and between pieces and texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[_Ids, np.ndarray]] = {}
+        known: dict[str, tuple[Numbering, np.ndarray]] = {}
         for batch in slices(batches):
             words: dict[str, list[bytes]] = {}
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -247,7 +239,7 @@ def _encoder(hash_: Hash, seed: int) -> Callable:
                 own.append(_END)
             out = []
             for lang, own in words.items():
-                ids, numbers = known.get(lang) or (_Ids({_END: 0}), np.zeros(1, np.uint32))
+                ids, numbers = known.get(lang) or (Numbering({_END: 0}), np.zeros(1, np.uint32))
                 at = np.fromiter(map(ids.__getitem__, own), np.int64, len(own))
                 if len(ids) > len(numbers):
                     new = list(islice(ids, len(numbers), None))

@@ -111,3 +111,11 @@ def id_bucket(column: str, n: int) -> F.Column:
 def let(x: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
     """body(x) with x evaluated once, however often body uses it and wherever the optimiser moves it."""
     return F.transform(F.array(x), body)[0]
+
+
+class Numbering(dict):
+    """Numbers its keys as they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n

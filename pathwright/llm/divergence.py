@@ -7,7 +7,6 @@ divergence f is then worked out once for each cell and multiplied by the cell's
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import Numbering, slices, written
 
 MIN_DOCS = 10
 TOP = 10
 #: Entries that a task counts before it sends them on, and entries whose pairs it tallies at once.
-HELD = 400_000
+HELD = 1_200_000
 TALLIED = 500_000
 SCALE = 1_000_000_000
 #: Bytes of UTF-8 that are in no term become spaces; A-Z become lower case. A term is a run of a-z and of characters beyond ASCII.
@@ -34,32 +33,52 @@ def terms(text: str | None) -> list[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term by language and source; a null term for each group that occurs."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    """Occurrences and documents of each term by language and source; a null term for each group that occurs. Groups and terms have numbers while the task holds them."""
+    groups, words = Numbering(), Numbering()
+    held: list[np.ndarray] = []  # parts of three rows: group and term in one number, occurrences, documents
+
+    def added(key: np.ndarray, n: np.ndarray, df: np.ndarray) -> np.ndarray:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+        return np.vstack([key[first], np.add.reduceat(n[order], first), np.add.reduceat(df[order], first)]) if len(key) else np.zeros((3, 0), np.int64)
 
     def out() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, df) in held.items():
-            names = [None, *(t.decode() for t in n)]
-            group = lambda x: pa.array([x]).take(pa.array(np.zeros(len(names), np.int32)))
-            yield pa.RecordBatch.from_arrays([group(lang), group(source), pa.array(names, pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *(df[t] for t in n)], pa.int64())], names=["lang", "source", "term", "n", "df"])
+        key, n, df = added(*np.concatenate(held, axis=1)) if held else np.zeros((3, 0), np.int64)
+        lang, source = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+        term = pa.array([w.decode() for w in words], pa.string())
+        none = np.zeros(len(groups), np.int64)
+        yield pa.RecordBatch.from_arrays([lang, source, pa.nulls(len(groups), pa.string()), pa.array(none), pa.array(none)], names=["lang", "source", "term", "n", "df"])
+        for at in range(0, len(key), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            group, word = pa.array(key[part] >> 32), pa.array(key[part] & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([lang.take(group), source.take(group), term.take(word), pa.array(n[part]), pa.array(df[part])], names=["lang", "source", "term", "n", "df"])
         held.clear()
+        groups.clear()
+        words.clear()
 
     size = 0
     for batch in slices(batches):
+        own: list[bytes] = []
+        ends, group = [], []
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (lang, source) not in held:
-                held[lang, source] = Counter(), Counter()
-                size += 1
-            n, df = held[lang, source]
-            found = terms(text)
-            size -= len(n)
-            n.update(found)
-            df.update(set(found))
-            size += len(n)
-        if size > HELD:
-            yield from out()
-            size = 0
-    yield from out()
+            own += terms(text)
+            ends.append(len(own))
+            group.append(groups[lang, source])
+        word = np.fromiter(map(words.__getitem__, own), np.int64, len(own))
+        doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        one, n = np.unique(doc << 32 | word, return_counts=True)  # a document's terms
+        held.append(added(np.array(group, np.int64)[one >> 32] << 32 | (one & 0xFFFFFFFF), n, np.ones_like(n)))
+        size += held[-1].shape[1]
+        many = len(words) > HELD // 2 or len(groups) > HELD // 2
+        if size > 2 * HELD or many:
+            held[:] = [added(*np.concatenate(held, axis=1))]
+            size = held[0].shape[1]
+            if size > HELD or many:
+                yield from out()
+                size = 0
+    if groups:
+        yield from out()
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
