@@ -6,7 +6,7 @@ Neighbouring blocks, and blocks next to each other in one container, are joined
 closer they are in the DOM. The maximum flow's cut is the cheapest labelling. Elements that are boilerplate by their
 meaning (menus, footers, forms, adverts, comments, ...) are bound to the sink, however long they are. Not so wrappers: if a page (or a
 wrapper) has no prose and no article outside such elements, the one of them that holds main, or else headings and most prose, wraps the
-main text; menus, footers, dialogs, notices and comments never do. Nor is main boilerplate within such an element, nor an article if no
+main text; menus, footers, dialogs and comments never do. Nor is main boilerplate within such an element, nor an article if no
 other article is clear of all.
 
 The classifier starts from PRIOR and is fitted on the blocks of a bounded sample of pages (SAMPLE_PAGES, none of more than SAMPLE_CHARS characters) whose structure
@@ -45,10 +45,9 @@ BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments disqus respond reply replies cookie cookies consent gdpr notice notices footer"
     " masthead menu nav navbar navigation newsletter subscribe pagination pager popup modal overlay promo promotion related recommended share sharing social sidebar sponsor sponsored login signup skip toolbar widget".split()
 )
-#: Elements, roles and names that hold no main text, whatever stands around them.
-FIRM = frozenset(
-    "nav footer dialog menu navigation contentinfo alertdialog menubar comment comments disqus respond reply replies cookie cookies consent gdpr navbar breadcrumb breadcrumbs popup modal related recommended share sharing social subscribe newsletter pagination pager".split()
-)
+#: Elements, roles and names that hold no main text, whatever stands around them; other names may tell of a wrapper's state.
+FIRM = frozenset("nav footer dialog menu navigation contentinfo alertdialog menubar".split())
+FIRM_NAMES = frozenset("comment comments disqus respond reply replies".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 GOOD_NAMES = frozenset("article articlebody content entry main post story text body maincontent".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -268,7 +267,7 @@ def blocks_of(page: str | None) -> list[Block]:
                     named = [w for k, w in enumerate(words) if not (k and words[k - 1] in ("has", "with", "no", "without"))]
                     if tag not in ("article", "main", "body", "html") and any(w in BAD_NAMES for w in named):
                         bad = True
-                        firm = firm or any(w in FIRM for w in named)
+                        firm = firm or any(w in FIRM_NAMES for w in named)
                     good = good or any(w in GOOD_NAMES for w in named)
                 elif name == "role":
                     role = (a.group(2) or a.group(3) or a.group(4) or "").lower()
